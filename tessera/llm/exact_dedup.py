@@ -3,8 +3,9 @@
 Documents are dealt to memtables. Each memtable flushes one run: its distinct digests, sorted, with the
 smallest and largest identifier and a count, beside a bitmap filter. Compaction merges neighbouring
 runs level by level: a digest that the sibling's filter rules out passes through untouched, only the rest
-meets in an aggregation. Digests that were seen more than once are hits; their texts are then compared byte
-for byte by grouping on the text itself, so two texts that shared a digest would still be told apart.
+meets in an aggregation. Digests that were seen more than once are hits. A hit receives byte verification:
+documents are also grouped by digest and text, and a hit holds if one text has as many documents, byte for
+byte, as the index counted; the documents of any other hit are told apart by their texts.
 
 Null texts count as empty. Empty texts are equal to each other. Repeated rows (same id, same text) belong
 to one group and are all kept if their id is the one kept. A null id never wins against another. An
@@ -71,18 +72,21 @@ def exact_groups(docs: DataFrame, text: str = "text", keep: str = "smallest", me
     level = memtables
     while level > 1:
         runs, level = compact(runs, bits), level // 2
-    hits = staged(runs.filter("n > 1").select("digest"), "lsm-hits")
+    best = F.col("low") if keep == "smallest" else F.col("high")
+    hits = staged(runs.filter("n > 1").select("digest", best.alias("keep_id"), F.col("n").alias("group_size")), "lsm-hits")
+    # The bytes themselves are the grouping key: equal digests with unequal bytes stay apart. Copies collapse
+    # before the shuffle, so a group that holds a third of all rows sends one text from each task.
     wanted = F.min("doc_id") if keep == "smallest" else F.max("doc_id")
-    # The bytes themselves are the grouping key: equal digests with unequal bytes stay apart.
-    texts = hashed.join(hits, "digest").groupBy("digest", "whole").agg(wanted.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    verified = staged(texts, "lsm-verified")
-    variants = verified.groupBy("digest").agg(F.count(F.lit(1)).alias("variants"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    sure = staged(variants, "lsm-groups")
-    clash = sure.filter("variants > 1").select("digest")
-    found = entries.join(sure.filter("variants = 1").select("digest", "keep_id", "group_size"), "digest", "left")
+    texts = hashed.groupBy("digest", "whole").agg(wanted.alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1 or keep_id is null")
+    mark = F.xxhash64("whole", F.length("whole")).alias("mark")
+    seen = staged(texts.select("digest", mark, "keep_id", "group_size"), "lsm-texts")
+    # A hit is confirmed by one text that as many documents have, byte for byte, as the index counted.
+    confirmed = staged(hits.join(seen.select("digest", "group_size"), ["digest", "group_size"]), "lsm-confirmed")
+    clash = hits.join(confirmed.select("digest"), "digest", "left_anti").select("digest")
+    found = entries.join(confirmed, "digest", "left").select("doc_id", "digest", "keep_id", "group_size")
     if not clash.isEmpty():  # texts that share a digest: their documents are told apart by the text
-        apart = hashed.join(clash, "digest").join(verified, ["digest", "whole"]).select("doc_id", "digest", "keep_id", "group_size")
-        found = found.join(clash, "digest", "left_anti").select(*apart.columns).unionByName(apart)
+        apart = hashed.select("doc_id", "digest", mark).join(clash, "digest").join(seen, ["digest", "mark"], "left").select("doc_id", "digest", "keep_id", "group_size")
+        found = found.join(clash, "digest", "left_anti").unionByName(apart)
     keep_id = F.coalesce("keep_id", "doc_id")
     return found.select(
         "doc_id",
