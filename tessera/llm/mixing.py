@@ -99,7 +99,7 @@ def schedule(spark: SparkSession, plan: DataFrame, block: int = BLOCK_TOKENS) ->
     ranked = ranked.join(F.broadcast(need.select("rank", "slots")) if len(low) <= SOURCES_BOUND else need.select("rank", "slots"), "rank").filter("k < slots").select("rank", "k", "slot")
     had = counts.groupBy("rank").agg(F.sum("c").alias("had"))
     short = need.join(had, "rank", "left").withColumn("had", F.coalesce("had", F.lit(0))).filter("had < slots")
-    tail = short.select("rank", F.explode(F.sequence(F.col("had"), F.col("slots") - 1)).alias("k")).withColumn("slot", F.lit(n) + F.col("k"))
+    tail = short.select("rank", "had", F.explode(F.sequence(F.col("had"), F.col("slots") - 1)).alias("k")).withColumn("slot", F.lit(n) + F.col("k") - F.col("had")).select("rank", "k", "slot")
     return ranked.unionByName(tail)
 
 
