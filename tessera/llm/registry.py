@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, pii, quality_gam, simhash_golay
+from tessera.llm import exact_dedup, mixing, packing, pii, quality_gam, simhash_golay, substring_cms
 from tessera.llm.common import table
 
 
+def op2_substring_cms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_cms.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_gam.score(docs, quality_gam.learn(docs, table(spark, sf_dir, "labels")))
@@ -33,7 +41,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_cms": op2_substring_cms,
     "op3_simhash_golay": op3_simhash_golay,
+    "op4_packing": op4_packing,
     "op5_quality_gam": op5_quality_gam,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_pii_anchors": op9_pii_anchors,

@@ -266,3 +266,146 @@ def test_schedule_keeps_every_prefix_near_the_targets(docs):
         total[r["rank"]] = total.get(r["rank"], 0) + 1
         half[r["rank"]] = half.get(r["rank"], 0) + (r.slot < n // 2)
     assert all(abs(half.get(k, 0) - v / 2) <= 4 + v * 0.02 for k, v in total.items())
+
+
+# --- substring dedup -----------------------------------------------------------------------------------------
+
+
+def brute_repeats(texts, window=20):
+    seen, out = set(), []
+    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0)):
+        w = words(t, fold=False)
+        gone = [False] * len(w)
+        for s in range(len(w) - window + 1):
+            key = tuple(w[s : s + window])
+            if key in seen:
+                gone[s : s + window] = [True] * window
+            seen.add(key)
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def passages(seed, n=120):
+    import random
+
+    rng = random.Random(seed)
+    pool = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(15, 90))) for _ in range(12)]
+    texts = []
+    for i in range(n):
+        parts = [" ".join(f"u{rng.randint(0, 9)}" for _ in range(rng.randint(0, 40)))]
+        for _ in range(rng.randint(0, 4)):
+            parts += [rng.choice(pool), " ".join(f"v{rng.randint(0, 3000)}" for _ in range(rng.randint(0, 30)))]
+        texts.append((i * 7 + 3, rng.choice([" ", "  ", "\n"]).join(parts)))
+    return texts + [(10_000, "x " * 50), (10_001, "x " * 50), (2**40, texts[5][1])]
+
+
+def test_substring_on_the_table(docs, no_docs):
+    from tessera.llm.substring_cms import remove_repeats
+
+    assert rows_of(remove_repeats(docs).drop("kept")) == brute_repeats([(i, t) for i, t, _ in TEXTS])
+    assert remove_repeats(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_over_many_blocks_and_shards(spark, monkeypatch, seed):
+    from tessera.llm import common, substring_cms as s
+
+    monkeypatch.setattr(s, "block_count", lambda docs, text: 5)
+    monkeypatch.setattr(s, "SHARD_WINDOWS", 300)
+    texts = passages(seed)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert common.block_count(df) == 1
+    assert rows_of(s.remove_repeats(df).drop("kept")) == brute_repeats(texts)
+
+
+# --- packing -------------------------------------------------------------------------------------------------
+
+
+def test_packing_on_the_table(docs, no_docs):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.packing import pack
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t, _ in TEXTS}
+    got = pack(docs).collect()
+    by_doc, by_seq = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+    for i, rows in by_doc.items():
+        n = 2 if i == 8 else 1
+        assert sum(r.length for r in rows) == n * len(ids[i])
+        assert all(r.start == r.piece * 4096 for r in rows)
+    assert set(by_doc) == set(ids)
+    for rows in by_seq.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    assert len(by_seq) == -(-sum(r.length for r in got) // 4096)
+    assert pack(no_docs).count() == 0
+
+
+def test_encoder_agrees_with_the_tokenizer():
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.packing import Encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc, rng = Tokenizer.from_file(path), Encoder(path), random.Random(2)
+    bits = ["it's", "don't", "x", "É", "é", "é", "ΣΑΣ", "<|endoftext|>", " ", "　", "12", "3", "!!", "'s", "\t", "\n", " ", "  ", "\x0b", "\x1c", "\x85", "漢字", "\U0001f600", "İ", "ﬁ", "foo"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(enc(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_uses_every_piece_once_and_wastes_little(seed):
+    import numpy as np
+
+    from tessera.llm.packing import nnls, plan_packing
+
+    rng = np.random.default_rng(seed)
+    sizes = np.minimum(4096, 1 + rng.lognormal(6 + seed / 2, 1.1, 5000).astype(int))
+    histogram = np.bincount(sizes, minlength=4097)
+    runs = plan_packing(histogram)
+    assert (np.bincount(runs[:, 0], runs[:, 2], 4097) == histogram).all()
+    n = int((runs[:, 3] + runs[:, 2]).max())
+    load = np.zeros(n, int)
+    for size, _, many, first, at in runs.tolist():
+        assert (load[first : first + many] <= 4096).all()
+        load[first : first + many] += size
+    assert (load <= 4096).all() and (load > 0).all()
+    least = max(-(-int(sizes.sum()) // 4096), int((sizes > 2048).sum()))
+    assert n <= least * 1.01 + 1
+    a, x = rng.random((12, 30)), np.maximum(0, rng.standard_normal(30))
+    assert np.abs(a @ nnls(a, a @ x) - a @ x).max() < 1e-6
+
+
+# --- vectors -------------------------------------------------------------------------------------------------
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    from tessera.llm import vectors as v
+
+    text = b"  ab ba ab\n\tabc " + "é ü".encode() + b" ab"
+    for chunk in (1 << 20, 4):
+        monkeypatch.setattr(v, "CHUNK", chunk)
+        got = v.word_hashes(text).tolist()
+        w = text.split()
+        assert len(got) == len(w)
+        assert all((a == b) == (x == y) for a, x in zip(got, w, strict=True) for b, y in zip(got, w, strict=True))
+    assert not len(v.word_hashes(b" \n ")) and not len(v.word_hashes(b""))
