@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, packing, pii, quality_gam, simhash_golay, substring_cms
+from tessera.llm import exact_dedup, mixing, nn_descent, packing, pii, quality_gam, simhash_golay, substring_cms
 from tessera.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_quality_gam": op5_quality_gam,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_nn_descent": op7_nn_descent,
     "op9_pii_anchors": op9_pii_anchors,
     "op10_mixing": op10_mixing,
 }

@@ -409,3 +409,54 @@ def test_word_hashes_tell_words_apart(monkeypatch):
         assert len(got) == len(w)
         assert all((a == b) == (x == y) for a, x in zip(got, w, strict=True) for b, y in zip(got, w, strict=True))
     assert not len(v.word_hashes(b" \n ")) and not len(v.word_hashes(b""))
+
+
+# --- vectors' near duplicates --------------------------------------------------------------------------------
+
+
+def vector_rows():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    out, centre = [], rng.standard_normal((6, 16))
+    for i in range(500):
+        c = centre[i % 6] if i % 3 == 0 else rng.standard_normal(16)
+        v = (c + rng.standard_normal(16) * 0.12).astype(np.float32).tolist()
+        out.append((i, v, i % 2))
+    hot = rng.standard_normal(16)
+    out += [(1000 + i, (hot + rng.standard_normal(16) * 0.03).astype(np.float32).tolist(), 1) for i in range(150)]
+    out += [(2000 + i, out[7][1], 1) for i in range(30)]
+    out += [(3000, None, 1), (3001, [0.0] * 16, 1), (3002, [float("nan")] * 16, 1), (3003, [1.0, None] * 8, 1), (3004, out[3][1], None), (3005, [1.0] * 3, 1), (3006, [2.0] * 3, 1), (3007, [], 0), (5, out[5][1], 1)]
+    return out
+
+
+def brute_vectors(rows, threshold=0.93):
+    import numpy as np
+
+    unit = []
+    for _, v, label in rows:
+        ok = label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        unit.append(np.array(v, float) / np.linalg.norm(v) if ok else None)
+    n = len(rows)
+    links = [[j for j in range(n) if j != i and unit[i] is not None and unit[j] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold] for i in range(n)]
+    comp = [r[0] for r in rows]
+    changed = True
+    while changed:
+        changed = False
+        for i in range(n):
+            low = min([comp[i], *(comp[j] for j in links[i])])
+            changed |= low < comp[i]
+            comp[i] = low
+    return sorted((r[0], len(links[i]), comp[i], comp[i] == r[0]) for i, r in enumerate(rows))
+
+
+def test_nn_descent_against_brute_force(spark):
+    from tessera.llm.nn_descent import near_duplicate_vectors
+
+    rows = vector_rows()
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, node string")
+    got = near_duplicate_vectors(df).collect()
+    assert got[0].recall == 1.0
+    want = brute_vectors(rows)
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
+    assert near_duplicate_vectors(df.limit(0)).count() == 0
