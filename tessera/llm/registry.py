@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, nn_descent, packing, pii, quality_gam, simhash_golay, substring_cms
+from tessera.llm import exact_dedup, mixing, nn_descent, packing, pii, quality_gam, simhash_golay, substring_cms, suffix_merge
 from tessera.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_merge.remove_repeated_strings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_gam": op5_quality_gam,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_nn_descent": op7_nn_descent,
+    "op8_suffix_merge": op8_suffix_merge,
     "op9_pii_anchors": op9_pii_anchors,
     "op10_mixing": op10_mixing,
 }

@@ -460,3 +460,61 @@ def test_nn_descent_against_brute_force(spark):
     want = brute_vectors(rows)
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
     assert near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+# --- suffix merge sort ---------------------------------------------------------------------------------------
+
+
+def brute_strings(texts, length):
+    from collections import Counter
+
+    bodies = [(i, (t or "").encode()) for i, t in texts]
+    seen = Counter(b[p : p + length] for _, b in bodies for p in range(len(b) - length + 1))
+    out = []
+    for i, b in bodies:
+        gone = [False] * len(b)
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone[p : p + length] = [True] * length
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_suffix_merge_on_the_table(docs, no_docs):
+    from tessera.llm.suffix_merge import remove_repeated_strings
+
+    short = docs.withColumn("text", docs.text.substr(1, 9000))
+    got = rows_of(remove_repeated_strings(short).drop("kept"))
+    assert got == brute_strings([(i, (t or "")[:9000]) for i, t, _ in TEXTS], 400)
+    whole = {r.doc_id: r for r in remove_repeated_strings(docs).collect()}
+    assert whole[9].n_removed == len(LONG) and whole[10].n_spans == 1
+    assert remove_repeated_strings(no_docs).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "length", "span"), [(1, 40, 16), (2, 60, 33), (3, 400, 256)])
+def test_suffix_merge_against_brute_force(spark, monkeypatch, seed, length, span):
+    from tessera.llm import suffix_merge as s
+
+    monkeypatch.setattr(s, "block_count", lambda docs, text: 6)
+    monkeypatch.setattr(s, "SHARD_BYTES", 9000)
+    texts = passages(seed, 70) + [(20_000, "ab" * 700), (20_001, "xab" + "ab" * 300), (20_002, "q" * 450), (20_003, "q" * 401 + "r")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows_of(s.remove_repeated_strings(df, length=length, span=span).drop("kept")) == brute_strings(texts, length)
+
+
+def test_loser_tree_merges_and_keeps_prefixes():
+    import random
+
+    from tessera.llm.suffix_merge import common_prefix, merge_runs, read_run, write_run
+
+    rng = random.Random(4)
+    for k in (1, 2, 3, 7):
+        runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 30))) for _ in range(k)]
+        coded = [read_run(write_run([(x, b"left") for x in r])) for r in runs]
+        assert [[x for x, _, _ in r] for r in coded] == runs
+        merged = merge_runs(coded)
+        strings = [runs[r][i] for r, i, _ in merged]
+        assert strings == sorted(x for r in runs for x in r)
+        assert [p for _, _, p in merged][1:] == [common_prefix(a, b) for a, b in zip(strings, strings[1:])]
