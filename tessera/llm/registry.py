@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, nn_descent, packing, pii, quality_gam, simhash_golay, substring_cms, suffix_merge
+from tessera.llm import ctw, exact_dedup, mixing, nn_descent, packing, pii, quality_gam, simhash_golay, substring_cms, suffix_merge
 from tessera.llm.common import table
 
 
+def op1_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_cms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_cms.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -49,6 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw_score": op1_ctw_score,
     "op2_substring_cms": op2_substring_cms,
     "op3_simhash_golay": op3_simhash_golay,
     "op4_packing": op4_packing,

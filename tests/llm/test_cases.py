@@ -518,3 +518,87 @@ def test_loser_tree_merges_and_keeps_prefixes():
         strings = [runs[r][i] for r, i, _ in merged]
         assert strings == sorted(x for r in runs for x in r)
         assert [p for _, _, p in merged][1:] == [common_prefix(a, b) for a, b in zip(strings, strings[1:])]
+
+
+# --- context-tree weighting ----------------------------------------------------------------------------------
+
+
+def brute_ctw(texts, depth):
+    import math
+    import zlib
+    from collections import Counter
+
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts if i is not None} | {None: False}
+    token = lambda t: [*words(t), b"\xff"]
+    counts = Counter(w for i, t in texts if not held[i] for w in token(t))
+    n, v = sum(counts.values()), len(counts)
+    node = Counter()
+
+    def walk(t):
+        data = b"\xff" * depth + (t or "").encode().lower() + b"\xff"
+        for k in range(depth, len(data)):
+            prefix = 1
+            for place in range(8):
+                bit = data[k] >> (7 - place) & 1
+                yield [(data[k - d : k], prefix) for d in range(depth + 1)], bit
+                prefix = prefix << 1 | bit
+
+    for i, t in texts:
+        if not held[i]:
+            for path, bit in walk(t):
+                for at in path:
+                    node[at, bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    nodes = {at for at, _ in node}
+    pw, weight = {}, {}
+    for d in range(depth, -1, -1):
+        inner = Counter()
+        for at in [a for a in nodes if len(a[0]) == d + 1]:
+            inner[at[0][1:], at[1]] += pw[at]
+        for at in [a for a in nodes if len(a[0]) == d]:
+            e = kt(node[at, 0], node[at, 1])
+            if d == depth:
+                pw[at], weight[at] = e, 1.0
+            else:
+                hi, lo = max(e, inner[at]), min(e, inner[at])
+                pw[at] = math.log(0.5) + hi + math.log1p(math.exp(lo - hi))
+                weight[at] = math.exp(math.log(0.5) + e - pw[at])
+    out = {}
+    for i, t in texts:
+        score = 0.0
+        for path, bit in walk(t):
+            p = None
+            for at in reversed(path):
+                a, b = node[at, 0], node[at, 1]
+                if a + b:
+                    own = ((b if bit else a) + 0.5) / (a + b + 1)
+                    p = own if p is None else weight[at] * own + (1 - weight[at]) * p
+            score += math.log10(0.5 if p is None else p)
+        c = [counts[w] for w in token(t)]
+        out[i] = (held[i], len(c), sum(x > 0 for x in c), n, sum(math.log10((x + 0.5) / (n + 0.5 * (v + 1))) for x in c), score)
+    return out
+
+
+@pytest.mark.parametrize(("depth", "blocks"), [(5, 1), (3, 4)])
+def test_ctw_against_brute_force(spark, monkeypatch, depth, blocks):
+    from tessera.llm import ctw
+
+    monkeypatch.setattr(ctw, "block_count", lambda docs, text: blocks)
+    monkeypatch.setattr(ctw, "SHARD_BYTES", (16 << 20) if blocks == 1 else 4000)
+    monkeypatch.setattr(ctw, "FLUSH_WORDS", 100)
+    monkeypatch.setattr(ctw, "CHUNK", 1 << 20 if blocks == 1 else 700)
+    texts = passages(9, 40)[:40] + [(50_001, None), (50_002, ""), (50_003, "Ünï ABC abc"), (50_004, " \n"), (None, "null id")]
+    got = {r.doc_id: tuple(r)[1:] for r in ctw.score(spark.createDataFrame(texts, "doc_id long, text string"), depth=depth).collect()}
+    want = brute_ctw(texts, depth)
+    assert set(got) == set(want)
+    for i, w in want.items():
+        assert got[i][:4] == w[:4]
+        assert got[i][4:] == pytest.approx(w[4:], rel=2e-6)
+
+
+def test_ctw_on_the_table(docs, no_docs):
+    from tessera.llm.ctw import score
+
+    got = score(docs).collect()
+    assert len(got) == len(TEXTS) and all(r.score < 0 for r in got)
+    assert score(no_docs).count() == 0
