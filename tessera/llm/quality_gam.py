@@ -227,3 +227,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", body(text).alias("body"), held_out(4, 2).alias("held_out")).mapInArrow(batches, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with a score of at least the threshold, all their columns as they were."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if batch.num_rows:
+                texts = batch.column(batch.schema.get_field_index(text))
+                s = model.score(np.array([features((x.as_py() or "").encode()) for x in texts]))
+                yield batch.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(batches, docs.schema)

@@ -602,3 +602,56 @@ def test_ctw_on_the_table(docs, no_docs):
     got = score(docs).collect()
     assert len(got) == len(TEXTS) and all(r.score < 0 for r in got)
     assert score(no_docs).count() == 0
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import random
+    from collections import Counter
+
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in ("re", "on", "the", "ing", "ous") for b in ("th", "nd", "ar", "el")]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(30, 300))) + ".", rng.choice("aab") + "x") for i in range(60)]
+    texts += [(60 + i, "{|#<" * rng.randint(5, 60), "junk") for i in range(30)]
+    texts += [(100 + i, texts[5][1], "ax") for i in range(4)] + [(104, texts[5][1], "ax"), (104, texts[5][1], "ax")]
+    texts += [(110 + i, texts[7][1] + " th", None) for i in range(3)] + [(200, None, "ax"), (201, "", "bx"), (None, texts[9][1] + " end of it", "bx")]
+    rows = [(i, t, "en", s, len(t or ""), True) for i, t, s in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(not 60 <= i < 90), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for name, stage in p.STAGES[:-1]:
+        before, now = now.collect(), stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+        now.write.parquet(f"{tmp_path}/{name.replace(' ', '')}")
+        now = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '')}")
+        after = now.collect()
+        assert after and set(after) <= set(before)
+        if name == "quality classifier":
+            assert {r.doc_id for r in after if r.doc_id is not None} >= set(range(60)) and not {r.doc_id for r in after} & set(range(60, 90))
+        elif name == "exact dedup":
+            best = {}
+            for r in before:
+                best[r.text or ""] = max(best.get(r.text or "", r.doc_id or -1), r.doc_id or -1)
+            assert sorted((r.doc_id or -1, r.text or "") for r in after) == sorted((i, t) for t, i in best.items())
+        elif name == "SimHash near-dedup":
+            prints = {r.doc_id: brute_fingerprint(r.text) for r in before if r.doc_id is not None}
+            comp = brute_components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+            assert {r.doc_id for r in after} - {None} == {i for i, c in comp.items() if i == c}
+            assert len(after) == len({(r.doc_id, r.text) for r in after})
+        else:
+            sizes = Counter()
+            for r in before:
+                sizes[r.source] += len(words(r.text))
+            total, got = 1.5 * sum(sizes.values()), Counter()
+            for r in after:
+                got[r.source] += len(words(r.text))
+            assert max(Counter(r.doc_id for r in after).values()) <= 2
+            assert abs(sum(got.values()) - total) <= 300 * len(sizes) and all(got[s] <= 2 * sizes[s] for s in sizes)
+    packed = p.pack(spark, now, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in after)
+    assert sorted(map(repr, (tuple(r)[:5] for r in p.run(spark, str(tmp_path)).collect()))) == sorted(map(repr, (tuple(r)[:5] for r in packed)))
