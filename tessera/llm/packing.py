@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -34,13 +35,19 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bins of the patterns, and documents in a pattern at most.
 PATTERN_BINS, PATTERN_DOCS = 64, 4
 #: Words whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Text bytes that are split into words at a time.
+PART_BYTES = 4 << 20
 BUCKET_ROWS = 1 << 13
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes. The vocabulary's words never span white
-    space, so a text's ids are those of its words in turn, and frequent words are encoded once."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes. The vocabulary's words never span white
+    space, so a text's ids are those of its words in turn, and a word is encoded once as long as it is
+    remembered. Fresh words are encoded many at a time with a control character between them, whose id
+    tells where a word's ids end; words that could be mistaken for it are encoded alone."""
+
+    BETWEEN = "\x01"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,19 +55,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        fresh = [w for w in set(words) if w not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > CACHE_WORDS:
-                self.known = {}
-                fresh = list(set(words))
-            for i in range(0, len(fresh), 4096):
-                part = fresh[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        self.mark = self._ids([self.BETWEEN])[0]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        fresh = list(words - self.known.keys())
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known = {}
+            fresh = list(words)
+        plain = [w for w in fresh if b"\x01" not in w and b"<|" not in w]
+        odd = [w for w in fresh if b"\x01" in w or b"<|" in w]
+        between = f" {self.BETWEEN} "
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            ids = np.array(self._ids([between.join([w.decode() for w in part])])[0], "<u4")
+            cuts = np.nonzero(ids == self.mark[0])[0] if len(self.mark) == 1 else None
+            if cuts is None or len(cuts) != len(part) - 1:
+                odd += part
+                continue
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(part, [*(4 * cuts).tolist(), 4 * len(ids)], strict=True):
+                self.known[w] = data[begin:end]
+                begin = end + 4
+        for w, ids in zip(odd, self._ids([w.decode() for w in odd]), strict=True):
+            self.known[w] = np.array(ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [x.split() for x in texts]
+        self.learn(set().union(*split))
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    return Encoder(path)
+
+
+def in_parts(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """Neighbouring texts of about so many bytes together."""
+    part: list[bytes] = []
+    held = 0
+    for x in texts:
+        part.append(x)
+        held += len(x)
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -69,11 +115,12 @@ def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, path:
     end = np.array([END_ID], "<u4").tobytes()
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in stream:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, x in enumerate(batch.column(1)):
-                ids = encode(x.as_py()) + end
+            texts = [x.as_py() for x in batch.column(1)]
+            for i, ids in enumerate(ids for part in in_parts(texts, PART_BYTES) for ids in encode(part)):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
