@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "color_cache_hits"
+from tessera.operators import pixels
+from tessera.plans.dialect import for_duckdb, for_spark
+from tessera.sources import raster  # noqa: F401  registers the base relations
+
+PLANS: dict[str, str] = {**pixels.PLANS}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: for_spark(sql) for name, sql in PLANS.items()}
+ORACLE_SQL: dict[str, str] = {name: for_duckdb(sql) for name, sql in PLANS.items()}
+FLAGSHIP = "le6_source_facts"
