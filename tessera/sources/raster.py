@@ -59,3 +59,9 @@ def alpha_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(m): every signed byte; 256 rows."""
     return F.broadcast(spark.range(-128, 128).select(F.col("id").alias("m")))
+
+
+@relation("blocks_1d", ("blocks_1d", "SELECT unnest(range(65536)) AS m"))
+def block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(m): places in a grid of blocks; 65,536 rows, more than an image of this width and 16 MB has."""
+    return spark.range(65536).select(F.col("id").alias("m"))
