@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 #: Text bytes that one block of documents holds on average. A Python worker keeps one block at a time.
 BLOCK_BYTES = 16 << 20
 #: Rows in an Arrow batch; texts may be long.
@@ -17,6 +19,7 @@ BATCH_ROWS = "2000"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input, read by Spark; batches for Python stay small because texts may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
