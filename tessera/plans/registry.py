@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import alpha, animation, container, entropy, pixels, predictors, spatial
+from tessera.operators import alpha, animation, container, entropy, lossy, pixels, predictors, spatial
 from tessera.plans.dialect import for_duckdb, for_spark
 from tessera.sources import containers, raster  # noqa: F401  registers the base relations
 
-PLANS: dict[str, str] = {**pixels.PLANS, **predictors.PLANS, **entropy.PLANS, **spatial.PLANS, **alpha.PLANS, **container.PLANS, **animation.PLANS}
+PLANS: dict[str, str] = {**pixels.PLANS, **predictors.PLANS, **entropy.PLANS, **spatial.PLANS, **alpha.PLANS, **container.PLANS, **animation.PLANS, **lossy.PLANS}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: for_spark(sql) for name, sql in PLANS.items()}
 ORACLE_SQL: dict[str, str] = {name: for_duckdb(sql) for name, sql in PLANS.items()}
 FLAGSHIP = "color_cache_hits"
