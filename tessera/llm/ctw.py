@@ -36,8 +36,10 @@ DEPTH = 5
 END = 0xFF
 #: Training text for each shard of the model.
 SHARD_BYTES = 32 << 20
+#: Text bytes in a block; several arrays of a block's size are in memory at once.
+CTW_BLOCK_BYTES = 12 << 20
 #: Distinct strings and words a task holds before it sends what it has counted.
-FLUSH_STRINGS, FLUSH_WORDS = 1 << 22, 400_000
+FLUSH_STRINGS, FLUSH_WORDS = 1 << 21, 300_000
 CHUNK = 1 << 20
 STRINGS, WORDS = 0, 1
 #: Stands for the end among the words; no UTF-8 text has it.
@@ -118,7 +120,7 @@ def distinct_keys(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, depth
     for lo in range(depth, len(data), CHUNK):
         hi = min(len(data), lo + CHUNK)
         parts.append(np.unique(keys_at(data, lo, hi, depth)[coded[lo:hi]], return_counts=True))
-        if len(parts) == 8:
+        if len(parts) == 4:
             parts = [added(parts)]
     return added(parts) if parts else (keys, counts)
 
@@ -157,18 +159,19 @@ def _split_words(words: list[bytes], n_shards: int) -> Iterator[tuple[int, list[
 
 
 class KeyTable:
-    """Values by key, looked up for many keys at a time (open addressing)."""
+    """Values by key, looked up for many keys at a time (open addressing). No key is all ones."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(8, int(2 * len(keys)).bit_length() + 1)
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys, self.values = keys, values
-        left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]  # of several for one slot the last stays
-            lost = self.slots[at] != left
-            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+        self.bits = max(8, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, ~U(0), U)
+        self.values = np.zeros(1 << self.bits, np.float32)
+        at = self._home(keys)
+        while len(keys):
+            free = self.keys[at] == ~U(0)
+            self.keys[at[free]] = keys[free]  # of several for one slot the last stays
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (keys * U(0x9E3779B97F4A7C15) >> U(64 - self.bits)).astype(np.int64)
@@ -176,13 +179,11 @@ class KeyTable:
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """All keys must be there."""
         at = self._home(keys)
-        found = self.slots[at]
-        wrong = np.nonzero(self.keys[found] != keys)[0]
+        wrong = np.nonzero(self.keys[at] != keys)[0]
         while len(wrong):
             at[wrong] = (at[wrong] + 1) & ((1 << self.bits) - 1)
-            found[wrong] = self.slots[at[wrong]]
-            wrong = wrong[self.keys[found[wrong]] != keys[wrong]]
-        return self.values[found]
+            wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
+        return self.values[at]
 
 
 # --- the tree ------------------------------------------------------------------------------------------------
@@ -386,7 +387,7 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
         raise ValueError("depth must be from 2 to 7")
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_BYTES))
-    n_blocks = block_count(docs, text)
+    n_blocks = block_count(docs, text, CTW_BLOCK_BYTES)
     rows = docs.select("doc_id", body(text).alias("body"), held_out(5, 1).alias("held_out"))
     model = staged(add_up(count_training(rows.filter(~F.col("held_out")), n_shards, depth)), "ctw-model")
     sums = model.agg(F.sum("distinct"), F.sum("total")).first()
@@ -440,17 +441,18 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
                 base.append(float(np.log10((c + 0.5) / below).sum()))
             data, begins, stops = laid_out(texts, depth)
             keys, _ = distinct_keys(data, begins, stops, depth)
-            values = np.zeros(len(keys))
+            values = np.zeros(len(keys), np.float32)
             for s, at in _split_keys(keys, n_shards, depth):
                 values[at] = np.frombuffer(told[STRINGS, s], "<f4")
             look = KeyTable(keys, values)
             coded = coded_places(len(data), begins, stops)
-            code = np.zeros(len(data))
+            number = np.repeat(np.arange(n, dtype=np.int32), stops - begins)  # of the document, for every coded place
+            seen = 0
             for lo in range(depth, len(data), CHUNK):
                 hi = min(len(data), lo + CHUNK)
                 at = np.nonzero(coded[lo:hi])[0]
-                code[lo + at] = look(keys_at(data, lo, hi, depth)[at])
-            scores = np.add.reduceat(code, np.stack([begins, np.minimum(stops, len(data) - 1)], axis=1).ravel())[::2]
+                scores += np.bincount(number[seen : seen + len(at)], look(keys_at(data, lo, hi, depth)[at]), n)
+                seen += len(at)
         return pa.table({"doc_id": ids, "held_out": out, "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([train_tokens] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     by_block = blocks.groupBy("block")

@@ -27,6 +27,8 @@ from tessera.llm.vectors import R1, R2, U, mix, window_hashes, word_hashes
 WINDOW = 20
 #: Slots of a sketch row in one shard, and windows that a shard gets on average.
 ROW_SLOTS, SHARD_WINDOWS = 1 << 22, 1 << 21
+#: Text bytes in a block.
+CMS_BLOCK_BYTES = 12 << 20
 #: A window's worth of text, for the number of shards.
 WINDOW_BYTES = 6
 ROWS = 2
@@ -164,7 +166,7 @@ def _group_exactly(asked: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space)."""
-    n_blocks = block_count(docs, text)
+    n_blocks = block_count(docs, text, CMS_BLOCK_BYTES)
     sized = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n_shards = max(1, -(-sized // (WINDOW_BYTES * SHARD_WINDOWS)))
     blocks = in_blocks(docs, n_blocks, text)

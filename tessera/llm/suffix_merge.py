@@ -35,6 +35,8 @@ from tessera.llm.vectors import U, mix
 LENGTH, SPAN, GRAM = 400, 256, 8
 #: Text bytes for each shard.
 SHARD_BYTES = 32 << 20
+#: Text bytes in a block; several numbers for each of its bytes are in memory at once.
+SUFFIX_BLOCK_BYTES = 8 << 20
 PIECE = 1 << 19
 PLACE = U((1 << 20) - 1)
 ASKED = "shard int, block int, payload binary"
@@ -282,7 +284,7 @@ def remove_repeated_strings(docs: DataFrame, text: str = "text", length: int = L
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_BYTES))
-    blocks = in_blocks(docs, block_count(docs, text), text)
+    blocks = in_blocks(docs, block_count(docs, text, SUFFIX_BLOCK_BYTES), text)
     known = length - span + 1
 
     def digests(table: pa.Table) -> pa.Table:

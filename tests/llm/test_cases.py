@@ -311,7 +311,7 @@ def test_substring_on_the_table(docs, no_docs):
 def test_substring_over_many_blocks_and_shards(spark, monkeypatch, seed):
     from tessera.llm import common, substring_cms as s
 
-    monkeypatch.setattr(s, "block_count", lambda docs, text: 5)
+    monkeypatch.setattr(s, "block_count", lambda docs, text, size: 5)
     monkeypatch.setattr(s, "SHARD_WINDOWS", 300)
     texts = passages(seed)
     df = spark.createDataFrame(texts, "doc_id long, text string")
@@ -497,7 +497,7 @@ def test_suffix_merge_on_the_table(docs, no_docs):
 def test_suffix_merge_against_brute_force(spark, monkeypatch, seed, length, span):
     from tessera.llm import suffix_merge as s
 
-    monkeypatch.setattr(s, "block_count", lambda docs, text: 6)
+    monkeypatch.setattr(s, "block_count", lambda docs, text, size: 6)
     monkeypatch.setattr(s, "SHARD_BYTES", 9000)
     texts = passages(seed, 70) + [(20_000, "ab" * 700), (20_001, "xab" + "ab" * 300), (20_002, "q" * 450), (20_003, "q" * 401 + "r")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
@@ -583,7 +583,7 @@ def brute_ctw(texts, depth):
 def test_ctw_against_brute_force(spark, monkeypatch, depth, blocks):
     from tessera.llm import ctw
 
-    monkeypatch.setattr(ctw, "block_count", lambda docs, text: blocks)
+    monkeypatch.setattr(ctw, "block_count", lambda docs, text, size: blocks)
     monkeypatch.setattr(ctw, "SHARD_BYTES", (16 << 20) if blocks == 1 else 4000)
     monkeypatch.setattr(ctw, "FLUSH_WORDS", 100)
     monkeypatch.setattr(ctw, "CHUNK", 1 << 20 if blocks == 1 else 700)
