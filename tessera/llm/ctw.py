@@ -41,6 +41,8 @@ CTW_BLOCK_BYTES = 12 << 20
 #: Distinct strings and words a task holds before it sends what it has counted.
 FLUSH_STRINGS, FLUSH_WORDS = 1 << 21, 300_000
 CHUNK = 1 << 20
+#: Places whose strings are sorted at a time; larger parts leave less to merge.
+SORTED = 1 << 22
 STRINGS, WORDS = 0, 1
 #: Stands for the end among the words; no UTF-8 text has it.
 END_WORD = bytes([END])
@@ -117,8 +119,8 @@ def distinct_keys(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, depth
     coded = coded_places(len(data), begins, stops)
     keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for lo in range(depth, len(data), CHUNK):
-        hi = min(len(data), lo + CHUNK)
+    for lo in range(depth, len(data), SORTED):
+        hi = min(len(data), lo + SORTED)
         parts.append(np.unique(keys_at(data, lo, hi, depth)[coded[lo:hi]], return_counts=True))
         if len(parts) == 4:
             parts = [added(parts)]
@@ -297,6 +299,16 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), pa.array(payload, pa.binary())], names=["kind", "shard", "payload"])
 
 
+def _reply(request: bytes, values: bytes) -> bytes:
+    """What was asked, and the answer: the block needn't sort its strings once more."""
+    return len(request).to_bytes(8, "little") + request + values
+
+
+def _parts(reply: bytes) -> tuple[bytes, bytes]:
+    n = int.from_bytes(reply[:8], "little") + 8
+    return reply[8:n], reply[n:]
+
+
 def count_training(train: DataFrame, n_shards: int, depth: int) -> DataFrame:
     """(kind, shard, payload): what each task has counted, split by shard."""
 
@@ -416,11 +428,11 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
                 wanted = [unpack_keys(x)[0] for x in requests]
                 union = np.unique(np.concatenate(wanted))
                 values = code_lengths(union, tree, top, depth).astype("<f4")
-                payloads = [values[np.searchsorted(union, k)].tobytes() for k in wanted]
+                payloads = [_reply(x, values[np.searchsorted(union, k)].tobytes()) for x, k in zip(requests, wanted, strict=True)]
             else:
                 words, counts = unpack_words(known.column("payload")[0].as_py()) if known.num_rows else ([], np.zeros(0, np.int64))
                 have = dict(zip(words, counts.tolist(), strict=True))
-                payloads = [zlib.compress(_planes(np.array([have.get(w, 0) for w in unpack_words(x)[0]], np.int64)), 1) for x in requests]
+                payloads = [_reply(x, zlib.compress(_planes(np.array([have.get(w, 0) for w in unpack_words(x)[0]], np.int64)), 1)) for x in requests]
         return pa.table({"kind": asked.column("kind").cast(pa.int32()), "shard": asked.column("shard").cast(pa.int32()), "block": asked.column("block").cast(pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -428,11 +440,18 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
         ids, out = table.column("doc_id"), table.column("held_out")
         tokens, known, base, scores = [], [], [], np.zeros(n)
         if n:
-            told = {(k, s): p for k, s, p in zip(replies.column("kind").to_pylist(), replies.column("shard").to_pylist(), replies.column("payload").to_pylist(), strict=True)}
             texts = [x.as_py().lower() for x in table.column("body")]
             counts: dict[bytes, int] = {}
-            for s, own in _split_words([*words_of(texts), END_WORD], n_shards):
-                counts.update(zip(own, _unplanes(zlib.decompress(told[WORDS, s])).astype(np.int64).tolist(), strict=True))
+            keys, values = [], []
+            for kind, payload in zip(replies.column("kind").to_pylist(), replies.column("payload"), strict=True):
+                asked, told = _parts(payload.as_py())
+                if kind == STRINGS:
+                    keys.append(unpack_keys(asked)[0])
+                    values.append(np.frombuffer(told, "<f4"))
+                else:
+                    counts.update(zip(unpack_words(asked)[0], _unplanes(zlib.decompress(told)).astype(np.int64).tolist(), strict=True))
+            look = KeyTable(np.concatenate(keys), np.concatenate(values))
+            del keys, values
             below = train_tokens + 0.5 * (distinct + 1)
             for x in texts:
                 c = np.fromiter(map(counts.__getitem__, [*x.split(), END_WORD]), np.float64)
@@ -440,11 +459,6 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
                 known.append(int(np.count_nonzero(c)))
                 base.append(float(np.log10((c + 0.5) / below).sum()))
             data, begins, stops = laid_out(texts, depth)
-            keys, _ = distinct_keys(data, begins, stops, depth)
-            values = np.zeros(len(keys), np.float32)
-            for s, at in _split_keys(keys, n_shards, depth):
-                values[at] = np.frombuffer(told[STRINGS, s], "<f4")
-            look = KeyTable(keys, values)
             coded = coded_places(len(data), begins, stops)
             number = np.repeat(np.arange(n, dtype=np.int32), stops - begins)  # of the document, for every coded place
             seen = 0

@@ -587,6 +587,7 @@ def test_ctw_against_brute_force(spark, monkeypatch, depth, blocks):
     monkeypatch.setattr(ctw, "SHARD_BYTES", (16 << 20) if blocks == 1 else 4000)
     monkeypatch.setattr(ctw, "FLUSH_WORDS", 100)
     monkeypatch.setattr(ctw, "CHUNK", 1 << 20 if blocks == 1 else 700)
+    monkeypatch.setattr(ctw, "SORTED", 1 << 22 if blocks == 1 else 900)
     texts = passages(9, 40)[:40] + [(50_001, None), (50_002, ""), (50_003, "Ünï ABC abc"), (50_004, " \n"), (None, "null id")]
     got = {r.doc_id: tuple(r)[1:] for r in ctw.score(spark.createDataFrame(texts, "doc_id long, text string"), depth=depth).collect()}
     want = brute_ctw(texts, depth)
