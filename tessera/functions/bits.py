@@ -97,3 +97,69 @@ def balanced_lengths(frequencies: dict[int, int], size: int) -> list[int]:
     for k, s in enumerate(ranked):
         lengths[s] = 1 if len(ranked) == 1 else floor + (k >= short)
     return lengths
+
+
+class BoolWriter:
+    """Arithmetic coder of the lossy format: booleans with 8-bit probabilities, carries resolved at once."""
+
+    def __init__(self) -> None:
+        self.low, self.range, self.bits = 0, 255, 0
+
+    def write(self, bit: int, probability: int = 128) -> None:
+        split = 1 + ((self.range - 1) * probability >> 8)
+        if bit:
+            self.low += split
+            self.range -= split
+        else:
+            self.range = split
+        shift = 8 - self.range.bit_length()
+        self.range <<= shift
+        self.low <<= shift
+        self.bits += shift
+
+    def literal(self, value: int, count: int) -> None:
+        """Most significant bit first, even probabilities."""
+        for i in reversed(range(count)):
+            self.write(value >> i & 1)
+
+    def signed(self, value: int, count: int) -> None:
+        self.literal(abs(value), count)
+        self.write(int(value < 0))
+
+    def finish(self) -> bytes:
+        total = self.bits + 8
+        pad = -total % 8
+        return (self.low << pad).to_bytes((total + pad) // 8, "big")
+
+
+class BoolReader:
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at = data, 2
+        self.value, self.range, self.left = int.from_bytes(data[:2].ljust(2, b"\0"), "big"), 255, 8
+
+    def read(self, probability: int = 128) -> int:
+        split = 1 + ((self.range - 1) * probability >> 8)
+        bit = int(self.value >= split << 8)
+        if bit:
+            self.value -= split << 8
+            self.range -= split
+        else:
+            self.range = split
+        while self.range < 128:
+            self.range <<= 1
+            self.value <<= 1
+            self.left -= 1
+            if not self.left:
+                self.value |= self.data[self.at] if self.at < len(self.data) else 0
+                self.at, self.left = self.at + 1, 8
+        return bit
+
+    def literal(self, count: int) -> int:
+        value = 0
+        for _ in range(count):
+            value = value << 1 | self.read()
+        return value
+
+    def signed(self, count: int) -> int:
+        value = self.literal(count)
+        return -value if self.read() else value

@@ -200,6 +200,11 @@ def decode(payload: bytes) -> tuple[int, int, bytes]:
     width, height, _ = header(payload)
     bits = BitReader(payload)
     bits.at = 40
+    return width, height, decode_stream(bits, width, height).tobytes()
+
+
+def decode_stream(bits: BitReader, width: int, height: int) -> np.ndarray:
+    """Transforms and pixels behind a header: RGBA of shape (height, width, 4)."""
     transforms, coded = [], width
     while bits.read(1):
         kind = bits.read(2)
@@ -232,7 +237,7 @@ def decode(payload: bytes) -> tuple[int, int, bytes]:
             each = 8 >> size
             index = np.repeat(rgba[..., 1], 1 << size, axis=1)[:, :full] >> ((np.arange(full) & ((1 << size) - 1)) * each) & ((1 << each) - 1)
             rgba = np.concatenate([palette, np.zeros((256 - len(palette), 4), np.uint8)])[index]
-    return width, height, rgba.astype(np.uint8).tobytes()
+    return rgba.astype(np.uint8)
 
 
 # --- encoding ------------------------------------------------------------------------------------------------
@@ -334,6 +339,14 @@ def _write_image(bits: BitWriter, pixels: list[int], *, main: bool) -> None:
                 bits.write(extra, many)
 
 
+def encode_greens(samples: bytes) -> bytes:
+    """A headerless stream without transforms whose green channel is the samples."""
+    bits = BitWriter()
+    bits.write(0, 1)
+    _write_image(bits, [v << 8 for v in samples], main=True)
+    return bits.finish()
+
+
 def _argb(rgba: np.ndarray) -> list[int]:
     p = rgba.reshape(-1, 4).astype(np.int64)
     return (p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]).tolist()

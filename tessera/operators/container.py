@@ -108,5 +108,8 @@ PLANS = {
     "ed10_set_metadata": edit("SELECT doc_id, k, fourcc, size FROM {chunks} WHERE fourcc <> 'EXIF' UNION ALL SELECT DISTINCT doc_id, 60, 'EXIF', 12 FROM {chunks}"),
     "ed10_remove_metadata": edit("SELECT doc_id, k, fourcc, size FROM {chunks} WHERE fourcc NOT IN ('ICCP', 'EXIF', 'XMP ')"),
     "ed11_make_vp8x": FACTS + f" SELECT doc_id, CASE WHEN n_iccp > 0 THEN 32 ELSE 0 END | CASE WHEN n_alph > 0 THEN 16 ELSE 0 END | CASE WHEN n_exif > 0 THEN 8 ELSE 0 END | CASE WHEN n_xmp > 0 THEN 4 ELSE 0 END | CASE WHEN n_anim > 0 THEN 2 ELSE 0 END AS flags, {le('width - 1', 3)} || {le('height - 1', 3)} AS canvas FROM facts",
+    "ed12_construct": edit("SELECT doc_id, 0 AS k, 'VP8X' AS fourcc, 10 AS size FROM {chunks} WHERE k = 0 UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 3 = 0 THEN 'ANIM' WHEN doc_id % 3 = 1 THEN 'VP8 ' ELSE 'VP8L' END, 6 + doc_id % 50 FROM {chunks} WHERE k = 0 UNION ALL SELECT doc_id, 2, 'ANMF', 24 + doc_id % 9 FROM {chunks} WHERE k = 0 AND doc_id % 3 = 0"),
+    "ed13_add_and_set": edit("SELECT doc_id, k, fourcc, size FROM {chunks} WHERE fourcc NOT IN ('VP8 ', 'VP8L', 'ALPH') UNION ALL SELECT DISTINCT doc_id, 70, 'VP8L', 33 FROM {chunks} UNION ALL SELECT DISTINCT doc_id, 71, 'note', 4 FROM {chunks}"),
+    "ed14_edit_parsed": edit("SELECT doc_id, CASE WHEN fourcc = 'ICCP' THEN 2 ELSE k * 3 END AS k, fourcc, CASE WHEN fourcc = 'XMP ' THEN size + 3 ELSE size END AS size FROM {chunks} WHERE NOT (fourcc = 'EXIF' AND k = 10)"),
     "ed15_frame_uses_alpha": f"SELECT doc_id, max(CASE WHEN fourcc = 'ALPH' OR (fourcc = 'VP8L' AND (({byte('payload', 4)} >> 4) & 1) = 1) THEN 1 ELSE 0 END) = 1 AS uses_alpha FROM {{chunks}} GROUP BY doc_id",
 }

@@ -78,7 +78,26 @@ CODES = LENGTHS + """,
     codes AS (
         SELECT *, coalesce(CAST(sum(1 << CAST(15 - len AS INT)) OVER (PARTITION BY doc_id, channel ORDER BY len, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) >> CAST(15 - len AS INT) AS code FROM lengths)"""
 
+#: The 120 near places in the order of their codes: by distance, then by how far aside, right before left.
+NEAR = """WITH near AS (
+    SELECT x, y, row_number() OVER (ORDER BY x * x + y * y, abs(x), CASE WHEN x < 0 THEN 1 ELSE 0 END) AS code
+    FROM (SELECT m AS x FROM {multipliers} WHERE m BETWEEN -7 AND 8) a CROSS JOIN (SELECT m AS y FROM {multipliers} WHERE m BETWEEN 0 AND 7) b WHERE y > 0 OR x > 0)"""
+
 PLANS = {
+    "ld20_distances": NEAR + """,
+        codes AS (SELECT m + 129 AS code FROM {multipliers}), widths AS (SELECT m AS width FROM {multipliers} WHERE m BETWEEN 1 AND 64)
+        SELECT c.code, width, CASE WHEN c.code > 120 THEN c.code - 120 ELSE greatest(1, x + y * width) END AS distance FROM codes c CROSS JOIN widths LEFT JOIN near n ON n.code = c.code""",
+    "le23_distance_codes": NEAR + """,
+        asked AS (SELECT d.m + 129 AS distance, w.m AS width, (d.m + 129) // w.m AS yo, (d.m + 129) % w.m AS xo FROM {multipliers} d CROSS JOIN {multipliers} w WHERE w.m BETWEEN 1 AND 64),
+        placed AS (SELECT *, CASE WHEN xo <= 8 AND yo < 8 THEN xo WHEN xo + 8 > width AND yo < 7 THEN xo - width END AS px, CASE WHEN xo <= 8 AND yo < 8 THEN yo WHEN xo + 8 > width AND yo < 7 THEN yo + 1 END AS py FROM asked)
+        SELECT distance, width, coalesce(code, distance + 120) AS code FROM placed LEFT JOIN near ON x = px AND y = py""",
+    "bt1_written_bits": """
+        WITH v AS (SELECT doc_id, idx, g & 15 AS value, 1 + b % 4 AS bits FROM {px} WHERE idx < 12),
+        o AS (SELECT doc_id, value % CAST(1 << CAST(bits AS INT) AS BIGINT) AS value, coalesce(CAST(sum(bits) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS at, bits FROM v)
+        SELECT doc_id, CAST(sum(value * (CAST(1 AS BIGINT) << CAST(o.at AS INT))) AS BIGINT) AS word, CAST(sum(bits) AS BIGINT) AS bits FROM o GROUP BY doc_id""".replace(" AS at,", " AS pos,").replace("o.at", "pos"),
+    "le21_local_matches": """
+        WITH near AS (SELECT doc_id, idx, argb, lead(argb, 1) OVER w AS n1, lead(argb, 2) OVER w AS n2, lag(argb, 1) OVER w AS b1, lag(argb, 16) OVER w AS b16, lag(argb, 15) OVER w AS b15, lag(argb, 14) OVER w AS b14 FROM {px} WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
+        SELECT doc_id, CAST(sum(CASE WHEN argb = b1 AND n1 = argb AND n2 = argb THEN 1 ELSE 0 END) AS BIGINT) AS at_distance_1, CAST(sum(CASE WHEN argb = b16 AND n1 = b15 AND n2 = b14 THEN 1 ELSE 0 END) AS BIGINT) AS at_width FROM near GROUP BY doc_id""",
     "color_cache_hits": CACHE + " SELECT h.doc_id, h.bits, h.hits, CASE WHEN h.bits = c.bits THEN 1 ELSE 0 END AS chosen FROM hits h JOIN chosen c ON h.doc_id = c.doc_id",
     "le19_select_colour_cache_bits": CACHE + " SELECT doc_id, bits, hits FROM chosen",
     "ld22_colour_cache_slots": f"WITH colours AS ({GREEN}) SELECT doc_id, bits, count(DISTINCT {slot('colour', 'bits')}) AS slots, CAST(sum({slot('colour', 'bits')} * (1 + idx % 251)) AS BIGINT) AS digest FROM colours CROSS JOIN {_BITS} c GROUP BY doc_id, bits",
