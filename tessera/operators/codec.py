@@ -17,7 +17,7 @@ from tessera.functions.bits import StreamError
 from tessera.operators.container import PLANS as CONTAINER
 from tessera.plans.dialect import RELATIONS, for_spark
 from tessera.shipping import ship
-from tessera.sources.raster import PLANE_WIDTH, WIDTH, table
+from tessera.sources.raster import PLANE_WIDTH, WIDTH, bodies
 from tessera.streaming.incremental import run_to_end
 
 CHUNK_ROWS = "doc_id long, fourcc string, begins long, size long"
@@ -65,8 +65,7 @@ def verdicts(found: DataFrame) -> DataFrame:
 def _bodies(spark: SparkSession, sf_dir: str, row_bytes: int) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    body = F.coalesce("text", F.lit("")).cast("binary")
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body")).filter(F.octet_length("body") >= row_bytes)
+    return bodies(spark, sf_dir).filter(F.octet_length("body") >= row_bytes)
 
 
 def _digest(data: bytes) -> str:

@@ -21,9 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, body), dealt by doc_id before anything is exploded: four bytes of a text become a row of a dozen
+    numbers, so the text is what should be shuffled. Windows and groups per image then need no exchange. The number of
+    partitions is given, so that small inputs aren't drawn together into one task."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def words(body: str, count: str, size: int) -> F.Column:
-    """An array of the first count groups of size bytes, each as one big-endian number."""
-    return F.expr(f"transform(sequence(0, {count} - 1), i -> cast(conv(hex(substring({body}, cast(i * {size} + 1 as int), {size})), 16, 10) as bigint))")
+    """An array of the first count groups of size bytes, each as one big-endian number. The text is cut in one pass:
+    reading it by position would copy it for every group."""
+    return F.expr(f"transform(regexp_extract_all(hex(substring({body}, 1, {count} * {size})), '.{{{2 * size}}}', 0), w -> cast(conv(w, 16, 10) as bigint))")
 
 
 @relation(
@@ -34,8 +43,7 @@ def words(body: str, count: str, size: int) -> F.Column:
 )
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, idx, x, y, r, g, b, a, argb)."""
-    body = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    rows = body.select("doc_id", "body", (F.floor(F.octet_length("body") / (4 * WIDTH)) * WIDTH).cast("int").alias("k")).filter("k > 0")
+    rows = bodies(spark, sf_dir).select("doc_id", "body", (F.floor(F.octet_length("body") / (4 * WIDTH)) * WIDTH).cast("int").alias("k")).filter("k > 0")
     exploded = rows.select("doc_id", words("body", "k", 4).alias("ws")).select("doc_id", F.posexplode("ws").alias("idx", "w"))
     return exploded.selectExpr(
         "doc_id", "cast(idx as bigint) as idx", "cast(idx % 16 as bigint) as x", "cast(idx div 16 as bigint) as y", "w >> 24 as r", "(w >> 16) & 255 as g", "(w >> 8) & 255 as b", "w & 255 as a", "((w & 255) << 24) | (w >> 8) as argb"
@@ -49,8 +57,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def alpha_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, idx, x, y, v)."""
-    body = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    rows = body.select("doc_id", "body", (F.floor(F.octet_length("body") / PLANE_WIDTH) * PLANE_WIDTH).cast("int").alias("k")).filter("k > 0")
+    rows = bodies(spark, sf_dir).select("doc_id", "body", (F.floor(F.octet_length("body") / PLANE_WIDTH) * PLANE_WIDTH).cast("int").alias("k")).filter("k > 0")
     exploded = rows.select("doc_id", words("body", "k", 1).alias("vs")).select("doc_id", F.posexplode("vs").alias("idx", "v"))
     return exploded.selectExpr("doc_id", "cast(idx as bigint) as idx", "cast(idx % 32 as bigint) as x", "cast(idx div 32 as bigint) as y", "v")
 
