@@ -5,8 +5,10 @@ vectors are sorted by the signs of a few projections, and neighbours in that ord
 rounds then compare the neighbours of each vector with one another (forward and reverse lists) and keep the
 best of each. Edges at the threshold are links. A list that is full of links is saturated: it is
 enlarged to all that links reach from it, which is compared exactly in pairs of blocks of fixed size, counting and not
-listing the links. An audit takes a few vectors of a hash sample against all rows; while it finds less recall
-than asked for, another round with longer lists follows.
+listing the links. An audit takes a hash sample of vectors against all rows, and more of them until enough have links;
+it holds if the share of links found, and with 95 % confidence the share of linked vectors that lack none, are what is
+asked for. While they are less, another round with longer lists and fresh projections follows. Where links are too rare
+for the audit to tell, or the rounds run out, every pair of one label is compared in blocks: nothing is left to chance.
 
 Labels must be equal and not null; vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing and stand alone; vectors of other widths are never compared. Repeated rows (same id and vector) each
@@ -32,6 +34,8 @@ NEIGHBOURS, ORDERS, ROUNDS = 8, 6, 2
 CHUNK, AROUND = 96, 64
 BLOCK = 512
 AUDIT_ROWS, RECALL, MOST_ROUNDS = 256, 0.99, 5
+#: The audit's sample grows up to AUDIT_MOST vectors; AUDIT_LINKED linked ones in it show what the rounds lack.
+AUDIT_MOST, AUDIT_LINKED = 16_384, 300
 #: Comparisons in floating point: a link's cosine may come out this much lower in another summation order.
 EDGE = "a long, b long, sim double"
 
@@ -72,8 +76,8 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
-def initial_edges(vectors: DataFrame, k: int, orders: int = ORDERS) -> DataFrame:
-    """Neighbours within chunks of several sorted orders; each order uses other random projections."""
+def initial_edges(vectors: DataFrame, k: int, orders: int = ORDERS, turn: int = 0) -> DataFrame:
+    """Neighbours within chunks of several sorted orders; each order, and each turn, uses other random projections."""
 
     def coded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -83,7 +87,7 @@ def initial_edges(vectors: DataFrame, k: int, orders: int = ORDERS) -> DataFrame
             for width in {len(x) for x in rows}:
                 at = [i for i, x in enumerate(rows) if len(x) == width]
                 x = np.frombuffer(b"".join(rows[i] for i in at), np.float64).reshape(len(at), -1)
-                planes = np.random.default_rng(20 + width).standard_normal((x.shape[1], 40 * orders))
+                planes = np.random.default_rng((20 + width, turn) if turn else 20 + width).standard_normal((x.shape[1], 40 * orders))
                 bits = (x @ planes > 0).astype(np.int64)
                 part = batch.take(pa.array(at))
                 for o in range(orders):
@@ -155,8 +159,20 @@ def descend(edges: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _top(edges.unionByName(found), k)
 
 
-def _exact_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): links of every member of a component, multiplicities counted, from pairs of blocks."""
+def _peers(linked: np.ndarray) -> np.ndarray:
+    """By row: the first row that links reach from it."""
+    peer = np.arange(len(linked))
+    while True:
+        least = np.minimum(peer, np.where(linked, peer, len(peer)).min(axis=1, initial=len(peer)))
+        least = least[least]
+        if (least == peer).all():
+            return peer
+        peer = least
+
+
+def _cells(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, classes, peer) of every member in every pair of blocks of its root: links with multiplicities, linked
+    classes, and a node that links reach from it; the peers connect what the pair's links connect."""
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     numbered = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     placed = numbered.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -164,44 +180,86 @@ def _exact_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
 
     def count(rows: pa.Table) -> pa.Table:
         x, i = _matrix(rows.column("v").combine_chunks()), rows.column("i").to_numpy()
-        n, p, q = rows.column("n").to_numpy(), rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
-        linked = (x @ x.T >= threshold).astype(np.int64)
-        np.fill_diagonal(linked, 0)
+        node, n, p, q = rows.column("node").to_numpy(), rows.column("n").to_numpy(), rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+        linked = x @ x.T >= threshold
+        np.fill_diagonal(linked, False)
         if p != q:
-            linked[i[:, None] == i[None, :]] = 0  # pairs within a block have a cell of their own
-        return pa.table({"node": rows.column("node"), "links": pa.array(linked @ n)})
+            linked[i[:, None] == i[None, :]] = False  # pairs within a block have a cell of their own
+        some, peer = np.nonzero(linked.any(axis=1))[0], np.arange(len(node))
+        among = linked[np.ix_(some, some)]
+        peer[some] = some[_peers(among)]
+        links, classes = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        links[some], classes[some] = among.astype(np.int64) @ n[some], among.sum(axis=1)
+        return pa.table({"node": rows.column("node"), "links": pa.array(links), "classes": pa.array(classes), "peer": pa.array(node[peer])})
 
-    return cells.groupBy("root", "p", "q").applyInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return cells.groupBy("root", "p", "q").applyInArrow(count, "node long, links long, classes long, peer long")
+
+
+def _exact_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, classes): links of every member of a component, multiplicities counted, from pairs of blocks."""
+    return _cells(members, threshold).groupBy("node").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
 
 
-def _audit(vectors: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Share of the sample's links, counted against all rows, that were found."""
-    asked = vectors.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(AUDIT_ROWS).collect()  # bounded
-    if not asked:
-        return 1.0
-    groups: dict[str, list] = {}
+def _all_links(vectors: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, others, classes, root) from every pair of one kind: the square of a kind in work, no recall to ask for."""
+    cells = staged(_cells(vectors.withColumnRenamed("kind", "root").join(counts, "node"), threshold), "nn-cells")
+    links = cells.groupBy("node").agg(F.sum("links").alias("others"), F.sum("classes").alias("classes"))
+    roots = components(cells.filter("node <> peer").select(F.col("node").alias("a"), F.col("peer").alias("b")))
+    found = counts.join(links, "node", "left").join(roots, "node", "left")
+    return staged(found.select("node", "n", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("root", "node").alias("root")), "nn-links")
+
+
+def _least_share(good: int, of: int) -> float:
+    """What a share of good is at least, with 95 % confidence (Wilson)."""
+    if not of:
+        return 0.0
+    z, p = 1.645, good / of
+    return (p + z * z / (2 * of) - z * ((p * (1 - p) + z * z / (4 * of)) / of) ** 0.5) / (1 + z * z / of)
+
+
+def _sampled(vectors: DataFrame, links: DataFrame, threshold: float, size: int) -> tuple[float, int, int]:
+    """Share of the sample's links, counted against all rows, that were found; vectors that lack none; vectors with links."""
+    asked = vectors.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(size).collect()  # bounded
+    groups: dict[str, tuple] = {}
     for r in asked:
-        groups.setdefault(r.kind, []).append((r.node, r.v))
+        groups.setdefault(r.kind, ([], []))
+        groups[r.kind][0].append(r.node)
+        groups[r.kind][1].append(bytes(r.v))
+    groups = {kind: (np.array(ids, np.int64), np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1)) for kind, (ids, v) in groups.items()}
 
     def brute(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            a, b, kinds = [], [], batch.column(1).to_pylist()
-            for kind, queries in groups.items():
-                at = [i for i, x in enumerate(kinds) if x == kind]
-                if at:
-                    rows = batch.take(pa.array(at))
-                    node = rows.column(0).to_numpy()
-                    q = np.array([x for x, _ in queries])
-                    near = _matrix(rows.column(2)) @ _matrix(pa.array([v for _, v in queries])).T >= threshold
-                    i, j = np.nonzero(near)
-                    other = node[i] != q[j]
-                    a.append(q[j[other]])
-                    b.append(node[i[other]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), pa.array(np.concatenate([*b, np.zeros(0, np.int64)]))], names=["node", "b"])
-
-    true = vectors.mapInArrow(brute, "node long, b long").groupBy("node").agg(F.count(F.lit(1)).alias("true"))
-    got = true.join(links.select("node", "classes"), "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("classes", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+            a, n, kinds = [], [], batch.column(1).to_pylist()
+            for kind in set(kinds) & set(groups):
+                rows = batch.take(pa.array([i for i, x in enumerate(kinds) if x == kind]))
+                node, x, (ids, v) = rows.column(0).to_numpy(), _matrix(rows.column(2)), groups[kind]
+                for lo in range(0, len(ids), 1024):
+                    q = ids[lo : lo + 1024]
+                    near = ((x @ v[lo : lo + 1024].T >= threshold) & (node[:, None] != q[None, :])).sum(axis=0)
+                    a.append(q[near > 0])
+                    n.append(near[near > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), pa.array(np.concatenate([*n, np.zeros(0, np.int64)]))], names=["node", "n"])
+
+    true = vectors.mapInArrow(brute, "node long, n long").groupBy("node").agg(F.sum("n").alias("true"))
+    got = true.join(links.select("node", "classes"), "node", "left").select("true", F.least("true", F.coalesce("classes", F.lit(0))).alias("got"))
+    true_links, got_links, whole, linked = got.agg(F.sum("true"), F.sum("got"), F.count(F.when(F.col("true") == F.col("got"), 1)), F.count(F.lit(1))).first()
+    return (got_links / true_links if true_links else 1.0), whole, linked
+
+
+def _audit(vectors: DataFrame, links: DataFrame, threshold: float) -> tuple[float, bool | None]:
+    """Recall of the links in the sample, and whether it holds; None where no sample of bounded size can tell."""
+    rows, size = vectors.count(), AUDIT_ROWS
+    while True:
+        recall, whole, linked = _sampled(vectors, links, threshold, size)
+        if size >= rows:  # every vector was asked
+            return recall, True if whole == linked else None
+        if recall >= RECALL and _least_share(whole, linked) >= RECALL:
+            return recall, True
+        if linked >= AUDIT_LINKED and min(recall, whole / linked) < RECALL:
+            return recall, False
+        if size >= AUDIT_MOST:
+            return recall, None
+        size *= 4
 
 
 def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -214,6 +272,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, k: in
     vectors = staged(classes.select("node", kind.alias("kind"), "x").mapInArrow(_unit, "node long, kind string, v binary"), "nn-vectors")
     counts = classes.select("node", "n")
     edges = staged(_top(initial_edges(vectors, k), k), "nn-graph")
+    holds: bool | None = False
     for round_ in range(MOST_ROUNDS):
         edges = staged(descend(edges, vectors, k), "nn-graph")
         if round_ + 1 < ROUNDS:
@@ -227,12 +286,17 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, k: in
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         listed = both.join(counts.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("listed"), F.count(F.lit(1)).alias("listed_classes"))
         found = counts.join(listed, "node", "left").join(exact, "node", "left")
-        found = found.select("node", "n", F.coalesce("links", "listed", F.lit(0)).alias("others"), F.coalesce("links", "listed_classes", F.lit(0)).alias("classes"))
+        found = found.select("node", "n", F.coalesce("links", "listed", F.lit(0)).alias("others"), F.coalesce("classes", "listed_classes", F.lit(0)).alias("classes"))
         found = staged(found.join(roots, "node", "left").select("node", "n", "others", "classes", F.coalesce("root", "node").alias("root")), "nn-links")
-        recall = _audit(vectors, found, threshold)
-        if recall >= RECALL:
+        recall, holds = _audit(vectors, found, threshold)
+        if holds or holds is None:
+            break
+        if round_ + 1 == MOST_ROUNDS:
             break
         k *= 2
+        edges = staged(_top(edges.unionByName(initial_edges(vectors, k, turn=round_)), k), "nn-graph")
+    if not holds:
+        found, recall = _all_links(vectors, counts, threshold), 1.0
     per_class = staged(classes.join(found.drop("n"), "node").select("label", "x", "root", (F.col("others") + F.col("n") - 1).alias("n_links")), "nn-classes")
     known = rows.join(per_class, ["label", "x"], "left")
     component = F.coalesce("root", "vec_id")
