@@ -20,7 +20,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -39,12 +39,12 @@ PAIRWISE = 20_000
 GOLAY = 0xC75
 
 
-def fingerprint(text: bytes) -> bytes:
+def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> bytes:
     """Eight bytes, most significant first: a bit is set if over half of the shingle hashes have it."""
     words = text.lower().split()
     if not words:
         return bytes(8)
-    k = min(SHINGLE_WORDS, len(words))
+    k = min(shingle_words, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -101,11 +101,11 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(keys)
 
 
-def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
-    """Index pairs that connect what links of at most RADIUS bits connect among distinct fingerprints."""
+def _forest(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Index pairs that connect what links of at most radius bits connect among distinct fingerprints."""
     n = len(fp)
     if n == 2:
-        return [(0, 1)] if int(fp[0] ^ fp[1]).bit_count() <= RADIUS else []
+        return [(0, 1)] if int(fp[0] ^ fp[1]).bit_count() <= radius else []
     parent = list(range(n))
     out: list[tuple[int, int]] = []
 
@@ -124,7 +124,7 @@ def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
     if n <= PAIRWISE:
         step = max(1, (1 << 22) // n)
         for lo in range(0, n, step):
-            close = np.bitwise_count(fp[lo : lo + step, None] ^ fp[None, :]) <= RADIUS
+            close = np.bitwise_count(fp[lo : lo + step, None] ^ fp[None, :]) <= radius
             i, j = np.nonzero(close)
             up = j > i + lo
             for a, b in zip((i[up] + lo).tolist(), j[up].tolist(), strict=True):
@@ -133,7 +133,7 @@ def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
     else:
         order = np.argsort(fp)
         there = fp[order]
-        for w in range(1, RADIUS + 1):
+        for w in range(1, radius + 1):
             for bits in combinations(range(64), w):
                 want = fp ^ np.uint64(sum(1 << b for b in bits))
                 at = np.minimum(np.searchsorted(there, want), n - 1)
@@ -143,9 +143,9 @@ def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _fingerprints(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(stream: Iterator[pa.RecordBatch], shingle_words: int = SHINGLE_WORDS) -> Iterator[pa.RecordBatch]:
     for batch in stream:
-        prints = b"".join(fingerprint(x.as_py()) for x in batch.column(1))
+        prints = b"".join(fingerprint(x.as_py(), shingle_words) for x in batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
 
@@ -156,7 +156,7 @@ def _keyed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[where]), pa.array(node[where])], names=["key", "fp", "node"])
 
 
-def _links(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(stream: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; the last key of a batch may go on in the next."""
     held: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in range(3))
 
@@ -165,12 +165,12 @@ def _links(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(cuts)
         a, b = [], []
         pairs = cuts[:-1][sizes == 2]  # the usual bucket
-        near = pairs[np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= RADIUS]
+        near = pairs[np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= radius]
         a.append(node[near])
         b.append(node[near + 1])
         for i in np.nonzero(sizes > 2)[0].tolist():
             lo, hi = cuts[i], cuts[i + 1]
-            found = _forest(fp[lo:hi].view(np.uint64))
+            found = _forest(fp[lo:hi].view(np.uint64), radius)
             if found:
                 ij = np.array(found) + lo
                 a.append(node[ij[:, 0]])
@@ -189,12 +189,15 @@ def _links(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(*held)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest id that links reach)."""
-    prints = staged(docs.select("doc_id", body(text).alias("body")).mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
+def near_duplicates(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id that links reach). Fingerprints are of shingles of
+    shingle_words words; a link is at most radius bits, 3 at most: the keys find no pair beyond."""
+    if shingle_words < 1 or not 0 <= radius <= 3:
+        raise ValueError(f"shingles of {shingle_words} words, links of {radius} bits: one word or more, 0 to 3 bits")
+    prints = staged(docs.select("doc_id", body(text).alias("body")).mapInArrow(partial(_fingerprints, shingle_words=shingle_words), "doc_id long, fp long"), "simhash")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
     keyed = classes.filter("node is not null").select("node", "fp").mapInArrow(_keyed, "key long, fp long, node long")
-    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, radius=radius), "a long, b long")
     roots = components(links)
     found = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(staged(found, "simhash-components"), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

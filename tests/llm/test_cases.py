@@ -113,6 +113,28 @@ def test_simhash(docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_simhash_by_other_shingles_and_links(docs):
+    from tessera.llm.simhash_golay import near_duplicates
+
+    def five(text):
+        w = words(text)
+        if not w:
+            return 0
+        k = min(5, len(w))
+        hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(len(w) - k + 1)]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = {i: five(t) for i, t, _ in TEXTS}
+    ids = [i for i in prints if i is not None]
+    for radius in (0, 3):
+        comp = brute_components(ids, lambda a, b, most=radius: (prints[a] ^ prints[b]).bit_count() <= most)
+        for r in near_duplicates(docs, shingle_words=5, radius=radius).collect():
+            assert r.fingerprint == f"{prints[r.doc_id]:016x}"
+            assert r.doc_id is None or r.component_id == comp[r.doc_id]
+    with pytest.raises(ValueError):
+        near_duplicates(docs, radius=4)
+
+
 def test_golay_keys_meet_for_every_error_pattern():
     import numpy as np
 
