@@ -68,7 +68,13 @@ def multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return F.broadcast(spark.range(-128, 128).select(F.col("id").alias("m")))
 
 
+#: Block numbers there are at least.
+BLOCK_NUMBERS = 65_536
+
+
 @relation("blocks_1d", ("blocks_1d", "SELECT unnest(range(65536)) AS m"))
 def block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(m): places in a grid of blocks; 65,536 rows, more than an image of this width and 16 MB has."""
-    return spark.range(65536).select(F.col("id").alias("m"))
+    """(m): places in a grid of blocks; 65,536 rows, or as many as the longest text has blocks of 8 x 8 pixels."""
+    longest = table(spark, sf_dir, "documents").agg(F.max(F.octet_length("text"))).first()[0] or 0
+    rows = longest // (4 * WIDTH)
+    return spark.range(max(BLOCK_NUMBERS, WIDTH // 8 * -(-rows // 8))).select(F.col("id").alias("m"))

@@ -35,3 +35,20 @@ def test_rows_only(spark, name):
 
 def test_flagship_has_a_twin():
     assert FLAGSHIP in QUERIES and FLAGSHIP in ORACLE_SQL
+
+
+def test_long_texts_have_all_their_blocks(spark, tmp_path):
+    from tessera.plans.dialect import RELATIONS
+
+    spark.range(1).selectExpr("id AS doc_id", "repeat('0123456789abcdef', 1100000) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    blocks = RELATIONS["blocks_1d"](spark, str(tmp_path)).selectExpr("count(*)", "min(m)", "max(m)").first()
+    assert tuple(blocks) == (68_750, 0, 68_749)  # 275,000 rows of 16 pixels
+
+
+def test_cells_beyond_the_least_range(spark, duck, monkeypatch):
+    from tessera.sources import raster
+
+    monkeypatch.setattr(raster, "BLOCK_NUMBERS", 2)
+    got = QUERIES["le33_fill_empty_blocks"](spark, SF)
+    rel = duck.sql(ORACLE_SQL["le33_fill_empty_blocks"])
+    assert sorted(tuple(r[c[0]] for c in rel.description) for r in got.collect()) == sorted(rel.fetchall())
