@@ -209,10 +209,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded, so it may be sent to every task
     rows = docs.select("doc_id", body(text).alias("body")).join(F.broadcast(chosen), "doc_id").select("doc_id", "body", "quality").mapInArrow(_featured, "doc_id long, quality int, x array<double>").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     if rows.empty:
         return Model(0.0)
-    x, y = np.array(rows["x"].tolist()), (rows["quality"].to_numpy() > 0).astype(float)
+    x, ids = np.array(rows["x"].tolist()), rows["doc_id"].to_numpy()
+    order = np.lexsort((*x.T[::-1], ids))  # of several texts with one id the least by features, not the one read first
+    order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+    x, y = x[order], (rows["quality"].to_numpy()[order] > 0).astype(float)
     order = np.random.default_rng(7).permutation(len(y))
     return fit(x[order], y[order])
 
