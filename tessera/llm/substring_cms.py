@@ -4,18 +4,22 @@ Documents stand in blocks. Pass one: each block makes a count-min sketch of its
 rows, the slots it touched, whether twice), and sends it to the shards of the slot space, where the sketches
 of all blocks are merged by adding. Merged counts never underestimate, so a window whose smaller count
 is one is unique; a block gets back one bit for each slot it sent. Pass two: only windows estimated to
-repeat are grouped exactly, by 96 bits of two independent hashes of their words; the owner is the first
-occurrence (smallest id, then smallest place), and blocks hear which of their windows they own first. A
-wrong estimate costs a row in pass two, never a window. Nothing is broadcast; sketch shards grow in number with the
-input, not in size, and a block sends each distinct window once, however often it has it.
-
-Null texts have no words. A document with fewer words than a window keeps them all. Repeated rows: the
-same id and text twice count as two documents with the same id, the one that is read first comes first. A
-null id comes before all others. An empty table gives an empty result; further columns are ignored.
+repeat are grouped, by 128 bits: two independent 64-bit hashes of their words, each word hashed without linear
+structure. Words are not moved to be compared: among n distinct windows two different ones meet with a probability
+of about n^2 / 2^129. The owner is the first occurrence (smallest id, then smallest place), and blocks hear which of
+their windows they own first. A wrong estimate costs a row in pass two, never a window. Nothing is broadcast; sketch
+shards grow in number with the input, not in size, and a block sends each distinct window once, however often it has it.
+
+Null texts have no words. A document with fewer words than a window keeps them all. Texts of any length are read
+whole; one that is longer than a block makes a block of its own size. Rows of one id are ordered by their bytes;
+the same id and text twice count as two documents. A null id comes before all others. An empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +36,8 @@ CMS_BLOCK_BYTES = 12 << 20
 #: A window's worth of text, for the number of shards.
 WINDOW_BYTES = 6
 ROWS = 2
+#: Where a slot's head block costs less than writing slots out.
+FEW_SLOTS = 128
 NO_ID = -(1 << 63)
 ASKED = "shard int, block int, payload binary"
 
@@ -41,18 +47,20 @@ class Windows:
 
     def __init__(self, docs: pa.Table, window: int) -> None:
         ids = docs.column("doc_id").to_pylist()
-        self.order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], i))
-        self.ids = np.array([NO_ID if ids[i] is None else ids[i] for i in self.order], np.int64)
         bodies = docs.column("body")
+        rank = lambda i: NO_ID if ids[i] is None else ids[i]
+        twice = {x for x, n in Counter(ids).items() if n > 1}
+        self.order = sorted(range(len(ids)), key=lambda i: (rank(i), bodies[i].as_py() if ids[i] in twice else b""))
+        self.ids = np.array([rank(i) for i in self.order], np.int64)
         self.n_words, first, second = [], [], []
         for i in self.order:
-            w = word_hashes(bodies[i].as_py())
-            self.n_words.append(len(w))
-            first.append(window_hashes(w, window, R1))
-            second.append((window_hashes(mix(w ^ U(R2)), window, R2) >> U(32)).astype(np.uint32))
+            one, two = word_hashes(bodies[i].as_py())
+            self.n_words.append(len(one))
+            first.append(window_hashes(one, window, R1))
+            second.append(window_hashes(two, window, R2))
         self.counts = np.array([len(x) for x in first], np.int64)
         self.first = np.concatenate([*first, np.zeros(0, U)])
-        self.second = np.concatenate([*second, np.zeros(0, np.uint32)])
+        self.second = np.concatenate([*second, np.zeros(0, U)])
         self.doc = np.repeat(np.arange(len(first)), self.counts)
 
 
@@ -66,18 +74,27 @@ def _by_shard(h: np.ndarray, n_shards: int) -> np.ndarray:
 
 
 def _pack_row(slots: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Slots touched, sorted: how many by 2^16 block, then low 16 bits, then bits for 'more than once'."""
+    """Slots touched, sorted, then bits for 'more than once'. Few slots are written as they are; many by how many
+    each 2^16 block has and their low 16 bits, so that a small message has no large head."""
     touched, n = np.unique(slots, return_counts=True)
-    head = np.bincount(touched >> 16, minlength=ROW_SLOTS >> 16).astype("<u4")
-    return np.array([len(touched)], "<u4").tobytes() + head.tobytes() + (touched & 0xFFFF).astype("<u2").tobytes() + np.packbits(n > 1).tobytes(), touched
+    if len(touched) < FEW_SLOTS:
+        slots_ = touched.astype("<u4").tobytes()
+    else:
+        slots_ = np.bincount(touched >> 16, minlength=ROW_SLOTS >> 16).astype("<u4").tobytes() + (touched & 0xFFFF).astype("<u2").tobytes()
+    return np.array([len(touched)], "<u4").tobytes() + slots_ + np.packbits(n > 1).tobytes(), touched
 
 
 def _unpack_row(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, int]:
     n = int(np.frombuffer(data, "<u4", 1, at)[0])
-    head = np.frombuffer(data, "<u4", ROW_SLOTS >> 16, at + 4)
-    at += 4 + 4 * len(head)
-    touched = np.repeat(np.arange(len(head)) << 16, head) | np.frombuffer(data, "<u2", n, at)
-    at += 2 * n
+    at += 4
+    if n < FEW_SLOTS:
+        touched = np.frombuffer(data, "<u4", n, at).astype(np.int64)
+        at += 4 * n
+    else:
+        head = np.frombuffer(data, "<u4", ROW_SLOTS >> 16, at)
+        at += 4 * len(head)
+        touched = np.repeat(np.arange(len(head)) << 16, head) | np.frombuffer(data, "<u2", n, at)
+        at += 2 * n
     size = -(-n // 8)
     return touched, np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n), at + size
 
@@ -150,8 +167,8 @@ def _group_exactly(asked: pa.Table) -> pa.Table:
         wide = data[16] == 1
         at = 17
         h = np.frombuffer(data, "<u8", n, at)
-        h2 = np.frombuffer(data, "<u4", n, at + 8 * n)
-        ids = np.frombuffer(data, "<i8" if wide else "<u4", n, at + 12 * n).astype(np.int64) + (0 if wide else base)
+        h2 = np.frombuffer(data, "<u8", n, at + 8 * n)
+        ids = np.frombuffer(data, "<i8" if wide else "<u4", n, at + 16 * n).astype(np.int64) + (0 if wide else base)
         parts.append((h, h2, ids))
     sizes = [len(p[0]) for p in parts]
     h, h2, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -194,7 +211,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
                     wide = int(ids.max()) - base >= 1 << 32
                     tail = ids.astype("<i8") if wide else (ids - base).astype("<u4")
                     shards.append(s)
-                    payloads.append(np.array([len(own), base], "<i8").tobytes() + bytes([wide]) + w.first[own].astype("<u8").tobytes() + w.second[own].astype("<u4").tobytes() + tail.tobytes())
+                    payloads.append(np.array([len(own), base], "<i8").tobytes() + bytes([wide]) + w.first[own].astype("<u8").tobytes() + w.second[own].astype("<u8").tobytes() + tail.tobytes())
         block = table.column("block")[0].as_py() if table.num_rows else 0
         return pa.table({"shard": pa.array(shards, pa.int32()), "block": pa.array([block] * len(shards), pa.int32()), "payload": pa.array(payloads, pa.binary())})
 

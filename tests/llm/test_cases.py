@@ -213,6 +213,30 @@ def test_pii_against_patterns():
         check_pii(None, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))))
 
 
+def test_pii_on_long_runs_in_linear_time():
+    import time
+
+    from tessera.llm.pii import automaton, scan
+
+    anchors = automaton()
+    n = 100_000
+    for text in (
+        "account" + " " * n + ";", "account no" + " " * n + "#" + " " * n, "password" + "\t" * n, "token=" + "a" * n, "+1" + " " * n, "1" * n, "1." * n, "a@" * n, "x@" + "b" * n, "://" * n,
+        "www." * n, "account " * n, "DE12 " * n, "secret:" * n, "A" * n + "@", "1 " * n, "+1(" * n,
+    ):
+        began = time.time()
+        scan(text, anchors)
+        assert time.time() - began < 6, text[:20]
+    assert scan("account" + " " * n + "AB123456", anchors) == [(n + 7, n + 15, "account")]
+    assert scan("account number12345", anchors) == [(8, 19, "account")]
+
+
+def test_pii_ip_parts_with_leading_zeros():
+    zeros = "0" * 30
+    for text in (f"{zeros}1.2.3.4", f"1.{zeros}255.3.4", f"1.2.{zeros}256.4", "0.0.0.00000", "999.1.1.1"):
+        check_pii(None, text)
+
+
 def test_pii_on_the_table(docs, no_docs):
     from tessera.llm.pii import find_pii
 
@@ -420,17 +444,40 @@ def test_plan_uses_every_piece_once_and_wastes_little(seed):
 # --- vectors -------------------------------------------------------------------------------------------------
 
 
-def test_word_hashes_tell_words_apart(monkeypatch):
+def test_word_hashes_tell_words_apart():
     from tessera.llm import vectors as v
 
-    text = b"  ab ba ab\n\tabc " + "é ü".encode() + b" ab"
-    for chunk in (1 << 20, 4):
-        monkeypatch.setattr(v, "CHUNK", chunk)
-        got = v.word_hashes(text).tolist()
-        w = text.split()
+    long = [b"y" * n for n in (8, 9, 16, 63, 64, 65, 66, 200)]
+    text = b"  ab ba ab\n\tabc " + "é ü".encode() + b" ab " + b" ".join(long)
+    w = text.split()
+    for got in v.word_hashes(text):
         assert len(got) == len(w)
-        assert all((a == b) == (x == y) for a, x in zip(got, w, strict=True) for b, y in zip(got, w, strict=True))
-    assert not len(v.word_hashes(b" \n ")) and not len(v.word_hashes(b""))
+        assert all((a == b) == (x == y) for a, x in zip(got.tolist(), w, strict=True) for b, y in zip(got.tolist(), w, strict=True))
+    assert not len(v.word_hashes(b" \n ")[0]) and not len(v.word_hashes(b"")[1])
+    # the same word hashes alike wherever it stands
+    assert v.word_hashes(b"zzz yyyyyyyyyyyyyyyy")[0][1] == v.word_hashes(b"yyyyyyyyyyyyyyyy")[0][0]
+
+
+def test_substring_keeps_words_that_cancel_out_in_polynomial_hashes(spark):
+    from tessera.llm.substring_cms import remove_repeats
+
+    one = "a"
+    for _ in range(10):  # Thue-Morse words: equal under every polynomial modulo 2^64
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"c{i}" for i in range(19))
+    rows = [(1, f"{common} {one}"), (2, f"{common} {two}"), (3, f"{common} {one}")]
+    got = rows_of(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept"))
+    assert got == brute_repeats(rows) and [r[2] for r in got] == [0, 0, 20]
+
+
+def test_substring_order_of_equal_ids(spark):
+    from tessera.llm.substring_cms import remove_repeats
+
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(7, f"zz {passage} x"), (7, f"aa {passage} y"), (7, f"mm {passage}")]
+    results = {tuple(rows_of(remove_repeats(spark.createDataFrame(r, "doc_id long, text string").coalesce(1)))) for r in (rows, rows[::-1], rows[1:] + rows[:1])}
+    assert len(results) == 1 and sorted(r[2] for r in next(iter(results))) == [0, 25, 25]
 
 
 # --- vectors' near duplicates --------------------------------------------------------------------------------
