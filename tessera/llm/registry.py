@@ -49,7 +49,7 @@ def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -75,10 +75,12 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op10_mixing": """
-        WITH sized AS (
-            SELECT doc_id, source,
-                   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+        WITH rows AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                   md5(coalesce('=' || doc_id::VARCHAR, '-') || ':' || coalesce('=' || length(source)::VARCHAR, '-') || ':'
+                       || coalesce(source, '') || ':' || coalesce(text, '')) AS key
             FROM documents),
+        sized AS (SELECT *, row_number() OVER (PARTITION BY key) AS copy FROM rows),
         s AS (
             SELECT source, sum(size)::BIGINT AS source_size,
                    row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank
@@ -102,12 +104,41 @@ ORACLE_SQL: dict[str, str] = {
                              / (SELECT sum(w) FROM c WHERE NOT capped)::DOUBLE END AS target
             FROM c),
         o AS (
-            SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS goal,
-                   coalesce(sum(size) OVER (PARTITION BY t.rank
-                       ORDER BY ((coalesce(doc_id, 0) % 2147483647 + 2147483647) % 2147483647 * 48271) % 2147483647, doc_id
+            SELECT doc_id, key, copy, size, t.rank, source_size, target,
+                   coalesce(sum(size) OVER (PARTITION BY t.rank ORDER BY key, copy
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-            FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - source_size - start)) AS taken
-        FROM o""",
+            FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source),
+        need AS (
+            SELECT rank, source_size, floor(target)::BIGINT AS goal, (source_size + 1023) // 1024 AS per_pass,
+                   floor(target)::BIGINT // source_size * ((source_size + 1023) // 1024)
+                   + (floor(target)::BIGINT % source_size + 1023) // 1024 AS slots
+            FROM t WHERE floor(target) > 0),
+        ranges AS (SELECT *, sum(slots) OVER (ORDER BY rank)::BIGINT AS hi FROM need),
+        total AS (SELECT coalesce(sum(slots), 0)::BIGINT AS n FROM need),
+        near AS (SELECT n, ((n::HUGEINT * 2654435769) // 4294967296)::BIGINT AS g FROM total),
+        step AS (
+            SELECT n, CASE WHEN n > 1 THEN
+                   (SELECT x FROM (SELECT unnest(range(1, 1000)) AS d) z,
+                           (SELECT unnest([0, 1]) AS low) y, LATERAL (SELECT g + (z.d - 1) * (1 - 2 * y.low) AS x) q
+                    WHERE x > 0 AND gcd(x, n) = 1 ORDER BY d, low LIMIT 1) ELSE 1 END AS g
+            FROM near),
+        points AS (
+            SELECT slot, ((slot::HUGEINT * g) % n)::BIGINT AS point
+            FROM step, LATERAL (SELECT unnest(range(n)) AS slot) p),
+        slots AS (
+            SELECT r.rank, slot, source_size, goal, per_pass, row_number() OVER (PARTITION BY r.rank ORDER BY slot) - 1 AS k
+            FROM points JOIN ranges r ON point >= hi - slots AND point < hi),
+        blocks AS (
+            SELECT rank, slot, k % per_pass * 1024 AS lo,
+                   k % per_pass * 1024 + least(1024, source_size - k % per_pass * 1024,
+                       goal - k // per_pass * source_size - k % per_pass * 1024) AS hi
+            FROM slots),
+        met AS (
+            SELECT o.rank, o.start, sum(least(o.start + size, hi) - greatest(o.start, lo))::BIGINT AS taken,
+                   min(slot) AS first_slot, count(*) AS n_slots
+            FROM o JOIN blocks ON o.rank = blocks.rank AND size > 0 AND hi > lo AND o.start < hi AND o.start + size > lo
+            GROUP BY o.rank, o.start)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot,
+               coalesce(n_slots, 0)::BIGINT AS n_slots
+        FROM o LEFT JOIN met ON o.rank = met.rank AND o.start = met.start AND size > 0""",
 }

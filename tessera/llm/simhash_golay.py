@@ -12,7 +12,8 @@ Documents with equal fingerprints are collapsed before keys are made. A bucket e
 links, not all its pairs, so no link between different fingerprints is lost for the components. Beyond
 PAIRWISE fingerprints a bucket is searched by flipping bits instead, with work in proportion to its size.
 
-Null and empty texts have no word: fingerprint zero, linked like any other. Repeated rows each give a row. A
+Null and empty texts have no word: fingerprint zero, linked like any other. Texts of any length are read whole, one at a
+time. A bit that half of the hashes have, a tie, is 0. Repeated rows each give a row, of one component. A
 null id is never the smallest unless it is alone. An empty table gives an empty result; further columns
 are ignored.
 """
@@ -146,35 +147,35 @@ def _forest(fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
 def _fingerprints(stream: Iterator[pa.RecordBatch], shingle_words: int = SHINGLE_WORDS) -> Iterator[pa.RecordBatch]:
     for batch in stream:
         prints = b"".join(fingerprint(x.as_py(), shingle_words) for x in batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "mark"])
 
 
 def _keyed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
-        node, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fp = batch.column(0).to_numpy()
         where, keys = fuzzy_keys(fp.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[where]), pa.array(node[where])], names=["key", "fp", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[where])], names=["key", "fp"])
 
 
 def _links(stream: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; the last key of a batch may go on in the next."""
-    held: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in range(3))
+    held: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in range(2))
 
-    def of(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def of(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         cuts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
         sizes = np.diff(cuts)
         a, b = [], []
         pairs = cuts[:-1][sizes == 2]  # the usual bucket
         near = pairs[np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= radius]
-        a.append(node[near])
-        b.append(node[near + 1])
+        a.append(fp[near])
+        b.append(fp[near + 1])
         for i in np.nonzero(sizes > 2)[0].tolist():
             lo, hi = cuts[i], cuts[i + 1]
             found = _forest(fp[lo:hi].view(np.uint64), radius)
             if found:
                 ij = np.array(found) + lo
-                a.append(node[ij[:, 0]])
-                b.append(node[ij[:, 1]])
+                a.append(fp[ij[:, 0]])
+                b.append(fp[ij[:, 1]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     for batch in stream:
@@ -190,14 +191,18 @@ def _links(stream: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[p
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest id that links reach). Fingerprints are of shingles of
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id that links reach), component (a fingerprint that names
+    the component), mark (xxhash64 of the bytes, which tells texts with one id apart). Fingerprints are of shingles of
     shingle_words words; a link is at most radius bits, 3 at most: the keys find no pair beyond."""
     if shingle_words < 1 or not 0 <= radius <= 3:
         raise ValueError(f"shingles of {shingle_words} words, links of {radius} bits: one word or more, 0 to 3 bits")
-    prints = staged(docs.select("doc_id", body(text).alias("body")).mapInArrow(partial(_fingerprints, shingle_words=shingle_words), "doc_id long, fp long"), "simhash")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
-    keyed = classes.filter("node is not null").select("node", "fp").mapInArrow(_keyed, "key long, fp long, node long")
+    prints = staged(docs.select("doc_id", body(text).alias("body"), F.xxhash64(body(text)).alias("mark")).mapInArrow(partial(_fingerprints, shingle_words=shingle_words), "doc_id long, fp long, mark long"), "simhash")
+    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    keyed = classes.select("fp").mapInArrow(_keyed, "key long, fp long")
     links = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, radius=radius), "a long, b long")
-    roots = components(links)
-    found = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(staged(found, "simhash-components"), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # Fingerprints are the nodes, so two texts with one id are tied by their words only.
+    rooted = classes.join(components(links), classes["fp"] == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = staged(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-components")
+    shown = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return prints.join(found, "fp", "left").select("doc_id", shown("fp").alias("fingerprint"), "component_id", shown("root").alias("component"), "mark")

@@ -314,6 +314,44 @@ def test_schedule_keeps_every_prefix_near_the_targets(docs):
     assert all(abs(half.get(k, 0) - v / 2) <= 4 + v * 0.02 for k, v in total.items())
 
 
+def test_schedule_hits_every_slot_once_and_decides_what_is_taken(spark):
+    from math import gcd
+
+    from tessera.llm.mixing import lattice_step, mix, schedule
+
+    for n in (*range(1, 300), 4096, 2 * 3 * 5 * 7 * 11 * 13, 10**12 + 39):
+        g = lattice_step(n)
+        assert gcd(g, n) == 1 and (n < 10 or abs(g / n - 0.618034) < 0.1)
+    plan = spark.createDataFrame([("a", 1, 5000, 9000.0), ("b", 2, 700, 650.5), ("c", 3, 10, 0.0), (None, 4, 3000, 6000.0)], "source string, rank int, source_size long, target double")
+    got = [(r["rank"], r.k, r.slot) for r in schedule(spark, plan, 64).collect()]
+    assert sorted(x[2] for x in got) == list(range(len(got)))
+    by = {}
+    for rank, k, _ in sorted(got, key=lambda x: x[2]):
+        assert k == by.get(rank, 0)
+        by[rank] = k + 1
+    assert by == {1: 79 + -(-4000 // 64), 2: -(-650 // 64), 4: 2 * 47}
+    # many sources, more slots than cells and stretches, in the same one way
+    docs = spark.sql("select id doc_id, concat('s', id % 5000) source, 'a b c' text from range(15000)")
+    documents, blocks = mix(docs, block=1)
+    rows = documents.collect()
+    assert sum(r.taken for r in rows) == sum({r["rank"]: int(r.target) for r in rows}.values()) and all(r.taken <= 2 * r.size for r in rows)
+    assert blocks.select("slot").distinct().count() == blocks.count()
+
+
+def test_mixing_with_repeated_rows_and_ids(spark):
+    from tessera.llm.mixing import mix
+
+    rows = [(None, "n n n", "a")] * 300 + [(7, "x y", "a")] * 3000 + [(7, "other text here", "a"), (7, None, None), (8, "z " * 3000, "b")]
+    documents, _ = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=16)
+    got = documents.collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["rank"], [int(r.target), 0])[1] += r.taken
+    assert all(goal == taken for goal, taken in by.values())
+    assert len({(r["rank"], r.start) for r in got if r.size}) == sum(r.size > 0 for r in got)
+
+
 # --- substring dedup -----------------------------------------------------------------------------------------
 
 
@@ -711,6 +749,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(30, 300))) + ".", rng.choice("aab") + "x") for i in range(60)]
     texts += [(60 + i, "{|#<" * rng.randint(5, 60), "junk") for i in range(30)]
     texts += [(100 + i, texts[5][1], "ax") for i in range(4)] + [(104, texts[5][1], "ax"), (104, texts[5][1], "ax")]
+    texts += [(300, texts[11][1] + " the " + texts[12][1], "ax"), (300, texts[13][1] + " one " + texts[14][1], "bx")]  # two texts with one id
     texts += [(110 + i, texts[7][1] + " th", None) for i in range(3)] + [(200, None, "ax"), (201, "", "bx"), (None, texts[9][1] + " end of it", "bx")]
     rows = [(i, t, "en", s, len(t or ""), True) for i, t, s in texts]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean")
@@ -732,10 +771,11 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
                 best[r.text or ""] = max(best.get(r.text or "", r.doc_id or -1), r.doc_id or -1)
             assert sorted((r.doc_id or -1, r.text or "") for r in after) == sorted((i, t) for t, i in best.items())
         elif name == "SimHash near-dedup":
-            prints = {r.doc_id: brute_fingerprint(r.text) for r in before if r.doc_id is not None}
-            comp = brute_components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
-            assert {r.doc_id for r in after} - {None} == {i for i, c in comp.items() if i == c}
-            assert len(after) == len({(r.doc_id, r.text) for r in after})
+            prints = {(r.doc_id is None, r.doc_id or 0, r.text): brute_fingerprint(r.text) for r in before}
+            order = sorted(prints, key=lambda x: (x[:2], x[2] or ""))
+            comp = brute_components(range(len(order)), lambda a, b: (prints[order[a]] ^ prints[order[b]]).bit_count() <= 3)
+            assert sorted(str(r.doc_id) for r in after) == sorted(str(None if order[i][0] else order[i][1]) for i, c in comp.items() if i == c)
+            assert sum(r.doc_id == 300 for r in after) == 2
         else:
             sizes = Counter()
             for r in before:
@@ -743,8 +783,9 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
             total, got = 1.5 * sum(sizes.values()), Counter()
             for r in after:
                 got[r.source] += len(words(r.text))
-            assert max(Counter(r.doc_id for r in after).values()) <= 2
+            assert max(Counter((r.doc_id, r.text) for r in after).values()) <= 2
             assert abs(sum(got.values()) - total) <= 300 * len(sizes) and all(got[s] <= 2 * sizes[s] for s in sizes)
     packed = p.pack(spark, now, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in after)
+    assert {r.doc_id for r in packed} >= {300}
     assert sorted(map(repr, (tuple(r)[:5] for r in p.run(spark, str(tmp_path)).collect()))) == sorted(map(repr, (tuple(r)[:5] for r in packed)))
