@@ -2,14 +2,15 @@
 
 quality     documents that the classifier rejects go
 exact       of equal texts the one with the largest id stays
-near        of each SimHash component the document with the smallest id stays
+near        of each SimHash component the document with the smallest id stays (3-word shingles, at most 3 bits, as op3)
 mix         sources are brought to their target weights: a document is repeated or left out as its words are
             taken (a part of at least half of its words counts as a whole document)
 pack        token sequences, packed
 
 All but the last return the columns of documents. Null texts are empty texts: low quality or, if kept, one
 group of equal texts, of size 0 in the mix, which takes no empty documents. Repeated rows are one
-document after the exact stage. Empty tables give empty results.
+document after the exact stage; different texts with one id are different documents in every stage. Texts of any
+length go through whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,18 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, packing, quality_gam, simhash_golay
-from tessera.llm.common import staged, table
+from tessera.llm.common import body, staged, table
 
 #: No SQL twin: fingerprints, tokenisation and a trained classifier aren't SQL. Tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def _with(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of docs whose id is among the chosen (null matches null)."""
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_gam.learn(docs, table(spark, sf_dir, "labels"))
     return quality_gam.accepted(docs, model)
@@ -45,15 +40,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with(docs, simhash_golay.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    found = simhash_golay.near_duplicates(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "mark")).alias("first")  # an id before none
+    chosen = found.groupBy("component").agg(first).select(F.col("first.id").alias("near_id"), F.col("first.mark").alias("near_mark"))
+    there = docs["doc_id"].eqNullSafe(chosen["near_id"]) & (F.xxhash64(body()) == chosen["near_mark"])
+    return docs.join(chosen, there, "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(docs)
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    chosen = documents.filter("size > 0").select(F.col("doc_id").alias("mixed_id"), copies.alias("copies")).filter("copies > 0")
-    mixed = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["mixed_id"]))
-    return mixed.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_number")).drop("copy_number")
+    chosen = documents.filter("size > 0").groupBy("key").agg(F.sum(copies).alias("copies")).filter("copies > 0")
+    # Rows that are alike in id, source and text are one row with as many copies as all of them are given.
+    rows = docs.groupBy(mixing.row_key().alias("key")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.join(chosen, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
