@@ -60,13 +60,26 @@ def test_lsm_filters_rule_out_and_merge(spark):
     from tessera.llm import exact_dedup as x
 
     entries = spark.sql("select id doc_id, unhex(sha2(cast(id % 700 as string), 256)) digest from range(1000)")
-    runs = x.flush(entries, 4)
-    assert runs.select("run").distinct().count() == 4
-    bits = 1 << 15
-    while runs.select("run").distinct().count() > 1:
-        runs = x.compact(runs, bits)
-    got = {(r.low, r.high, r.n) for r in runs.collect()}
-    assert got == {(i, i + 700 if i < 300 else i, 2 if i < 300 else 1) for i in range(700)}
+    assert x.flush(entries, 4).select("run").distinct().count() == 4
+    for memtable_rows, fan in ((1000, 16), (250, 2), (20, 4)):  # one level, two, three
+        runs = x.build(entries, 1000, memtable_rows, fan)
+        got = {(r.run, r.low, r.high, r.n) for r in runs.collect()}
+        assert got == {(0, i, i + 700 if i < 300 else i, 2 if i < 300 else 1) for i in range(700)}
+
+
+def test_lsm_over_many_memtables(docs):
+    from tessera.llm.exact_dedup import exact_groups
+
+    assert rows_of(exact_groups(docs, keep="largest", memtable_rows=1)) == rows_of(exact_groups(docs, keep="largest"))
+
+
+def test_texts_that_share_a_digest_are_told_apart(spark, monkeypatch):
+    from tessera.llm import exact_dedup as x
+
+    monkeypatch.setattr(x.F, "sha2", lambda c, bits, sha2=x.F.sha2: sha2(x.F.substring(c, 1, 1), bits))  # a weak digest
+    rows = [(1, "ab"), (2, "ac"), (3, "ab"), (4, "b"), (5, "b"), (6, "ad"), (None, "ad"), (None, "ae")]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in x.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), keep="largest").collect()}
+    assert got == {(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 5, 2, False), (5, 5, 2, True), (6, 6, 2, True), (None, 6, 2, False), (None, None, 1, True)}
 
 
 # --- SimHash -------------------------------------------------------------------------------------------------
