@@ -5,9 +5,9 @@ vectors are sorted by the signs of a few projections, and neighbours in that ord
 rounds then compare the neighbours of each vector with one another (forward and reverse lists) and keep the
 best of each. Edges at the threshold are links. A list that is full of links is saturated: it is
 enlarged to all that links reach from it, which is compared exactly in pairs of blocks of fixed size, counting and not
-listing the links. An audit takes a hash sample of vectors against all rows, and more of them until enough have links;
-it holds if the share of links found, and with 95 % confidence the share of linked vectors that lack none, are what is
-asked for. While they are less, another round with longer lists and fresh projections follows. Where links are too rare
+listing the links. An audit takes every vector whose id is divisible by 100 (and, where too few of them have links, by
+10) against all rows, in blocks, and compares the links by identity; it holds if the share of links found, and with 95 %
+confidence the share of linked vectors that lack none, are what is asked for. While they are less, another round with longer lists and fresh projections follows. Where links are too rare
 for the audit to tell, or the rounds run out, every pair of one label is compared in blocks: nothing is left to chance.
 
 Labels must be equal and not null; vectors that are null, empty, zero, or hold null or non-finite components link with
@@ -33,9 +33,9 @@ NEIGHBOURS, ORDERS, ROUNDS = 8, 6, 2
 #: Vectors compared with one another at a time, in one sorted order and around one vector.
 CHUNK, AROUND = 96, 64
 BLOCK = 512
-AUDIT_ROWS, RECALL, MOST_ROUNDS = 256, 0.99, 5
-#: The audit's sample grows up to AUDIT_MOST vectors; AUDIT_LINKED linked ones in it show what the rounds lack.
-AUDIT_MOST, AUDIT_LINKED = 16_384, 300
+RECALL, MOST_ROUNDS = 0.99, 5
+#: The audit asks for the vectors whose id this divides, in blocks; AUDIT_LINKED linked ones among them show what the rounds lack.
+AUDIT_IDS, AUDIT_BLOCK, AUDIT_LINKED = 100, 2048, 300
 #: Comparisons in floating point: a link's cosine may come out this much lower in another summation order.
 EDGE = "a long, b long, sim double"
 
@@ -217,49 +217,49 @@ def _least_share(good: int, of: int) -> float:
     return (p + z * z / (2 * of) - z * ((p * (1 - p) + z * z / (4 * of)) / of) ** 0.5) / (1 + z * z / of)
 
 
-def _sampled(vectors: DataFrame, links: DataFrame, threshold: float, size: int) -> tuple[float, int, int]:
-    """Share of the sample's links, counted against all rows, that were found; vectors that lack none; vectors with links."""
-    asked = vectors.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(size).collect()  # bounded
-    groups: dict[str, tuple] = {}
-    for r in asked:
-        groups.setdefault(r.kind, ([], []))
-        groups[r.kind][0].append(r.node)
-        groups[r.kind][1].append(bytes(r.v))
-    groups = {kind: (np.array(ids, np.int64), np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1)) for kind, (ids, v) in groups.items()}
-
-    def brute(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            a, n, kinds = [], [], batch.column(1).to_pylist()
-            for kind in set(kinds) & set(groups):
-                rows = batch.take(pa.array([i for i, x in enumerate(kinds) if x == kind]))
-                node, x, (ids, v) = rows.column(0).to_numpy(), _matrix(rows.column(2)), groups[kind]
-                for lo in range(0, len(ids), 1024):
-                    q = ids[lo : lo + 1024]
-                    near = ((x @ v[lo : lo + 1024].T >= threshold) & (node[:, None] != q[None, :])).sum(axis=0)
-                    a.append(q[near > 0])
-                    n.append(near[near > 0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), pa.array(np.concatenate([*n, np.zeros(0, np.int64)]))], names=["node", "n"])
-
-    true = vectors.mapInArrow(brute, "node long, n long").groupBy("node").agg(F.sum("n").alias("true"))
-    got = true.join(links.select("node", "classes"), "node", "left").select("true", F.least("true", F.coalesce("classes", F.lit(0))).alias("got"))
-    true_links, got_links, whole, linked = got.agg(F.sum("true"), F.sum("got"), F.count(F.when(F.col("true") == F.col("got"), 1)), F.count(F.lit(1))).first()
-    return (got_links / true_links if true_links else 1.0), whole, linked
-
-
-def _audit(vectors: DataFrame, links: DataFrame, threshold: float) -> tuple[float, bool | None]:
-    """Recall of the links in the sample, and whether it holds; None where no sample of bounded size can tell."""
-    rows, size = vectors.count(), AUDIT_ROWS
-    while True:
-        recall, whole, linked = _sampled(vectors, links, threshold, size)
-        if size >= rows:  # every vector was asked
-            return recall, True if whole == linked else None
+def _missed(vectors: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(node, true, got) for every asked vector with links: its linked classes among all of its kind, and those of them that
+    were found, by identity. Asked vectors and rows meet in pairs of blocks; what a task holds does not grow."""
+    sizes = vectors.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / AUDIT_BLOCK).cast("int").alias("rows")).join(asked.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / AUDIT_BLOCK).cast("int").alias("queries")), "kind")
+    placed = lambda df, own: df.join(sizes, "kind").withColumn("own", F.pmod(F.xxhash64("node"), F.col(own)).cast("int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed(asked, "queries").select("kind", F.col("own").alias("q"), each("rows").alias("r"), "node", "v", "root", "dense", "found")
+    fresh = [F.col(c).alias(c) for c in ("kind", "node", "v", "root")]  # both sides come from one table
+    right = placed(vectors, "rows").select(each("queries").alias("q"), F.col("own").alias("r"), *fresh)
+
+    def compare(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out = {"node": np.zeros(0, np.int64), "true": np.zeros(0, np.int64), "got": np.zeros(0, np.int64)}
+        if queries.num_rows and rows.num_rows:
+            q, node = queries.column("node").to_numpy(), rows.column("node").to_numpy()
+            linked = _matrix(queries.column("v").combine_chunks()) @ _matrix(rows.column("v").combine_chunks()).T >= threshold
+            linked &= q[:, None] != node[None, :]
+            got = linked & (queries.column("root").to_numpy()[:, None] == rows.column("root").to_numpy()[None, :])
+            for i in np.nonzero(linked.any(axis=1) & ~queries.column("dense").to_numpy(zero_copy_only=False))[0].tolist():
+                got[i] &= np.isin(node, queries.column("found")[i].values.to_numpy())
+            some = np.nonzero(linked.any(axis=1))[0]
+            out = {"node": q[some], "true": linked[some].sum(axis=1), "got": got[some].sum(axis=1)}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    cells = left.groupBy("kind", "q", "r").cogroup(right.groupBy("kind", "q", "r")).applyInArrow(compare, "node long, true long, got long")
+    return cells.groupBy("node").agg(F.sum("true").alias("true"), F.sum("got").alias("got"))
+
+
+def _audit(vectors: DataFrame, found: DataFrame, both: DataFrame, threshold: float) -> tuple[float, bool | None]:
+    """Recall of the links of the asked vectors, by identity, and whether it holds; None where they cannot tell. Asked
+    is every class with an id that AUDIT_IDS divides; where too few of them have links, one that a tenth of it divides."""
+    recall = 1.0
+    rooted = vectors.join(found.select("node", "root", "dense"), "node")
+    for chosen in ("coarse", "fine"):
+        asked = rooted.filter(chosen)
+        lists = both.join(asked.filter("not dense").select(F.col("node").alias("a")), "a").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("found"))  # under k each
+        asked = asked.join(lists, "node", "left").withColumn("found", F.coalesce("found", F.array().cast("array<long>")))
+        true, got, whole, linked = _missed(rooted, asked, threshold).agg(F.sum("true"), F.sum("got"), F.count(F.when(F.col("true") == F.col("got"), 1)), F.count(F.lit(1))).first()
+        recall = got / true if true else 1.0
         if recall >= RECALL and _least_share(whole, linked) >= RECALL:
             return recall, True
         if linked >= AUDIT_LINKED and min(recall, whole / linked) < RECALL:
             return recall, False
-        if size >= AUDIT_MOST:
-            return recall, None
-        size *= 4
+    return recall, None
 
 
 def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
@@ -267,7 +267,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, k: in
     whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = table.select("vec_id", "label", F.when(whole & finite, F.transform("embedding", lambda x: x.cast("double"))).alias("x"))
-    classes = staged(rows.filter("x is not null").groupBy("label", "x").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")), "nn-classes")
+    classes = staged(rows.filter("x is not null").groupBy("label", "x").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.max(F.col("vec_id") % AUDIT_IDS == 0).alias("coarse"), F.max(F.col("vec_id") % (AUDIT_IDS // 10) == 0).alias("fine")), "nn-classes")
     kind = F.concat_ws(":", F.col("label").cast("string"), F.size("x").cast("string"))
     vectors = staged(classes.select("node", kind.alias("kind"), "x").mapInArrow(_unit, "node long, kind string, v binary"), "nn-vectors")
     counts = classes.select("node", "n")
@@ -287,8 +287,9 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, k: in
         listed = both.join(counts.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("listed"), F.count(F.lit(1)).alias("listed_classes"))
         found = counts.join(listed, "node", "left").join(exact, "node", "left")
         found = found.select("node", "n", F.coalesce("links", "listed", F.lit(0)).alias("others"), F.coalesce("classes", "listed_classes", F.lit(0)).alias("classes"))
-        found = staged(found.join(roots, "node", "left").select("node", "n", "others", "classes", F.coalesce("root", "node").alias("root")), "nn-links")
-        recall, holds = _audit(vectors, found, threshold)
+        tied = roots.join(dense.withColumn("dense", F.lit(True)), "root", "left")
+        found = staged(found.join(tied, "node", "left").select("node", "n", "others", "classes", F.coalesce("root", "node").alias("root"), F.coalesce("dense", F.lit(False)).alias("dense")), "nn-links")
+        recall, holds = _audit(vectors.join(classes.select("node", "coarse", "fine"), "node"), found, both, threshold)
         if holds or holds is None:
             break
         if round_ + 1 == MOST_ROUNDS:
@@ -297,7 +298,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, k: in
         edges = staged(_top(edges.unionByName(initial_edges(vectors, k, turn=round_)), k), "nn-graph")
     if not holds:
         found, recall = _all_links(vectors, counts, threshold), 1.0
-    per_class = staged(classes.join(found.drop("n"), "node").select("label", "x", "root", (F.col("others") + F.col("n") - 1).alias("n_links")), "nn-classes")
+    per_class = staged(classes.join(found.drop("n", "dense"), "node").select("label", "x", "root", (F.col("others") + F.col("n") - 1).alias("n_links")), "nn-classes")
     known = rows.join(per_class, ["label", "x"], "left")
     component = F.coalesce("root", "vec_id")
     return known.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(recall).alias("recall"))

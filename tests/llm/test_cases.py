@@ -605,6 +605,41 @@ def test_nn_descent_keeps_isolated_pairs(spark, monkeypatch, n, pairs):
         assert all(r.component_id == (min(r.vec_id, int(sims[r.vec_id].argmax())) if links[r.vec_id] else r.vec_id) for r in got)
 
 
+def test_nn_descent_on_a_cluster_of_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.llm import nn_descent as nn
+
+    monkeypatch.setattr(nn, "BLOCK", 128)
+    monkeypatch.setattr(nn, "AUDIT_BLOCK", 100)
+    rng = np.random.default_rng(3)
+    hot = rng.standard_normal(24)
+    rows = [(i, (hot + rng.standard_normal(24) * (0.3 if i % 2 else 0.1)).astype(np.float32).tolist(), 1) for i in range(700)]
+    rows += [(700 + i, rng.standard_normal(24).astype(np.float32).tolist(), 1) for i in range(300)]
+    got = nn.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = brute_vectors(rows)
+    assert max(r[1] for r in want) > 300
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
+
+
+def test_the_audit_counts_links_by_identity(spark):
+    import numpy as np
+
+    from tessera.llm import nn_descent as nn
+
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((500, 16)), 2, axis=0) + rng.standard_normal((1000, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, "k", bytearray(v.tobytes()), i % 100 == 0, i % 10 == 0) for i, v in enumerate(x)], "node long, kind string, v binary, coarse boolean, fine boolean")
+    true = spark.sql("select id a, id + if(id % 2 = 0, 1, -1) b from range(1000)")
+    root = spark.sql("select id node, id div 2 root, false dense from range(1000)")
+    assert nn._audit(vectors, root, true, 0.93) == (1.0, None)  # a hundred linked vectors can't vouch for 99 %
+    assert nn._audit(vectors.withColumn("fine", nn.F.lit(True)), root, true, 0.93) == (1.0, True)
+    wrong = spark.sql("select id a, (id + 2) % 1000 b from range(1000)")  # as many links, other ones
+    recall, holds = nn._audit(vectors.withColumn("fine", nn.F.lit(True)), root, wrong, 0.93)
+    assert recall == 0.0 and holds is False
+
+
 # --- suffix merge sort ---------------------------------------------------------------------------------------
 
 
