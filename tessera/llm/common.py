@@ -53,9 +53,27 @@ def block_count(docs: DataFrame, column: str = "text", block_bytes: int = BLOCK_
     return max(1, -(-total // block_bytes))
 
 
+#: Rows of a partition that stay together when equal rows are dealt to blocks.
+SALT_ROWS = 2048
+_MOVES = ("Join", "Aggregate", "Repartition", "Sort", "Window", "Distinct", "Deduplicate", "RebalancePartitions")
+
+
+def settled(docs: DataFrame, column: str = "text") -> DataFrame:
+    """Documents whose rows come in the same order whenever they are read: a scan as it is, anything with a shuffle in it
+    by way of a table."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    return staged(docs.select("doc_id", column), "settled") if any(x in plan for x in _MOVES) else docs
+
+
+def block_number(n_blocks: int, column: str = "text") -> F.Column:
+    """The block of a row of settled documents: by id, length and place, so that neither a hot id nor equal rows meet."""
+    place = F.shiftright(F.monotonically_increasing_id(), SALT_ROWS.bit_length() - 1)
+    return F.pmod(F.xxhash64("doc_id", F.octet_length(column), place), F.lit(n_blocks)).cast("int")
+
+
 def in_blocks(docs: DataFrame, n_blocks: int, column: str = "text") -> DataFrame:
-    """(doc_id, body, block): documents dealt by a hash of id and length, so hot ids or sources don't meet."""
-    return docs.select("doc_id", body(column).alias("body"), F.pmod(F.xxhash64("doc_id", F.octet_length(column)), F.lit(n_blocks)).cast("int").alias("block"))
+    """(doc_id, body, block) of settled documents."""
+    return docs.select("doc_id", body(column).alias("body"), block_number(n_blocks, column).alias("block"))
 
 
 def sha256_hex(data: bytes) -> str:

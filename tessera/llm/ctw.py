@@ -7,8 +7,9 @@ that the training counts give them (half the estimate's probability over the wei
 node). Where a text leaves the contexts that were seen, the deepest seen one stands for the rest.
 
 Training counts byte strings of DEPTH + 1 in every task and adds them up by shards; a shard has all strings whose
-last two context bytes are its own, and so whole subtrees. The two top levels, at most 2^16 + 2^8 nodes,
-are put together from the shards' sums and sent to every task. For scoring, documents stand in blocks;
+last three context bytes are its own, and so whole subtrees; a context of two bytes is spread over up to SPREAD
+shards, so that a frequent one isn't one task. Contexts of two bytes are put together from their shards' sums and given back
+to them. The levels above, at most 2^16 + 2^8 nodes, are sent to every task. For scoring, documents stand in blocks;
 a block asks the shards once for each of its distinct strings and words, and gets their code lengths and
 counts back. So no model of the corpus is held in one place or sent to all.
 
@@ -29,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_count, body, held_out, staged
+from tessera.llm.common import block_count, block_number, body, held_out, settled, staged
 from tessera.llm.vectors import U, mix
 
 DEPTH = 5
 END = 0xFF
+#: Shards that the strings of one two-byte context are dealt to.
+SPREAD = 32
 #: Training text for each shard of the model.
 SHARD_BYTES = 32 << 20
 #: Text bytes in a block; several arrays of a block's size are in memory at once.
@@ -138,9 +141,15 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[at], np.add.reduceat(counts, at)
 
 
+def _first_shard(two: np.ndarray, n_shards: int) -> np.ndarray:
+    """Where the strings of a two-byte context begin."""
+    return (mix(two.astype(U)) % U(n_shards)).astype(np.int64)
+
+
 def shard_of_keys(keys: np.ndarray, n_shards: int, depth: int) -> np.ndarray:
-    """By the two bytes before the coded one."""
-    return (mix(keys >> U(8 * (depth - 1))) % U(n_shards)).astype(np.int64)
+    """By the three bytes before the coded one: a two-byte context has up to SPREAD shards beside one another."""
+    third = mix(keys >> U(8 * (depth - 2)) & U(255)) % U(min(n_shards, SPREAD))
+    return (_first_shard(keys >> U(8 * (depth - 1)), n_shards) + third.astype(np.int64)) % n_shards
 
 
 def _split_keys(keys: np.ndarray, n_shards: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -166,7 +175,7 @@ class KeyTable:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(8, int(2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, ~U(0), U)
-        self.values = np.zeros(1 << self.bits, np.float32)
+        self.values = np.zeros(1 << self.bits)
         at = self._home(keys)
         while len(keys):
             free = self.keys[at] == ~U(0)
@@ -260,7 +269,39 @@ class Top:
         self.weight0 = np.exp(math.log(0.5) + estimate0 - log_pw0)
 
 
-def code_lengths(asked: np.ndarray, tree: list[list[Level]], top: Top, depth: int) -> np.ndarray:
+class Second:
+    """The contexts of two bytes that a shard may be asked for: keys (context, decisions so far), counts and weights."""
+
+    def __init__(self, contexts: list[int], payloads: list[bytes]) -> None:
+        order = sorted(range(len(contexts)), key=contexts.__getitem__)
+        parts = [unpack_nodes(payloads[i]) for i in order]
+        prefix = [(np.uint64(contexts[i]) << U(8)) | p[0].astype(U) for i, p in zip(order, parts, strict=True)]
+        self.keys = np.concatenate([*prefix, np.zeros(0, U)])
+        self.zeros, self.ones, self.weight = (np.concatenate([*(p[1][k] for p in parts), np.zeros(0)]) for k in range(3))
+
+
+def pack_nodes(values: np.ndarray) -> bytes:
+    """Three rows of values by decisions so far; those that were made."""
+    seen = np.nonzero(values[:2].sum(axis=0))[0]
+    return zlib.compress(seen.astype(np.uint8).tobytes() + values[:, seen].astype("<f8").tobytes(), 1)
+
+
+def unpack_nodes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    n = len(raw) // 25
+    return np.frombuffer(raw, np.uint8, n), np.frombuffer(raw, "<f8", 3 * n, n).reshape(3, n)
+
+
+def dense_nodes(payloads: list[bytes]) -> np.ndarray:
+    """Sum of packed nodes, in an order that does not depend on arrival."""
+    table = np.zeros((3, 256))
+    for x in sorted(payloads):
+        at, values = unpack_nodes(x)
+        table[:, at] += values
+    return table
+
+
+def code_lengths(asked: np.ndarray, tree: list[list[Level]], second: Second, top: Top, depth: int) -> np.ndarray:
     """log10 of the probability of each asked string's last byte after the others."""
     total = np.zeros(len(asked))
     symbol = (asked & U(255)).astype(np.int64)
@@ -283,6 +324,10 @@ def code_lengths(asked: np.ndarray, tree: list[list[Level]], top: Top, depth: in
             node = (asked >> U(8 * (depth - d + 1))) << U(8) | prefix.astype(U)
             at = np.minimum(np.searchsorted(level.keys, node), len(level.keys) - 1)
             mixed(level.keys[at] == node, level.zeros[at], level.ones[at], level.weight[at])
+        if len(second.keys):
+            node = (asked >> U(8 * (depth - 1))) << U(8) | prefix.astype(U)
+            at = np.minimum(np.searchsorted(second.keys, node), len(second.keys) - 1)
+            mixed(second.keys[at] == node, second.zeros[at], second.ones[at], second.weight[at])
         zeros, ones = top.zeros1[nearest, prefix], top.ones1[nearest, prefix]
         mixed(zeros + ones > 0, zeros, ones, top.weight1[nearest, prefix])
         zeros, ones = top.zeros0[prefix], top.ones0[prefix]
@@ -367,36 +412,68 @@ def add_up(counted: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "shard").applyInArrow(add, "kind int, shard int, payload binary, distinct long, total long")
 
 
-def top_levels(model: DataFrame, depth: int) -> Top:
-    """Sums over the shards' contexts of two bytes, by context byte and decisions so far; 2^16 nodes."""
+def second_level(model: DataFrame, depth: int) -> DataFrame:
+    """(two, nodes, up): every context of two bytes, put together from the shards that have a part of it, with its counts
+    and weights, and with its counts and log weighted probabilities for the level above."""
 
-    def sums(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for x in batch.column(0):
-                keys, counts = unpack_keys(x.as_py())
-                table = np.zeros((3, 65536))
-                for level in levels(keys, counts, depth, 2)[-1]:
-                    node = (((level.keys >> U(16)) & U(255)) << U(8) | (level.keys & U(255))).astype(np.int64)
-                    for i, values in enumerate((level.zeros, level.ones, level.log_pw)):
-                        table[i] += np.bincount(node, values, 65536)
-                for c in np.nonzero(table[:2].sum(axis=0).reshape(256, 256).sum(axis=1))[0].tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([table[:, 256 * c : 256 * c + 256].tobytes()], pa.binary())], names=["c", "sums"])
+                row = levels(*unpack_keys(x.as_py()), depth, 3)[-1]
+                node = np.concatenate([(level.keys >> U(16)) << U(8) | level.keys & U(255) for level in row]).astype(np.int64)
+                values = np.stack([np.concatenate([getattr(level, k) for level in row]).astype(np.float64) for k in ("zeros", "ones", "log_pw")])
+                order = np.argsort(node >> 8, kind="stable")
+                node, values = node[order], values[:, order]
+                cuts = np.concatenate([[0], np.nonzero(np.diff(node >> 8))[0] + 1, [len(node)]]) if len(node) else np.zeros(1, np.int64)
+                two, payloads = [], []
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    two.append(int(node[lo]) >> 8)
+                    payloads.append(pack_nodes(np.stack([np.bincount(node[lo:hi] & 255, v[lo:hi], 256) for v in values])))
+                yield pa.RecordBatch.from_arrays([pa.array(two, pa.int32()), pa.array(payloads, pa.binary())], names=["two", "part"])
 
     def join(rows: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_py()) for x in sorted(rows.column("sums"), key=lambda x: x.as_py())], axis=0)
-        return pa.table({"c": rows.column("c").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+        zeros, ones, inner = dense_nodes(rows.column("part").to_pylist())
+        estimate = log_kt(zeros, ones)
+        log_pw = math.log(0.5) + np.logaddexp(estimate, inner)
+        weight = np.exp(math.log(0.5) + estimate - log_pw)
+        nodes, up = pack_nodes(np.stack([zeros, ones, weight])), pack_nodes(np.stack([zeros, ones, log_pw]))
+        return pa.table({"two": rows.column("two").slice(0, 1), "nodes": pa.array([nodes], pa.binary()), "up": pa.array([up], pa.binary())})
+
+    strings = model.filter(F.col("kind") == STRINGS).select("payload")
+    return strings.mapInArrow(parts, "two int, part binary").groupBy("two").applyInArrow(join, "two int, nodes binary, up binary")
+
+
+def top_levels(second: DataFrame) -> Top:
+    """Sums over the contexts of two bytes, by the nearest byte and decisions so far; 2^16 nodes."""
+
+    def join(rows: pa.Table) -> pa.Table:
+        return pa.table({"c": rows.column("c").slice(0, 1), "sums": pa.array([dense_nodes(rows.column("up").to_pylist()).tobytes()], pa.binary())})
 
     table = np.zeros((3, 256, 256))
-    kind = "c int, sums binary"
-    for r in model.filter(F.col("kind") == STRINGS).select("payload").mapInArrow(sums, kind).groupBy("c").applyInArrow(join, kind).collect():  # 256 rows at most
+    by_byte = second.select(F.shiftright("two", 8).alias("c"), "up").groupBy("c")  # 256 rows of at most 6 KB in a group
+    for r in by_byte.applyInArrow(join, "c int, sums binary").collect():  # 256 rows at most
         table[:, r.c] = np.frombuffer(r.sums).reshape(3, 256)
     return Top(*table)
 
 
+def to_shards(second: DataFrame, n_shards: int) -> DataFrame:
+    """(kind, shard, two, payload): the nodes of a two-byte context for each shard that may be asked for it, SPREAD at most."""
+
+    def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            two, n = batch.column(0).to_numpy(), min(n_shards, SPREAD)
+            shard = (_first_shard(two, n_shards)[:, None] + np.arange(n)) % n_shards
+            rows = pa.array(np.repeat(np.arange(len(two)), n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), STRINGS, np.int32)), pa.array(shard.ravel().astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["kind", "shard", "two", "payload"])
+
+    return second.select("two", "nodes").mapInArrow(deal, "kind int, shard int, two int, payload binary")
+
+
 def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text)."""
-    if not 2 <= depth <= 7:
-        raise ValueError("depth must be from 2 to 7")
+    if not 3 <= depth <= 7:
+        raise ValueError("depth must be from 3 to 7")
+    docs = settled(docs, text)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_BYTES))
     n_blocks = block_count(docs, text, CTW_BLOCK_BYTES)
@@ -404,8 +481,10 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     model = staged(add_up(count_training(rows.filter(~F.col("held_out")), n_shards, depth)), "ctw-model")
     sums = model.agg(F.sum("distinct"), F.sum("total")).first()
     distinct, train_tokens = sums[0] or 0, sums[1] or 0
-    top = top_levels(model, depth)
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("body")), F.lit(n_blocks)).cast("int"))
+    second = staged(second_level(model, depth), "ctw-second")
+    top = top_levels(second)
+    known_by_shard = model.select("kind", "shard", F.lit(-1).alias("two"), "payload").unionByName(to_shards(second, n_shards))
+    blocks = docs.select("doc_id", body(text).alias("body"), held_out(5, 1).alias("held_out"), block_number(n_blocks, text).alias("block"))
 
     def words_of(texts: list[bytes]) -> list[bytes]:
         return sorted(set().union(*(x.split() for x in texts)))
@@ -423,11 +502,13 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
         if asked.num_rows:
             requests = [x.as_py() for x in asked.column("payload")]
             if asked.column("kind")[0].as_py() == STRINGS:
-                keys, counts = unpack_keys(known.column("payload")[0].as_py()) if known.num_rows else (np.zeros(0, U), np.zeros(0, np.int64))
-                tree = levels(keys, counts, depth, 2)
+                own = dict(zip(known.column("two").to_pylist(), (x.as_py() for x in known.column("payload")), strict=True))
+                mine = own.pop(-1, None)
+                tree = levels(*(unpack_keys(mine) if mine else (np.zeros(0, U), np.zeros(0, np.int64))), depth, 3)
+                second_ = Second(list(own), list(own.values()))
                 wanted = [unpack_keys(x)[0] for x in requests]
                 union = np.unique(np.concatenate(wanted))
-                values = code_lengths(union, tree, top, depth).astype("<f4")
+                values = code_lengths(union, tree, second_, top, depth).astype("<f8")
                 payloads = [_reply(x, values[np.searchsorted(union, k)].tobytes()) for x, k in zip(requests, wanted, strict=True)]
             else:
                 words, counts = unpack_words(known.column("payload")[0].as_py()) if known.num_rows else ([], np.zeros(0, np.int64))
@@ -447,7 +528,7 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
                 asked, told = _parts(payload.as_py())
                 if kind == STRINGS:
                     keys.append(unpack_keys(asked)[0])
-                    values.append(np.frombuffer(told, "<f4"))
+                    values.append(np.frombuffer(told, "<f8"))
                 else:
                     counts.update(zip(unpack_words(asked)[0], _unplanes(zlib.decompress(told)).astype(np.int64).tolist(), strict=True))
             look = KeyTable(np.concatenate(keys), np.concatenate(values))
@@ -471,5 +552,5 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
 
     by_block = blocks.groupBy("block")
     asked = by_block.applyInArrow(ask, "kind int, shard int, payload binary, block int")
-    replies = asked.groupBy("kind", "shard").cogroup(model.select("kind", "shard", "payload").groupBy("kind", "shard")).applyInArrow(answer, "kind int, shard int, block int, payload binary")
+    replies = asked.groupBy("kind", "shard").cogroup(known_by_shard.groupBy("kind", "shard")).applyInArrow(answer, "kind int, shard int, block int, payload binary")
     return by_block.cogroup(replies.groupBy("block")).applyInArrow(finish, SCORES)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_count, in_blocks, sha256_hex
+from tessera.llm.common import block_count, in_blocks, settled, sha256_hex
 from tessera.llm.vectors import R1, R2, U, mix, window_hashes, word_hashes
 
 WINDOW = 20
@@ -183,6 +183,7 @@ def _group_exactly(asked: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space)."""
+    docs = settled(docs, text)
     n_blocks = block_count(docs, text, CMS_BLOCK_BYTES)
     sized = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n_shards = max(1, -(-sized // (WINDOW_BYTES * SHARD_WINDOWS)))

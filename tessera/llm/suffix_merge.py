@@ -8,7 +8,7 @@ anchors; starts that share an anchor are one stretch.
 1. Blocks of documents send shards two digests of every anchor: of the bytes that all strings of its stretch
    have from the anchor on, and of all bytes the stretch needs. An anchor whose first digest is unique has no
    repeated string. If every anchor with this first digest has the same second one, all their strings repeat.
-   These need no bytes to be moved.
+   These need no bytes to be moved: equality rests on 128-bit digests there, as it rests on bytes in the steps below.
 2. For the rest (the borders of repeated passages, and one representative for each second digest) blocks sort
    the suffixes at the anchors and send them as runs, front-coded: the length of the prefix known from the
    suffix before, then what is new. A shard merges the runs of all blocks with a loser tree that compares
@@ -17,8 +17,9 @@ anchors; starts that share an anchor are one stretch.
    anchors give the repeated starts of each stretch; blocks turn them into removed bytes.
 
 Matches never cross documents. Null texts are empty; texts shorter than LENGTH keep everything. Repeated rows
-are documents of their own, so a text that stands twice is removed whole from LENGTH bytes on. A null id gives a
-row. An empty table gives an empty result; further columns are ignored.
+are documents of their own, so a text that stands twice is removed whole from LENGTH bytes on; there are no ties. Texts of
+any length are read whole; one that is longer than a block makes a block of its own size. A null id gives a row. An empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_count, in_blocks, sha256_hex
+from tessera.llm.common import block_count, in_blocks, settled, sha256_hex
 from tessera.llm.vectors import U, mix
 
 LENGTH, SPAN, GRAM = 400, 256, 8
@@ -282,6 +283,7 @@ def repeated_distances(prefixes: np.ndarray, lefts: list[bytes], length: int, sp
 
 def remove_repeated_strings(docs: DataFrame, text: str = "text", length: int = LENGTH, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+    docs = settled(docs, text)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_BYTES))
     blocks = in_blocks(docs, block_count(docs, text, SUFFIX_BLOCK_BYTES), text)

@@ -37,6 +37,16 @@ def words(text, fold=True):
     return (data.lower() if fold else data).split()
 
 
+def test_equal_rows_spread_over_blocks(spark):
+    from tessera.llm.common import in_blocks, settled
+
+    docs = spark.sql("select 7L doc_id, repeat('x', 300) text from range(0, 100000, 1, 4)")
+    sizes = [r["count"] for r in in_blocks(settled(docs), 40).groupBy("block").count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) <= 6 * 2048 and len(sizes) > 20
+    moved = docs.repartition(3)
+    assert settled(docs) is docs and settled(moved) is not moved and settled(moved).count() == 100_000
+
+
 # --- exact dedup ---------------------------------------------------------------------------------------------
 
 
@@ -772,17 +782,34 @@ def test_ctw_against_brute_force(spark, monkeypatch, depth, blocks):
     assert set(got) == set(want)
     for i, w in want.items():
         assert got[i][:4] == w[:4]
-        assert got[i][4:] == pytest.approx(w[4:], rel=2e-6)
+        assert got[i][4:] == pytest.approx(w[4:], rel=1e-9)
 
 
 def test_ctw_on_the_table(docs, no_docs):
     from tessera.llm.ctw import score
 
     got = score(docs).collect()
+    want = brute_ctw([(i, (t or "")[:3000]) for i, t, _ in TEXTS if i != 8] + [(8, "same text here")] * 2, 5)
     assert len(got) == len(TEXTS) and all(r.score < 0 for r in got)
+    short = {r.doc_id: tuple(r)[1:] for r in score(docs.withColumn("text", docs.text.substr(1, 3000))).collect()}
+    assert all(short[i] == pytest.approx(w, rel=1e-9) for i, w in want.items())
     assert score(no_docs).count() == 0
 
 
+def test_ctw_spreads_a_frequent_context():
+    import numpy as np
+
+    from tessera.llm.ctw import SPREAD, shard_of_keys
+
+    rng = np.random.default_rng(2)
+    rest = rng.integers(0, 1 << 32, 100_000, dtype=np.uint64)
+    keys = np.uint64(0x6520) << np.uint64(32) | rest  # one two-byte context, depth 5
+    shards, n = np.unique(shard_of_keys(keys, 500, 5), return_counts=True)
+    assert SPREAD // 2 < len(shards) <= SPREAD and n.max() < 0.15 * len(keys)
+    for b in range(256):  # a context of three bytes is whole
+        assert len(np.unique(shard_of_keys(keys[(rest >> np.uint64(24)) == b], 500, 5))) <= 1
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------
 
 
