@@ -23,7 +23,7 @@ PLANS = {
     "st8_stable_rows": "SELECT conv_id, turn, CASE WHEN turn + 1 = max(turn + 1) OVER w THEN height * 16 ELSE greatest(0, turn - 1) * 16 END AS stable_rows FROM {frames} WINDOW w AS (PARTITION BY conv_id)",
     # Without blending the shown value of a place is that of the last frame over it, unless a later disposal cleared it.
     "an4_compose_replacing": f"""
-        WITH points AS (SELECT m % {CANVAS_WIDTH} AS px, m // {CANVAS_WIDTH} AS py FROM {{blocks_1d}} WHERE m < {CANVAS_WIDTH * CANVAS_HEIGHT}),
+        WITH points AS (SELECT m % {CANVAS_WIDTH} AS px, m // {CANVAS_WIDTH} AS py FROM {{numbers}} WHERE m < {CANVAS_WIDTH * CANVAS_HEIGHT}),
         covers AS (
             SELECT conv_id, px, py, turn, red, dispose, max(turn) OVER (PARTITION BY conv_id) AS last_turn
             FROM {{frames}} JOIN points ON px >= x AND px < x + width AND py >= y AND py < y + height),

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from tessera.functions.bits import StreamError
 from tessera.operators.container import PLANS as CONTAINER
 from tessera.plans.dialect import RELATIONS, for_spark
 from tessera.shipping import ship
-from tessera.sources.raster import PLANE_WIDTH, WIDTH, bodies
+from tessera.sources.raster import PLANE_WIDTH, WIDTH, bodies, whole
 from tessera.streaming.incremental import run_to_end
 
 CHUNK_ROWS = "doc_id long, fourcc string, begins long, size long"
@@ -62,110 +61,91 @@ def verdicts(found: DataFrame) -> DataFrame:
     return found.mapInArrow(kinds, "doc_id long, kind string")
 
 
-def _bodies(spark: SparkSession, sf_dir: str, row_bytes: int) -> DataFrame:
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return bodies(spark, sf_dir).filter(F.octet_length("body") >= row_bytes)
+    return bodies(spark, sf_dir).filter(F.octet_length("body") > 0)
+
+
+def _rows_of(stream: Iterator[pa.RecordBatch], row_bytes: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(ids, bodies with the last row filled up), few at a time: images are long and become longer."""
+    for batch in stream:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            yield part.column(0).to_pylist(), [whole(x, row_bytes) for x in part.column(1).to_pylist()]
 
 
 def _digest(data: bytes) -> str:
     return hashlib.sha256(data.hex().upper().encode()).hexdigest()
 
 
-def vp8l_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, width, height, rgba_sha256): rasters encoded and decoded again; the digest is of what came back."""
+_SHOWN = "doc_id long, width long, height long, rgba_sha256 string"
+_PLANE = "doc_id long, samples long, plane_sha256 string"
+
+
+def _raster_round_trip(spark: SparkSession, sf_dir: str, there_and_back: Callable[[int, bytes], tuple[int, int, bytes]]) -> DataFrame:
+    """(doc_id, width, height, rgba_sha256) of what comes back for (height, rgba); the digest is of the pixels."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            sizes, digests = [], []
-            for data in batch.column(1).to_pylist():
-                height = len(data) // (4 * WIDTH)
-                width, height, rgba = vp8l.decode(vp8l.encode(WIDTH, height, data[: 4 * WIDTH * height]))
-                sizes.append((width, height))
-                digests.append(_digest(rgba))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in sizes], pa.int64()), pa.array([h for _, h in sizes], pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "width", "height", "rgba_sha256"])
+        for ids, data in _rows_of(stream, 4 * WIDTH):
+            back = [there_and_back(len(x) // (4 * WIDTH), x) for x in data]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([w for w, _, _ in back], pa.int64()), pa.array([h for _, h, _ in back], pa.int64()), pa.array([_digest(x) for _, _, x in back], pa.string())], names=["doc_id", "width", "height", "rgba_sha256"])
 
-    return _bodies(spark, sf_dir, 4 * WIDTH).mapInArrow(batches, "doc_id long, width long, height long, rgba_sha256 string")
+    return _bodies(spark, sf_dir).mapInArrow(batches, _SHOWN)
 
 
-def vp8l_encoded_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, bytes, smaller): size of the default profile's stream."""
+def _plane_round_trip(spark: SparkSession, sf_dir: str, there_and_back: Callable[[bytes], bytes]) -> DataFrame:
+    """(doc_id, samples, plane_sha256) of what comes back for a plane."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            n, raw = [], []
-            for data in batch.column(1).to_pylist():
-                height = len(data) // (4 * WIDTH)
-                raw.append(4 * WIDTH * height)
-                n.append(len(vp8l.encode(WIDTH, height, data[: raw[-1]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([a < b for a, b in zip(n, raw, strict=True)])], names=["doc_id", "bytes", "smaller"])
+        for ids, data in _rows_of(stream, PLANE_WIDTH):
+            back = [there_and_back(x) for x in data]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in back], pa.int64()), pa.array([_digest(x) for x in back], pa.string())], names=["doc_id", "samples", "plane_sha256"])
 
-    return _bodies(spark, sf_dir, 4 * WIDTH).mapInArrow(batches, "doc_id long, bytes long, smaller boolean")
+    return _bodies(spark, sf_dir).mapInArrow(batches, _PLANE)
 
 
-def alpha_gradient_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, samples, plane_sha256): planes filtered by the gradient and restored."""
+def vp8l_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters encoded by the default profile and decoded again."""
+    return _raster_round_trip(spark, sf_dir, lambda height, x: vp8l.decode(vp8l.encode(WIDTH, height, x)))
 
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            n, digests = [], []
-            for data in batch.column(1).to_pylist():
-                n.append(len(data) // PLANE_WIDTH * PLANE_WIDTH)
-                digests.append(_digest(planes.gradient_unfilter(planes.gradient_filter(data[: n[-1]], PLANE_WIDTH), PLANE_WIDTH)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "samples", "plane_sha256"])
 
-    return _bodies(spark, sf_dir, PLANE_WIDTH).mapInArrow(batches, "doc_id long, samples long, plane_sha256 string")
+def high_compression_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vp8l_round_trip, through the high-compression profile."""
+    return _raster_round_trip(spark, sf_dir, lambda height, x: vp8l.decode(vp8l_high.encode(WIDTH, height, x)))
 
 
-def alpha_payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, samples, plane_sha256): planes written as alpha payloads and read again."""
+def decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters written as whole files with metadata, parsed strictly and decoded."""
 
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            n, digests = [], []
-            for data in batch.column(1).to_pylist():
-                n.append(len(data) // PLANE_WIDTH * PLANE_WIDTH)
-                payload = planes.encode_alpha(data[: n[-1]], PLANE_WIDTH)
-                digests.append(_digest(planes.decode_alpha(payload, PLANE_WIDTH, n[-1] // PLANE_WIDTH)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "samples", "plane_sha256"])
+    def there_and_back(height: int, x: bytes) -> tuple[int, int, bytes]:
+        payload = vp8l.encode(WIDTH, height, x)
+        flags = 8 | (16 if vp8l.header(payload)[2] else 0)
+        canvas = bytes([flags, 0, 0, 0]) + (WIDTH - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little")
+        found = riff.parse(riff.serialise([("VP8X", canvas), ("VP8L", payload), ("EXIF", x[:9])]))
+        return vp8l.decode(next(c.payload for c in found if c.fourcc == "VP8L"))
 
-    return _bodies(spark, sf_dir, PLANE_WIDTH).mapInArrow(batches, "doc_id long, samples long, plane_sha256 string")
+    return _raster_round_trip(spark, sf_dir, there_and_back)
 
 
-def decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, width, height, rgba_sha256): rasters written as whole files with metadata, parsed strictly and decoded."""
+def alpha_gradient_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes filtered by the gradient and restored."""
+    return _plane_round_trip(spark, sf_dir, lambda x: planes.gradient_unfilter(planes.gradient_filter(x, PLANE_WIDTH), PLANE_WIDTH))
 
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            sizes, digests = [], []
-            for data in batch.column(1).to_pylist():
-                height = len(data) // (4 * WIDTH)
-                payload = vp8l.encode(WIDTH, height, data[: 4 * WIDTH * height])
-                flags = 8 | (16 if vp8l.header(payload)[2] else 0)
-                canvas = bytes([flags, 0, 0, 0]) + (WIDTH - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little")
-                found = riff.parse(riff.serialise([("VP8X", canvas), ("VP8L", payload), ("EXIF", data[:9])]))
-                width, height, rgba = vp8l.decode(next(c.payload for c in found if c.fourcc == "VP8L"))
-                sizes.append((width, height))
-                digests.append(_digest(rgba))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in sizes], pa.int64()), pa.array([h for _, h in sizes], pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "width", "height", "rgba_sha256"])
 
-    return _bodies(spark, sf_dir, 4 * WIDTH).mapInArrow(batches, "doc_id long, width long, height long, rgba_sha256 string")
+def alpha_payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes written as alpha payloads and read again."""
+    return _plane_round_trip(spark, sf_dir, lambda x: planes.decode_alpha(planes.encode_alpha(x, PLANE_WIDTH), PLANE_WIDTH, len(x) // PLANE_WIDTH))
 
 
-def high_compression_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, width, height, rgba_sha256): as vp8l_round_trip, through the high-compression profile."""
+def vp8l_encoded_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, bytes, smaller): size of the default profile's stream."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            sizes, digests = [], []
-            for data in batch.column(1).to_pylist():
-                height = len(data) // (4 * WIDTH)
-                width, height, rgba = vp8l.decode(vp8l_high.encode(WIDTH, height, data[: 4 * WIDTH * height]))
-                sizes.append((width, height))
-                digests.append(_digest(rgba))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in sizes], pa.int64()), pa.array([h for _, h in sizes], pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "width", "height", "rgba_sha256"])
+        for ids, data in _rows_of(stream, 4 * WIDTH):
+            n = [len(vp8l.encode(WIDTH, len(x) // (4 * WIDTH), x)) for x in data]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([a < len(x) for a, x in zip(n, data, strict=True)])], names=["doc_id", "bytes", "smaller"])
 
-    return _bodies(spark, sf_dir, 4 * WIDTH).mapInArrow(batches, "doc_id long, width long, height long, rgba_sha256 string")
+    return _bodies(spark, sf_dir).mapInArrow(batches, "doc_id long, bytes long, smaller boolean")
 
 
 def macroblock_modes(spark: SparkSession, sf_dir: str, quality: int = 75) -> DataFrame:
@@ -173,15 +153,14 @@ def macroblock_modes(spark: SparkSession, sf_dir: str, quality: int = 75) -> Dat
     names = ["mb_y", "mb_x", "luma", "chroma", "luma_sad", "luma_cost", "chroma_sad", "chroma_cost"]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for ids, data in _rows_of(stream, 4 * WIDTH):
             rows = []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                height = len(data) // (4 * WIDTH)
-                image = np.frombuffer(data, np.uint8, 4 * WIDTH * height).reshape(height, WIDTH, 4)
+            for i, x in zip(ids, data, strict=True):
+                image = np.frombuffer(x, np.uint8).reshape(-1, WIDTH, 4)
                 rows += [(i, *(r[k] for k in names)) for r in lossy.analyse(image, quality)[0]]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", *names]), preserve_index=False)
 
-    return _bodies(spark, sf_dir, 4 * WIDTH).mapInArrow(batches, "doc_id long, mb_y long, mb_x long, luma string, chroma string, luma_sad long, luma_cost long, chroma_sad long, chroma_cost long")
+    return _bodies(spark, sf_dir).mapInArrow(batches, "doc_id long, mb_y long, mb_x long, luma string, chroma string, luma_sad long, luma_cost long, chroma_sad long, chroma_cost long")
 
 
 def compose_animations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,11 +182,13 @@ def compose_animations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream_id, received, chunks): files cut into fragments, streamed, and scanned to their ends."""
-    cut = 37
+    cut = 997
     found = files(spark, sf_dir)
     pieces = found.select(F.col("doc_id").alias("stream_id"), "file", F.explode(F.sequence(F.lit(0), F.expr(f"cast((octet_length(file) - 1) div {cut} as int)"))).alias("seq"))
     fragments = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), F.expr(f"substring(file, seq * {cut} + 1, {cut})").alias("bytes"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return run_to_end(spark, fragments, folder.rstrip("/")).filter("progress = 'Complete'").select("stream_id", "received", "chunks").distinct()
 
 
@@ -225,8 +206,8 @@ QUERIES = {
     "an1_compose_animations": compose_animations,
     "st1_incremental_containers": incremental_containers,
 }
-_RASTERS = _HEX + " SELECT doc_id, CAST(16 AS BIGINT) AS width, n // 64 AS height, sha256(substr(h, 1, 128 * (n // 64))) AS rgba_sha256 FROM h WHERE n >= 64"
-_PLANES = _HEX + " SELECT doc_id, n // 32 * 32 AS samples, sha256(substr(h, 1, 64 * (n // 32))) AS plane_sha256 FROM h WHERE n >= 32"
+_RASTERS = _HEX + " SELECT doc_id, CAST(16 AS BIGINT) AS width, (n + 63) // 64 AS height, sha256(rpad(h, CAST((n + 63) // 64 * 128 AS INT), '0')) AS rgba_sha256 FROM h WHERE n > 0"
+_PLANES = _HEX + " SELECT doc_id, (n + 31) // 32 * 32 AS samples, sha256(rpad(h, CAST((n + 31) // 32 * 64 AS INT), '0')) AS plane_sha256 FROM h WHERE n > 0"
 TWINS = {
     "ld1_decode_files": _RASTERS,
     "le46_high_compression": _RASTERS,

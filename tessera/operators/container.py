@@ -30,21 +30,48 @@ FACTS = f"""WITH facts AS (
     FROM {{chunks}} GROUP BY doc_id),
     images AS (SELECT *, n_vp8 + n_vp8l AS n_image, least(coalesce(at_vp8, 999), coalesce(at_vp8l, 999)) AS at_image FROM facts)"""
 
+#: In the order in which a reader finds them.
 _STRICT = f"""CASE
-    WHEN n_vp8x > 1 OR n_iccp > 1 OR n_anim > 1 OR n_exif > 1 OR n_xmp > 1 THEN 'duplicate chunk'
-    WHEN n_vp8x = 1 AND at_vp8x <> at_first THEN 'VP8X not first'
+    WHEN n_vp8 > 1 OR n_vp8l > 1 OR n_alph > 1 OR n_iccp > 1 OR n_exif > 1 OR n_xmp > 1 OR n_anim > 1 THEN 'duplicate chunk'
+    WHEN n_vp8 > 0 AND n_vp8l > 0 THEN 'two bitstreams'
     WHEN n_vp8x = 0 AND n_iccp + n_exif + n_xmp + n_anim + n_anmf + n_alph > 0 THEN 'extended chunk without VP8X'
-    WHEN n_vp8x = 1 AND {flag(5)} <> n_iccp THEN 'ICCP flag'
-    WHEN n_vp8x = 1 AND {flag(3)} <> n_exif THEN 'EXIF flag'
-    WHEN n_vp8x = 1 AND {flag(2)} <> n_xmp THEN 'XMP flag'
-    WHEN n_vp8x = 1 AND {flag(1)} <> n_anim THEN 'ANIM flag'
-    WHEN n_anim = 1 AND n_image > 0 THEN 'animation with still image'
-    WHEN n_anim = 1 AND n_anmf = 0 THEN 'animation without frames'
-    WHEN n_anim = 0 AND n_image <> 1 THEN 'image count'
-    WHEN n_alph > 0 AND (n_vp8 = 0 OR at_alph > at_vp8) AND n_anim = 0 THEN 'ALPH without VP8'
-    WHEN n_iccp = 1 AND at_iccp > at_image THEN 'ICCP after image'
+    WHEN n_vp8x > 0 AND at_vp8x <> at_first THEN 'VP8X not first'
+    WHEN n_vp8x > 0 AND ({flag(5)} <> n_iccp OR {flag(3)} <> n_exif OR {flag(2)} <> n_xmp OR {flag(4)} < n_alph) THEN 'flags and chunks differ'
+    WHEN n_vp8x > 0 AND {flag(1)} = 1 AND (n_anim = 0 OR n_anmf = 0) THEN 'animation without ANIM or frames'
+    WHEN n_vp8x > 0 AND {flag(1)} = 1 AND n_image + n_alph > 0 THEN 'animation with still image'
+    WHEN n_vp8x > 0 AND {flag(1)} = 1 AND at_anmf < at_anim THEN 'frame before ANIM'
+    WHEN n_vp8x > 0 AND {flag(1)} = 0 AND n_anim + n_anmf > 0 THEN 'animation without its flag'
+    WHEN (n_vp8x = 0 OR {flag(1)} = 0) AND n_image <> 1 THEN 'image count'
+    WHEN n_alph > 0 AND n_anim = 0 AND (n_vp8 = 0 OR at_alph > at_vp8) THEN 'ALPH without VP8 behind it'
+    WHEN n_vp8x > 0 AND {flag(1)} = 0 AND n_vp8 = 1 AND {flag(4)} <> n_alph THEN 'alpha flag of a lossy image'
+    WHEN n_iccp = 1 AND at_iccp > CASE WHEN n_vp8x > 0 AND {flag(1)} = 1 THEN at_anim ELSE at_image END THEN 'ICCP after image'
     ELSE 'valid' END"""
 
+#: The same rules for DuckDB alone, from lists of names instead of counts and places: independent of the text above.
+_N = lambda *names: "len(list_filter(l, lambda x: list_contains([" + ", ".join(f"'{x}'" for x in names) + "], x)))"
+_AT = lambda name: f"list_position(l, '{name}')"
+_LAYOUT = f"""files AS (
+    SELECT doc_id, list(fourcc ORDER BY k) AS l, coalesce(max(CASE WHEN fourcc = 'VP8X' THEN ('0x' || substr(payload, 1, 2))::BIGINT END), 0) AS f, bool_or(fourcc = 'VP8L' AND substr(payload, 9, 1) IN ('1', '3', '5', '7', '9', 'B', 'D', 'F')) AS lossless_alpha
+    FROM chunks GROUP BY doc_id),
+    rules AS (
+        SELECT *, list_contains(l, 'VP8X') AS extended, (f & 2) > 0 AS moving, ['VP8 ', 'VP8L', 'ALPH', 'ICCP', 'EXIF', 'XMP ', 'ANIM'] AS single FROM files),
+    verdicts AS (
+        SELECT doc_id, extended AND lossless_alpha AND (f & 16) = 0 AS hidden_alpha, CASE
+            WHEN len(list_filter(single, lambda s: len(list_filter(l, lambda x: x = s)) > 1)) > 0 THEN 'duplicate chunk'
+            WHEN {_N('VP8 ', 'VP8L')} = 2 THEN 'two bitstreams'
+            WHEN NOT extended THEN CASE WHEN {_N('ICCP', 'EXIF', 'XMP ', 'ANIM', 'ANMF', 'ALPH')} > 0 THEN 'extended chunk without VP8X' WHEN {_N('VP8 ', 'VP8L')} <> 1 THEN 'image count' ELSE 'valid' END
+            WHEN l[1] <> 'VP8X' THEN 'VP8X not first'
+            WHEN ((f & 32) > 0) <> list_contains(l, 'ICCP') OR ((f & 8) > 0) <> list_contains(l, 'EXIF') OR ((f & 4) > 0) <> list_contains(l, 'XMP ') OR (list_contains(l, 'ALPH') AND (f & 16) = 0) THEN 'flags and chunks differ'
+            WHEN moving THEN CASE WHEN NOT list_contains(l, 'ANIM') OR NOT list_contains(l, 'ANMF') THEN 'animation without ANIM or frames' WHEN {_N('VP8 ', 'VP8L', 'ALPH')} > 0 THEN 'animation with still image'
+                WHEN {_AT('ANMF')} < {_AT('ANIM')} THEN 'frame before ANIM' WHEN {_AT('ICCP')} > {_AT('ANIM')} THEN 'ICCP after image' ELSE 'valid' END
+            WHEN {_N('ANIM', 'ANMF')} > 0 THEN 'animation without its flag'
+            WHEN {_N('VP8 ', 'VP8L')} <> 1 THEN 'image count'
+            WHEN list_contains(l, 'ALPH') AND (NOT list_contains(l, 'VP8 ') OR {_AT('ALPH')} > {_AT('VP8 ')}) THEN 'ALPH without VP8 behind it'
+            WHEN list_contains(l, 'VP8 ') AND ((f & 16) > 0) <> list_contains(l, 'ALPH') THEN 'alpha flag of a lossy image'
+            WHEN {_AT('ICCP')} > greatest({_AT('VP8 ')}, {_AT('VP8L')}) THEN 'ICCP after image'
+            ELSE 'valid' END AS verdict
+        FROM rules)"""
+
 #: The rows of an edited file, in order, as one text.
 _LISTED = "SELECT doc_id, count(*) AS n, string_agg(fourcc || ':' || CAST(size AS STRING) || ' ', '' ORDER BY k) AS layout, CAST(sum(size) AS BIGINT) AS bytes FROM edited GROUP BY doc_id".replace("STRING", "VARCHAR(20)")
 
@@ -75,7 +102,7 @@ PLANS = {
         SELECT doc_id, fourcc, CASE WHEN fourcc = 'VP8L' THEN ({u24('payload', 1)} & 16383) + 1 ELSE ({u24('payload', 6)} & 16383) END AS width,
                CASE WHEN fourcc = 'VP8L' THEN (({u24('payload', 2)} >> 6) & 16383) + 1 ELSE ({byte('payload', 8)} | ({byte('payload', 9)} << 8)) & 16383 END AS height,
                CASE WHEN fourcc = 'VP8L' THEN {byte('payload', 0)} = 47 ELSE {u24('payload', 3)} = 2752925 END AS signature FROM {{chunks}} WHERE fourcc IN ('VP8 ', 'VP8L')""",
-    "ct12_check_dimensions": "SELECT doc_id, width, height, width * height AS pixels, CASE WHEN width = 0 OR height = 0 THEN 'zero' WHEN width > 16384 OR height > 16384 THEN 'too large' WHEN width * height > 65536 THEN 'LimitExceeded' ELSE 'fits' END AS verdict FROM {chunks} WHERE k = 0",
+    "ct12_check_dimensions": "SELECT doc_id, width, height, width * height AS pixels, CASE WHEN width = 0 OR height = 0 THEN 'zero' WHEN width > 16384 OR height > 16384 THEN 'too large' WHEN width * height > 268435456 THEN 'LimitExceeded' ELSE 'fits' END AS verdict FROM {chunks} WHERE k = 0",
     "ct13_validate_strict_layout": FACTS + f" SELECT doc_id, {_STRICT} AS verdict FROM images",
     "ct14_validate_static_layout": FACTS + " SELECT doc_id, n_image = 1 AND (n_alph = 0 OR (n_vp8 = 1 AND at_alph < at_vp8)) AS valid FROM images WHERE n_anim = 0",
     "ct15_validate_animation_order": FACTS + " SELECT doc_id, at_anim < at_anmf AS valid FROM facts WHERE n_anim > 0 AND n_anmf > 0",
@@ -113,3 +140,9 @@ PLANS = {
     "ed14_edit_parsed": edit("SELECT doc_id, CASE WHEN fourcc = 'ICCP' THEN 2 ELSE k * 3 END AS k, fourcc, CASE WHEN fourcc = 'XMP ' THEN size + 3 ELSE size END AS size FROM {chunks} WHERE NOT (fourcc = 'EXIF' AND k = 10)"),
     "ed15_frame_uses_alpha": f"SELECT doc_id, max(CASE WHEN fourcc = 'ALPH' OR (fourcc = 'VP8L' AND (({byte('payload', 4)} >> 4) & 1) = 1) THEN 1 ELSE 0 END) = 1 AS uses_alpha FROM {{chunks}} GROUP BY doc_id",
 }
+
+#: Twins written on their own, for plans whose meaning is easily got wrong alike in both engines.
+TWINS = {
+    "ct13_validate_strict_layout": f"WITH {_LAYOUT} SELECT doc_id, verdict FROM verdicts",
+    "src1_strict_verdicts": f"WITH {_LAYOUT} SELECT doc_id, CASE WHEN verdict <> 'valid' OR hidden_alpha THEN 'InvalidContainer' ELSE 'none' END AS kind FROM verdicts",
+}

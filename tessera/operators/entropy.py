@@ -92,9 +92,9 @@ PLANS = {
         placed AS (SELECT *, CASE WHEN xo <= 8 AND yo < 8 THEN xo WHEN xo + 8 > width AND yo < 7 THEN xo - width END AS px, CASE WHEN xo <= 8 AND yo < 8 THEN yo WHEN xo + 8 > width AND yo < 7 THEN yo + 1 END AS py FROM asked)
         SELECT distance, width, coalesce(code, distance + 120) AS code FROM placed LEFT JOIN near ON x = px AND y = py""",
     "bt1_written_bits": """
-        WITH v AS (SELECT doc_id, idx, g & 15 AS value, 1 + b % 4 AS bits FROM {px} WHERE idx < 12),
-        o AS (SELECT doc_id, value % CAST(1 << CAST(bits AS INT) AS BIGINT) AS value, coalesce(CAST(sum(bits) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS at, bits FROM v)
-        SELECT doc_id, CAST(sum(value * (CAST(1 AS BIGINT) << CAST(o.at AS INT))) AS BIGINT) AS word, CAST(sum(bits) AS BIGINT) AS bits FROM o GROUP BY doc_id""".replace(" AS at,", " AS pos,").replace("o.at", "pos"),
+        WITH v AS (SELECT doc_id, idx // 12 AS word_no, idx, g & 15 AS value, 1 + b % 4 AS bits FROM {px}),
+        o AS (SELECT doc_id, word_no, value % CAST(1 << CAST(bits AS INT) AS BIGINT) AS value, coalesce(CAST(sum(bits) OVER (PARTITION BY doc_id, word_no ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS at, bits FROM v)
+        SELECT doc_id, word_no, CAST(sum(value * (CAST(1 AS BIGINT) << CAST(o.at AS INT))) AS BIGINT) AS word, CAST(sum(bits) AS BIGINT) AS bits FROM o GROUP BY doc_id, word_no""".replace(" AS at,", " AS pos,").replace("o.at", "pos"),
     "le21_local_matches": """
         WITH near AS (SELECT doc_id, idx, argb, lead(argb, 1) OVER w AS n1, lead(argb, 2) OVER w AS n2, lag(argb, 1) OVER w AS b1, lag(argb, 16) OVER w AS b16, lag(argb, 15) OVER w AS b15, lag(argb, 14) OVER w AS b14 FROM {px} WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
         SELECT doc_id, CAST(sum(CASE WHEN argb = b1 AND n1 = argb AND n2 = argb THEN 1 ELSE 0 END) AS BIGINT) AS at_distance_1, CAST(sum(CASE WHEN argb = b16 AND n1 = b15 AND n2 = b14 THEN 1 ELSE 0 END) AS BIGINT) AS at_width FROM near GROUP BY doc_id""",
@@ -116,7 +116,7 @@ PLANS = {
     "ld19_prefix_values": f"WITH v AS (SELECT DISTINCT (r * 16 + x + 1) AS value FROM {{px}}), p AS (SELECT value, {prefix('value')} AS code FROM v), q AS (SELECT *, {extra_bits('code')} AS extra FROM p) SELECT value, code, extra, CASE WHEN code < 4 THEN code + 1 ELSE ((2 + (code & 1)) << CAST(extra AS INT)) + 1 END AS base, value - (CASE WHEN code < 4 THEN code + 1 ELSE ((2 + (code & 1)) << CAST(extra AS INT)) + 1 END) AS rest FROM q",
     "le50_balanced_lengths": LENGTHS + " SELECT doc_id, channel, n AS symbols, min(len) AS shortest, max(len) AS longest, CAST(sum(CASE WHEN n = 1 THEN 32768 ELSE 1 << CAST(15 - len AS INT) END) AS BIGINT) AS kraft, CAST(sum(len * (1 + symbol)) AS BIGINT) AS digest FROM lengths GROUP BY doc_id, channel, n",
     "ld12_canonical_codes": CODES + " SELECT doc_id, channel, CAST(sum((code + 1) * (1 + symbol)) AS BIGINT) AS digest, max(code) AS largest, CAST(sum(1 << CAST(15 - len AS INT)) AS BIGINT) = 32768 AS complete FROM codes GROUP BY doc_id, channel",
-    "le44_canonical_table": CODES + " SELECT doc_id, symbol, len, code FROM codes WHERE channel = 'green'",
+    "le44_canonical_table": CODES + " SELECT doc_id, channel, symbol, len, code FROM codes",
     "le41_encoded_bits": LENGTHS + " SELECT doc_id, channel, CAST(sum(freq * len) AS BIGINT) AS bits FROM lengths GROUP BY doc_id, channel",
     "default_profile_cost": LENGTHS
     + f""",
@@ -127,12 +127,14 @@ PLANS = {
     # Runs of equal code lengths over a whole alphabet, split for the codes 16 (3-6 repeats), 17 (3-10 zeros), 18 (11-138 zeros).
     "le42_code_length_runs": LENGTHS
     + """,
-        alphabet AS (SELECT doc_id, sym AS symbol FROM (SELECT DISTINCT doc_id FROM lengths) d CROSS JOIN (SELECT m + 128 AS sym FROM {multipliers}) s),
-        filled AS (SELECT a.doc_id, a.symbol, coalesce(l.len, 0) AS len FROM alphabet a LEFT JOIN (SELECT * FROM lengths WHERE channel = 'red') l ON a.doc_id = l.doc_id AND a.symbol = l.symbol),
-        steps AS (SELECT *, CASE WHEN len = lag(len) OVER (PARTITION BY doc_id ORDER BY symbol) THEN 0 ELSE 1 END AS fresh FROM filled),
-        runs AS (SELECT doc_id, len, count(*) AS run FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM steps) t GROUP BY doc_id, len, island)
-        SELECT doc_id, count(*) AS islands, CAST(sum(CASE WHEN len = 0 THEN run // 138 + CASE WHEN run % 138 >= 11 THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS code_18,
+        spans AS (SELECT doc_id, channel, CASE channel WHEN 'green' THEN 280 + CASE WHEN bits = 0 THEN 0 ELSE 1 << CAST(bits AS INT) END WHEN 'distance' THEN 40 ELSE 256 END AS size
+            FROM chosen CROSS JOIN (SELECT 'green' AS channel UNION ALL SELECT 'red' UNION ALL SELECT 'blue' UNION ALL SELECT 'alpha' UNION ALL SELECT 'distance') c),
+        alphabet AS (SELECT doc_id, channel, EACH[0 .. size - 1] AS symbol FROM spans),
+        filled AS (SELECT a.doc_id, a.channel, a.symbol, coalesce(l.len, 0) AS len FROM alphabet a LEFT JOIN lengths l ON a.doc_id = l.doc_id AND a.channel = l.channel AND a.symbol = l.symbol),
+        steps AS (SELECT *, CASE WHEN len = lag(len) OVER (PARTITION BY doc_id, channel ORDER BY symbol) THEN 0 ELSE 1 END AS fresh FROM filled),
+        runs AS (SELECT doc_id, channel, len, count(*) AS run FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, channel ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM steps) t GROUP BY doc_id, channel, len, island)
+        SELECT doc_id, channel, count(*) AS islands, CAST(sum(CASE WHEN len = 0 THEN run // 138 + CASE WHEN run % 138 >= 11 THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS code_18,
                CAST(sum(CASE WHEN len = 0 AND run % 138 BETWEEN 3 AND 10 THEN 1 ELSE 0 END) AS BIGINT) AS code_17,
                CAST(sum(CASE WHEN len > 0 THEN (run - 1) // 6 + CASE WHEN (run - 1) % 6 >= 3 THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS code_16
-        FROM runs GROUP BY doc_id""",
+        FROM runs GROUP BY doc_id, channel""",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.pixels import total
 from tessera.plans.dialect import relation
 
 #: Quantiser steps of the format (fixed values).
@@ -37,7 +38,7 @@ def _layer(name: str, source: str, prefix: str, values: list[str]) -> str:
     return f", {name} AS (SELECT doc_id, block, {', '.join(f'{v} AS {prefix}{i}' for i, v in enumerate(values))} FROM {source})"
 
 
-BLOCKS = "WITH blocks AS (SELECT doc_id, (y // 4) * 4 + x // 4 AS block, " + ", ".join(f"max(CASE WHEN (y % 4) * 4 + x % 4 = {k} THEN r - g END) AS c{k}" for k in range(16)) + " FROM {px} GROUP BY doc_id, (y // 4) * 4 + x // 4), whole AS (SELECT * FROM blocks WHERE c15 IS NOT NULL)"
+BLOCKS = "WITH blocks AS (SELECT doc_id, (y // 4) * 4 + x // 4 AS block, " + ", ".join(f"coalesce(max(CASE WHEN (y % 4) * 4 + x % 4 = {k} THEN r - g END), 0) AS c{k}" for k in range(16)) + " FROM {px} GROUP BY doc_id, (y // 4) * 4 + x // 4), whole AS (SELECT * FROM blocks)"  # rows behind the last are zero
 _MUL1 = "((({0}) * 20091 >> 16) + ({0}))"
 _MUL2 = "(({0}) * 35468 >> 16)"
 
@@ -101,12 +102,14 @@ def _summed(prefix: str, source: str) -> str:
     return f" SELECT doc_id, count(*) AS blocks, CAST(sum(({_digest(prefix)}) * (1 + block % 97)) AS BIGINT) AS digest, CAST(sum({prefix}0) AS BIGINT) AS dc FROM {source} GROUP BY doc_id"
 
 
-_EDGE = "WITH edges AS (SELECT doc_id, y, " + ", ".join(f"max(CASE WHEN x = {4 + i} THEN g END) AS {n}" for i, n in enumerate(("p3", "p2", "p1", "p0", "q0", "q1", "q2", "q3"))) + ", max(CASE WHEN x = 0 THEN r % 64 END) AS edge_limit, max(CASE WHEN x = 1 THEN 1 + r % 30 END) AS inner_limit, max(CASE WHEN x = 2 THEN r % 3 END) AS hev FROM {px} GROUP BY doc_id, y)"
+#: The three inner edges of every row, x = 4, 8 and 12; four samples on each side.
+_ROW = "WITH lines AS (SELECT doc_id, y, " + ", ".join(f"max(CASE WHEN x = {i} THEN g END) AS v{i}" for i in range(16)) + ", max(CASE WHEN x = 0 THEN r % 64 END) AS edge_limit, max(CASE WHEN x = 1 THEN 1 + r % 30 END) AS inner_limit, max(CASE WHEN x = 2 THEN r % 3 END) AS hev FROM {px} GROUP BY doc_id, y)"
+_EDGE = _ROW + ", edges AS (SELECT doc_id, y * 3 + e AS y, " + ", ".join(f"CASE e {' '.join(f'WHEN {e} THEN v{4 * e + i}' for e in range(3))} END AS {n}" for i, n in enumerate(("p3", "p2", "p1", "p0", "q0", "q1", "q2", "q3"))) + ", edge_limit, inner_limit, hev FROM lines CROSS JOIN (SELECT 0 AS e UNION ALL SELECT 1 UNION ALL SELECT 2) three)"
 _TWO = f"3 * (q0 - p0) + {clamp('p1 - q1', -128, 127)}"
 _SIX = clamp(_TWO, -128, 127)
 
 PLANS = {
-    "vd1_frame_tag": "SELECT doc_id, tag & 1 AS inter_frame, (tag >> 1) & 7 AS profile, (tag >> 4) & 1 AS shown, tag >> 5 AS first_partition, (tag & 1) = 0 AND ((tag >> 1) & 7) <= 3 AND ((tag >> 4) & 1) = 1 AS usable FROM (SELECT doc_id, r | (g << 8) | (b << 16) AS tag FROM {px} WHERE idx < 4) t",
+    "vd1_frame_tag": "SELECT doc_id, count(*) AS tags, " + ", ".join(f"{total(e)} AS {n}" for e, n in (("tag & 1", "inter_frame"), ("(tag >> 1) & 7", "profile"), ("(tag >> 4) & 1", "shown"), ("tag >> 5", "first_partition"))) + ", CAST(sum(CASE WHEN (tag & 1) = 0 AND ((tag >> 1) & 7) <= 3 AND ((tag >> 4) & 1) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS usable FROM (SELECT doc_id, idx, r | (g << 8) | (b << 16) AS tag FROM {px}) t GROUP BY doc_id",
     "vd4_dequantisation": f"""
         WITH p AS (SELECT m, (m + 128) % 128 AS base, m % 16 AS d1, (m * 3) % 16 AS d2, (m * 5) % 16 AS d3, (m * 7) % 16 AS d4, (m * 11) % 16 AS d5 FROM {{multipliers}})
         SELECT m, a.dc AS y1_dc, b.ac AS y1_ac, c.dc * 2 AS y2_dc, greatest(8, (d.ac * 101581) >> 16) AS y2_ac, e.dc AS uv_dc, f.ac AS uv_ac, base + d5 AS uv_quant
@@ -121,10 +124,10 @@ PLANS = {
     "ve13_skip_probability": BLOCKS + forward_dct("whole", "c", "coded") + f", zero AS (SELECT doc_id, CASE WHEN {' AND '.join(f'abs(k{i}) < 200' for i in range(16))} THEN 1 ELSE 0 END AS skip FROM coded) SELECT doc_id, CAST(sum(skip) AS BIGINT) AS skipped, CASE WHEN sum(skip) > 0 THEN CAST((count(*) - CAST(sum(skip) AS BIGINT)) * 255 // count(*) AS BIGINT) END AS probability FROM zero GROUP BY doc_id",
     "vd14_add_and_clip": f"SELECT doc_id, CAST(sum({clamp('g + (r - b) * 3')} * (1 + idx % 251)) AS BIGINT) AS digest, CAST(sum(CASE WHEN g + (r - b) * 3 NOT BETWEEN 0 AND 255 THEN 1 ELSE 0 END) AS BIGINT) AS clipped FROM {{px}} GROUP BY doc_id",
     "vd16_loop_filter_strengths": f"""
-        WITH p AS (SELECT doc_id, idx, r % 64 AS level, g % 8 AS sharpness, {clamp('(r % 64) + b % 32 - 16 + CASE WHEN idx % 2 = 1 THEN a % 8 - 4 ELSE 0 END', 0, 63)} AS l FROM {{px}} WHERE idx < 64),
+        WITH p AS (SELECT doc_id, idx, r % 64 AS level, g % 8 AS sharpness, {clamp('(r % 64) + b % 32 - 16 + CASE WHEN idx % 2 = 1 THEN a % 8 - 4 ELSE 0 END', 0, 63)} AS l FROM {{px}}),
         q AS (SELECT *, CASE WHEN level = 0 THEN 0 ELSE l END AS used FROM p),
         s AS (SELECT *, greatest(1, CASE WHEN sharpness > 4 THEN least(used >> 2, 9 - sharpness) WHEN sharpness > 0 THEN least(used >> 1, 9 - sharpness) ELSE used END) AS inner_limit FROM q)
-        SELECT doc_id, idx, used, CASE WHEN used = 0 THEN 0 ELSE inner_limit END AS inner_limit, CASE WHEN used = 0 THEN 0 ELSE 2 * used + inner_limit END AS edge_limit, CASE WHEN used >= 40 THEN 2 WHEN used >= 15 THEN 1 ELSE 0 END AS hev FROM s""",
+        SELECT doc_id, count(*) AS levels, {total('used')} AS used, {total('CASE WHEN used = 0 THEN 0 ELSE inner_limit END')} AS inner_limit, {total('CASE WHEN used = 0 THEN 0 ELSE 2 * used + inner_limit END')} AS edge_limit, {total('CASE WHEN used >= 40 THEN 2 WHEN used >= 15 THEN 1 ELSE 0 END')} AS hev FROM s GROUP BY doc_id""",
     "vd18_simple_edge": _EDGE + f"""
         , f AS (SELECT *, 4 * abs(p0 - q0) + abs(p1 - q1) <= 2 * edge_limit + 1 AS on_edge, {clamp(f'(({_TWO}) + 4) >> 3', -128, 127)} AS a1, {clamp(f'(({_TWO}) + 3) >> 3', -128, 127)} AS a2 FROM edges)
         SELECT doc_id, CAST(sum(CASE WHEN on_edge THEN 1 ELSE 0 END) AS BIGINT) AS filtered, CAST(sum((CASE WHEN on_edge THEN {clamp('p0 + a2')} * 3 + {clamp('q0 - a1')} ELSE p0 * 3 + q0 END) * (1 + y % 251)) AS BIGINT) AS digest FROM f GROUP BY doc_id""",
@@ -150,7 +153,7 @@ PLANS = {
             WHEN top_output = 1 AND x % 2 = 1 THEN (d12 + tl) >> 1 WHEN top_output = 1 THEN (d03 + t) >> 1 WHEN x % 2 = 1 THEN (d03 + l) >> 1 ELSE (d12 + n) >> 1 END) * (1 + idx % 251)) AS BIGINT) AS digest FROM diagonals GROUP BY doc_id""",
     "ve1_quality_to_quantiser": "SELECT m AS quality, (100 - m) * 127 // 100 AS quantiser FROM {multipliers} WHERE m BETWEEN 0 AND 100",
     "ve6_gamma_tables": """
-        WITH v AS (SELECT m AS i, m / 1024.0e0 AS g, m / 512.0e0 AS l FROM {blocks_1d} WHERE m <= 1024)
+        WITH v AS (SELECT m AS i, m / 1024.0e0 AS g, m / 512.0e0 AS l FROM {numbers} WHERE m <= 1024)
         SELECT i, CAST(floor((CASE WHEN g <= 0.018053968510807e0 * 4.5e0 THEN g / 4.5e0 ELSE power((g + 0.09929682680944e0) / 1.09929682680944e0, 1e0 / 0.45e0) END) * 65536 + 0.5e0) AS BIGINT) AS to_linear,
                CASE WHEN i <= 512 THEN CAST(floor((CASE WHEN l <= 0.018053968510807e0 THEN l * 4.5e0 ELSE 1.09929682680944e0 * power(l, 0.45e0) - 0.09929682680944e0 END) * 65536 + 0.5e0) AS BIGINT) END AS to_gamma FROM v""",
     "ve14_adapted_probabilities": """

@@ -134,7 +134,7 @@ PLANS = {
         SELECT doc_id, bundle, count(*) AS packed_pixels, CAST(sum(green * (1 + (y * 16 + px) % 251)) AS BIGINT) AS digest, max(green) AS largest FROM packed GROUP BY doc_id, bundle""",
     "ld31_inverse_colour_indexing": """
         WITH entries AS (
-            SELECT doc_id, argb, row_number() OVER (PARTITION BY doc_id ORDER BY argb) - 1 AS entry FROM (SELECT DISTINCT doc_id, argb FROM {px} WHERE idx < 64) t),
+            SELECT doc_id, argb, row_number() OVER (PARTITION BY doc_id ORDER BY argb) - 1 AS entry FROM (SELECT DISTINCT doc_id, argb FROM {px}) t),
         sizes AS (SELECT doc_id, count(*) AS colours FROM entries GROUP BY doc_id),
         wanted AS (
             SELECT p.doc_id, idx, (g >> CAST((x % 2) * 4 AS INT)) & 15 AS entry FROM {px} p JOIN sizes s ON p.doc_id = s.doc_id WHERE colours BETWEEN 5 AND 16),
@@ -144,7 +144,7 @@ PLANS = {
         SELECT doc_id, colours, CASE WHEN colours <= 2 THEN 1 WHEN colours <= 4 THEN 2 WHEN colours <= 16 THEN 4 ELSE 8 END AS bits_per_index,
                CASE WHEN colours <= 2 THEN 3 WHEN colours <= 4 THEN 2 WHEN colours <= 16 THEN 1 ELSE 0 END AS width_bits,
                CASE WHEN colours <= 2 THEN 2 WHEN colours <= 4 THEN 4 WHEN colours <= 16 THEN 8 ELSE 16 END AS packed_width
-        FROM (SELECT doc_id, count(DISTINCT argb) AS colours FROM {px} WHERE idx < 256 GROUP BY doc_id) t WHERE colours <= 256""",
+        FROM (SELECT doc_id, count(DISTINCT argb) AS colours FROM {px} GROUP BY doc_id) t WHERE colours <= 256""",
     "ld29_inverse_cross_colour": f"""
         WITH red AS (
             SELECT doc_id, idx, x, y, g, b, r, (r + {delta('g', _INVERSE['gr'])}) & 255 AS new_r FROM {{px}}),

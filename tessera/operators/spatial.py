@@ -37,7 +37,7 @@ CLUSTERS = SIGNATURES + f""",
         SELECT n.doc_id, n.block, d.seed, {' + '.join(f'abs(n.{s} - d.{s})' for s in [*_S, 'sb'])} AS distance FROM named n JOIN seeds d ON n.doc_id = d.doc_id),
     nearest AS (SELECT doc_id, block, seed FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY distance, seed) AS k FROM distances) t WHERE k = 1),
     grid AS (SELECT doc_id, (max(y) // {BLOCK} + 1) AS block_rows, max(y) + 1 AS height FROM {{px}} GROUP BY doc_id),
-    cells AS (SELECT doc_id, height, m AS block, m % 2 AS bx, m // 2 AS brow FROM grid CROSS JOIN {{blocks_1d}} b WHERE m < block_rows * 2),
+    cells AS (SELECT doc_id, height, block, block % 2 AS bx, block // 2 AS brow FROM (SELECT doc_id, height, EACH[0 .. block_rows * 2 - 1] AS block FROM grid) g),
     assigned AS (SELECT c.doc_id, height, c.block, bx, brow, seed FROM cells c LEFT JOIN nearest n ON c.doc_id = n.doc_id AND c.block = n.block),
     first_column AS (
         SELECT doc_id, height, brow, coalesce(last_value(seed) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY brow ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS seed FROM assigned WHERE bx = 0),

@@ -1,8 +1,8 @@
 """Rasters as relations: pixels and alpha samples of documents read as image bytes.
 
-A document's UTF-8 bytes are a 16 pixels wide RGBA raster (px) or a 32 samples wide plane (al); bytes behind
-the last whole row are dropped. The bytes become an array inside the row before it is exploded, so the text
-itself never travels with its pixels.
+A document's UTF-8 bytes are a 16 pixels wide RGBA raster (px) or a 32 samples wide plane (al); the last row is
+filled up with zeros. An empty document has no row. The bytes become an array inside the row before it is exploded,
+so the text itself never travels with its pixels.
 """
 
 from __future__ import annotations
@@ -17,6 +17,11 @@ WIDTH, PLANE_WIDTH = 16, 32
 _BYTES = ("bytes_of", "SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents")
 
 
+def whole(body: bytes, row: int) -> bytes:
+    """A document's bytes with the last row of so many bytes filled up."""
+    return body + bytes(-len(body) % row)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,20 +35,21 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(body: str, count: str, size: int) -> F.Column:
-    """An array of the first count groups of size bytes, each as one big-endian number. The text is cut in one pass:
+    """An array of count groups of size bytes, each as one big-endian number, zeros behind the last byte. The text is cut in one pass:
     reading it by position would copy it for every group."""
-    return F.expr(f"transform(regexp_extract_all(hex(substring({body}, 1, {count} * {size})), '.{{{2 * size}}}', 0), w -> cast(conv(w, 16, 10) as bigint))")
+    return F.expr(f"transform(regexp_extract_all(rpad(hex({body}), {count} * {2 * size}, '0'), '.{{{2 * size}}}', 0), w -> cast(conv(w, 16, 10) as bigint))")
 
 
 @relation(
     "px",
     _BYTES,
-    ("px_words", "SELECT doc_id, unnest(range(n // 64 * 16)) AS idx, unnest(list_transform(range(n // 64 * 16), lambda i: ('0x' || h[i * 8 + 1 : i * 8 + 8])::BIGINT)) AS w FROM bytes_of WHERE n >= 64"),
+    ("px_bytes", "SELECT doc_id, (n + 63) // 64 * 16 AS k, rpad(h, CAST((n + 63) // 64 * 128 AS INT), '0') AS h FROM bytes_of WHERE n > 0"),
+    ("px_words", "SELECT doc_id, unnest(range(k)) AS idx, unnest(list_transform(range(k), lambda i: ('0x' || h[i * 8 + 1 : i * 8 + 8])::BIGINT)) AS w FROM px_bytes"),
     ("px", "SELECT doc_id, idx, idx % 16 AS x, idx // 16 AS y, w >> 24 AS r, (w >> 16) & 255 AS g, (w >> 8) & 255 AS b, w & 255 AS a, ((w & 255) << 24) | (w >> 8) AS argb FROM px_words"),
 )
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, idx, x, y, r, g, b, a, argb)."""
-    rows = bodies(spark, sf_dir).select("doc_id", "body", (F.floor(F.octet_length("body") / (4 * WIDTH)) * WIDTH).cast("int").alias("k")).filter("k > 0")
+    rows = bodies(spark, sf_dir).select("doc_id", "body", (F.ceil(F.octet_length("body") / (4 * WIDTH)) * WIDTH).cast("int").alias("k")).filter("k > 0")
     exploded = rows.select("doc_id", words("body", "k", 4).alias("ws")).select("doc_id", F.posexplode("ws").alias("idx", "w"))
     return exploded.selectExpr(
         "doc_id", "cast(idx as bigint) as idx", "cast(idx % 16 as bigint) as x", "cast(idx div 16 as bigint) as y", "w >> 24 as r", "(w >> 16) & 255 as g", "(w >> 8) & 255 as b", "w & 255 as a", "((w & 255) << 24) | (w >> 8) as argb"
@@ -53,11 +59,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @relation(
     "al",
     _BYTES,
-    ("al", "SELECT doc_id, idx, idx % 32 AS x, idx // 32 AS y, v FROM (SELECT doc_id, unnest(range(n // 32 * 32)) AS idx, unnest(list_transform(range(n // 32 * 32), lambda i: ('0x' || h[i * 2 + 1 : i * 2 + 2])::BIGINT)) AS v FROM bytes_of WHERE n >= 32)"),
+    ("al_bytes", "SELECT doc_id, (n + 31) // 32 * 32 AS k, rpad(h, CAST((n + 31) // 32 * 64 AS INT), '0') AS h FROM bytes_of WHERE n > 0"),
+    ("al", "SELECT doc_id, idx, idx % 32 AS x, idx // 32 AS y, v FROM (SELECT doc_id, unnest(range(k)) AS idx, unnest(list_transform(range(k), lambda i: ('0x' || h[i * 2 + 1 : i * 2 + 2])::BIGINT)) AS v FROM al_bytes)"),
 )
 def alpha_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, idx, x, y, v)."""
-    rows = bodies(spark, sf_dir).select("doc_id", "body", (F.floor(F.octet_length("body") / PLANE_WIDTH) * PLANE_WIDTH).cast("int").alias("k")).filter("k > 0")
+    rows = bodies(spark, sf_dir).select("doc_id", "body", (F.ceil(F.octet_length("body") / PLANE_WIDTH) * PLANE_WIDTH).cast("int").alias("k")).filter("k > 0")
     exploded = rows.select("doc_id", words("body", "k", 1).alias("vs")).select("doc_id", F.posexplode("vs").alias("idx", "v"))
     return exploded.selectExpr("doc_id", "cast(idx as bigint) as idx", "cast(idx % 32 as bigint) as x", "cast(idx div 32 as bigint) as y", "v")
 
@@ -68,13 +75,7 @@ def multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return F.broadcast(spark.range(-128, 128).select(F.col("id").alias("m")))
 
 
-#: Block numbers there are at least.
-BLOCK_NUMBERS = 65_536
-
-
-@relation("blocks_1d", ("blocks_1d", "SELECT unnest(range(65536)) AS m"))
-def block_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(m): places in a grid of blocks; 65,536 rows, or as many as the longest text has blocks of 8 x 8 pixels."""
-    longest = table(spark, sf_dir, "documents").agg(F.max(F.octet_length("text"))).first()[0] or 0
-    rows = longest // (4 * WIDTH)
-    return spark.range(max(BLOCK_NUMBERS, WIDTH // 8 * -(-rows // 8))).select(F.col("id").alias("m"))
+@relation("numbers", ("numbers", "SELECT unnest(range(2048)) AS m"))
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(m): 0 to 2047."""
+    return F.broadcast(spark.range(2048).select(F.col("id").alias("m")))

@@ -38,17 +38,27 @@ def test_flagship_has_a_twin():
 
 
 def test_long_texts_have_all_their_blocks(spark, tmp_path):
-    from tessera.plans.dialect import RELATIONS
-
     spark.range(1).selectExpr("id AS doc_id", "repeat('0123456789abcdef', 1100000) AS text").write.parquet(f"{tmp_path}/documents.parquet")
-    blocks = RELATIONS["blocks_1d"](spark, str(tmp_path)).selectExpr("count(*)", "min(m)", "max(m)").first()
-    assert tuple(blocks) == (68_750, 0, 68_749)  # 275,000 rows of 16 pixels
-
+    got = QUERIES["le33_fill_empty_blocks"](spark, str(tmp_path)).selectExpr("count(*)", "min(block)", "max(block)").first()
+    assert tuple(got) == (68_750, 0, 68_749)  # 275,000 rows of 16 pixels, beyond 65,536 blocks
 
-def test_cells_beyond_the_least_range(spark, duck, monkeypatch):
-    from tessera.sources import raster
 
-    monkeypatch.setattr(raster, "BLOCK_NUMBERS", 2)
-    got = QUERIES["le33_fill_empty_blocks"](spark, SF)
-    rel = duck.sql(ORACLE_SQL["le33_fill_empty_blocks"])
-    assert sorted(tuple(r[c[0]] for c in rel.description) for r in got.collect()) == sorted(rel.fetchall())
+def test_short_and_odd_documents_are_whole(spark, duck, tmp_path):
+    con = duckdb.connect()
+    spark.createDataFrame([(1, "abc"), (2, ""), (3, None), (4, "é" * 50), (5, "x" * 64)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("bt9_pack_argb", "al15_frequencies", "vp8l_round_trip", "al6_alpha_payloads", "ct21_chunk_ends", "src2_parse_containers"):
+        rel = con.sql(ORACLE_SQL[name])
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(map(repr, (tuple(r[c[0]] for c in rel.description) for r in got))) == sorted(map(repr, rel.fetchall()))
+    assert {r.doc_id: r.pixels for r in QUERIES["bt9_pack_argb"](spark, str(tmp_path)).collect()} == {1: 16, 4: 32, 5: 16}
+
+
+def test_layout_verdicts_agree_with_the_parser(spark):
+    layout = {r.doc_id: r.verdict for r in QUERIES["ct13_validate_strict_layout"](spark, SF).collect()}
+    parser = {r.doc_id: r.kind for r in QUERIES["src1_strict_verdicts"](spark, SF).collect()}
+    assert set(layout) == set(parser)
+    # After the layout the parser also asks that a lossless image with alpha has the flag.
+    lossless = {r.doc_id for r in QUERIES["ct19_alpha_hint"](spark, SF).filter("fourcc = 'VP8L' and has_alpha").collect()}
+    assert all((v == "valid") == (parser[i] == "none") or (i in lossless and v == "valid") for i, v in layout.items())
+    assert len(set(layout.values())) >= 6
