@@ -25,9 +25,12 @@ class Limits:
 
 
 class Chunk(NamedTuple):
+    """size is that of the whole payload, of which a scan may keep the first bytes only."""
+
     fourcc: str
     payload: bytes
     offset: int
+    size: int
 
 
 class Canvas(NamedTuple):
@@ -121,69 +124,102 @@ def check_layout(chunks: list[Chunk], canvas: Canvas | None) -> None:
         raise bad("ICCP behind image data")
 
 
+#: Bytes of a payload that the layout rules look at.
+HEAD = 16
+
+
 @dataclass
 class Scan:
-    """A walk over a growing file. feed() takes bytes, raises on a broken rule, and is done when all is there."""
+    """A walk over a growing file. feed() takes bytes, raises on a broken rule, and is done when all is there. Every byte is
+    handled once. With keep, payloads are kept; without, their first HEAD bytes, and the walk holds no more than that."""
 
     strict: bool = True
     limits: Limits = field(default_factory=Limits)
-    data: bytes = b""
+    keep: bool = True
+    received: int = 0
     at: int = 12
     end: int | None = None
     chunks: list[Chunk] = field(default_factory=list)
     canvas: Canvas | None = None
     metadata: int = 0
     done: bool = False
+    buffer: bytearray = field(default_factory=bytearray)
+    open: tuple[str, int] | None = None  # (fourcc, size) of the chunk that is being read
+    skipped: int = 0  # bytes of it that were let go
 
     def feed(self, more: bytes) -> bool:
         if self.done and more:
             raise StreamError("InvalidContainer" if self.strict else "InvalidParameter", "bytes after the end")
-        if len(self.data) + len(more) > self.limits.max_input_bytes:
+        if self.received + len(more) > self.limits.max_input_bytes:
             raise StreamError("LimitExceeded", "input")
-        self.data += more
+        self.received += len(more)
+        self.buffer += more
         if self.end is None:
-            if len(self.data) < 12:
+            if len(self.buffer) < 12:
                 return False
-            if self.data[:4] != b"RIFF" or self.data[8:12] != b"WEBP":
+            if self.buffer[:4] != b"RIFF" or self.buffer[8:12] != b"WEBP":
                 raise StreamError("InvalidContainer", "magic")
-            size = int.from_bytes(self.data[4:8], "little")
+            size = int.from_bytes(self.buffer[4:8], "little")
             if size < 4:
                 raise StreamError("InvalidContainer", "size without form type")
             self.end = 8 + size
-        if self.strict and len(self.data) > self.end:
+            del self.buffer[:12]
+        if self.strict and self.received > self.end:
             raise StreamError("InvalidContainer", "bytes behind the body")
-        while self.at < self.end:
-            if self.end - self.at < 8:
-                raise StreamError("UnexpectedEof", "chunk header")
-            if len(self.data) < self.at + 8:
-                return False
-            size = int.from_bytes(self.data[self.at + 4 : self.at + 8], "little")
-            after = self.at + 8 + size + (size & 1)
-            if after > self.end:
-                raise StreamError("UnexpectedEof", "chunk payload")
-            if len(self.data) < after:
-                return False
-            self._take(self.data[self.at : self.at + 4].decode("latin-1"), self.data[self.at + 8 : self.at + 8 + size])
-            if self.strict and size & 1 and self.data[after - 1]:
+        at = 0  # in the buffer; what lies before it is deleted once
+        while self.at < self.end or self.open:
+            if self.open is None:
+                if self.end - self.at < 8:
+                    raise StreamError("UnexpectedEof", "chunk header")
+                if len(self.buffer) - at < 8:
+                    break
+                size = int.from_bytes(self.buffer[at + 4 : at + 8], "little")
+                if self.at + 8 + size + (size & 1) > self.end:
+                    raise StreamError("UnexpectedEof", "chunk payload")
+                self.open, self.skipped = (self.buffer[at : at + 4].decode("latin-1"), size), 0
+                at += 8
+            fourcc, size = self.open
+            there, whole = self.skipped + len(self.buffer) - at, size + (size & 1)
+            if there < whole:
+                if not self.keep and there > HEAD + 2:  # keep the head and the last byte or two
+                    drop = there - HEAD - 2 - self.skipped
+                    if drop > 0:
+                        del self.buffer[at + HEAD : at + HEAD + drop]
+                        self.skipped += drop
+                break
+            payload_end = at + size - self.skipped
+            if self.strict and size & 1 and self.buffer[payload_end]:
                 raise StreamError("InvalidContainer", "padding is not zero")
-            self.at = after
+            self._take(fourcc, bytes(self.buffer[at : payload_end if self.keep else min(payload_end, at + HEAD)]), size)
+            at += whole - self.skipped
+            self.at += 8 + whole
+            self.open = None
+        del self.buffer[:at]
+        if self.at < self.end or self.open:
+            return False
         if not self.done:
             self._finish()
             self.done = True
         return True
 
-    def _take(self, fourcc: str, payload: bytes) -> None:
+    def partial(self, since: int = 0) -> tuple[str, int, bytes] | None:
+        """(fourcc, size, bytes so far from since on) of the chunk that is being read; with keep only."""
+        return (*self.open, bytes(self.buffer[since : self.open[1]])) if self.open else None
+
+    def _take(self, fourcc: str, payload: bytes, size: int) -> None:
         if fourcc in METADATA:
-            self.metadata += len(payload)
+            self.metadata += size
             if self.metadata > self.limits.max_metadata_bytes:
                 raise StreamError("LimitExceeded", "metadata")
         if fourcc == "VP8X":
             if self.canvas and self.strict:
                 raise StreamError("InvalidContainer", "VP8X twice")
+            if size != 10:
+                raise StreamError("InvalidContainer", "VP8X is not ten bytes")
             self.canvas = self.canvas or canvas_of(payload, self.limits)
         if len(self.chunks) >= self.limits.max_chunks:
             raise StreamError("LimitExceeded", "chunks")
-        self.chunks.append(Chunk(fourcc, payload, self.at))
+        self.chunks.append(Chunk(fourcc, payload, self.at, size))
 
     def _finish(self) -> None:
         if not self.strict:
