@@ -72,15 +72,40 @@ _LAYOUT = f"""files AS (
             ELSE 'valid' END AS verdict
         FROM rules)"""
 
-#: The rows of an edited file, in order, as one text.
-_LISTED = "SELECT doc_id, count(*) AS n, string_agg(fourcc || ':' || CAST(size AS STRING) || ' ', '' ORDER BY k) AS layout, CAST(sum(size) AS BIGINT) AS bytes FROM edited GROUP BY doc_id".replace("STRING", "VARCHAR(20)")
+#: The rows of an edited file, in order, as one text: names and digests of payloads.
+_LISTED = "SELECT doc_id, count(*) AS n, string_agg(fourcc || ':' || md5(payload) || ' ', '' ORDER BY k) AS layout, CAST(sum(length(payload) // 2) AS BIGINT) AS bytes FROM edited GROUP BY doc_id"
+_META = (("ICCP", 32), ("EXIF", 8), ("XMP ", 4))
+_FLAG_SUM = " + ".join(f"max(CASE WHEN fourcc = '{c}' THEN {bit} ELSE 0 END)" for c, bit in _META)
+_PIXELS = "'VP8X', 'VP8 ', 'VP8L', 'ALPH', 'ANIM', 'ANMF'"
+_RANKED = f"""WITH ranked AS (SELECT doc_id, fourcc, payload, width, height, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM {{chunks}}),
+    files AS (
+        SELECT doc_id, min(CASE WHEN fourcc = 'VP8X' THEN i END) AS at_x, min(CASE WHEN fourcc = 'ANIM' THEN i END) AS at_anim, CAST(sum(CASE WHEN fourcc = 'ANMF' THEN 1 ELSE 0 END) AS BIGINT) AS frames, max(CASE WHEN fourcc = 'ANMF' THEN i END) AS last_frame,
+               min(CASE WHEN fourcc = 'EXIF' THEN i END) AS at_exif, min(CASE WHEN fourcc = 'XMP ' THEN i END) AS at_xmp, min(CASE WHEN fourcc IN ('EXIF', 'XMP ') THEN i END) AS at_tail, min(CASE WHEN fourcc NOT IN ('ICCP', {_PIXELS}) THEN i END) AS at_rest, max(CASE WHEN fourcc IN ('VP8X', 'ICCP') THEN i END) AS head_end,
+               {_FLAG_SUM} AS flags, max(width) AS width, max(height) AS height FROM ranked GROUP BY doc_id),
+    frames AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j FROM ranked WHERE fourcc = 'ANMF'),
+    r AS (SELECT ranked.doc_id, fourcc, payload, i, n, at_x, at_anim, frames, last_frame, at_exif, at_xmp FROM ranked JOIN files ON ranked.doc_id = files.doc_id),"""
 
 
 def edit(rows: str) -> str:
-    return f"WITH edited AS ({rows}) {_LISTED}"
+    """Rows (doc_id, k, fourcc, payload) of the edited files, from ranked, files, frames and r (ranked with its file)."""
+    return f"{_RANKED} edited AS ({rows}) {_LISTED}"
 
 
-_ROWS = "SELECT doc_id, k, fourcc, size FROM {chunks}"
+def flagged(bit: int, on: bool = True) -> str:
+    """The payload, with a flag changed where it is VP8X."""
+    changed = f"{byte('payload', 0)} | {bit}" if on else f"{byte('payload', 0)} & {255 - bit}"
+    return f"CASE WHEN fourcc = 'VP8X' THEN {le(changed, 1)} || substr(payload, 3) ELSE payload END"
+
+
+def canvas(flags: str) -> str:
+    return f"{le(flags, 1)} || '000000' || {le('width - 1', 3)} || {le('height - 1', 3)}"
+
+
+#: What editors put in: a chunk of five bytes, a frame, an image, animation controls by the file's id.
+NEW, FRAME, IMAGE = "5A" * 5, "3C" * 40, "77" * 77
+CONTROL = f"'01020304' || {le('doc_id % 65536', 2)}"
+_KEPT = f"SELECT doc_id, 2 * i AS k, fourcc, payload FROM ranked WHERE fourcc NOT IN ({_PIXELS})"
+_STATIC = f"SELECT doc_id, -1 AS k, 'VP8X' AS fourcc, {canvas('flags')} AS payload FROM files UNION ALL {_KEPT} UNION ALL SELECT doc_id, coalesce(2 * at_tail - 1, 999), 'VP8L', '{IMAGE}' FROM files"
 _CHUNK = f"hex_fourcc || {le('size', 4)} || payload || CASE WHEN size % 2 = 1 THEN '00' ELSE '' END"
 _WIRE = f"""WITH coded AS (
     SELECT doc_id, k, size, payload, CASE fourcc {' '.join(f"WHEN '{c}' THEN '{c.encode().hex().upper()}'" for c in (*KNOWN, 'abcd'))} END AS hex_fourcc FROM {{chunks}}),
@@ -123,21 +148,33 @@ PLANS = {
     "snk1_finish_chunks": _WIRE + f""", bodies AS (SELECT doc_id, CAST(sum(wire_size) AS BIGINT) + 4 AS riff_size, string_agg(wire, '' ORDER BY k) AS body FROM wired GROUP BY doc_id)
         SELECT doc_id, riff_size, '52494646' || {le('riff_size', 4)} || '57454250' || body AS file FROM bodies""",
     "snk5_wrap_with_metadata": FACTS + " SELECT doc_id, n_iccp + n_exif + n_xmp > 0 AS needs_vp8x, CASE WHEN n_iccp > 0 THEN 32 ELSE 0 END + CASE WHEN n_exif > 0 THEN 8 ELSE 0 END + CASE WHEN n_xmp > 0 THEN 4 ELSE 0 END AS flags FROM facts",
-    "ed1_insert_chunk": edit("SELECT doc_id, k * 2 AS k, fourcc, size FROM {chunks} UNION ALL SELECT doc_id, min(k) * 2 + 1, 'NEWC', 5 FROM {chunks} GROUP BY doc_id"),
-    "ed2_replace_chunk": edit("SELECT doc_id, k, CASE WHEN k = m THEN 'REPL' ELSE fourcc END AS fourcc, CASE WHEN k = m THEN 9 ELSE size END AS size FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS m FROM {chunks}) t"),
-    "ed3_remove_chunk": edit("SELECT doc_id, k, fourcc, size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM {chunks}) t WHERE i <> 2"),
-    "ed4_insert_animation_frame": edit("SELECT doc_id, k * 2 AS k, fourcc, size FROM {chunks} UNION ALL SELECT doc_id, max(k) * 2 + 1, 'ANMF', 40 FROM {chunks} WHERE fourcc = 'ANMF' GROUP BY doc_id"),
-    "ed5_remove_animation_frame": edit("SELECT doc_id, k, fourcc, size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, fourcc ORDER BY k) AS i FROM {chunks}) t WHERE NOT (fourcc = 'ANMF' AND i = 1)"),
-    "ed6_set_animation_params": edit("SELECT doc_id, k * 2 AS k, fourcc, size FROM {chunks} WHERE fourcc <> 'ANIM' UNION ALL SELECT doc_id, coalesce(max(CASE WHEN fourcc IN ('VP8X', 'ICCP') THEN k END), -1) * 2 + 1, 'ANIM', 6 FROM {chunks} GROUP BY doc_id"),
+    "ed1_insert_chunk": edit(f"SELECT doc_id, 2 * i AS k, fourcc, payload FROM ranked UNION ALL SELECT doc_id, 2 * (doc_id % (n + 1)) - 1, 'NEWC', '{NEW}' FROM ranked WHERE i = 0"),
+    "ed2_replace_chunk": edit(f"SELECT doc_id, i AS k, CASE WHEN i = doc_id % n THEN 'REPL' ELSE fourcc END AS fourcc, CASE WHEN i = doc_id % n THEN '{NEW}' ELSE payload END AS payload FROM ranked"),
+    "ed3_remove_chunk": edit("SELECT doc_id, i AS k, fourcc, payload FROM ranked WHERE i <> doc_id % n"),
+    "ed4_insert_animation_frame": edit(f"""
+        SELECT doc_id, 2 * i AS k, fourcc, {flagged(16)} AS payload FROM r WHERE at_x IS NOT NULL AND at_anim IS NOT NULL
+        UNION ALL SELECT f.doc_id, CASE WHEN j IS NOT NULL THEN 2 * g.i - 1 ELSE 2 * coalesce(last_frame, at_anim) + 1 END, 'ANMF', '{FRAME}' FROM files f LEFT JOIN frames g ON f.doc_id = g.doc_id AND j = f.doc_id % (frames + 1) WHERE at_x IS NOT NULL AND at_anim IS NOT NULL"""),
+    "ed5_remove_animation_frame": edit("SELECT r.doc_id, r.i AS k, fourcc, payload FROM r LEFT JOIN frames g ON r.doc_id = g.doc_id AND r.i = g.i WHERE j IS NULL OR j <> r.doc_id % 2"),
+    "ed6_set_animation_params": edit(f"""
+        SELECT doc_id, 2 * i AS k, fourcc, CASE WHEN i = at_anim THEN {CONTROL} ELSE {flagged(2)} END AS payload FROM r WHERE at_x IS NOT NULL
+        UNION ALL SELECT doc_id, 2 * head_end + 1, 'ANIM', {CONTROL} FROM files WHERE at_x IS NOT NULL AND at_anim IS NULL"""),
     "ed7_set_canvas_size": f"SELECT doc_id, substr(payload, 1, 8) || {le('width * 2 - 1', 3)} || {le('height * 2 - 1', 3)} AS payload, size FROM {{chunks}} WHERE fourcc = 'VP8X'",
-    "ed8_set_static_image": edit("SELECT doc_id, CASE WHEN fourcc IN ('EXIF', 'XMP ') THEN k + 100 ELSE k END AS k, fourcc, size FROM {chunks} WHERE fourcc NOT IN ('VP8 ', 'VP8L', 'ALPH', 'ANIM', 'ANMF') UNION ALL SELECT DISTINCT doc_id, 50, 'VP8L', 77 FROM {chunks}"),
-    "ed9_set_animation": edit("SELECT doc_id, CASE WHEN fourcc IN ('EXIF', 'XMP ') THEN k + 100 ELSE k END AS k, fourcc, size FROM {chunks} WHERE fourcc NOT IN ('VP8 ', 'VP8L', 'ALPH', 'ANIM', 'ANMF') UNION ALL SELECT d.doc_id, 50 + f.i, CASE WHEN f.i = 0 THEN 'ANIM' ELSE 'ANMF' END, CASE WHEN f.i = 0 THEN 6 ELSE 60 + f.i END FROM (SELECT DISTINCT doc_id FROM {chunks}) d CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) f"),
-    "ed10_set_metadata": edit("SELECT doc_id, k, fourcc, size FROM {chunks} WHERE fourcc <> 'EXIF' UNION ALL SELECT DISTINCT doc_id, 60, 'EXIF', 12 FROM {chunks}"),
-    "ed10_remove_metadata": edit("SELECT doc_id, k, fourcc, size FROM {chunks} WHERE fourcc NOT IN ('ICCP', 'EXIF', 'XMP ')"),
+    "ed8_set_static_image": edit(_STATIC),
+    "ed9_set_animation": edit(f"SELECT doc_id, -1 AS k, 'VP8X' AS fourcc, {canvas('flags + 2')} AS payload FROM files UNION ALL {_KEPT} UNION ALL SELECT doc_id, coalesce(2 * at_rest - 1, 999), 'ANIM', {CONTROL} FROM files"),
+    "ed10_set_metadata": edit(f"""
+        SELECT doc_id, i AS k, fourcc, CASE WHEN i = at_exif THEN '{NEW}' ELSE {flagged(8)} END AS payload FROM r WHERE at_x IS NOT NULL
+        UNION ALL SELECT doc_id, 999, 'EXIF', '{NEW}' FROM files WHERE at_x IS NOT NULL AND at_exif IS NULL"""),
+    "ed10_remove_metadata": edit(f"SELECT doc_id, i AS k, fourcc, CASE WHEN at_exif IS NULL THEN payload ELSE {flagged(8, False)} END AS payload FROM r WHERE at_x IS NOT NULL AND (at_exif IS NULL OR i <> at_exif)"),
     "ed11_make_vp8x": FACTS + f" SELECT doc_id, CASE WHEN n_iccp > 0 THEN 32 ELSE 0 END | CASE WHEN n_alph > 0 THEN 16 ELSE 0 END | CASE WHEN n_exif > 0 THEN 8 ELSE 0 END | CASE WHEN n_xmp > 0 THEN 4 ELSE 0 END | CASE WHEN n_anim > 0 THEN 2 ELSE 0 END AS flags, {le('width - 1', 3)} || {le('height - 1', 3)} AS canvas FROM facts",
-    "ed12_construct": edit("SELECT doc_id, 0 AS k, 'VP8X' AS fourcc, 10 AS size FROM {chunks} WHERE k = 0 UNION ALL SELECT doc_id, 1, CASE WHEN doc_id % 3 = 0 THEN 'ANIM' WHEN doc_id % 3 = 1 THEN 'VP8 ' ELSE 'VP8L' END, 6 + doc_id % 50 FROM {chunks} WHERE k = 0 UNION ALL SELECT doc_id, 2, 'ANMF', 24 + doc_id % 9 FROM {chunks} WHERE k = 0 AND doc_id % 3 = 0"),
-    "ed13_add_and_set": edit("SELECT doc_id, k, fourcc, size FROM {chunks} WHERE fourcc NOT IN ('VP8 ', 'VP8L', 'ALPH') UNION ALL SELECT DISTINCT doc_id, 70, 'VP8L', 33 FROM {chunks} UNION ALL SELECT DISTINCT doc_id, 71, 'note', 4 FROM {chunks}"),
-    "ed14_edit_parsed": edit("SELECT doc_id, CASE WHEN fourcc = 'ICCP' THEN 2 ELSE k * 3 END AS k, fourcc, CASE WHEN fourcc = 'XMP ' THEN size + 3 ELSE size END AS size FROM {chunks} WHERE NOT (fourcc = 'EXIF' AND k = 10)"),
+    "ed12_construct": edit(f"""
+        SELECT doc_id, 1 AS k, 'VP8L' AS fourcc, '{IMAGE}' AS payload FROM files WHERE doc_id % 3 = 0
+        UNION ALL SELECT doc_id, 0, 'VP8X', {canvas('CASE doc_id % 3 WHEN 1 THEN 16 ELSE 2 END')} FROM files WHERE doc_id % 3 > 0
+        UNION ALL SELECT doc_id, 1, 'ALPH', '{NEW}' FROM files WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, 2, 'VP8 ', '{IMAGE}' FROM files WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, 1, 'ANIM', {CONTROL} FROM files WHERE doc_id % 3 = 2"""),
+    "ed13_add_and_set": edit(f"{_STATIC} UNION ALL SELECT doc_id, 1000, 'note', '{NEW}' FROM files"),
+    "ed14_edit_parsed": edit(f"""
+        SELECT r.doc_id, r.i AS k, fourcc, CASE WHEN fourcc = 'VP8X' THEN {le(f"{byte('payload', 0)} | 4", 1)} || substr(payload, 3) WHEN r.i = at_xmp THEN '{NEW}' || payload ELSE payload END AS payload
+        FROM r LEFT JOIN frames g ON r.doc_id = g.doc_id AND r.i = g.i WHERE at_x IS NOT NULL AND (j IS NULL OR j > 0)
+        UNION ALL SELECT doc_id, 999, 'XMP ', '{NEW}' FROM files WHERE at_x IS NOT NULL AND at_xmp IS NULL"""),
     "ed15_frame_uses_alpha": f"SELECT doc_id, max(CASE WHEN fourcc = 'ALPH' OR (fourcc = 'VP8L' AND (({byte('payload', 4)} >> 4) & 1) = 1) THEN 1 ELSE 0 END) = 1 AS uses_alpha FROM {{chunks}} GROUP BY doc_id",
 }
 

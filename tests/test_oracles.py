@@ -62,3 +62,46 @@ def test_layout_verdicts_agree_with_the_parser(spark):
     lossless = {r.doc_id for r in QUERIES["ct19_alpha_hint"](spark, SF).filter("fourcc = 'VP8L' and has_alpha").collect()}
     assert all((v == "valid") == (parser[i] == "none") or (i in lossless and v == "valid") for i, v in layout.items())
     assert len(set(layout.values())) >= 6
+
+
+def test_edit_plans_agree_with_the_editor(spark):
+    """The plans and the functions share nothing; both edit every file of the smallest tables."""
+    import hashlib
+
+    from tessera.functions import editing as e
+    from tessera.functions import riff
+    from tessera.operators import codec
+    from tessera.operators.container import FRAME, IMAGE, NEW
+
+    new, frame, image = bytes.fromhex(NEW), bytes.fromhex(FRAME), bytes.fromhex(IMAGE)
+    files = {r.doc_id: [(c.fourcc, c.payload) for c in riff.parse(bytes(r.file), strict=False)] for r in codec.files(spark, SF).collect()}
+    size = {r.doc_id: (r.width, r.height) for r in QUERIES["ct1_read_info"](spark, SF).collect()}
+    has = lambda c, f: any(x == f for x, _ in c)
+    background = (3, 2, 1, 4)
+
+    def xmp(c):
+        there = [p for f, p in c if f == "XMP "]
+        return e.remove_animation_frame(e.set_metadata(c, "XMP ", new + there[0] if there else new), 0)
+
+    still = lambda i, c: e.set_static_image(c, *size[i], ("VP8L", image))
+    edits = {
+        "ed1_insert_chunk": lambda i, c: e.insert_chunk(c, i % (len(c) + 1), "NEWC", new),
+        "ed2_replace_chunk": lambda i, c: e.replace_chunk(c, i % len(c), "REPL", new),
+        "ed3_remove_chunk": lambda i, c: e.remove_chunk(c, i % len(c)),
+        "ed4_insert_animation_frame": lambda i, c: e.insert_animation_frame(c, i % (sum(f == "ANMF" for f, _ in c) + 1), frame, alpha=True) if has(c, "ANIM") and has(c, "VP8X") else None,
+        "ed5_remove_animation_frame": lambda i, c: e.remove_animation_frame(c, i % 2),
+        "ed6_set_animation_params": lambda i, c: e.set_animation_params(c, background, i % 65536) if has(c, "VP8X") else None,
+        "ed8_set_static_image": still,
+        "ed9_set_animation": lambda i, c: e.set_animation(c, *size[i], background, i % 65536),
+        "ed10_set_metadata": lambda i, c: e.set_metadata(c, "EXIF", new) if has(c, "VP8X") else None,
+        "ed10_remove_metadata": lambda i, c: e.remove_metadata(c, "EXIF") if has(c, "VP8X") else None,
+        "ed13_add_and_set": lambda i, c: e.add_chunk(still(i, c), "note", new),
+        "ed14_edit_parsed": lambda i, c: xmp(c) if has(c, "VP8X") else None,
+    }
+    for name, edit in edits.items():
+        want = {}
+        for i, chunks in files.items():
+            made = edit(i, chunks)
+            if made:
+                want[i] = "".join(f"{f}:{hashlib.md5(p.hex().upper().encode()).hexdigest()} " for f, p in made)
+        assert {r.doc_id: r.layout for r in QUERIES[name](spark, SF).collect()} == want, name
