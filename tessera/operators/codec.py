@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import lossy, planes, riff, vp8l, vp8l_high
+from tessera.functions import animation, lossy, planes, riff, vp8, vp8l, vp8l_high
 from tessera.functions.bits import StreamError
 from tessera.operators.container import PLANS as CONTAINER
 from tessera.plans.dialect import RELATIONS, for_spark
 from tessera.shipping import ship
 from tessera.sources.raster import PLANE_WIDTH, WIDTH, bodies, whole
-from tessera.streaming.incremental import run_to_end
+from tessera.streaming import incremental
 
 CHUNK_ROWS = "doc_id long, fourcc string, begins long, size long"
 
@@ -163,21 +164,138 @@ def macroblock_modes(spark: SparkSession, sf_dir: str, quality: int = 75) -> Dat
     return _bodies(spark, sf_dir).mapInArrow(batches, "doc_id long, mb_y long, mb_x long, luma string, chroma string, luma_sad long, luma_cost long, chroma_sad long, chroma_cost long")
 
 
-def compose_animations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, timestamp_ms, digest): the canvas shown after each frame, with blending and disposal."""
+def _frame_header(i: int, height: int) -> vp8.Header:
+    """Every field of a header varies with the image's number."""
+    return vp8.Header(WIDTH, height, quantiser=i % 128, level=i * 7 % 64, sharpness=i % 8, partitions=1 << i % 4, simple=i % 3 == 0)
+
+
+def lossy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, width, height, quantiser, level, sharpness, partitions, simple, exact): rasters as lossy frames; the header as it
+    is read, and whether the decoded planes are the encoder's own reconstruction, sample by sample."""
+    tables = vp8.Tables.by_rule()
+    names = ["doc_id", "width", "height", "quantiser", "level", "sharpness", "partitions", "simple", "exact"]
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in _rows_of(stream, 4 * WIDTH):
+            rows = []
+            for i, x in zip(ids, data, strict=True):
+                pixels = np.frombuffer(x, np.uint8).reshape(-1, WIDTH, 4)
+                frame, made = vp8.encode_planes(lossy.to_yuv(pixels), _frame_header(i or 0, len(pixels)), tables)
+                h, shown = vp8.decode_planes(frame, tables)
+                rows.append((i, h.width, h.height, h.quantiser, h.level, h.sharpness, h.partitions, h.simple, all(np.array_equal(a, b) for a, b in zip(made, shown, strict=True))))
+            kinds = [*[pa.int64()] * 7, pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return _bodies(spark, sf_dir).mapInArrow(batches, ", ".join(f"{n} {'boolean' if n in ('simple', 'exact') else 'long'}" for n in names))
+
+
+def coefficient_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, blocks, tokens_with_zero, digest): bytes as levels of blocks of 16, written as tokens and read again."""
+    tables = vp8.Tables.by_rule()
+    flat, nested = tables.coefficients.ravel().tolist(), tables.coefficients.tolist()
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in _rows_of(stream, PLANE_WIDTH):
+            blocks, zeros, digests = [], [], []
+            for x in data:
+                v = np.frombuffer(x, np.uint8).astype(np.int64)
+                levels = np.where(v % 3 == 0, 0, (v - 128) * np.where(v % 11 == 0, 16, 1)).reshape(-1, 16).tolist()
+                writer, context = vp8.BoolWriter(), 0
+                for k, block in enumerate(levels):
+                    tokens, context = vp8.block_tokens(block, 1 + k % 3, 0, context)
+                    for bit, at in tokens:
+                        writer.bit(bit, flat[at] if at >= 0 else -at)
+                reader, context, back = vp8.BoolReader(writer.done()), 0, []
+                for k in range(len(levels)):
+                    out = [0] * 16
+                    context = vp8.read_block(reader, nested[1 + k % 3], 0, context, out)
+                    back += out
+                got = np.array(back)
+                blocks.append(len(levels))
+                zeros.append(int((got == 0).sum()))
+                digests.append(int((got * (1 + np.arange(len(got)) % 251)).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in (blocks, zeros, digests))], names=["doc_id", "blocks", "zeros", "digest"])
+
+    return _bodies(spark, sf_dir).mapInArrow(batches, "doc_id long, blocks long, zeros long, digest long")
+
+
+def _animation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turns, file): conversations as animated files, one frame of one colour for each turn."""
     ship(spark)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("turn")
-        width, height = int((rows.x + rows.width).max()), int((rows.y + rows.height).max())
+        x, y = rows.x - rows.x % 2, rows.y - rows.y % 2
         made = []
-        for r in rows.itertuples():
+        for r, at_x, at_y in zip(rows.itertuples(), x, y, strict=True):
             pixel = np.array([r.red, 255 - r.red, r.red // 2, r.alpha], np.uint8)
-            made.append((int(r.x), int(r.y), np.broadcast_to(pixel, (int(r.height), int(r.width), 4)), bool(r.dispose), bool(r.blend)))
-        shown = planes.compose(width, height, made)
-        return pd.DataFrame({"conv_id": rows.conv_id, "turn": rows.turn, "timestamp_ms": rows.duration.cumsum(), "digest": [int(c.astype(np.int64).sum()) for c in shown]})
+            made.append((int(at_x), int(at_y), np.broadcast_to(pixel, (int(r.height), int(r.width), 4)), int(r.duration), bool(r.blend), bool(r.dispose)))
+        file = animation.encode_lossless(int((x + rows.width).max()), int((y + rows.height).max()), made, (1, 2, 3, 4), int(rows.conv_id.iloc[0]) % 65536)
+        return pd.DataFrame({"conv_id": rows.conv_id.iloc[:1], "turns": [rows.turn.tolist()], "file": [file]})
+
+    return RELATIONS["frames"](spark, sf_dir).groupBy("conv_id").applyInPandas(one, "conv_id long, turns array<long>, file binary")
+
+
+def decode_animations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, timestamp_ms, digest): animated files decoded frame by frame: the canvas shown after each."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            rows = []
+            for i, turns, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for turn, (timestamp, _, canvas) in zip(turns, animation.AnimationReader(data), strict=True):
+                    places = 1 + np.arange(canvas.shape[0] * canvas.shape[1]) % 251
+                    rows.append((i, turn, timestamp, int((canvas.reshape(-1, 4).astype(np.int64) @ np.array([1, 3, 5, 7]) * places).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["conv_id", "turn", "timestamp_ms", "digest"])
+
+    return _animation_files(spark, sf_dir).mapInArrow(batches, "conv_id long, turn long, timestamp_ms long, digest long")
 
-    return RELATIONS["frames"](spark, sf_dir).groupBy("conv_id").applyInPandas(one, "conv_id long, turn long, timestamp_ms long, digest long")
+
+def animation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, frames, width, height, loops, duration_ms): what the controls and headers of the written files say."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            rows = []
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                a = animation.AnimationReader(data)
+                rows.append((i, len(a.frames), a.canvas_size.width, a.canvas_size.height, a.loops, sum(f.duration for f in a.frames)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)], names=["conv_id", "frames", "width", "height", "loops", "duration_ms"])
+
+    return _animation_files(spark, sf_dir).mapInArrow(batches, "conv_id long, frames long, width long, height long, loops long, duration_ms long")
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder.rstrip("/")
+
+
+def incremental_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream_id, rows, exact): rasters as lossy files (even ids) or lossless ones, streamed in pieces; rows that came out while
+    they came in, and whether together they are what decoding at once gives."""
+    tables = vp8.Tables.by_rule()
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in _rows_of(stream, 4 * WIDTH):
+            files, digests = [], []
+            for i, x in zip(ids, data, strict=True):
+                height = len(x) // (4 * WIDTH)
+                payload = vp8.encode(WIDTH, height, x, i % 101, tables) if i % 2 == 0 else vp8l.encode(WIDTH, height, x)
+                files.append(riff.serialise([("VP8 " if i % 2 == 0 else "VP8L", payload)]))
+                digests.append(_digest((vp8.decode(payload, tables) if i % 2 == 0 else vp8l.decode(payload))[2]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(files, pa.binary()), pa.array(digests, pa.string())], names=["stream_id", "file", "want"])
+
+    path = f"{_shared_folder(spark)}/tessera-files-{uuid.uuid4().hex}"
+    _bodies(spark, sf_dir).filter("doc_id is not null").mapInArrow(batches, "stream_id long, file binary, want string").write.parquet(path)
+    files, cut = spark.read.parquet(path), 997
+    pieces = files.select("stream_id", "file", F.explode(F.sequence(F.lit(0), F.expr(f"cast((octet_length(file) - 1) div {cut} as int)"))).alias("seq"))
+    fragments = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), F.expr(f"substring(file, seq * {cut} + 1, {cut})").alias("bytes"), F.expr(f"seq = cast((octet_length(file) - 1) div {cut} as int)").alias("is_last"))
+    shown = incremental.run_to_end(spark, fragments, _shared_folder(spark), step=incremental.decoded_rows, schema=incremental.ROWS, tables=tables)
+    parts = F.expr("array_join(transform(array_sort(collect_list(struct(first_row, hex(rgba) AS h))), p -> p.h), '')")
+    got = shown.filter("rows > 0").groupBy("stream_id").agg(F.sum("rows").cast("long").alias("rows"), F.sha2(parts, 256).alias("got"))
+    return files.select("stream_id", "want").join(got, "stream_id", "left").select("stream_id", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), F.coalesce(F.col("got") == F.col("want"), F.lit(False)).alias("exact"))
 
 
 def incremental_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,10 +304,7 @@ def incremental_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files(spark, sf_dir)
     pieces = found.select(F.col("doc_id").alias("stream_id"), "file", F.explode(F.sequence(F.lit(0), F.expr(f"cast((octet_length(file) - 1) div {cut} as int)"))).alias("seq"))
     fragments = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), F.expr(f"substring(file, seq * {cut} + 1, {cut})").alias("bytes"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return run_to_end(spark, fragments, folder.rstrip("/")).filter("progress = 'Complete'").select("stream_id", "received", "chunks").distinct()
+    return incremental.run_to_end(spark, fragments, _shared_folder(spark)).filter("progress = 'Complete'").select("stream_id", "received", "chunks").distinct()
 
 
 _HEX = "WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents)"
@@ -203,12 +318,38 @@ QUERIES = {
     "al6_alpha_payloads": alpha_payload_round_trip,
     "le1_encoded_sizes": vp8l_encoded_sizes,
     "al4_gradient_round_trip": alpha_gradient_round_trip,
-    "an1_compose_animations": compose_animations,
+    "vd19_lossy_round_trip": lossy_round_trip,
+    "vd7_coefficient_tokens": coefficient_tokens,
+    "an1_decode_animations": decode_animations,
+    "an10_animation_files": animation_facts,
+    "st4_incremental_images": incremental_images,
     "st1_incremental_containers": incremental_containers,
 }
 _RASTERS = _HEX + " SELECT doc_id, CAST(16 AS BIGINT) AS width, (n + 63) // 64 AS height, sha256(rpad(h, CAST((n + 63) // 64 * 128 AS INT), '0')) AS rgba_sha256 FROM h WHERE n > 0"
 _PLANES = _HEX + " SELECT doc_id, (n + 31) // 32 * 32 AS samples, sha256(rpad(h, CAST((n + 31) // 32 * 64 AS INT), '0')) AS plane_sha256 FROM h WHERE n > 0"
+_OVER = "(CASE WHEN oa = 0 THEN 0 ELSE (s{c} * sa * 255 + d{c} * da * (255 - sa) + oa * 127) // (oa * 255) END)"
+#: Every place of every canvas, frame after frame: DuckDB's recursion instead of arrays of pixels.
+_CANVASES = f"""WITH RECURSIVE f AS (
+        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, duration, x - x % 2 AS x, y - y % 2 AS y, width, height, dispose, blend, red AS sr, 255 - red AS sg, red // 2 AS sb, alpha AS sa FROM {{frames}}),
+    sizes AS (SELECT conv_id, max(x + width) AS w, max(y + height) AS h FROM f GROUP BY conv_id),
+    places AS (SELECT conv_id, w, px, unnest(range(h)) AS py FROM (SELECT *, unnest(range(w)) AS px FROM sizes) t),
+    shown AS (
+        SELECT conv_id, w, px, py, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS a, false AS gone FROM places
+        UNION ALL
+        SELECT conv_id, w, px, py, i, CAST(CASE WHEN NOT inside THEN dr WHEN blend THEN {_OVER.format(c='r')} ELSE sr END AS BIGINT), CAST(CASE WHEN NOT inside THEN dg WHEN blend THEN {_OVER.format(c='g')} ELSE sg END AS BIGINT),
+               CAST(CASE WHEN NOT inside THEN db WHEN blend THEN {_OVER.format(c='b')} ELSE sb END AS BIGINT), CAST(CASE WHEN NOT inside THEN da WHEN blend THEN oa ELSE sa END AS BIGINT), inside AND dispose
+        FROM (SELECT *, sa + ((da * (255 - sa) + 127) // 255) AS oa FROM (
+            SELECT s.conv_id, w, px, py, f.i, sr, sg, sb, sa, blend, dispose, px >= x AND px < x + width AND py >= y AND py < y + height AS inside,
+                   CASE WHEN gone THEN 0 ELSE r END AS dr, CASE WHEN gone THEN 0 ELSE g END AS dg, CASE WHEN gone THEN 0 ELSE b END AS db, CASE WHEN gone THEN 0 ELSE a END AS da
+            FROM shown s JOIN f ON f.conv_id = s.conv_id AND f.i = s.i + 1) u) v),
+    times AS (SELECT conv_id, turn, i, sum(duration) OVER (PARTITION BY conv_id ORDER BY i) AS timestamp_ms FROM f)
+    SELECT s.conv_id, turn, CAST(any_value(timestamp_ms) AS BIGINT) AS timestamp_ms, CAST(sum((r + 3 * g + 5 * b + 7 * a) * (1 + (py * w + px) % 251)) AS BIGINT) AS digest FROM shown s JOIN times t ON t.conv_id = s.conv_id AND t.i = s.i GROUP BY s.conv_id, turn"""
 TWINS = {
+    "vd19_lossy_round_trip": _HEX + " SELECT doc_id, CAST(16 AS BIGINT) AS width, (n + 63) // 64 AS height, doc_id % 128 AS quantiser, doc_id * 7 % 64 AS level, doc_id % 8 AS sharpness, CAST(1 << (doc_id % 4) AS BIGINT) AS partitions, doc_id % 3 = 0 AS simple, true AS exact FROM h WHERE n > 0",
+    "vd7_coefficient_tokens": "SELECT doc_id, count(*) // 16 AS blocks, CAST(sum(CASE WHEN v % 3 = 0 OR v = 128 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(CASE WHEN v % 3 = 0 THEN 0 ELSE (v - 128) * CASE WHEN v % 11 = 0 THEN 16 ELSE 1 END END * (1 + idx % 251)) AS BIGINT) AS digest FROM {al} GROUP BY doc_id",
+    "an1_decode_animations": _CANVASES,
+    "an10_animation_files": "SELECT conv_id, count(*) AS frames, max(x - x % 2 + width) AS width, max(y - y % 2 + height) AS height, conv_id % 65536 AS loops, CAST(sum(duration) AS BIGINT) AS duration_ms FROM {frames} GROUP BY conv_id",
+    "st4_incremental_images": _HEX + " SELECT doc_id AS stream_id, (n + 63) // 64 AS rows, true AS exact FROM h WHERE n > 0 AND doc_id IS NOT NULL",
     "ld1_decode_files": _RASTERS,
     "le46_high_compression": _RASTERS,
     "vp8l_round_trip": _RASTERS,
