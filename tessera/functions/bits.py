@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+
 
 class StreamError(ValueError):
     """A stream that ends early or breaks a rule; kind is one of the error kinds of the error column."""
@@ -45,47 +49,79 @@ class BitReader:
         return value
 
 
-def reversed_bits(value: int, count: int) -> int:
-    return int(f"{value:0{count}b}"[::-1], 2) if count else 0
+@lru_cache(maxsize=1)
+def reversed_words() -> np.ndarray:
+    """Every 16-bit number with its bits the other way round."""
+    out, n = np.zeros(1 << 16, np.int64), np.arange(1 << 16)
+    for i in range(16):
+        out |= (n >> i & 1) << (15 - i)
+    return out
+
 
+def in_code_order(lengths: np.ndarray) -> np.ndarray:
+    """Symbols that have a code, by length and then by number."""
+    used = np.nonzero(lengths)[0]
+    return used[np.argsort(lengths[used], kind="stable")]
 
-def canonical_codes(lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """symbol -> (code as it stands in the stream, length); codes rise with length, then symbol."""
-    code, last, out = 0, 0, {}
-    for length, symbol in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= length - last
-        out[symbol] = (reversed_bits(code, length), length)
-        code, last = code + 1, length
+
+def code_arrays(lengths: np.ndarray) -> np.ndarray:
+    """By symbol: the canonical code as it stands in the stream; codes rise with length, then symbol."""
+    order = in_code_order(lengths)
+    steps = np.int64(1) << (15 - lengths[order])
+    out = np.zeros(len(lengths), np.int64)
+    out[order] = reversed_words()[(np.cumsum(steps) - steps) << 1 & 0xFFFF]
     return out
 
 
+def canonical_codes(lengths: list[int]) -> dict[int, tuple[int, int]]:
+    """symbol -> (code as it stands in the stream, length)."""
+    n = np.asarray(lengths, np.int64)
+    codes = code_arrays(n)
+    return {s: (int(codes[s]), int(n[s])) for s in np.nonzero(n)[0].tolist()}
+
+
+def write_codes(bits: BitWriter, codes: np.ndarray, lengths: np.ndarray) -> None:
+    """Writes many codes one after the other, all at once."""
+    there = lengths > 0
+    codes, lengths = codes[there], lengths[there]
+    total = int(lengths.sum())
+    if total:
+        within = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        stream = np.packbits((np.repeat(codes, lengths) >> within & 1).astype(np.uint8), bitorder="little")
+        bits.write(int.from_bytes(stream.tobytes(), "little"), total)
+
+
 class PrefixTable:
-    """Decodes one symbol at a time; a single symbol takes no bits."""
+    """Decodes one symbol at a time, or is looked up for many places of a stream; a single symbol takes no bits."""
 
-    def __init__(self, lengths: list[int]) -> None:
-        used = [s for s, n in enumerate(lengths) if n]
-        if not used:
+    def __init__(self, lengths: list[int] | np.ndarray) -> None:
+        n = np.asarray(lengths, np.int64)
+        order = in_code_order(n)
+        if not len(order):
             raise StreamError("InvalidBitstream", "prefix code without symbols")
-        self.single = used[0] if len(used) == 1 else None
+        self.single = int(order[0]) if len(order) == 1 else None
         if self.single is not None:
+            self.bits, self.symbols, self.lengths = 0, order.astype(np.int32), np.zeros(1, np.int32)
             return
-        self.bits = max(lengths)
-        if sum(1 << (15 - n) for n in lengths if n) != 1 << 15:
+        if int((1 << (15 - n[order])).sum()) != 1 << 15:
             raise StreamError("InvalidBitstream", "prefix code is not complete")
-        table = [(0, 0)] * (1 << self.bits)
-        for symbol, (code, length) in canonical_codes(lengths).items():
-            for i in range(code, 1 << self.bits, 1 << length):
-                table[i] = (symbol, length)
-        self.table = table
+        self.bits = int(n.max())
+        many = 1 << (self.bits - n[order])
+        place = reversed_words()[np.arange(1 << self.bits) << (16 - self.bits)]
+        self.symbols, self.lengths = (np.empty(1 << self.bits, np.int32) for _ in range(2))
+        self.symbols[place], self.lengths[place] = np.repeat(order, many), np.repeat(n[order], many)
+        self._lists: tuple[list[int], list[int]] | None = None
 
     def read(self, bits: BitReader) -> int:
         if self.single is not None:
             return self.single
-        symbol, length = self.table[bits.peek(self.bits)]
-        bits.at += length
+        if self._lists is None:
+            self._lists = self.symbols.tolist(), self.lengths.tolist()
+        at = bits.peek(self.bits)
+        bits.at += self._lists[1][at]
         if bits.at > bits.end:
             raise StreamError("UnexpectedEof", "prefix code")
-        return symbol
+        return self._lists[0][at]
 
 
 def balanced_lengths(frequencies: dict[int, int], size: int) -> list[int]:
@@ -97,69 +133,3 @@ def balanced_lengths(frequencies: dict[int, int], size: int) -> list[int]:
     for k, s in enumerate(ranked):
         lengths[s] = 1 if len(ranked) == 1 else floor + (k >= short)
     return lengths
-
-
-class BoolWriter:
-    """Arithmetic coder of the lossy format: booleans with 8-bit probabilities, carries resolved at once."""
-
-    def __init__(self) -> None:
-        self.low, self.range, self.bits = 0, 255, 0
-
-    def write(self, bit: int, probability: int = 128) -> None:
-        split = 1 + ((self.range - 1) * probability >> 8)
-        if bit:
-            self.low += split
-            self.range -= split
-        else:
-            self.range = split
-        shift = 8 - self.range.bit_length()
-        self.range <<= shift
-        self.low <<= shift
-        self.bits += shift
-
-    def literal(self, value: int, count: int) -> None:
-        """Most significant bit first, even probabilities."""
-        for i in reversed(range(count)):
-            self.write(value >> i & 1)
-
-    def signed(self, value: int, count: int) -> None:
-        self.literal(abs(value), count)
-        self.write(int(value < 0))
-
-    def finish(self) -> bytes:
-        total = self.bits + 8
-        pad = -total % 8
-        return (self.low << pad).to_bytes((total + pad) // 8, "big")
-
-
-class BoolReader:
-    def __init__(self, data: bytes) -> None:
-        self.data, self.at = data, 2
-        self.value, self.range, self.left = int.from_bytes(data[:2].ljust(2, b"\0"), "big"), 255, 8
-
-    def read(self, probability: int = 128) -> int:
-        split = 1 + ((self.range - 1) * probability >> 8)
-        bit = int(self.value >= split << 8)
-        if bit:
-            self.value -= split << 8
-            self.range -= split
-        else:
-            self.range = split
-        while self.range < 128:
-            self.range <<= 1
-            self.value <<= 1
-            self.left -= 1
-            if not self.left:
-                self.value |= self.data[self.at] if self.at < len(self.data) else 0
-                self.at, self.left = self.at + 1, 8
-        return bit
-
-    def literal(self, count: int) -> int:
-        value = 0
-        for _ in range(count):
-            value = value << 1 | self.read()
-        return value
-
-    def signed(self, count: int) -> int:
-        value = self.literal(count)
-        return -value if self.read() else value

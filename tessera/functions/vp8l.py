@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tessera.functions.bits import BitReader, BitWriter, PrefixTable, StreamError, balanced_lengths, canonical_codes
+from tessera.functions.bits import BitReader, BitWriter, PrefixTable, StreamError, balanced_lengths, code_arrays, write_codes
 from tessera.operators.pixels import CANDIDATES, LEAST_PIXELS
 
 SIGNATURE, HASH, LONGEST = 0x2F, 0x1E35A7BD, 4096
@@ -52,6 +52,8 @@ def _table(bits: BitReader, size: int) -> PrefixTable:
         left = 2 + bits.read(2 + 2 * bits.read(3))
         if left > size:
             raise StreamError("InvalidBitstream", "too many code lengths")
+    if code.bits and left == size and code.symbols.max() < 16 and code.lengths.min() == code.lengths.max():
+        return PrefixTable(_fixed_width(bits, code, size))
     at, last = 0, 8
     while at < size and left:
         left -= 1
@@ -68,6 +70,17 @@ def _table(bits: BitReader, size: int) -> PrefixTable:
     return PrefixTable(lengths)
 
 
+def _fixed_width(bits: BitReader, code: PrefixTable, size: int) -> np.ndarray:
+    """So many symbols of a code whose symbols all have the same length."""
+    end = bits.at + size * code.bits
+    if end > bits.end:
+        raise StreamError("UnexpectedEof", "prefix code")
+    stream = np.unpackbits(np.frombuffer(bits.data, np.uint8, (end + 7 >> 3) - (bits.at >> 3), bits.at >> 3), bitorder="little")
+    first = bits.at & 7
+    bits.at = end
+    return code.symbols[stream[first : first + size * code.bits].reshape(size, code.bits) @ (1 << np.arange(code.bits))]
+
+
 def _value(bits: BitReader, prefix: int) -> int:
     if prefix < 4:
         return prefix + 1
@@ -75,16 +88,119 @@ def _value(bits: BitReader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _pixels(bits: BitReader, width: int, height: int, *, main: bool) -> list[int]:
+#: Bits of a stream whose tokens are looked up at a time.
+SPAN = 1 << 19
+
+
+class Literals:
+    """What a pixel's four symbols would be from every bit of a stretch of a stream, and where they would end. Most of it is never
+    asked for, but it takes a few passes over arrays where reading takes a few calls for each symbol."""
+
+    def __init__(self, data: bytes, begin: int, tables: list[PrefixTable]) -> None:
+        self.first, self.tables = begin, tables
+        widest = sum(t.bits for t in tables[:4])
+        byte, n = begin >> 3, min(SPAN, max(1, 8 * len(data) - begin + 1))
+        room = (n + widest >> 3) + 8
+        part = np.frombuffer(data[byte : byte + room].ljust(room, b"\0"), np.uint8).astype(np.uint32)
+        word = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
+        self.peek = (word[:, None] >> np.arange(8, dtype=np.uint32)).ravel()[begin & 7 :]
+        at = np.arange(n)
+        for i, t in enumerate(tables[:4]):
+            found = self.peek[at] & np.uint32((1 << t.bits) - 1)
+            if i == 0:
+                self.green = t.symbols[found]
+            at = at + t.lengths[found]
+        # The next pixel's place, or that of the symbol itself, below zero, where it isn't a literal.
+        self.after = memoryview(np.where(self.green < 256, at, -1 - np.arange(n)).astype(np.int64))
+        self.n = n
+
+    def colours(self, at: np.ndarray) -> np.ndarray:
+        """Pixels of the literals at these places."""
+        out = []
+        for t in self.tables[:4]:
+            found = self.peek[at] & np.uint32((1 << t.bits) - 1)
+            out.append(t.symbols[found].astype(np.int64))
+            at = at + t.lengths[found]
+        green, red, blue, alpha = out
+        return alpha << 24 | red << 16 | green << 8 | blue
+
+
+def _one_group(bits: BitReader, tables: list[PrefixTable], total: int, width: int, cache_bits: int) -> np.ndarray:
+    """Pixels of an image with one set of tables. First the tokens are walked, literals by their places, then all literals get
+    their colours, then copies and cache hits are filled in, in order."""
+    n, places, colours = 0, [], []
+    events: list[tuple[int, int, int]] = []  # place in the image, length (0 for the cache), distance or slot
+    span: Literals | None = None
+    while n < total:
+        if span is None or not 0 <= bits.at - span.first < span.n:
+            if bits.at > bits.end:
+                raise StreamError("UnexpectedEof", "pixels")
+            if places:
+                colours.append(span.colours(np.array(places)))
+            span, places = Literals(bits.data, bits.at, tables), []
+        at, after, limit, most = bits.at - span.first, span.after, span.n, len(places) + total - n
+        before, add = len(places), places.append
+        while at < limit and (then := after[at]) >= 0 and len(places) < most:
+            add(at)
+            at = then
+        n += len(places) - before
+        bits.at = span.first + at
+        if bits.at > bits.end:
+            raise StreamError("UnexpectedEof", "pixels")
+        if n == total or at >= limit:
+            continue
+        s = tables[0].read(bits)
+        if s < 280:
+            length, code = _value(bits, s - 256), _value(bits, tables[4].read(bits))
+            x, y = NEAR[code - 1] if code <= 120 else (code - 120, 0)
+            far = max(1, x + y * width)
+            if far > n or n + length > total:
+                raise StreamError("InvalidBitstream", "copy outside the image")
+            events.append((n, length, far))
+            n += length
+        else:
+            if s - 280 >= 1 << cache_bits or not cache_bits:
+                raise StreamError("InvalidBitstream", "cache index")
+            events.append((n, 0, s - 280))
+            n += 1
+    if places:
+        colours.append(span.colours(np.array(places)))
+    out, plain = np.empty(total, np.int64), np.ones(total, bool)
+    for n, length, _ in events:
+        plain[n : n + max(1, length)] = False
+    if colours:
+        out[plain] = np.concatenate(colours)
+    cache, shift, cached = np.zeros(1 << cache_bits, np.int64), 32 - cache_bits, 0
+    for n, length, value in events:
+        if not length:
+            fresh = out[cached:n]
+            cache[(fresh * HASH & 0xFFFFFFFF) >> shift] = fresh  # of several for one slot the last stays
+            cached = n
+            out[n] = cache[value]
+        elif value == 1:
+            out[n : n + length] = out[n - 1]
+        elif value >= length:
+            out[n : n + length] = out[n - value : n - value + length]
+        else:
+            out[n : n + length] = np.resize(out[n - value : n], length)
+    return out
+
+
+def _pixels(bits: BitReader, width: int, height: int, *, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
-    groups, group_bits, across = [0], 0, 1
+    if cache_bits > 11:
+        raise StreamError("InvalidBitstream", "cache size")
+    groups, group_bits, across = np.zeros(1, np.int64), 0, 1
     if main and bits.read(1):
         group_bits = bits.read(3) + 2
         across = (width + (1 << group_bits) - 1) >> group_bits
-        groups = [(p >> 8) & 0xFFFF for p in _pixels(bits, across, (height + (1 << group_bits) - 1) >> group_bits, main=False)]
+        groups = _pixels(bits, across, (height + (1 << group_bits) - 1) >> group_bits, main=False) >> 8 & 0xFFFF
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    tables = [[_table(bits, n) for n in sizes] for _ in range(max(groups) + 1)]
+    tables = [[_table(bits, n) for n in sizes] for _ in range(int(groups.max()) + 1)]
+    if len(tables) == 1:
+        return _one_group(bits, tables[0], width * height, width, cache_bits)
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
+    groups = groups.tolist()
     out: list[int] = []
     total, done = width * height, 0
 
@@ -95,18 +211,15 @@ def _pixels(bits: BitReader, width: int, height: int, *, main: bool) -> list[int
         done = len(out)
 
     while (n := len(out)) < total:
-        green, red, blue, alpha, distance = tables[groups[(n // width >> group_bits) * across + (n % width >> group_bits)] if group_bits else 0]
+        green, red, blue, alpha, distance = tables[groups[(n // width >> group_bits) * across + (n % width >> group_bits)]]
         s = green.read(bits)
         if s < 256:
             r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
             out.append(a << 24 | r << 16 | s << 8 | b)
         elif s < 280:
             length, code = _value(bits, s - 256), _value(bits, distance.read(bits))
-            if code > 120:
-                far = code - 120
-            else:
-                x, y = NEAR[code - 1]
-                far = max(1, x + y * width)
+            x, y = NEAR[code - 1] if code <= 120 else (code - 120, 0)
+            far = max(1, x + y * width)
             if far > n or n + length > total:
                 raise StreamError("InvalidBitstream", "copy outside the image")
             for _ in range(length):
@@ -117,7 +230,7 @@ def _pixels(bits: BitReader, width: int, height: int, *, main: bool) -> list[int
             if s - 280 >= 1 << cache_bits:
                 raise StreamError("InvalidBitstream", "cache index")
             out.append(cache[s - 280])
-    return out
+    return np.array(out, np.int64)
 
 
 def _average(a: list[int], b: list[int]) -> list[int]:
@@ -156,32 +269,52 @@ def predict(mode: int, left: list[int], top: list[int], top_left: list[int], top
     return [0, 0, 0, 255]
 
 
-def _undo_prediction(rgba: np.ndarray, modes: list[int], size_bits: int) -> np.ndarray:
+def _undo_prediction(rgba: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
+    """Adds predictions back, a row's stretch of one mode at a time: what doesn't look to the left is a sum of rows, the left
+    predictor a running sum; the others go pixel by pixel."""
     height, width = rgba.shape[:2]
-    across = (width + (1 << size_bits) - 1) >> size_bits
-    px = [p.tolist() for p in rgba.reshape(-1, 4)]
-    for i, p in enumerate(px):
-        y, x = divmod(i, width)
-        if i == 0:
-            guess = [0, 0, 0, 255]
-        elif y == 0:
-            guess = px[i - 1]
-        elif x == 0:
-            guess = px[i - width]
-        else:
-            guess = predict((modes[(y >> size_bits) * across + (x >> size_bits)] >> 8) & 15, px[i - 1], px[i - width], px[i - width - 1], px[i - width + 1])
-        px[i] = [(a + b) & 255 for a, b in zip(p, guess, strict=True)]
-    return np.array(px, np.uint8).reshape(height, width, 4)
+    across, side = (width + (1 << size_bits) - 1) >> size_bits, 1 << size_bits
+    used = (np.asarray(modes, np.int64) >> 8 & 15).reshape(-1, across)
+    out = np.zeros((height + 1, width + 1, 4), np.uint8)  # with a row above and the next row's first pixel to the right
+    out[1, :width] = np.cumsum(np.concatenate([rgba[0, :1] + np.array([0, 0, 0, 255], np.uint8), rgba[0, 1:]]), axis=0, dtype=np.uint8)
+    for y in range(1, height):
+        row, above = out[y + 1], out[y]
+        above[width] = row[0] = rgba[y, 0] + above[0]
+        x, mode_row = 1, used[y >> size_bits]
+        while x < width:
+            mode, end = int(mode_row[x >> size_bits]), min(width, ((x >> size_bits) + 1) * side)
+            while end < width and mode_row[end >> size_bits] == mode:
+                end = min(width, end + side)
+            part = rgba[y, x:end]
+            if mode == 1:
+                row[x:end] = row[x - 1] + np.cumsum(part, axis=0, dtype=np.uint8)
+            elif mode in (2, 3, 4):
+                shift = (0, 1, -1)[mode - 2]
+                row[x:end] = part + above[x + shift : end + shift]
+            elif mode in (8, 9):
+                other = above[x - 1 : end - 1] if mode == 8 else above[x + 1 : end + 1]
+                row[x:end] = part + ((above[x:end].astype(np.uint16) + other) >> 1).astype(np.uint8)
+            elif mode in (0, 14, 15):
+                row[x:end] = part + np.array([0, 0, 0, 255], np.uint8)
+            else:
+                left, tops = row[x - 1].tolist(), above[x - 1 : end + 1].tolist()
+                made = []
+                for i, p in enumerate(part.tolist(), 1):
+                    left = [(a + b) & 255 for a, b in zip(p, predict(mode, left, tops[i], tops[i - 1], tops[i + 1]), strict=True)]
+                    made.append(left)
+                row[x:end] = made
+            x = end
+    return out[1:, :width].copy()
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int8).astype(np.int32)
 
 
-def _undo_cross_colour(rgba: np.ndarray, codes: list[int], size_bits: int) -> np.ndarray:
+def _undo_cross_colour(rgba: np.ndarray, codes: np.ndarray, size_bits: int) -> np.ndarray:
     height, width = rgba.shape[:2]
     across = (width + (1 << size_bits) - 1) >> size_bits
-    code = np.array(codes, np.int64)[(np.arange(height)[:, None] >> size_bits) * across + (np.arange(width)[None, :] >> size_bits)]
+    code = np.asarray(codes, np.int64)[(np.arange(height)[:, None] >> size_bits) * across + (np.arange(width)[None, :] >> size_bits)]
     gr, gb, rb = (_signed(code >> s & 255) for s in (0, 8, 16))
     green = _signed(rgba[..., 1])
     out = rgba.copy()
@@ -190,8 +323,8 @@ def _undo_cross_colour(rgba: np.ndarray, codes: list[int], size_bits: int) -> np
     return out
 
 
-def _to_rgba(pixels: list[int], width: int) -> np.ndarray:
-    p = np.array(pixels, np.int64)
+def _to_rgba(pixels: np.ndarray | list[int], width: int) -> np.ndarray:
+    p = np.asarray(pixels, np.int64)
     return np.stack([p >> 16, p >> 8, p, p >> 24], axis=1).astype(np.uint8).reshape(-1, width, 4)
 
 
@@ -252,104 +385,104 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * top + second, (value - 1) & ((1 << (top - 1)) - 1), top - 1
 
 
-def _write_table(bits: BitWriter, frequencies: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
-    lengths = balanced_lengths(frequencies, size)
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) == 1 and used[0] < 256:
-        bits.write(1 | 0 << 1 | 1 << 2 | used[0] << 3, 11)
-        return {used[0]: (0, 0)}
+def _write_table(bits: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, lengths) by symbol; one symbol takes no bits."""
+    size, used = len(counts), np.nonzero(counts)[0]
+    lengths = np.array(balanced_lengths(dict(zip(used.tolist(), counts[used].tolist(), strict=True)), size), np.int64)
+    single = np.count_nonzero(lengths) == 1
+    if single and lengths[:256].any():
+        bits.write(1 | 0 << 1 | 1 << 2 | int(lengths.argmax()) << 3, 11)
+        return np.zeros(size, np.int64), np.zeros(size, np.int64)
     bits.write(15 << 1, 5)
     for s in LENGTH_ORDER:
         bits.write(4 if s < 16 else 0, 3)
     bits.write(0, 1)
-    nibble = canonical_codes([4] * 16)
-    for n in lengths:
-        bits.write(*nibble[n])
-    return {used[0]: (0, 0)} if len(used) == 1 else canonical_codes(lengths)
-
-
-def tokens_of(pixels: list[int], cache_bits: int) -> list[tuple[str, int]]:
-    """Literal, cache or copy tokens of the default parse."""
-    out: list[tuple[str, int]] = []
-    cache, shift, i, n = [0] * (1 << cache_bits), 32 - cache_bits, 0, len(pixels)
-    while i < n:
-        p = pixels[i]
-        if i and pixels[i - 1] == p:
-            run = 1
-            while run < LONGEST and i + run < n and pixels[i + run] == p:
-                run += 1
-            if run >= 3:
-                out.append(("copy", run))
-                i += run
-                continue
-        slot = (p * HASH & 0xFFFFFFFF) >> shift if cache_bits else 0
-        if cache_bits and cache[slot] == p:
-            out.append(("cache", slot))
-        else:
-            out.append(("literal", p))
-            cache[slot] = p
-        i += 1
-    return out
-
-
-def cache_bits_of(pixels: list[int]) -> int:
+    write_codes(bits, code_arrays(np.full(16, 4, np.int64))[lengths], np.full(size, 4, np.int64))
+    return (np.zeros(size, np.int64), np.zeros(size, np.int64)) if single else (code_arrays(lengths), lengths)
+
+
+def _before_in_slot(p: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, what the cache holds there) for every pixel: the pixel before it with the same slot, or zero."""
+    slot = (p * HASH & 0xFFFFFFFF) >> (32 - bits)
+    order = np.argsort(slot, kind="stable")
+    before = np.concatenate([[0], p[order][:-1]])
+    before[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])] = 0
+    out = np.empty_like(p)
+    out[order] = before
+    return slot, out
+
+
+def tokens_of(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, kind, value) of the tokens of the default parse: 0 a literal pixel, 1 a cache slot, 2 a copy of so many pixels
+    at distance 1. The first pixel of a run stands alone, the rest are copies where a piece has three pixels."""
+    p = np.asarray(pixels, np.int64)
+    fresh = np.concatenate([[True], p[1:] != p[:-1]])
+    start = np.nonzero(fresh)[0]
+    size = np.diff(np.append(start, len(p)))
+    place = np.arange(len(p)) - np.repeat(start, size) - 1  # in the rest of its run, -1 for its first pixel
+    piece = np.where(place >= 0, np.minimum(LONGEST, np.repeat(size, size) - 1 - place // LONGEST * LONGEST), 0)
+    copies = piece >= 3
+    at = np.nonzero(~copies | (place % LONGEST == 0))[0]
+    kind, value = np.where(copies[at], 2, 0), np.where(copies[at], piece[at], p[at])
+    if cache_bits:
+        slot, held = _before_in_slot(p, cache_bits)
+        hit = (kind == 0) & (held[at] == p[at])
+        kind, value = np.where(hit, 1, kind), np.where(hit, slot[at], value)
+    return at, kind, value
+
+
+def cache_bits_of(pixels: np.ndarray | list[int]) -> int:
     """One to four bits with the most hits, the fewest bits of equals; 0 without a hit."""
-    p = np.array(pixels, np.int64)
-    best = (0, 0)
-    for bits in (1, 2, 3, 4):
-        slot = (p * HASH & 0xFFFFFFFF) >> (32 - bits)
-        order = np.argsort(slot, kind="stable")
-        before = np.concatenate([[0], p[order][:-1]])
-        before[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])] = 0
-        best = max(best, (int((before == p[order]).sum()), -bits))
+    p = np.asarray(pixels, np.int64)
+    best = max((int((_before_in_slot(p, bits)[1] == p).sum()), -bits) for bits in (1, 2, 3, 4))
     return -best[1] if best[0] else 0
 
 
-def _write_image(bits: BitWriter, pixels: list[int], *, main: bool) -> None:
-    cache_bits = cache_bits_of(pixels) if main else 0
-    tokens = tokens_of(pixels, cache_bits)
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """prefix_of for many values."""
+    v = np.maximum(values, 2) - 1
+    top = np.frexp(v)[1].astype(np.int64) - 1
+    small = values <= 4
+    many = np.where(small, 0, top - 1)
+    return np.where(small, values - 1, 2 * top + (v >> np.maximum(0, top - 1) & 1)), np.where(small, 0, v & ((1 << many) - 1)), many
+
+
+def _write_image(bits: BitWriter, pixels: np.ndarray | list[int], *, main: bool) -> None:
+    p = np.asarray(pixels, np.int64)
+    cache_bits = cache_bits_of(p) if main else 0
+    _, kind, value = tokens_of(p, cache_bits)
     bits.write(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     if main:
         bits.write(0, 1)
-    counts: list[dict[int, int]] = [{}, {}, {}, {}, {}]
-
-    def count(table: int, symbol: int) -> None:
-        counts[table][symbol] = counts[table].get(symbol, 0) + 1
-
-    for kind, v in tokens:
-        if kind == "literal":
-            for t, s in enumerate((v >> 8 & 255, v >> 16 & 255, v & 255, v >> 24)):
-                count(t, s)
-        else:
-            count(0, 280 + v if kind == "cache" else 256 + prefix_of(v)[0])
-            if kind == "copy":
-                count(4, prefix_of(121)[0])
+    literal, copy = kind == 0, kind == 2
+    prefix, extra, many = _prefixes(np.where(copy, value, 1))
+    near = prefix_of(121)
+    green = np.where(literal, value >> 8 & 255, np.where(copy, 256 + prefix, 280 + value))
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    codes = [_write_table(bits, c, n) for c, n in zip(counts, sizes, strict=True)]
-    for kind, v in tokens:
-        if kind == "literal":
-            for t, s in enumerate((v >> 8 & 255, v >> 16 & 255, v & 255, v >> 24)):
-                bits.write(*codes[t][s])
-        elif kind == "cache":
-            bits.write(*codes[0][280 + v])
-        else:
-            for t, base, value in ((0, 256, v), (4, 0, 121)):
-                s, extra, many = prefix_of(value)
-                bits.write(*codes[t][base + s])
-                bits.write(extra, many)
+    symbols = [green, *(value >> shift & 255 for shift in (16, 0, 24))]
+    counts = [np.bincount(green, minlength=sizes[0]), *(np.bincount(s[literal], minlength=256) for s in symbols[1:]), np.bincount([near[0]] * int(copy.sum()), minlength=40)]
+    codes, lengths = (np.zeros((len(value), 4), np.int64) for _ in range(2))
+    tables = [_write_table(bits, c) for c in counts]
+    for t, (code, length) in enumerate(tables[:4]):
+        some = slice(None) if t == 0 else literal
+        codes[some, t], lengths[some, t] = code[symbols[t][some]], length[symbols[t][some]]
+    codes[copy, 1], lengths[copy, 1] = extra[copy], many[copy]
+    codes[copy, 2], lengths[copy, 2] = tables[4][0][near[0]], tables[4][1][near[0]]
+    codes[copy, 3], lengths[copy, 3] = near[1], near[2]
+    write_codes(bits, codes.ravel(), lengths.ravel())
 
 
 def encode_greens(samples: bytes) -> bytes:
     """A headerless stream without transforms whose green channel is the samples."""
     bits = BitWriter()
     bits.write(0, 1)
-    _write_image(bits, [v << 8 for v in samples], main=True)
+    _write_image(bits, np.frombuffer(samples, np.uint8).astype(np.int64) << 8, main=True)
     return bits.finish()
 
 
-def _argb(rgba: np.ndarray) -> list[int]:
+def _argb(rgba: np.ndarray) -> np.ndarray:
     p = rgba.reshape(-1, 4).astype(np.int64)
-    return (p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]).tolist()
+    return p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
 
 
 def _constant_image(bits: BitWriter, value: int, n: int) -> None:
@@ -385,7 +518,7 @@ def encode(width: int, height: int, rgba: bytes) -> bytes:
     bits.write(height - 1, 14)
     bits.write(int((image[..., 3] != 255).any()), 1)
     bits.write(0, 3)
-    colours, index = np.unique(np.array(_argb(image)), return_inverse=True)
+    colours, index = np.unique(_argb(image), return_inverse=True)
     if len(colours) <= 16 and width * height >= 2:
         bits.write(1 | 3 << 1 | (len(colours) - 1) << 3, 11)
         entries = _to_rgba(colours.tolist(), len(colours))[0].astype(np.int64)
@@ -396,7 +529,7 @@ def encode(width: int, height: int, rgba: bytes) -> bytes:
         grid = np.zeros((height, -(-width // many) * many), np.int64)
         grid[:, :width] = index.reshape(height, width)
         green = (grid.reshape(height, -1, many) << (np.arange(many) * each)).sum(axis=2)
-        _write_image(bits, (green << 8).ravel().tolist(), main=True)
+        _write_image(bits, (green << 8).ravel(), main=True)
         return bits.finish()
     plan = choose_cross_colour(image)
     if plan:

@@ -174,20 +174,6 @@ def test_composition_by_hand():
     assert planes.blend(px(1, 2, 3, 0), px(9, 9, 9, 0))[0, 0].tolist() == [0, 0, 0, 0]
 
 
-def test_boolean_coder():
-    rng = np.random.default_rng(7)
-    for n in (0, 1, 9, 5000):
-        p, b = rng.integers(1, 256, n).tolist(), rng.integers(0, 2, n).tolist()
-        writer = bits.BoolWriter()
-        for x, q in zip(b, p):
-            writer.write(x, q)
-        writer.literal(0b1011, 4)
-        writer.signed(-5, 4)
-        reader = bits.BoolReader(writer.finish())
-        assert [reader.read(q) for q in p] == b
-        assert reader.literal(4) == 0b1011 and reader.signed(4) == -5
-
-
 def test_alpha_payloads():
     rng = np.random.default_rng(9)
     smooth = (np.add.outer(np.arange(20) * 11, np.arange(32) * 12) & 255).astype(np.uint8).tobytes()
