@@ -447,6 +447,17 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(small, values - 1, 2 * top + (v >> np.maximum(0, top - 1) & 1)), np.where(small, 0, v & ((1 << many) - 1)), many
 
 
+def symbol_counts(kind: np.ndarray, value: np.ndarray, cache_bits: int) -> tuple[list[np.ndarray], list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For tokens: counts of the five alphabets, the four symbols of each token, and the lengths' prefixes with extra bits."""
+    literal, copy = kind == 0, kind == 2
+    lengths = _prefixes(np.where(copy, value, 1))
+    green = np.where(literal, value >> 8 & 255, np.where(copy, 256 + lengths[0], 280 + value))
+    symbols = [green, *(value >> shift & 255 for shift in (16, 0, 24))]
+    counts = [np.bincount(green, minlength=280 + (1 << cache_bits if cache_bits else 0)), *(np.bincount(s[literal], minlength=256) for s in symbols[1:]), np.zeros(40, np.int64)]
+    counts[4][prefix_of(121)[0]] = copy.sum()
+    return counts, symbols, lengths
+
+
 def _write_image(bits: BitWriter, pixels: np.ndarray | list[int], *, main: bool) -> None:
     p = np.asarray(pixels, np.int64)
     cache_bits = cache_bits_of(p) if main else 0
@@ -454,13 +465,8 @@ def _write_image(bits: BitWriter, pixels: np.ndarray | list[int], *, main: bool)
     bits.write(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     if main:
         bits.write(0, 1)
-    literal, copy = kind == 0, kind == 2
-    prefix, extra, many = _prefixes(np.where(copy, value, 1))
-    near = prefix_of(121)
-    green = np.where(literal, value >> 8 & 255, np.where(copy, 256 + prefix, 280 + value))
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    symbols = [green, *(value >> shift & 255 for shift in (16, 0, 24))]
-    counts = [np.bincount(green, minlength=sizes[0]), *(np.bincount(s[literal], minlength=256) for s in symbols[1:]), np.bincount([near[0]] * int(copy.sum()), minlength=40)]
+    counts, symbols, (_, extra, many) = symbol_counts(kind, value, cache_bits)
+    literal, copy, near = kind == 0, kind == 2, prefix_of(121)
     codes, lengths = (np.zeros((len(value), 4), np.int64) for _ in range(2))
     tables = [_write_table(bits, c) for c in counts]
     for t, (code, length) in enumerate(tables[:4]):

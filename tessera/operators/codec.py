@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import animation, lossy, planes, riff, vp8, vp8l, vp8l_high
 from tessera.functions.bits import StreamError
 from tessera.operators.container import PLANS as CONTAINER
+from tessera.operators.predictors import ADAPTIVE_MODES
 from tessera.plans.dialect import RELATIONS, for_spark
 from tessera.shipping import ship
 from tessera.sources.raster import PLANE_WIDTH, WIDTH, bodies, whole
@@ -169,6 +170,33 @@ def _frame_header(i: int, height: int) -> vp8.Header:
     return vp8.Header(WIDTH, height, quantiser=i % 128, level=i * 7 % 64, sharpness=i % 8, partitions=1 << i % 4, simple=i % 3 == 0)
 
 
+def adaptive_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, block, mode, score): the predictor of each 16 x 16 block whose residuals are the most concentrated. A pixel has 56
+    residuals (14 predictors, 4 channels); they are counted where they are made instead of becoming rows."""
+    n = np.arange(4 * WIDTH * WIDTH + 1)
+    worth = np.floor(n * (np.log(np.maximum(1, n)) / np.log(2.0)) * 1024 + 0.5).astype(np.int64)
+    order = np.array(vp8l_high.TRIED)
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in _rows_of(stream, 4 * WIDTH):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for i, x in zip(ids, data, strict=True):
+                image = np.frombuffer(x, np.uint8).reshape(-1, WIDTH, 4).astype(np.int64)
+                block = np.arange(image.shape[0]) // WIDTH
+                blocks = int(block[-1]) + 1
+                scores = np.empty((blocks, len(order)), np.int64)
+                for k, mode in enumerate(order.tolist()):
+                    rest = (image - vp8l_high.guesses(image, mode)) & 255
+                    at = ((block[:, None, None] * 4 + np.arange(4)) * 256 + rest).ravel()
+                    scores[:, k] = worth[np.bincount(at, minlength=blocks * 1024)].reshape(blocks, -1).sum(axis=1)
+                best = scores.argmax(axis=1)  # the first tried of equals
+                for column, values in zip(out, (np.full(blocks, i, object), np.arange(blocks), order[best], scores[np.arange(blocks), best]), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["doc_id", "block", "mode", "score"])
+
+    return _bodies(spark, sf_dir).mapInArrow(batches, "doc_id long, block long, mode long, score long")
+
+
 def lossy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, width, height, quantiser, level, sharpness, partitions, simple, exact): rasters as lossy frames; the header as it
     is read, and whether the decoded planes are the encoder's own reconstruction, sample by sample."""
@@ -318,6 +346,7 @@ QUERIES = {
     "al6_alpha_payloads": alpha_payload_round_trip,
     "le1_encoded_sizes": vp8l_encoded_sizes,
     "al4_gradient_round_trip": alpha_gradient_round_trip,
+    "le16_adaptive_modes": adaptive_modes,
     "vd19_lossy_round_trip": lossy_round_trip,
     "vd7_coefficient_tokens": coefficient_tokens,
     "an1_decode_animations": decode_animations,
@@ -345,6 +374,7 @@ _CANVASES = f"""WITH RECURSIVE f AS (
     times AS (SELECT conv_id, turn, i, sum(duration) OVER (PARTITION BY conv_id ORDER BY i) AS timestamp_ms FROM f)
     SELECT s.conv_id, turn, CAST(any_value(timestamp_ms) AS BIGINT) AS timestamp_ms, CAST(sum((r + 3 * g + 5 * b + 7 * a) * (1 + (py * w + px) % 251)) AS BIGINT) AS digest FROM shown s JOIN times t ON t.conv_id = s.conv_id AND t.i = s.i GROUP BY s.conv_id, turn"""
 TWINS = {
+    "le16_adaptive_modes": ADAPTIVE_MODES,
     "vd19_lossy_round_trip": _HEX + " SELECT doc_id, CAST(16 AS BIGINT) AS width, (n + 63) // 64 AS height, doc_id % 128 AS quantiser, doc_id * 7 % 64 AS level, doc_id % 8 AS sharpness, CAST(1 << (doc_id % 4) AS BIGINT) AS partitions, doc_id % 3 = 0 AS simple, true AS exact FROM h WHERE n > 0",
     "vd7_coefficient_tokens": "SELECT doc_id, count(*) // 16 AS blocks, CAST(sum(CASE WHEN v % 3 = 0 OR v = 128 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(CASE WHEN v % 3 = 0 THEN 0 ELSE (v - 128) * CASE WHEN v % 11 = 0 THEN 16 ELSE 1 END END * (1 + idx % 251)) AS BIGINT) AS digest FROM {al} GROUP BY doc_id",
     "an1_decode_animations": _CANVASES,

@@ -1,76 +1,21 @@
 """Colour cache, run-length tokens, histograms, code lengths and canonical codes as windows and aggregates.
 
-The default profile's cost is one chain: residual colours, cache hits by the last colour of a slot, runs by gaps
-and islands, tokens, symbol counts, balanced code lengths by rank, bits by summing. Windows are per image, and per
-image and slot, so nothing is ordered beyond an image.
+Tokens and symbol counts of the default parse are relations (tessera.sources.tokens); from there the default profile's
+cost is one chain: balanced code lengths by rank, canonical codes by running sums, bits by summing. Windows are per
+image, and per image and channel or slot, so nothing is ordered beyond an image.
 """
 
 from __future__ import annotations
 
-HASH = 506832829  # 0x1e35a7bd, the colour cache's multiplier (fixed value)
-COPY = 4096  # longest copy (fixed value)
-
-
-def slot(colour: str, bits: str) -> str:
-    return f"((({colour} * {HASH}) & 4294967295) >> CAST(32 - {bits} AS INT))"
-
-
-#: Subtract-green colours.
-GREEN = "SELECT doc_id, idx, x, y, (a << 24) | (((r - g) & 255) << 16) | (g << 8) | ((b - g) & 255) AS colour FROM {px}"
-_BITS = "(SELECT 1 AS bits UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4)"
-
-CACHE = f"""
-    WITH colours AS ({GREEN}),
-    slots AS (SELECT doc_id, idx, colour, bits, {slot('colour', 'bits')} AS slot FROM colours CROSS JOIN {_BITS} c),
-    hits AS (
-        SELECT doc_id, bits, CAST(sum(CASE WHEN colour = before THEN 1 ELSE 0 END) AS BIGINT) AS hits
-        FROM (SELECT doc_id, bits, colour, coalesce(lag(colour) OVER (PARTITION BY doc_id, bits, slot ORDER BY idx), 0) AS before FROM slots) t GROUP BY doc_id, bits),
-    chosen AS (SELECT doc_id, CASE WHEN hits = 0 THEN 0 ELSE bits END AS bits, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, bits) AS k FROM hits) t WHERE k = 1)"""
-
-#: Tokens of the default parse: the first pixel of a run is a literal or a cache hit, the rest are copies of at most COPY
-#: pixels at distance 1, if a piece has three pixels or more.
-TOKENS = CACHE + f""",
-    cached AS (
-        SELECT c.doc_id, idx, colour, bits, CASE WHEN bits = 0 THEN 0 ELSE {slot('colour', 'greatest(bits, 1)')} END AS slot FROM colours c JOIN chosen h ON c.doc_id = h.doc_id),
-    marked AS (
-        SELECT *, CASE WHEN bits > 0 AND coalesce(lag(colour) OVER (PARTITION BY doc_id, slot ORDER BY idx), 0) = colour THEN 1 ELSE 0 END AS hit,
-               CASE WHEN colour = lag(colour) OVER (PARTITION BY doc_id ORDER BY idx) THEN 0 ELSE 1 END AS fresh FROM cached),
-    islands AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM marked),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY idx) - 2 AS pos, count(*) OVER (PARTITION BY doc_id, run) - 1 AS rest FROM islands),
-    pieces AS (
-        SELECT *, CASE WHEN pos >= 0 THEN least({COPY}, rest - (pos // {COPY}) * {COPY}) ELSE 0 END AS piece FROM placed),
-    tokens AS (
-        SELECT doc_id, idx, colour, bits, slot, CASE WHEN piece >= 3 THEN 'copy' WHEN hit = 1 THEN 'cache' ELSE 'literal' END AS kind, CASE WHEN piece >= 3 THEN piece ELSE 1 END AS length
-        FROM pieces WHERE piece < 3 OR pos % {COPY} = 0)"""
-
-#: Prefix of a length or distance: below 5 the value less one, else two of each power of two.
-
-
-def prefix(value: str) -> str:
-    """Prefix code by comparing with powers of two, so that it is exact."""
-    cases = " ".join(f"WHEN ({value}) <= {1 << (k + 1)} THEN {2 * k} + CASE WHEN ({value}) - 1 >= {3 << (k - 1)} THEN 1 ELSE 0 END" for k in range(2, 20))
-    return f"(CASE WHEN ({value}) <= 4 THEN ({value}) - 1 {cases} END)"
-
+from tessera.sources.tokens import BITS, CACHE, GREEN, prefix, slot
 
 def extra_bits(code: str) -> str:
     return f"(CASE WHEN ({code}) < 4 THEN 0 ELSE (({code}) - 2) >> 1 END)"
 
 
-SYMBOLS = TOKENS + f""",
-    symbols AS (
-        SELECT doc_id, channel, CASE channel
-            WHEN 'green' THEN CASE kind WHEN 'literal' THEN (colour >> 8) & 255 WHEN 'cache' THEN 280 + slot ELSE 256 + {prefix('length')} END
-            WHEN 'red' THEN CASE WHEN kind = 'literal' THEN (colour >> 16) & 255 END
-            WHEN 'blue' THEN CASE WHEN kind = 'literal' THEN colour & 255 END
-            WHEN 'alpha' THEN CASE WHEN kind = 'literal' THEN (colour >> 24) & 255 END
-            ELSE CASE WHEN kind = 'copy' THEN {prefix('121')} END END AS symbol
-        FROM tokens CROSS JOIN (SELECT 'green' AS channel UNION ALL SELECT 'red' UNION ALL SELECT 'blue' UNION ALL SELECT 'alpha' UNION ALL SELECT 'distance') c),
-    freqs AS (SELECT doc_id, channel, symbol, count(*) AS freq FROM symbols WHERE symbol IS NOT NULL GROUP BY doc_id, channel, symbol)"""
-
 #: Balanced lengths: ranks in falling frequency, the first 2 * 2^floor(log2 n) - n get the shorter length.
 _FLOOR = "(CASE " + " ".join(f"WHEN n < {1 << (k + 1)} THEN {k}" for k in range(1, 12)) + " END)"
-LENGTHS = SYMBOLS + f""",
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, channel ORDER BY freq DESC, symbol) - 1 AS k, count(*) OVER (PARTITION BY doc_id, channel) AS n FROM freqs),
+LENGTHS = f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, channel ORDER BY freq DESC, symbol) - 1 AS k, count(*) OVER (PARTITION BY doc_id, channel) AS n FROM {{freqs}}),
     floors AS (SELECT *, {_FLOOR} AS f FROM ranked),
     lengths AS (SELECT doc_id, channel, symbol, freq, n, CASE WHEN n = 1 THEN 1 WHEN k < 2 * (1 << CAST(f AS INT)) - n THEN f ELSE f + 1 END AS len FROM floors)"""
 
@@ -100,18 +45,17 @@ PLANS = {
         SELECT doc_id, CAST(sum(CASE WHEN argb = b1 AND n1 = argb AND n2 = argb THEN 1 ELSE 0 END) AS BIGINT) AS at_distance_1, CAST(sum(CASE WHEN argb = b16 AND n1 = b15 AND n2 = b14 THEN 1 ELSE 0 END) AS BIGINT) AS at_width FROM near GROUP BY doc_id""",
     "color_cache_hits": CACHE + " SELECT h.doc_id, h.bits, h.hits, CASE WHEN h.bits = c.bits THEN 1 ELSE 0 END AS chosen FROM hits h JOIN chosen c ON h.doc_id = c.doc_id",
     "le19_select_colour_cache_bits": CACHE + " SELECT doc_id, bits, hits FROM chosen",
-    "ld22_colour_cache_slots": f"WITH colours AS ({GREEN}) SELECT doc_id, bits, count(DISTINCT {slot('colour', 'bits')}) AS slots, CAST(sum({slot('colour', 'bits')} * (1 + idx % 251)) AS BIGINT) AS digest FROM colours CROSS JOIN {_BITS} c GROUP BY doc_id, bits",
+    "ld22_colour_cache_slots": f"WITH colours AS ({GREEN}) SELECT doc_id, bits, count(DISTINCT {slot('colour', 'bits')}) AS slots, CAST(sum({slot('colour', 'bits')} * (1 + idx % 251)) AS BIGINT) AS digest FROM colours CROSS JOIN {BITS} c GROUP BY doc_id, bits",
     "le22_match_hash": """
         WITH near AS (SELECT doc_id, idx, argb, lead(argb, 1) OVER w AS n1, lead(argb, 2) OVER w AS n2 FROM {px} WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
         h1 AS (SELECT doc_id, idx, n2, (argb * 506832829) & 4294967295 AS h, ((n1 << 11) | (n1 >> 21)) & 4294967295 AS turned FROM near WHERE n2 IS NOT NULL),
         h2 AS (SELECT doc_id, idx, n2, ((h + turned - 2 * (h & turned)) % 4294967296) AS h FROM h1),
         h3 AS (SELECT doc_id, idx, (((h & 65535) * 2654435761) + ((((h >> 16) * 2654435761) & 65535) << 16)) & 4294967295 AS h, ((n2 << 22) | (n2 >> 10)) & 4294967295 AS turned FROM h2)
         SELECT doc_id, count(*) AS places, CAST(sum(((h + turned - 2 * (h & turned)) % 65521) * (1 + idx % 251)) AS BIGINT) AS digest, count(DISTINCT h + turned - 2 * (h & turned)) AS hashes FROM h3 GROUP BY doc_id""",
-    "le25_run_length_tokens": TOKENS + " SELECT doc_id, kind, count(*) AS tokens, CAST(sum(length) AS BIGINT) AS pixels, CAST(sum((idx % 251 + 1) * length) AS BIGINT) AS digest FROM tokens GROUP BY doc_id, kind",
-    "le28_token_census": TOKENS
-    + """ SELECT doc_id, CAST(sum(CASE WHEN kind = 'literal' THEN 1 ELSE 0 END) AS BIGINT) AS literals, CAST(sum(CASE WHEN kind = 'cache' THEN 1 ELSE 0 END) AS BIGINT) AS caches,
-        CAST(sum(CASE WHEN kind = 'copy' THEN 1 ELSE 0 END) AS BIGINT) AS copies, CAST(sum(length) AS BIGINT) AS pixels FROM tokens GROUP BY doc_id""",
-    "le27_symbol_frequencies": SYMBOLS + " SELECT doc_id, channel, count(*) AS symbols, CAST(sum(freq) AS BIGINT) AS total, CAST(sum(freq * (1 + symbol)) AS BIGINT) AS digest FROM freqs GROUP BY doc_id, channel",
+    "le25_run_length_tokens": "SELECT doc_id, kind, count(*) AS tokens, CAST(sum(length) AS BIGINT) AS pixels, CAST(sum((idx % 251 + 1) * length) AS BIGINT) AS digest FROM {tokens} GROUP BY doc_id, kind",
+    "le28_token_census": """SELECT doc_id, CAST(sum(CASE WHEN kind = 'literal' THEN 1 ELSE 0 END) AS BIGINT) AS literals, CAST(sum(CASE WHEN kind = 'cache' THEN 1 ELSE 0 END) AS BIGINT) AS caches,
+        CAST(sum(CASE WHEN kind = 'copy' THEN 1 ELSE 0 END) AS BIGINT) AS copies, CAST(sum(length) AS BIGINT) AS pixels FROM {tokens} GROUP BY doc_id""",
+    "le27_symbol_frequencies": "SELECT doc_id, channel, count(*) AS symbols, CAST(sum(freq) AS BIGINT) AS total, CAST(sum(freq * (1 + symbol)) AS BIGINT) AS digest FROM {freqs} GROUP BY doc_id, channel",
     "le24_prefix_codes": f"WITH v AS (SELECT DISTINCT (r * 16 + x + 1) AS value FROM {{px}}) SELECT value, {prefix('value')} AS prefix, {extra_bits(prefix('value'))} AS extra_bits FROM v",
     "ld19_prefix_values": f"WITH v AS (SELECT DISTINCT (r * 16 + x + 1) AS value FROM {{px}}), p AS (SELECT value, {prefix('value')} AS code FROM v), q AS (SELECT *, {extra_bits('code')} AS extra FROM p) SELECT value, code, extra, CASE WHEN code < 4 THEN code + 1 ELSE ((2 + (code & 1)) << CAST(extra AS INT)) + 1 END AS base, value - (CASE WHEN code < 4 THEN code + 1 ELSE ((2 + (code & 1)) << CAST(extra AS INT)) + 1 END) AS rest FROM q",
     "le50_balanced_lengths": LENGTHS + " SELECT doc_id, channel, n AS symbols, min(len) AS shortest, max(len) AS longest, CAST(sum(CASE WHEN n = 1 THEN 32768 ELSE 1 << CAST(15 - len AS INT) END) AS BIGINT) AS kraft, CAST(sum(len * (1 + symbol)) AS BIGINT) AS digest FROM lengths GROUP BY doc_id, channel, n",
@@ -121,14 +65,14 @@ PLANS = {
     "default_profile_cost": LENGTHS
     + f""",
         coded AS (SELECT doc_id, CAST(sum(freq * len) AS BIGINT) AS code_bits FROM lengths GROUP BY doc_id),
-        extras AS (SELECT doc_id, CAST(sum(CASE WHEN kind = 'copy' THEN {extra_bits(prefix('length'))} + {extra_bits(prefix('121'))} ELSE 0 END) AS BIGINT) AS extra_bits, count(*) AS tokens, max(bits) AS cache_bits FROM tokens GROUP BY doc_id)
+        extras AS (SELECT doc_id, CAST(sum(CASE WHEN kind = 'copy' THEN {extra_bits(prefix('length'))} + {extra_bits(prefix('121'))} ELSE 0 END) AS BIGINT) AS extra_bits, count(*) AS tokens, max(bits) AS cache_bits FROM {{tokens}} GROUP BY doc_id)
         SELECT c.doc_id, cache_bits, tokens, code_bits, extra_bits, code_bits + extra_bits AS payload_bits FROM coded c JOIN extras e ON c.doc_id = e.doc_id""",
     "tk2_repair_order": LENGTHS + " , ordered AS (SELECT doc_id, channel, symbol, row_number() OVER (PARTITION BY doc_id, channel ORDER BY freq, symbol DESC) AS k FROM lengths) SELECT doc_id, channel, symbol, k FROM ordered WHERE k <= 2",
     # Runs of equal code lengths over a whole alphabet, split for the codes 16 (3-6 repeats), 17 (3-10 zeros), 18 (11-138 zeros).
     "le42_code_length_runs": LENGTHS
     + """,
         spans AS (SELECT doc_id, channel, CASE channel WHEN 'green' THEN 280 + CASE WHEN bits = 0 THEN 0 ELSE 1 << CAST(bits AS INT) END WHEN 'distance' THEN 40 ELSE 256 END AS size
-            FROM chosen CROSS JOIN (SELECT 'green' AS channel UNION ALL SELECT 'red' UNION ALL SELECT 'blue' UNION ALL SELECT 'alpha' UNION ALL SELECT 'distance') c),
+            FROM (SELECT doc_id, max(bits) AS bits FROM {tokens} GROUP BY doc_id) t CROSS JOIN (SELECT 'green' AS channel UNION ALL SELECT 'red' UNION ALL SELECT 'blue' UNION ALL SELECT 'alpha' UNION ALL SELECT 'distance') c),
         alphabet AS (SELECT doc_id, channel, EACH[0 .. size - 1] AS symbol FROM spans),
         filled AS (SELECT a.doc_id, a.channel, a.symbol, coalesce(l.len, 0) AS len FROM alphabet a LEFT JOIN lengths l ON a.doc_id = l.doc_id AND a.channel = l.channel AND a.symbol = l.symbol),
         steps AS (SELECT *, CASE WHEN len = lag(len) OVER (PARTITION BY doc_id, channel ORDER BY symbol) THEN 0 ELSE 1 END AS fresh FROM filled),

@@ -108,6 +108,18 @@ _EDGE = _ROW + ", edges AS (SELECT doc_id, y * 3 + e AS y, " + ", ".join(f"CASE
 _TWO = f"3 * (q0 - p0) + {clamp('p1 - q1', -128, 127)}"
 _SIX = clamp(_TWO, -128, 127)
 
+def _shown(x: int) -> str:
+    """The sample at place x of a row between chroma rows t (above) and n (beside)."""
+    r = x // 2 if x in (0, 15) else (x - 1) // 2 + 1
+    if x in (0, 15):
+        return f"(CASE WHEN top_out THEN (3 * t{r} + n{r} + 2) >> 2 ELSE (3 * n{r} + t{r} + 2) >> 2 END)"
+    q = r - 1
+    four = f"t{q} + t{r} + n{q} + n{r} + 8"
+    cross, straight = f"(({four} + 2 * (t{r} + n{q})) >> 3)", f"(({four} + 2 * (t{q} + n{r})) >> 3)"
+    above, beside = (f"({cross} + t{q}) >> 1", f"({straight} + n{q}) >> 1") if x % 2 else (f"({straight} + t{r}) >> 1", f"({cross} + n{r}) >> 1")
+    return f"(CASE WHEN top_out THEN {above} ELSE {beside} END)"
+
+
 PLANS = {
     "vd1_frame_tag": "SELECT doc_id, count(*) AS tags, " + ", ".join(f"{total(e)} AS {n}" for e, n in (("tag & 1", "inter_frame"), ("(tag >> 1) & 7", "profile"), ("(tag >> 4) & 1", "shown"), ("tag >> 5", "first_partition"))) + ", CAST(sum(CASE WHEN (tag & 1) = 0 AND ((tag >> 1) & 7) <= 3 AND ((tag >> 4) & 1) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS usable FROM (SELECT doc_id, idx, r | (g << 8) | (b << 16) AS tag FROM {px}) t GROUP BY doc_id",
     "vd4_dequantisation": f"""
@@ -137,20 +149,14 @@ PLANS = {
         n AS (SELECT doc_id, y, on_edge, varied, CASE WHEN NOT on_edge OR varied THEN p2 ELSE {clamp('p2 + ((9 * d + 63) >> 7)')} END AS np2, CASE WHEN NOT on_edge THEN p0 WHEN varied THEN {clamp(f'p0 + {clamp(f"(({_TWO}) + 3) >> 3", -128, 127)}')} ELSE {clamp('p0 + ((27 * d + 63) >> 7)')} END AS np0,
                      CASE WHEN NOT on_edge THEN q0 WHEN varied THEN {clamp(f'q0 - {clamp(f"(({_TWO}) + 4) >> 3", -128, 127)}')} ELSE {clamp('q0 - ((27 * d + 63) >> 7)')} END AS nq0 FROM f)
         SELECT doc_id, CAST(sum(CASE WHEN on_edge THEN 1 ELSE 0 END) AS BIGINT) AS filtered, CAST(sum(CASE WHEN on_edge AND varied THEN 1 ELSE 0 END) AS BIGINT) AS high_variance, CAST(sum((np2 * 5 + np0 * 3 + nq0) * (1 + y % 251)) AS BIGINT) AS digest FROM n GROUP BY doc_id""",
-    "vd20_fancy_upsampling": """
-        WITH sizes AS (SELECT doc_id, max(y) + 1 AS height FROM {px} GROUP BY doc_id),
-        u AS (SELECT p.doc_id, x AS cx, y AS cy, g AS v FROM {px} p JOIN sizes s ON p.doc_id = s.doc_id WHERE x < 8 AND y < (height + 1) // 2),
-        places AS (
-            SELECT p.doc_id, idx, x, y, CASE WHEN y = 0 OR (height % 2 = 0 AND y + 1 = height) THEN y // 2 WHEN y % 2 = 1 THEN y // 2 ELSE y // 2 - 1 END AS top_row,
-                   CASE WHEN y = 0 OR (height % 2 = 0 AND y + 1 = height) THEN y // 2 WHEN y % 2 = 1 THEN y // 2 + 1 ELSE y // 2 END AS now_row,
-                   CASE WHEN y = 0 OR y % 2 = 1 THEN 1 ELSE 0 END AS top_output, CASE WHEN x = 0 OR x = 15 THEN x // 2 ELSE (x - 1) // 2 END AS lc, CASE WHEN x = 0 OR x = 15 THEN x // 2 ELSE (x - 1) // 2 + 1 END AS rc
-            FROM {px} p JOIN sizes s ON p.doc_id = s.doc_id),
-        sampled AS (
-            SELECT p.doc_id, idx, x, top_output, a.v AS tl, b.v AS t, c.v AS l, d.v AS n FROM places p JOIN u a ON a.doc_id = p.doc_id AND a.cy = top_row AND a.cx = lc JOIN u b ON b.doc_id = p.doc_id AND b.cy = top_row AND b.cx = rc
-            JOIN u c ON c.doc_id = p.doc_id AND c.cy = now_row AND c.cx = lc JOIN u d ON d.doc_id = p.doc_id AND d.cy = now_row AND d.cx = rc),
-        diagonals AS (SELECT *, (tl + t + l + n + 8 + 2 * (t + l)) >> 3 AS d12, (tl + t + l + n + 8 + 2 * (tl + n)) >> 3 AS d03 FROM sampled)
-        SELECT doc_id, count(*) AS samples, CAST(sum((CASE WHEN x = 0 OR x = 15 THEN CASE WHEN top_output = 1 THEN (3 * t + n + 2) >> 2 ELSE (3 * n + t + 2) >> 2 END
-            WHEN top_output = 1 AND x % 2 = 1 THEN (d12 + tl) >> 1 WHEN top_output = 1 THEN (d03 + t) >> 1 WHEN x % 2 = 1 THEN (d03 + l) >> 1 ELSE (d12 + n) >> 1 END) * (1 + idx % 251)) AS BIGINT) AS digest FROM diagonals GROUP BY doc_id""",
+    # A row of the half plane is one row of eight columns; the rows around it are its neighbours in order.
+    "vd20_fancy_upsampling": f"""
+        WITH wide AS (SELECT doc_id, y, {', '.join(f'max(CASE WHEN x = {k} THEN g END) AS c{k}' for k in range(8))} FROM {{px}} WHERE x < 8 GROUP BY doc_id, y),
+        sized AS (SELECT wide.*, height FROM wide JOIN {{images}} i ON wide.doc_id = i.doc_id),
+        half AS (SELECT doc_id, y, height, {', '.join(f'c{k}, lag(c{k}) OVER w AS b{k}, lead(c{k}) OVER w AS a{k}' for k in range(8))} FROM sized WHERE y < (height + 1) // 2 WINDOW w AS (PARTITION BY doc_id ORDER BY y)),
+        shown AS (SELECT half.*, y * 2 + odd AS row, odd, y * 2 + odd = 0 OR (height % 2 = 0 AND y * 2 + odd + 1 = height) AS flat FROM half CROSS JOIN (SELECT 0 AS odd UNION ALL SELECT 1) o WHERE y * 2 + odd < height),
+        lines AS (SELECT doc_id, row, row = 0 OR odd = 1 AS top_out, {', '.join(f'CASE WHEN flat OR odd = 1 THEN c{k} ELSE b{k} END AS t{k}, CASE WHEN flat OR odd = 0 THEN c{k} ELSE a{k} END AS n{k}' for k in range(8))} FROM shown)
+        SELECT doc_id, count(*) * 16 AS samples, CAST(sum({' + '.join(f'{_shown(x)} * (1 + (row * 16 + {x}) % 251)' for x in range(16))}) AS BIGINT) AS digest FROM lines GROUP BY doc_id""",
     "ve1_quality_to_quantiser": "SELECT m AS quality, (100 - m) * 127 // 100 AS quantiser FROM {multipliers} WHERE m BETWEEN 0 AND 100",
     "ve6_gamma_tables": """
         WITH v AS (SELECT m AS i, m / 1024.0e0 AS g, m / 512.0e0 AS l FROM {numbers} WHERE m <= 1024)

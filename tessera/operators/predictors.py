@@ -63,35 +63,36 @@ def residual(mode: int, c: str) -> str:
 _MODES = " UNION ALL ".join(f"SELECT {m} AS mode, {i} AS tried" for i, m in enumerate(TRIED))
 _BY_MODE = {c: "CASE mode " + " ".join(f"WHEN {m} THEN {residual(m, c)}" for m in range(14)) + " END" for c in CHANNELS}
 
+#: The adaptive choice for DuckDB; Spark counts the residuals where they are made (tessera.operators.codec).
+ADAPTIVE_MODES = NEIGHBOURS + f""",
+        symbols AS (
+            SELECT doc_id, y // 16 AS block, tried, m.mode, {', '.join(f'{_BY_MODE[c]} AS s{c}' for c in CHANNELS)} FROM near CROSS JOIN ({_MODES}) m),
+        counted AS ({' UNION ALL '.join(f"SELECT doc_id, block, tried, mode, {i} AS channel, s{c} AS symbol, count(*) AS n FROM symbols GROUP BY doc_id, block, tried, mode, s{c}" for i, c in enumerate(CHANNELS))}),
+        scored AS (SELECT doc_id, block, tried, mode, CAST(sum(CAST(round(n * (ln(n) / ln(2.0e0)) * 1024) AS BIGINT)) AS BIGINT) AS score FROM counted GROUP BY doc_id, block, tried, mode),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY score DESC, tried) AS k FROM scored)
+        SELECT doc_id, block, mode, score FROM ranked WHERE k = 1"""
+
 PLANS = {
     "ld25_predictors": NEIGHBOURS + " SELECT doc_id, " + ", ".join(f"{total(' + '.join(f'{k} * {predicted(m, c)}' for k, c in zip((1, 3, 5, 7), CHANNELS)))} AS mode_{m}" for m in range(14)) + " FROM near GROUP BY doc_id",
     "le17_residuals": NEIGHBOURS + " SELECT doc_id, " + ", ".join(f"{total(' + '.join(f'{k} * {residual(m, c)}' for k, c in zip((1, 3, 5, 7), CHANNELS)))} AS mode_{m}" for m in range(14)) + " FROM near GROUP BY doc_id",
     "ld26_border_rules": NEIGHBOURS + f""" SELECT doc_id, CASE WHEN idx = 0 THEN 'corner' WHEN y = 0 THEN 'first row' WHEN x = 0 THEN 'first column' WHEN x = 15 THEN 'last column' ELSE 'inner' END AS place,
         count(*) AS pixels, {total(predicted(3, 'g'))} AS top_right, {total(predicted(11, 'g'))} AS selected FROM near
         GROUP BY doc_id, CASE WHEN idx = 0 THEN 'corner' WHEN y = 0 THEN 'first row' WHEN x = 0 THEN 'first column' WHEN x = 15 THEN 'last column' ELSE 'inner' END""",
-    "le16_adaptive_modes": NEIGHBOURS + f""",
-        symbols AS (
-            SELECT doc_id, y // 16 AS block, tried, m.mode, {', '.join(f'{_BY_MODE[c]} AS s{c}' for c in CHANNELS)} FROM near CROSS JOIN ({_MODES}) m),
-        counted AS ({' UNION ALL '.join(f"SELECT doc_id, block, tried, mode, {i} AS channel, s{c} AS symbol, count(*) AS n FROM symbols GROUP BY doc_id, block, tried, mode, s{c}" for i, c in enumerate(CHANNELS))}),
-        scored AS (SELECT doc_id, block, tried, mode, CAST(sum(CAST(round(n * (ln(n) / ln(2.0e0)) * 1024) AS BIGINT)) AS BIGINT) AS score FROM counted GROUP BY doc_id, block, tried, mode),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY score DESC, tried) AS k FROM scored)
-        SELECT doc_id, block, mode, score FROM ranked WHERE k = 1""",
     "le18_select_left_predictor": """
         WITH green AS (SELECT doc_id, idx, x, (((r - g) & 255) << 24) | (g << 16) | (((b - g) & 255) << 8) | a AS w FROM {px}),
         near AS (SELECT doc_id, idx, w, CASE WHEN x = 0 THEN lag(w, 16) OVER o ELSE lag(w, 1) OVER o END AS p FROM green WINDOW o AS (PARTITION BY doc_id ORDER BY idx))
         SELECT doc_id, CAST(sum(CASE WHEN idx > 0 AND w = p THEN 1 ELSE 0 END) AS BIGINT) AS matching, sum(CASE WHEN idx > 0 AND w = p THEN 1 ELSE 0 END) * 16 >= count(*) AS left_predictor
         FROM near GROUP BY doc_id""",
-    # Inverses by running sums: a row (mode 1), a column (mode 2) or a diagonal (mode 4) adds up its residuals.
+    # Inverses by running sums: the first column or row adds up, and so does what goes on from it.
     "ld27_inverse_left": NEIGHBOURS + f""",
-        res AS (SELECT doc_id, idx, x, y, {', '.join(f'{c}, {residual(1, c)} AS d{c}' for c in CHANNELS)} FROM near),
-        first_column AS (SELECT doc_id, y, {', '.join(f'CAST(sum(d{c}) OVER (PARTITION BY doc_id ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS f{c}' for c in CHANNELS)} FROM res WHERE x = 0),
-        along AS (SELECT doc_id, idx, x, y, {', '.join(f'{c}, CAST(sum(CASE WHEN x = 0 THEN 0 ELSE d{c} END) OVER w AS BIGINT) AS s{c}' for c in CHANNELS)} FROM res WINDOW w AS (PARTITION BY doc_id, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-        restored AS (SELECT a.doc_id, idx, {', '.join(f'{c}, (f{c} + s{c} + {255 if c == "a" else 0}) & 255 AS u{c}' for c in CHANNELS)} FROM along a JOIN first_column f ON a.doc_id = f.doc_id AND a.y = f.y)
+        res AS (SELECT doc_id, idx, x, {', '.join(f'{c}, {residual(1, c)} AS d{c}' for c in CHANNELS)} FROM near),
+        sums AS (SELECT doc_id, idx, x, {', '.join(f'{c}, CAST(sum(CASE WHEN x = 0 THEN d{c} ELSE 0 END) OVER w AS BIGINT) AS f{c}, CAST(sum(CASE WHEN x = 0 THEN 0 ELSE d{c} END) OVER w AS BIGINT) AS s{c}' for c in CHANNELS)} FROM res WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        begun AS (SELECT *, {', '.join(f'CASE WHEN x = 0 THEN s{c} END AS z{c}' for c in CHANNELS)} FROM sums),
+        restored AS (SELECT doc_id, idx, {', '.join(f'{c}, (f{c} + s{c} - last_value(z{c}) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + {255 if c == "a" else 0}) & 255 AS u{c}' for c in CHANNELS)} FROM begun)
         SELECT doc_id, {', '.join(f"{total(f'u{c}')} AS {c}" for c in CHANNELS)}, CAST(sum(CASE WHEN {' AND '.join(f'u{c} = {c}' for c in CHANNELS)} THEN 0 ELSE 1 END) AS BIGINT) AS broken FROM restored GROUP BY doc_id""",
     "ld27_inverse_top": NEIGHBOURS + f""",
         res AS (SELECT doc_id, idx, x, y, {', '.join(f'{c}, {residual(2, c)} AS d{c}' for c in CHANNELS)} FROM near),
-        first_row AS (SELECT doc_id, x, {', '.join(f'CAST(sum(d{c}) OVER (PARTITION BY doc_id ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS f{c}' for c in CHANNELS)} FROM res WHERE y = 0),
-        down AS (SELECT doc_id, idx, x, y, {', '.join(f'{c}, CAST(sum(CASE WHEN y = 0 THEN 0 ELSE d{c} END) OVER w AS BIGINT) AS s{c}' for c in CHANNELS)} FROM res WINDOW w AS (PARTITION BY doc_id, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-        restored AS (SELECT a.doc_id, idx, {', '.join(f'{c}, (f{c} + s{c} + {255 if c == "a" else 0}) & 255 AS u{c}' for c in CHANNELS)} FROM down a JOIN first_row f ON a.doc_id = f.doc_id AND a.x = f.x)
+        sums AS (SELECT doc_id, idx, x, y, {', '.join(f'{c}, CASE WHEN y = 0 THEN CAST(sum(CASE WHEN y = 0 THEN d{c} ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) ELSE d{c} END AS e{c}' for c in CHANNELS)} FROM res),
+        restored AS (SELECT doc_id, idx, {', '.join(f'{c}, (CAST(sum(e{c}) OVER (PARTITION BY doc_id, x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) + {255 if c == "a" else 0}) & 255 AS u{c}' for c in CHANNELS)} FROM sums)
         SELECT doc_id, {', '.join(f"{total(f'u{c}')} AS {c}" for c in CHANNELS)}, CAST(sum(CASE WHEN {' AND '.join(f'u{c} = {c}' for c in CHANNELS)} THEN 0 ELSE 1 END) AS BIGINT) AS broken FROM restored GROUP BY doc_id""",
 }

@@ -7,15 +7,12 @@ the index as tie-break. All keys begin with the image.
 
 from __future__ import annotations
 
-from tessera.operators.entropy import TOKENS
-
 BLOCK = 8
 GROUPS = 6
 
-BLOCKS = TOKENS + f""",
-    binned AS (
+BLOCKS = f"""WITH binned AS (
         SELECT doc_id, (y // {BLOCK}) * {16 // BLOCK} + x // {BLOCK} AS block, kind, (colour >> 16) & 255 AS c0, (colour >> 8) & 255 AS c1, colour & 255 AS c2, (colour >> 24) & 255 AS c3
-        FROM (SELECT t.*, idx % 16 AS x, idx // 16 AS y FROM tokens t) u),
+        FROM (SELECT t.*, idx % 16 AS x, idx // 16 AS y FROM {{tokens}} t) u),
     blocks AS (
         SELECT doc_id, block, CAST(sum(CASE WHEN kind = 'literal' THEN 1 ELSE 0 END) AS BIGINT) AS literals, CAST(sum(CASE WHEN kind = 'literal' THEN 0 ELSE 1 END) AS BIGINT) AS branches,
                {', '.join(f"CAST(sum(CASE WHEN kind = 'literal' AND c{c} >> 5 = {b} THEN 1 ELSE 0 END) AS BIGINT) AS h{c}{b}" for c in range(4) for b in range(8))}
@@ -36,7 +33,7 @@ CLUSTERS = SIGNATURES + f""",
     distances AS (
         SELECT n.doc_id, n.block, d.seed, {' + '.join(f'abs(n.{s} - d.{s})' for s in [*_S, 'sb'])} AS distance FROM named n JOIN seeds d ON n.doc_id = d.doc_id),
     nearest AS (SELECT doc_id, block, seed FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY distance, seed) AS k FROM distances) t WHERE k = 1),
-    grid AS (SELECT doc_id, (max(y) // {BLOCK} + 1) AS block_rows, max(y) + 1 AS height FROM {{px}} GROUP BY doc_id),
+    grid AS (SELECT doc_id, (height + {BLOCK - 1}) // {BLOCK} AS block_rows, height FROM {{images}}),
     cells AS (SELECT doc_id, height, block, block % 2 AS bx, block // 2 AS brow FROM (SELECT doc_id, height, EACH[0 .. block_rows * 2 - 1] AS block FROM grid) g),
     assigned AS (SELECT c.doc_id, height, c.block, bx, brow, seed FROM cells c LEFT JOIN nearest n ON c.doc_id = n.doc_id AND c.block = n.block),
     first_column AS (
@@ -61,7 +58,7 @@ PLANS = {
     "le33_fill_empty_blocks": CLUSTERS + " SELECT doc_id, brow * 2 + bx AS block, seed FROM filled",
     "le34_compact_groups": CLUSTERS + " SELECT doc_id, count(*) AS blocks, max(grp) + 1 AS group_count, CAST(sum(grp * (1 + brow * 2 + bx)) AS BIGINT) AS digest FROM compacted GROUP BY doc_id",
     "ld17_group_map": CLUSTERS + f" SELECT p.doc_id, grp, count(*) AS pixels, CAST(sum(argb % 65521) AS BIGINT) AS digest FROM {{px}} p JOIN compacted c ON p.doc_id = c.doc_id AND p.y // {BLOCK} = c.brow AND p.x // {BLOCK} = c.bx GROUP BY p.doc_id, grp",
-    "le35_group_frequencies": CLUSTERS + f" SELECT t.doc_id, grp, count(*) AS tokens, CAST(sum(CASE WHEN kind = 'literal' THEN (colour >> 8) & 255 ELSE 0 END) AS BIGINT) AS green FROM tokens t JOIN compacted c ON t.doc_id = c.doc_id AND t.idx // 16 // {BLOCK} = c.brow AND t.idx % 16 // {BLOCK} = c.bx GROUP BY t.doc_id, grp",
+    "le35_group_frequencies": CLUSTERS + f" SELECT t.doc_id, grp, count(*) AS tokens, CAST(sum(CASE WHEN kind = 'literal' THEN (colour >> 8) & 255 ELSE 0 END) AS BIGINT) AS green FROM {{tokens}} t JOIN compacted c ON t.doc_id = c.doc_id AND t.idx // 16 // {BLOCK} = c.brow AND t.idx % 16 // {BLOCK} = c.bx GROUP BY t.doc_id, grp",
     "ld18_group_runs": CLUSTERS + f"""
         , mapped AS (SELECT p.doc_id, y, x, grp FROM {{px}} p JOIN compacted c ON p.doc_id = c.doc_id AND p.y // {BLOCK} = c.brow AND p.x // {BLOCK} = c.bx),
         steps AS (SELECT *, CASE WHEN grp = lag(grp) OVER (PARTITION BY doc_id, y ORDER BY x) THEN 0 ELSE 1 END AS fresh FROM mapped)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import alpha, animation, codec, container, entropy, lossy, pixels, predictors, spatial
 from tessera.plans.dialect import duck_twin, for_duckdb, for_spark
-from tessera.sources import containers, raster  # noqa: F401  registers the base relations
+from tessera.sources import containers, raster, tokens  # noqa: F401  registers the base relations
 
 PLANS: dict[str, str] = {**pixels.PLANS, **predictors.PLANS, **entropy.PLANS, **spatial.PLANS, **alpha.PLANS, **container.PLANS, **animation.PLANS, **lossy.PLANS}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: for_spark(sql) for name, sql in PLANS.items()} | codec.QUERIES
