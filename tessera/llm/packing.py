@@ -34,20 +34,23 @@ CAPACITY, END_ID = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Bins of the patterns, and documents in a pattern at most.
 PATTERN_BINS, PATTERN_DOCS = 64, 4
-#: Words whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 1_000_000
+#: Words, and stems of words, whose ids a worker remembers; beyond it starts afresh.
+CACHE_WORDS = 400_000
 #: Text bytes that are split into words at a time.
-PART_BYTES = 4 << 20
+PART_BYTES = 6 << 20
 BUCKET_ROWS = 1 << 13
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes. The vocabulary's words never span white
-    space, so a text's ids are those of its words in turn, and a word is encoded once as long as it is
-    remembered. Fresh words are encoded many at a time with a control character between them, whose id
-    tells where a word's ids end; words that could be mistaken for it are encoded alone."""
+    space, so a text's ids are those of its words in turn. It folds case, and marks behind a letter or digit are words of
+    their own, so a word's ids are those of its folded stem and of the marks at its end; stems are encoded once as long as
+    they are remembered. Fresh stems are encoded many at a time with a control character between them, whose id
+    tells where a stem's ids end; words that could be mistaken for it are encoded alone, as they are."""
 
     BETWEEN = "\x01"
+    MARKS = b".,;:!?"
+    SOLID = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,16 +58,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.mark = self._ids([self.BETWEEN])[0]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        fresh = list(words - self.known.keys())
+    def learn(self, stems: set[bytes]) -> None:
+        fresh = list(stems - self.known.keys())
         if len(self.known) + len(fresh) > CACHE_WORDS:
             self.known = {}
-            fresh = list(words)
+            fresh = list(stems)
         plain = [w for w in fresh if b"\x01" not in w and b"<|" not in w]
         odd = [w for w in fresh if b"\x01" in w or b"<|" in w]
         between = f" {self.BETWEEN} "
@@ -82,11 +86,32 @@ class Encoder:
         for w, ids in zip(odd, self._ids([w.decode() for w in odd]), strict=True):
             self.known[w] = np.array(ids, "<u4").tobytes()
 
+    def _learn_words(self, words: set[bytes]) -> None:
+        fresh = list(words - self.words.keys())
+        if len(self.words) + len(fresh) > CACHE_WORDS:
+            self.words = {}
+            fresh = list(words)
+        stems, tails = [], []
+        for w in fresh:
+            stem = w.rstrip(self.MARKS)
+            n = len(stem)
+            if b"<|" in w:
+                stem, n = w, len(w)
+            elif n == len(w) or not n or stem[-1] not in self.SOLID:
+                stem, n = w.lower(), len(w)
+            else:
+                stem = stem.lower()
+            stems.append(stem)
+            tails.append(w[n:])
+        self.learn({*stems, *tails} - {b""})
+        known = self.known
+        self.words.update({w: known[s] + known[t] if t else known[s] for w, s, t in zip(fresh, stems, tails, strict=True)})
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [x.split() for x in texts]
-        self.learn(set().union(*split))
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        self._learn_words(set().union(*split))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(maxsize=2)

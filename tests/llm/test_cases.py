@@ -473,7 +473,7 @@ def test_encoder_agrees_with_the_tokenizer():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, enc, rng = Tokenizer.from_file(path), Encoder(path), random.Random(2)
-    bits = ["it's", "don't", "x", "É", "é", "é", "ΣΑΣ", "<|endoftext|>", " ", "　", "12", "3", "!!", "'s", "\t", "\n", " ", "  ", "\x0b", "\x1c", "\x85", "漢字", "\x01", "a\x01b", "\U0001f600", "İ", "ﬁ", "foo"]
+    bits = ["it's", "don't", "x", "É", "é", "é", "ΣΑΣ", "<|endoftext|>", " ", "　", "12", "3", "!!", "'s", ".", ",", "?!", "\"", "»", "A1", "<|STARTOFTEXT|>", "\u0301", "\t", "\n", " ", "  ", "\x0b", "\x1c", "\x85", "漢字", "\x01", "a\x01b", "\U0001f600", "İ", "ﬁ", "foo"]
     for _ in range(3000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(enc([text.encode()])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
