@@ -558,3 +558,48 @@ def encode(width: int, height: int, rgba: bytes) -> bytes:
     bits.write(0, 1)
     _write_image(bits, _argb(image), main=True)
     return bits.finish()
+
+
+# --- source analysis -----------------------------------------------------------------------------------------
+
+
+def palette_order(colours: np.ndarray) -> np.ndarray:
+    """Places of palette entries (ARGB) so that each is near the one before: nine times the wrapped differences of red, green and
+    blue and once that of alpha, the smaller colour of equals. A transparent black goes last if there are over 17 entries."""
+    order = np.argsort(colours, kind="stable")
+    last = order[:1] if len(colours) > 17 and colours[order[0]] == 0 else order[:0]
+    rest = order[len(last) :]
+    parts = np.stack([colours >> s & 255 for s in (16, 8, 0, 24)], axis=1)
+    out, now = [], np.zeros(4, np.int64)
+    while len(rest):
+        off = (parts[rest] - now) & 255
+        best = int((np.minimum(off, 256 - off) @ np.array([9, 9, 9, 1])).argmin())
+        out.append(rest[best])
+        now, rest = parts[rest[best]], np.delete(rest, best)
+    return np.array([*out, *last], np.int64)
+
+
+#: Pixels that the search for a cross-colour transform looks at, at most (fixed value).
+COLOUR_SAMPLE = 8192
+
+
+def optimise_cross_colour(rgba: np.ndarray) -> tuple[tuple[int, int, int], bool] | None:
+    """((green to red, green to blue, red to blue), whether they lower the score): every multiplier tried for one of the three
+    while the others stay, blue's two twice. Each stage takes the least score plus the multiplier's size, the smallest of equals."""
+    pixels = rgba.reshape(-1, 4)
+    if len(pixels) < LEAST_PIXELS:
+        return None
+    p = pixels[:: -(-len(pixels) // COLOUR_SAMPLE)]
+    r, g, b = (_signed(p[:, c]).astype(np.int64) for c in range(3))
+    m = np.arange(-128, 128)
+    size = lambda x: np.abs((x & 255).astype(np.uint8).astype(np.int8).astype(np.int64))
+    step = lambda c: c[None, :] * m[:, None] >> 5
+    least = lambda rest: int(m[(size(rest).sum(axis=1) + np.abs(m)).argmin()])
+    by_green, by_red = step(g), step(r)
+    red, blue_g, blue_r = least(r - by_green), 0, 0
+    for _ in range(2):
+        blue_g = least(b - by_green - (r * blue_r >> 5))
+        blue_r = least(b - (g * blue_g >> 5) - by_red)
+    before = int((size(r) + size(b)).sum())
+    after = int((size(r - (g * red >> 5)) + size(b - (g * blue_g >> 5) - (r * blue_r >> 5))).sum())
+    return (red, blue_g, blue_r), after < before

@@ -20,7 +20,6 @@ PLANS = {
     "an11_validate_frames": f"""
         SELECT conv_id, turn, CASE WHEN x % 2 <> 0 OR y % 2 <> 0 THEN 'odd offset' WHEN duration >= 16777216 THEN 'duration' WHEN x + width > {CANVAS_WIDTH} OR y + height > {CANVAS_HEIGHT} THEN 'outside canvas' ELSE 'valid' END AS verdict FROM {{frames}}""",
     "snk4_frame_headers": f"SELECT conv_id, turn, {le('x // 2', 3)} || {le('y // 2', 3)} || {le('width - 1', 3)} || {le('height - 1', 3)} || {le('duration', 3)} || {le('CASE WHEN dispose THEN 1 ELSE 0 END + CASE WHEN blend THEN 0 ELSE 2 END', 1)} AS header FROM {{frames}}",
-    "st8_stable_rows": "SELECT conv_id, turn, CASE WHEN turn + 1 = max(turn + 1) OVER w THEN height * 16 ELSE greatest(0, turn - 1) * 16 END AS stable_rows FROM {frames} WINDOW w AS (PARTITION BY conv_id)",
     # Without blending the shown value of a place is that of the last frame over it, unless a later disposal cleared it.
     "an4_compose_replacing": f"""
         WITH points AS (SELECT m % {CANVAS_WIDTH} AS px, m // {CANVAS_WIDTH} AS py FROM {{numbers}} WHERE m < {CANVAS_WIDTH * CANVAS_HEIGHT}),

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import animation, lossy, planes, riff, vp8, vp8l, vp8l_high
+from tessera.functions import animation, lossy, planes, riff, spatial, vp8, vp8l, vp8l_high
 from tessera.functions.bits import StreamError
 from tessera.operators.container import PLANS as CONTAINER
 from tessera.operators.predictors import ADAPTIVE_MODES
@@ -217,6 +217,59 @@ def lossy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bodies(spark, sf_dir).mapInArrow(batches, ", ".join(f"{n} {'boolean' if n in ('simple', 'exact') else 'long'}" for n in names))
 
 
+def spatial_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vp8l_round_trip, through the spatial profiles: compact for images of an even number of rows, low latency for others."""
+    return _raster_round_trip(spark, sf_dir, lambda height, x: vp8l.decode(spatial.encode(WIDTH, height, x, ("compact", "low latency")[height % 2])))
+
+
+def optimised_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, green_to_red, green_to_blue, red_to_blue, used): the cross-colour transform found by trying every multiplier."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in _rows_of(stream, 4 * WIDTH):
+            rows = []
+            for i, x in zip(ids, data, strict=True):
+                if found := vp8l.optimise_cross_colour(np.frombuffer(x, np.uint8).reshape(-1, WIDTH, 4)):
+                    rows.append((i, *found[0], found[1]))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.bool_()], strict=True)], names=["doc_id", "green_to_red", "green_to_blue", "red_to_blue", "used"])
+
+    return _bodies(spark, sf_dir).mapInArrow(batches, "doc_id long, green_to_red long, green_to_blue long, red_to_blue long, used boolean")
+
+
+def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, entries, digest): palettes of up to 256 colours in the order of least differences."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in _rows_of(stream, 4 * WIDTH):
+            rows = []
+            for i, x in zip(ids, data, strict=True):
+                colours = np.unique(vp8l._argb(np.frombuffer(x, np.uint8).reshape(-1, WIDTH, 4)))
+                if len(colours) <= 256:
+                    ordered = colours[vp8l.palette_order(colours)]
+                    rows.append((i, len(ordered), int((ordered % 65521 * np.arange(1, len(ordered) + 1)).sum())))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "entries", "digest"])
+
+    return _bodies(spark, sf_dir).mapInArrow(batches, "doc_id long, entries long, digest long")
+
+
+def stable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, macroblock_row, stable_rows): how far a lossy frame is final after each of its rows of macroblocks."""
+    tables = vp8.Tables.by_rule()
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in _rows_of(stream, 4 * WIDTH):
+            rows = []
+            for i, x in zip(ids, data, strict=True):
+                frame = vp8.FrameReader(vp8.encode(WIDTH, len(x) // (4 * WIDTH), x, 10, tables, level=0), tables)
+                while frame.next_row():
+                    rows.append((i, frame.done - 1, frame.stable_rows()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "macroblock_row", "stable_rows"])
+
+    return _bodies(spark, sf_dir).mapInArrow(batches, "doc_id long, macroblock_row long, stable_rows long")
+
+
 def coefficient_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, blocks, tokens_with_zero, digest): bytes as levels of blocks of 16, written as tokens and read again."""
     tables = vp8.Tables.by_rule()
@@ -347,6 +400,10 @@ QUERIES = {
     "le1_encoded_sizes": vp8l_encoded_sizes,
     "al4_gradient_round_trip": alpha_gradient_round_trip,
     "le16_adaptive_modes": adaptive_modes,
+    "le11_optimise_colour_transform": optimised_colours,
+    "le12_palette_order": palettes,
+    "le48_spatial_round_trip": spatial_round_trip,
+    "st8_stable_rows": stable_rows,
     "vd19_lossy_round_trip": lossy_round_trip,
     "vd7_coefficient_tokens": coefficient_tokens,
     "an1_decode_animations": decode_animations,
@@ -374,6 +431,8 @@ _CANVASES = f"""WITH RECURSIVE f AS (
     times AS (SELECT conv_id, turn, i, sum(duration) OVER (PARTITION BY conv_id ORDER BY i) AS timestamp_ms FROM f)
     SELECT s.conv_id, turn, CAST(any_value(timestamp_ms) AS BIGINT) AS timestamp_ms, CAST(sum((r + 3 * g + 5 * b + 7 * a) * (1 + (py * w + px) % 251)) AS BIGINT) AS digest FROM shown s JOIN times t ON t.conv_id = s.conv_id AND t.i = s.i GROUP BY s.conv_id, turn"""
 TWINS = {
+    "le48_spatial_round_trip": _RASTERS,
+    "st8_stable_rows": "SELECT doc_id, macroblock_row, CASE WHEN macroblock_row * 16 + 16 >= height THEN height ELSE macroblock_row * 16 END AS stable_rows FROM (SELECT doc_id, height, unnest(range((height + 15) // 16)) AS macroblock_row FROM {images}) t",
     "le16_adaptive_modes": ADAPTIVE_MODES,
     "vd19_lossy_round_trip": _HEX + " SELECT doc_id, CAST(16 AS BIGINT) AS width, (n + 63) // 64 AS height, doc_id % 128 AS quantiser, doc_id * 7 % 64 AS level, doc_id % 8 AS sharpness, CAST(1 << (doc_id % 4) AS BIGINT) AS partitions, doc_id % 3 = 0 AS simple, true AS exact FROM h WHERE n > 0",
     "vd7_coefficient_tokens": "SELECT doc_id, count(*) // 16 AS blocks, CAST(sum(CASE WHEN v % 3 = 0 OR v = 128 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(sum(CASE WHEN v % 3 = 0 THEN 0 ELSE (v - 128) * CASE WHEN v % 11 = 0 THEN 16 ELSE 1 END END * (1 + idx % 251)) AS BIGINT) AS digest FROM {al} GROUP BY doc_id",

@@ -120,6 +120,12 @@ def _shown(x: int) -> str:
     return f"(CASE WHEN top_out THEN {above} ELSE {beside} END)"
 
 
+def bit_cost(likelihood: str) -> str:
+    """Cost of a decision in 256ths of a bit: a piecewise linear logarithm of its likelihood in 256ths."""
+    x = f"greatest(1, {likelihood})"
+    return f"(CASE {' '.join(f'WHEN {x} < {2 << e} THEN {8 - e} * 256 - (({x} - {1 << e}) << 8) // {1 << e}' for e in range(8))} END)"
+
+
 PLANS = {
     "vd1_frame_tag": "SELECT doc_id, count(*) AS tags, " + ", ".join(f"{total(e)} AS {n}" for e, n in (("tag & 1", "inter_frame"), ("(tag >> 1) & 7", "profile"), ("(tag >> 4) & 1", "shown"), ("tag >> 5", "first_partition"))) + ", CAST(sum(CASE WHEN (tag & 1) = 0 AND ((tag >> 1) & 7) <= 3 AND ((tag >> 4) & 1) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS usable FROM (SELECT doc_id, idx, r | (g << 8) | (b << 16) AS tag FROM {px}) t GROUP BY doc_id",
     "vd4_dequantisation": f"""
@@ -162,8 +168,11 @@ PLANS = {
         WITH v AS (SELECT m AS i, m / 1024.0e0 AS g, m / 512.0e0 AS l FROM {numbers} WHERE m <= 1024)
         SELECT i, CAST(floor((CASE WHEN g <= 0.018053968510807e0 * 4.5e0 THEN g / 4.5e0 ELSE power((g + 0.09929682680944e0) / 1.09929682680944e0, 1e0 / 0.45e0) END) * 65536 + 0.5e0) AS BIGINT) AS to_linear,
                CASE WHEN i <= 512 THEN CAST(floor((CASE WHEN l <= 0.018053968510807e0 THEN l * 4.5e0 ELSE 1.09929682680944e0 * power(l, 0.45e0) - 0.09929682680944e0 END) * 65536 + 0.5e0) AS BIGINT) END AS to_gamma FROM v""",
-    "ve14_adapted_probabilities": """
-        WITH nodes AS (SELECT doc_id, idx % 4 AS kind, (idx // 4) % 8 AS band, g % 3 AS context, b % 11 AS node, CAST(sum(r % 2) AS BIGINT) AS ones, count(*) AS total FROM {px} GROUP BY doc_id, idx % 4, (idx // 4) % 8, g % 3, b % 11)
-        SELECT doc_id, count(*) AS nodes, CAST(sum((255 - ones * 255 // total) * (1 + node)) AS BIGINT) AS digest FROM nodes GROUP BY doc_id""",
-    "ve15_bit_costs": "WITH p AS (SELECT m + 128 AS p FROM {multipliers}), q AS (SELECT p, greatest(1, p) AS zero, greatest(1, 255 - p) AS one FROM p) SELECT p, " + ", ".join(f"(CASE {' '.join(f'WHEN {k} < {2 << e} THEN {8 - e} * 256 - (({k} - {1 << e}) << 8) // {1 << e}' for e in range(8))} END) AS cost_{k}" for k in ("zero", "one")) + " FROM q",
+    # A node takes the probability that its decisions ask for if that saves more than the update costs. The defaults are those of vp8.Tables.by_rule.
+    "ve14_adapted_probabilities": f"""
+        WITH nodes AS (SELECT doc_id, idx % 4 AS kind, (idx // 4) % 8 AS band, g % 3 AS context, b % 11 AS node, CAST(sum(r % 2) AS BIGINT) AS ones, count(*) AS total FROM {{px}} GROUP BY doc_id, idx % 4, (idx // 4) % 8, g % 3, b % 11),
+        now AS (SELECT *, 255 - ones * 255 // total AS new, greatest(20, least(250, CASE WHEN node = 0 THEN 60 + 70 * context - 4 * band ELSE 150 + 12 * band - 45 * context - CASE WHEN kind = 1 THEN 10 ELSE 0 END - 6 * node END)) AS old FROM nodes),
+        cost AS (SELECT *, (total - ones) * {bit_cost('new')} + ones * {bit_cost('255 - new')} + {bit_cost('5')} + 2048 AS new_cost, (total - ones) * {bit_cost('old')} + ones * {bit_cost('255 - old')} + {bit_cost('250')} AS old_cost FROM now)
+        SELECT doc_id, kind, count(*) AS nodes, CAST(sum(CASE WHEN new <> old AND new_cost < old_cost THEN 1 ELSE 0 END) AS BIGINT) AS updated, CAST(sum((CASE WHEN new <> old AND new_cost < old_cost THEN new ELSE old END) * (1 + band * 33 + context * 11 + node)) AS BIGINT) AS digest FROM cost GROUP BY doc_id, kind""",
+    "ve15_bit_costs": f"SELECT m + 128 AS p, {bit_cost('m + 128')} AS cost_zero, {bit_cost('255 - (m + 128)')} AS cost_one FROM {{multipliers}}",
 }

@@ -70,6 +70,43 @@ def premultiplied(c: str) -> str:
     return f"((({c}) * (a * 65793) + 8388608) >> 24)"
 
 
+def _stage(name: str, rest: str, before: str) -> str:
+    """The multiplier m of least score, the smallest of equals, over the sample joined to what was chosen before."""
+    e = f"({rest}) & 255"
+    return f""", {name} AS (SELECT doc_id, arg_min(m, score * 1000 + m) AS {name}_m FROM (SELECT doc_id, m, sum(n * {magnitude(f'({e})')}) + abs(m) AS score FROM {before} CROSS JOIN multipliers GROUP BY doc_id, m) t GROUP BY doc_id)"""
+
+
+def _joined(*stages: str) -> str:
+    return "(SELECT s.*, " + ", ".join(f"{x}_m" for x in stages) + " FROM sampled s " + " ".join(f"JOIN {x} ON {x}.doc_id = s.doc_id" for x in stages) + ")"
+
+
+#: The search for a cross-colour transform for DuckDB; Spark runs it where the pixels are (tessera.operators.codec).
+_BLUE = "b - {g} - {r}"
+OPTIMISED = (
+    f"""WITH sizes AS (SELECT doc_id, count(*) AS pixels FROM px GROUP BY doc_id),
+    sampled AS (SELECT p.doc_id, r, g, b, count(*) AS n FROM px p JOIN sizes s ON p.doc_id = s.doc_id WHERE pixels >= {LEAST_PIXELS} AND idx % ((pixels + 8191) // 8192) = 0 GROUP BY p.doc_id, r, g, b)"""
+    + _stage("gr", f"r - {delta('g', 'm')}", "sampled")
+    + _stage("gb1", f"b - {delta('g', 'm')}", "sampled")
+    + _stage("rb1", f"b - {delta('g', 'gb1_m')} - {delta('r', 'm')}", _joined("gb1"))
+    + _stage("gb2", f"b - {delta('g', 'm')} - {delta('r', 'rb1_m')}", _joined("rb1"))
+    + _stage("rb2", f"b - {delta('g', 'gb2_m')} - {delta('r', 'm')}", _joined("gb2"))
+    + f""" SELECT doc_id, gr_m AS green_to_red, gb2_m AS green_to_blue, rb2_m AS red_to_blue,
+        sum(n * ({magnitude(f"((r - {delta('g', 'gr_m')}) & 255)")} + {magnitude(f"((b - {delta('g', 'gb2_m')} - {delta('r', 'rb2_m')}) & 255)")})) < sum(n * ({magnitude('r')} + {magnitude('b')})) AS used
+    FROM {_joined('gr', 'gb2', 'rb2')} GROUP BY doc_id, gr_m, gb2_m, rb2_m"""
+)
+#: Palettes in the order of least differences, one entry after the other, for DuckDB.
+PALETTES = f"""WITH RECURSIVE entries AS (SELECT DISTINCT doc_id, argb FROM px),
+    sizes AS (SELECT doc_id, count(*) AS n FROM entries GROUP BY doc_id HAVING count(*) <= 256),
+    pal AS (SELECT e.doc_id, argb, n > 17 AND argb = 0 AS held FROM entries e JOIN sizes s ON e.doc_id = s.doc_id),
+    walk AS (
+        SELECT doc_id, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS now, CAST([] AS BIGINT[]) AS used FROM sizes
+        UNION ALL
+        SELECT doc_id, step + 1, pick, list_append(used, pick) FROM (
+            SELECT w.doc_id, step, any_value(used) AS used, arg_min(argb, (9 * ({' + '.join(magnitude(f'(((argb >> {c}) - (now >> {c})) & 255)') for c in (16, 8, 0)) }) + {magnitude('(((argb >> 24) - (now >> 24)) & 255)')}) * 4294967296 + argb) AS pick
+            FROM walk w JOIN pal p ON p.doc_id = w.doc_id AND NOT held AND NOT list_contains(used, argb) GROUP BY w.doc_id, step) t),
+    placed AS (SELECT doc_id, step - 1 AS place, now AS argb FROM walk WHERE step > 0 UNION ALL SELECT p.doc_id, n - 1, argb FROM pal p JOIN sizes s ON p.doc_id = s.doc_id WHERE held)
+    SELECT doc_id, count(*) AS entries, CAST(sum(argb % 65521 * (1 + place)) AS BIGINT) AS digest FROM placed GROUP BY doc_id"""
+
 PLANS = {
     "bt9_pack_argb": f"SELECT doc_id, count(*) AS pixels, {total('argb')} AS packed, {total('(argb >> 24) & 255')} AS alpha, {total('(argb >> 16) & 255')} AS red, {total('(argb >> 8) & 255')} AS green, {total('argb & 255')} AS blue FROM {{px}} GROUP BY doc_id",
     "ld24_subtract_green": f"""
@@ -95,16 +132,6 @@ PLANS = {
                CASE WHEN pixels < {LEAST_PIXELS} OR {_BEST} = s0 OR {_BEST} * 4 > s0 * 3 THEN -1
                     {' '.join(f'WHEN s{i + 1} = {_BEST} THEN {i}' for i in range(6))} END AS candidate
         FROM (SELECT doc_id, count(*) AS pixels, {_SCORES} FROM {{px}} GROUP BY doc_id) t""",
-    "le11_optimise_green_to_red": f"""
-        WITH sizes AS (SELECT doc_id, count(*) AS pixels FROM {{px}} GROUP BY doc_id),
-        sampled AS (
-            SELECT p.doc_id, r, g, count(*) AS n FROM {{px}} p JOIN sizes s ON p.doc_id = s.doc_id
-            WHERE pixels >= {LEAST_PIXELS} AND idx % ((pixels + 8191) // 8192) = 0 GROUP BY p.doc_id, r, g),
-        scored AS (
-            SELECT doc_id, m, CAST(sum(n * {magnitude(f"((r - {delta('g', 'm')}) & 255)")}) AS BIGINT) + abs(m) AS score
-            FROM sampled CROSS JOIN {{multipliers}} v GROUP BY doc_id, m),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, m) AS k FROM scored)
-        SELECT doc_id, m AS green_to_red, score FROM ranked WHERE k = 1""",
     "le7_palette_order": """
         SELECT doc_id, argb, first_idx, row_number() OVER (PARTITION BY doc_id ORDER BY first_idx) - 1 AS entry
         FROM (SELECT doc_id, argb, min(idx) AS first_idx, count(*) OVER (PARTITION BY doc_id) AS colours FROM {px} GROUP BY doc_id, argb) t

@@ -43,11 +43,8 @@ CLUSTERS = SIGNATURES + f""",
         UNION ALL SELECT a.doc_id, a.height, a.brow, 1, coalesce(a.seed, f.seed) FROM assigned a JOIN first_column f ON a.doc_id = f.doc_id AND a.brow = f.brow WHERE a.bx = 1),
     compacted AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY seed) - 1 AS grp FROM filled)"""
 
-_COSTS = """
-    WITH costs AS (
-        SELECT doc_id, k AS candidate, count(*) * 3 + CAST(sum((argb >> CAST(k AS INT)) & 15) AS BIGINT) AS exact_bits, CAST(sum((g + k) % 3) AS BIGINT) AS lookups, CAST(max((b * (k + 1)) % 17) AS BIGINT) AS runs, (max(y) + 1) * (k + 1) * 640 AS map_bytes
-        FROM {px} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) c GROUP BY doc_id, k),
-    scored AS (SELECT *, exact_bits + lookups + runs * 8 + map_bytes // 64 AS score, min(exact_bits) OVER (PARTITION BY doc_id) AS rate_floor FROM costs)"""
+#: The measured costs of the three grids, scored: bits, lookups, eight for each run, a 64th of the bytes of tables and map.
+_COSTS = "WITH scored AS (SELECT *, exact_bits + lookups + runs * 8 + map_bytes // 64 AS score, min(exact_bits) OVER (PARTITION BY doc_id) AS rate_floor FROM {portfolio})"
 
 PLANS = {
     "le29_block_histograms": BLOCKS + f" SELECT doc_id, block, literals, branches, {', '.join(f'{h} * {i + 1}' for i, h in enumerate(_H)).replace(', ', ' + ')} AS digest FROM blocks",
@@ -68,6 +65,7 @@ PLANS = {
             FROM (SELECT *, lag(grp) OVER (PARTITION BY doc_id, brow ORDER BY bx) AS before FROM compacted) t GROUP BY doc_id, brow)
         SELECT doc_id, CAST(sum(row_runs * least({BLOCK}, height - brow * {BLOCK})) AS BIGINT) AS runs FROM changes GROUP BY doc_id""",
     "le38_table_map_bytes": CLUSTERS + " SELECT doc_id, (max(grp) + 1) * 5 * 2048 + count(*) * 2 AS bytes FROM compacted GROUP BY doc_id",
+    "le36_grid_costs": "SELECT doc_id, candidate, exact_bits, lookups, runs, map_bytes FROM {portfolio}",
     "le39_choose_compact": _COSTS + " SELECT doc_id, candidate, exact_bits, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, exact_bits, candidate) AS k FROM scored WHERE exact_bits <= rate_floor) t WHERE k = 1",
     "le39_choose_low_latency": _COSTS + " SELECT doc_id, candidate, exact_bits, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, exact_bits, candidate) AS k FROM scored WHERE exact_bits <= rate_floor + rate_floor // 100) t WHERE k = 1",
     "tk3_best_two": _COSTS + " SELECT doc_id, k, candidate, exact_bits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY exact_bits, candidate) AS k FROM scored) t WHERE k <= 2",

@@ -13,6 +13,6 @@ from tessera.sources import containers, raster, tokens  # noqa: F401  registers
 PLANS: dict[str, str] = {**pixels.PLANS, **predictors.PLANS, **entropy.PLANS, **spatial.PLANS, **alpha.PLANS, **container.PLANS, **animation.PLANS, **lossy.PLANS}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: for_spark(sql) for name, sql in PLANS.items()} | codec.QUERIES
 #: Twins over base relations that are DuckDB text already and share nothing with the plan.
-OWN_TWINS: dict[str, str] = {**container.TWINS}
-ORACLE_SQL: dict[str, str] = {name: for_duckdb(sql) for name, sql in {**PLANS, **codec.TWINS}.items()} | {name: duck_twin(sql, "chunks") for name, sql in OWN_TWINS.items()}
+OWN_TWINS: dict[str, tuple[str, str]] = {name: (sql, "chunks") for name, sql in container.TWINS.items()} | {"le11_optimise_colour_transform": (pixels.OPTIMISED.replace("CROSS JOIN multipliers", "CROSS JOIN (SELECT unnest(range(-128, 128)) AS m) v"), "px"), "le12_palette_order": (pixels.PALETTES, "px")}
+ORACLE_SQL: dict[str, str] = {name: for_duckdb(sql) for name, sql in {**PLANS, **codec.TWINS}.items()} | {name: duck_twin(sql, relation) for name, (sql, relation) in OWN_TWINS.items()}
 FLAGSHIP = "color_cache_hits"

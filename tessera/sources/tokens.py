@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import vp8l
+from tessera.functions import spatial, vp8l
 from tessera.plans.dialect import DUCK, relation
 from tessera.shipping import ship
 from tessera.sources.raster import WIDTH, bodies, whole
@@ -131,3 +131,56 @@ def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, height): sizes without a pixel."""
     return bodies(spark, sf_dir).select("doc_id", F.ceil(F.octet_length("body") / (4 * WIDTH)).alias("height")).filter("height > 0")
+
+
+# --- spatial portfolio -----------------------------------------------------------------------------------------
+
+
+def _extra(code: str) -> str:
+    return f"(CASE WHEN ({code}) < 4 THEN 0 ELSE (({code}) - 2) >> 1 END)"
+
+
+def _grid_ctes(i: int, size: int, most: int) -> list[tuple[str, str]]:
+    """One grid's plan for rasters of one block across: clusters, filled blocks, groups, code lengths, costs."""
+    bins = [f"h{c}{b}" for c in range(4) for b in range(8)]
+    scaled = [f"s{c}{b}" for c in range(4) for b in range(8)]
+    floor = "(CASE " + " ".join(f"WHEN n < {1 << (k + 1)} THEN {k}" for k in range(1, 12)) + " END)"
+    return [
+        (f"blocks{i}", f"SELECT doc_id, idx // 16 // {size} AS block, count(*) AS weight, CAST(sum(CASE WHEN kind = 'literal' THEN 1 ELSE 0 END) AS BIGINT) AS literals, {', '.join(f"CAST(sum(CASE WHEN kind = 'literal' AND ((colour >> {shift}) & 255) >> 5 = {b} THEN 1 ELSE 0 END) AS BIGINT) AS h{c}{b}" for c, shift in enumerate((16, 8, 0, 24)) for b in range(8))} FROM tokens GROUP BY doc_id, idx // 16 // {size}"),
+        (f"named{i}", f"SELECT *, [{', '.join([*scaled, 'sb'])}] AS signature FROM (SELECT doc_id, block, weight, {', '.join(f'least(15, ({h} * 15) // greatest(1, literals)) AS {x}' for h, x in zip(bins, scaled, strict=True))}, least(15, ((weight - literals) * 15) // greatest(1, weight)) AS sb FROM blocks{i}) t"),
+        (f"seeds{i}", f"SELECT * FROM (SELECT doc_id, signature, row_number() OVER (PARTITION BY doc_id ORDER BY sum(weight) DESC, signature) - 1 AS seed FROM named{i} GROUP BY doc_id, signature) t WHERE seed < {most}"),
+        (f"nearest{i}", f"SELECT n.doc_id, block, arg_min(seed, list_sum(list_transform(list_zip(n.signature, d.signature), lambda z: abs(z[1] - z[2]))) * 1000 + seed) AS seed FROM named{i} n JOIN seeds{i} d ON n.doc_id = d.doc_id GROUP BY n.doc_id, block"),
+        (f"cells{i}", f"SELECT doc_id, height, unnest(range((height + {size - 1}) // {size})) AS block FROM (SELECT doc_id, k // 16 AS height FROM px_bytes) t"),
+        (f"groups{i}", f"SELECT doc_id, height, block, dense_rank() OVER (PARTITION BY doc_id ORDER BY seed) - 1 AS grp FROM (SELECT c.doc_id, height, c.block, coalesce(last_value(seed IGNORE NULLS) OVER (PARTITION BY c.doc_id ORDER BY c.block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS seed FROM cells{i} c LEFT JOIN nearest{i} n ON c.doc_id = n.doc_id AND c.block = n.block) t"),
+        (f"counts{i}", f"SELECT s.doc_id, grp, channel, symbol, count(*) AS freq FROM placed_symbols s JOIN groups{i} g ON s.doc_id = g.doc_id AND s.idx // 16 // {size} = g.block WHERE symbol IS NOT NULL GROUP BY s.doc_id, grp, channel, symbol"),
+        (f"lengths{i}", f"SELECT doc_id, freq, CASE WHEN n = 1 THEN 1 WHEN k < 2 * (1 << CAST(f AS INT)) - n THEN f ELSE f + 1 END AS len FROM (SELECT *, {floor} AS f FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, grp, channel ORDER BY freq DESC, symbol) - 1 AS k, count(*) OVER (PARTITION BY doc_id, grp, channel) AS n FROM counts{i}) t) u"),
+        (f"costs{i}", f"SELECT l.doc_id, {i} AS candidate, bits + extra AS exact_bits, lookups, runs, map_bytes FROM (SELECT doc_id, CAST(sum(freq * len) AS BIGINT) AS bits, CAST(sum(CASE WHEN len > 8 THEN freq ELSE 0 END) AS BIGINT) AS lookups FROM lengths{i} GROUP BY doc_id) l JOIN extras e ON l.doc_id = e.doc_id JOIN (SELECT doc_id, max(height) AS runs, (max(grp) + 1) * 5 * 2048 + 2 * count(*) AS map_bytes FROM groups{i} GROUP BY doc_id) m ON l.doc_id = m.doc_id"),
+    ]
+
+
+_PORTFOLIO = [
+    *DUCK["px"], *_ctes(_TOKENS),
+    ("placed_symbols", _FREQS[0][1].replace("SELECT doc_id, channel,", "SELECT doc_id, idx, channel,", 1)),
+    ("extras", f"SELECT doc_id, CAST(sum(CASE WHEN kind = 'copy' THEN {_extra(prefix('length'))} + {_extra(prefix('121'))} ELSE 0 END) AS BIGINT) AS extra FROM tokens GROUP BY doc_id"),
+    *(cte for i, (size, most, _) in enumerate(spatial.GRIDS.values()) for cte in _grid_ctes(i, size, most)),
+    ("portfolio", " UNION ALL ".join(f"SELECT * FROM costs{i}" for i in range(len(spatial.GRIDS)))),
+]
+
+
+@relation("portfolio", *_PORTFOLIO)
+def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, candidate, exact_bits, lookups, runs, map_bytes): what an image's spatial plan costs on each of the three grids."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            rows = []
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                colour, at, kind, value, bits = parsed(body)
+                height = len(colour) // WIDTH
+                for k, grid in enumerate(spatial.GRIDS):
+                    p = spatial.plan(at, kind, value, bits, WIDTH, height, grid)
+                    rows.append((i, k, *spatial.costs(p, kind, value, WIDTH, height)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "candidate", "exact_bits", "lookups", "runs", "map_bytes"])
+
+    return _images(spark, sf_dir).mapInArrow(batches, "doc_id long, candidate long, exact_bits long, lookups long, runs long, map_bytes long")

@@ -114,6 +114,56 @@ def test_tables_from_a_file(tmp_path):
         vp8.Tables(TABLES.coefficients, TABLES.updates[:2], TABLES.modes)
 
 
+def test_adapted_probabilities_agree_with_the_plan(spark):
+    from tessera.plans.registry import QUERIES
+    from tessera.sources.raster import whole
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.kind): (r.updated, r.digest) for r in QUERIES["ve14_adapted_probabilities"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").limit(5).collect():
+        p = np.frombuffer(whole((r.text or "").encode(), 64), np.uint8).reshape(-1, 4).astype(np.int64)
+        idx = np.arange(len(p))
+        at = ((idx % 4 * 8 + idx // 4 % 8) * 3 + p[:, 1] % 3) * 11 + p[:, 2] % 11
+        new = vp8.adapted([list(zip((p[:, 0] % 2).tolist(), at.tolist()))], TABLES).ravel()
+        seen = np.unique(at)
+        place = 1 + seen // 33 % 8 * 33 + seen // 11 % 3 * 11 + seen % 11
+        for kind in np.unique(seen // 264).tolist():
+            own = seen // 264 == kind
+            assert got[r.doc_id, kind] == (int((new[seen] != TABLES.coefficients.ravel()[seen])[own].sum()), int((new[seen] * place)[own].sum()))
+
+
+def test_spatial_profiles():
+    from tessera.functions import spatial
+
+    rng = np.random.default_rng(5)
+    top = np.where(rng.random((300, 40, 4)) < 0.5, 20, 24).astype(np.uint8)
+    pixels = np.concatenate([top, rng.integers(100, 256, (300, 40, 4)).astype(np.uint8)])
+    for profile in ("compact", "low latency"):
+        data = spatial.encode(40, 600, pixels.tobytes(), profile)
+        assert vp8l.decode(data) == (40, 600, pixels.tobytes()) and len(data) < len(vp8l.encode(40, 600, pixels.tobytes()))
+    small = image(5, 4)
+    assert vp8l.decode(spatial.encode(5, 4, small.tobytes()))[2] == small.tobytes()
+    # blocks without tokens take the group to their left, then the one above
+    there = np.array([1, 5])
+    bins = np.zeros((2, 33), np.int64)
+    bins[1, 0] = 15
+    assert spatial.cluster(there, bins, np.array([9, 3]), 4, 8, 4).tolist() == [0, 0, 0, 0, 0, 1, 1, 1]
+    assert spatial.choose("compact", [(1000, 0, 0, 0), (1005, 0, 0, 0)]) == 0
+    assert spatial.choose("low latency", [(1000, 90, 9, 64), (1005, 0, 0, 0), (1011, 0, 0, 0)]) == 1
+
+
+def test_palette_order_and_cross_colour():
+    colours = np.array([0xFF000000, 0xFF050505, 0xFF0000FF, 0xFFFFFFFF])
+    assert vp8l.palette_order(colours).tolist() == [0, 2, 3, 1]  # differences wrap
+    many = np.concatenate([[0], 0xFF000000 + np.arange(17)])
+    assert vp8l.palette_order(many)[-1] == 0 and vp8l.palette_order(many[:17])[0] == 0
+    g = np.random.default_rng(1).integers(0, 60, (20, 20))
+    rgba = np.stack([g // 2, g, g, np.full_like(g, 255)], axis=2).astype(np.uint8)
+    (red, blue, _), used = vp8l.optimise_cross_colour(rgba)
+    assert used and 14 <= red <= 17 and blue >= 28
+    assert vp8l.optimise_cross_colour(rgba[:3, :3]) is None
+
+
 def test_sharp_chroma():
     gray = np.full((5, 7, 4), 100, np.uint8)
     y, u, v = sharpyuv.convert(gray)
