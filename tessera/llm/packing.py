@@ -16,10 +16,12 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -35,7 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bins of the patterns, and documents in a pattern at most.
 PATTERN_BINS, PATTERN_DOCS = 64, 4
 #: Words, and stems of words, whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Text bytes that are split into words at a time.
 PART_BYTES = 6 << 20
 BUCKET_ROWS = 1 << 13
@@ -45,8 +47,8 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes. The vocabulary's words never span white
     space, so a text's ids are those of its words in turn. It folds case, and marks behind a letter or digit are words of
     their own, so a word's ids are those of its folded stem and of the marks at its end; stems are encoded once as long as
-    they are remembered. Fresh stems are encoded many at a time with a control character between them, whose id
-    tells where a stem's ids end; words that could be mistaken for it are encoded alone, as they are."""
+    they are remembered. Fresh stems are encoded many at a time with a mark between them, whose id tells where a
+    stem's ids end; words that could be mistaken for it are encoded alone, as they are."""
 
     BETWEEN = "\x01"
     MARKS = b".,;:!?"
@@ -59,53 +61,69 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
-        self.mark = self._ids([self.BETWEEN])[0]
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.mark = self._ids(self.tokenizer, self.BETWEEN)
+        with open(path) as f:
+            made = json.load(f)
+        # Words of small letters need no normalising and no splitting: the same model behind a cut at each space.
+        made.update(normalizer=None, pre_tokenizer={"type": "CharDelimiterSplit", "delimiter": " "}, post_processor=None)
+        self.bare = Tokenizer.from_str(json.dumps(made))
+        self.shown = byte_letters()
+        self.bare_mark = self._ids(self.bare, "!")
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> list[int]:  # noqa: ANN001
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def learn(self, stems: set[bytes]) -> None:
         fresh = list(stems - self.known.keys())
         if len(self.known) + len(fresh) > CACHE_WORDS:
             self.known = {}
             fresh = list(stems)
-        plain = [w for w in fresh if b"\x01" not in w and b"<|" not in w]
-        odd = [w for w in fresh if b"\x01" in w or b"<|" in w]
-        between = f" {self.BETWEEN} "
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self._ids([between.join([w.decode() for w in part])])[0], "<u4")
-            cuts = np.nonzero(ids == self.mark[0])[0] if len(self.mark) == 1 else None
-            if cuts is None or len(cuts) != len(part) - 1:
-                odd += part
+        letters, letters_shown, plain, plain_shown, odd = [], [], [], [], []
+        nfc = partial(unicodedata.is_normalized, "NFC")
+        for w in fresh:
+            x = w.decode()
+            if x.isalpha() and x.islower() and (x.isascii() or nfc(x)):
+                letters.append(w)
+                letters_shown.append(x if x.isascii() else w.decode("latin-1").translate(self.shown))
+            elif "\x01" in x or "<|" in x:
+                odd.append(w)
+            else:
+                plain.append(w)
+                plain_shown.append(x)
+        odd += self._together(self.bare, "!", self.bare_mark, letters, letters_shown)
+        odd += self._together(self.tokenizer, self.BETWEEN, self.mark, plain, plain_shown)
+        for w in odd:
+            self.known[w] = np.array(self._ids(self.tokenizer, w.decode()), "<u4").tobytes()
+
+    def _together(self, tokenizer, between: str, mark: list[int], words: list[bytes], shown: list[str]) -> list[bytes]:  # noqa: ANN001
+        """Encodes words with a mark between them; gives back those whose ids can't be told apart."""
+        left, between = [], f" {between} "
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = np.array(self._ids(tokenizer, between.join(shown[i : i + 2000])), "<u4")
+            cuts = np.nonzero(ids == mark[0])[0] if len(mark) == 1 else ()
+            if len(cuts) != len(part) - 1:
+                left += part
                 continue
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(part, [*(4 * cuts).tolist(), 4 * len(ids)], strict=True):
-                self.known[w] = data[begin:end]
-                begin = end + 4
-        for w, ids in zip(odd, self._ids([w.decode() for w in odd]), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+            data, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(data)])), strict=True))
+        return left
 
     def _learn_words(self, words: set[bytes]) -> None:
         fresh = list(words - self.words.keys())
         if len(self.words) + len(fresh) > CACHE_WORDS:
             self.words = {}
             fresh = list(words)
-        stems, tails = [], []
-        for w in fresh:
-            stem = w.rstrip(self.MARKS)
-            n = len(stem)
-            if b"<|" in w:
-                stem, n = w, len(w)
-            elif n == len(w) or not n or stem[-1] not in self.SOLID:
-                stem, n = w.lower(), len(w)
-            else:
-                stem = stem.lower()
-            stems.append(stem)
-            tails.append(w[n:])
-        self.learn({*stems, *tails} - {b""})
+        solid, marks = self.SOLID, self.MARKS
+        folded = [w.lower() if b"<|" not in w else w for w in fresh]
+        stems = [x.rstrip(marks) for x in folded]
+        # Marks are words of their own only behind a letter or digit; else they go with what is before them.
+        cut = [(x, b"") if len(s) == len(x) or not s or s[-1] not in solid or b"<|" in x else (s, x[len(s) :]) for x, s in zip(folded, stems, strict=True)]
+        del folded, stems
+        self.learn({part for pair in cut for part in pair} - {b""})
         known = self.known
-        self.words.update({w: known[s] + known[t] if t else known[s] for w, s, t in zip(fresh, stems, tails, strict=True)})
+        self.words.update({w: known[s] + known[t] if t else known[s] for w, (s, t) in zip(fresh, cut, strict=True)})
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [x.split() for x in texts]
@@ -114,6 +132,13 @@ class Encoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable bytes for themselves, the others in turn from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each worker process, which serves many tasks."""
