@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset and all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,6 +78,34 @@ def in_blocks(docs: DataFrame, n_blocks: int, column: str = "text") -> DataFrame
     return docs.select("doc_id", body(column).alias("body"), block_number(n_blocks, column).alias("block"))
 
 
+#: Bits of a bitmap that every task gets: 4 MB, whatever the input. Where keys fill it, more rows pass.
+GATE_BITS = 1 << 25
+
+
+def slot_of(*key: str | F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(*key), F.lit(GATE_BITS))
+
+
+def gate_of(slots: DataFrame) -> DataFrame:
+    """(piece, bits): a bitmap of fixed size of the slots, in pieces of 4 KB, of which there are GATE_BITS / 2^15 at most."""
+    made = slots.toDF("slot").groupBy(F.bitmap_bucket_number("slot").alias("piece"))
+    return F.broadcast(made.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")))
+
+
+def bit_at(bitmap: str | F.Column, slot: F.Column) -> F.Column:
+    """Whether the slot's bit is set in its piece."""
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.element_at(F.lit([1 << i for i in range(8)]), (at % 8 + 1).cast("int"))) != 0
+
+
+def split_at(df: DataFrame, slot: F.Column, gate: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose slot's bit is set, all others): the others surely have none of the gate's keys, and nothing of them is moved."""
+    marked = df.withColumn("gate_slot", slot).join(gate, F.bitmap_bucket_number(F.col("gate_slot")) == F.col("piece"), "left")
+    marked = marked.withColumn("gate_in", F.coalesce(bit_at("bits", F.col("gate_slot")), F.lit(False)))
+    return tuple(marked.filter(rows).select(df.columns) for rows in ("gate_in", "not gate_in"))
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

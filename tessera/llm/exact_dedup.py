@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import bit_at, gate_of, slot_of, split_at, staged
 
 #: Documents in a memtable; runs of a level grow in number with the input, those of level 0 not in size.
 MEMTABLE_ROWS = 1 << 18
@@ -26,21 +26,12 @@ MEMTABLE_ROWS = 1 << 18
 FAN = 16
 #: Filter bits for each digest of a run; a filter is split into fixed pieces of 4 KB, joined by piece.
 FILTER_BITS_PER_ROW = 16
-#: Bits of the bitmap of hits that every task gets: 4 MB, whatever the input. Where hits fill it, more texts pass.
-GATE_BITS = 1 << 25
 
 
 def _slot(bits: int) -> F.Column:
     return F.pmod(F.xxhash64("digest"), F.lit(bits))
 
 
-def _bit(bitmap: F.Column, slot: F.Column) -> F.Column:
-    """Whether the slot's bit is set in its piece."""
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.element_at(F.lit([1 << i for i in range(8)]), (at % 8 + 1).cast("int"))) != 0
-
-
 def flush(entries: DataFrame, memtables: int) -> DataFrame:
     """The level-0 runs: (run, digest, low, high, n), one row for each digest of a memtable, sorted."""
     runs = (
@@ -66,7 +57,7 @@ def compact(runs: DataFrame, bits: int, fan: int = FAN) -> DataFrame:
     filters = run_filters(runs, bits).groupBy(up.alias("up"), "piece").agg(F.collect_list(F.struct("run", "filter")).alias("filters"))  # fan at most
     slot = _slot(bits)
     probed = runs.withColumn("up", up).withColumn("piece", F.bitmap_bucket_number(slot)).join(filters, ["up", "piece"])
-    probed = probed.withColumn("maybe", F.exists("filters", lambda f: (f["run"] != F.col("run")) & _bit(f["filter"], slot))).select(F.col("up").alias("run"), "digest", "low", "high", "n", "maybe")
+    probed = probed.withColumn("maybe", F.exists("filters", lambda f: (f["run"] != F.col("run")) & bit_at(f["filter"], slot))).select(F.col("up").alias("run"), "digest", "low", "high", "n", "maybe")
     merged = probed.filter("maybe").groupBy("run", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     return probed.filter("not maybe").drop("maybe").unionByName(merged)
 
@@ -89,10 +80,7 @@ def exact_groups(docs: DataFrame, text: str = "text", keep: str = "smallest", me
     runs = build(entries, entries.count(), memtable_rows)
     best = F.col("low") if keep == "smallest" else F.col("high")
     hits = staged(runs.filter("n > 1").select("digest", best.alias("keep_id"), F.col("n").alias("group_size")), "lsm-hits")
-    slot = _slot(GATE_BITS)
-    gate = hits.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    gate = F.broadcast(gate)  # GATE_BITS / 2^15 pieces of 4 KB at most
-    passed = hashed.withColumn("piece", F.bitmap_bucket_number(slot)).join(gate, "piece").filter(_bit(F.col("bits"), slot)).select("doc_id", "whole", "digest")
+    passed, _ = split_at(hashed, slot_of("digest"), gate_of(hits.select(slot_of("digest"))))
     # The bytes themselves are the grouping key: equal digests with unequal bytes stay apart. Copies collapse
     # before the shuffle, so a group that holds a third of all rows sends one text from each task.
     wanted = F.min("doc_id") if keep == "smallest" else F.max("doc_id")

@@ -36,8 +36,8 @@ CAPACITY, END_ID = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Bins of the patterns, and documents in a pattern at most.
 PATTERN_BINS, PATTERN_DOCS = 64, 4
-#: Words, and stems of words, whose ids a worker remembers; beyond it starts afresh.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers before it forgets those that it has not met since it last did.
+CACHE_WORDS = 250_000
 #: Text bytes that are split into words at a time.
 PART_BYTES = 6 << 20
 BUCKET_ROWS = 1 << 13
@@ -46,8 +46,8 @@ BUCKET_ROWS = 1 << 13
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes. The vocabulary's words never span white
     space, so a text's ids are those of its words in turn. It folds case, and marks behind a letter or digit are words of
-    their own, so a word's ids are those of its folded stem and of the marks at its end; stems are encoded once as long as
-    they are remembered. Fresh stems are encoded many at a time with a mark between them, whose id tells where a
+    their own, so a word's ids are those of its folded stem and of the marks at its end; words are encoded once as long as
+    they are remembered. Stems of fresh words are encoded many at a time with a mark between them, whose id tells where a
     stem's ids end; words that could be mistaken for it are encoded alone, as they are."""
 
     BETWEEN = "\x01"
@@ -59,8 +59,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.mark = self._ids(self.tokenizer, self.BETWEEN)
         with open(path) as f:
             made = json.load(f)
@@ -74,14 +74,11 @@ class Encoder:
     def _ids(tokenizer, text: str) -> list[int]:  # noqa: ANN001
         return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def learn(self, stems: set[bytes]) -> None:
-        fresh = list(stems - self.known.keys())
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known = {}
-            fresh = list(stems)
+    def learn(self, stems: set[bytes]) -> dict[bytes, bytes]:
+        """Ids by stem."""
         letters, letters_shown, plain, plain_shown, odd = [], [], [], [], []
         nfc = partial(unicodedata.is_normalized, "NFC")
-        for w in fresh:
+        for w in stems:
             x = w.decode()
             if x.isalpha() and x.islower() and (x.isascii() or nfc(x)):
                 letters.append(w)
@@ -91,12 +88,14 @@ class Encoder:
             else:
                 plain.append(w)
                 plain_shown.append(x)
-        odd += self._together(self.bare, "!", self.bare_mark, letters, letters_shown)
-        odd += self._together(self.tokenizer, self.BETWEEN, self.mark, plain, plain_shown)
+        known: dict[bytes, bytes] = {}
+        odd += self._together(known, self.bare, "!", self.bare_mark, letters, letters_shown)
+        odd += self._together(known, self.tokenizer, self.BETWEEN, self.mark, plain, plain_shown)
         for w in odd:
-            self.known[w] = np.array(self._ids(self.tokenizer, w.decode()), "<u4").tobytes()
+            known[w] = np.array(self._ids(self.tokenizer, w.decode()), "<u4").tobytes()
+        return known
 
-    def _together(self, tokenizer, between: str, mark: list[int], words: list[bytes], shown: list[str]) -> list[bytes]:  # noqa: ANN001
+    def _together(self, known: dict[bytes, bytes], tokenizer, between: str, mark: list[int], words: list[bytes], shown: list[str]) -> list[bytes]:  # noqa: ANN001
         """Encodes words with a mark between them; gives back those whose ids can't be told apart."""
         left, between = [], f" {between} "
         for i in range(0, len(words), 2000):
@@ -107,22 +106,24 @@ class Encoder:
                 left += part
                 continue
             data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(data)])), strict=True))
+            known.update(zip(part, map(data.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(data)])), strict=True))
         return left
 
     def _learn_words(self, words: set[bytes]) -> None:
-        fresh = list(words - self.words.keys())
-        if len(self.words) + len(fresh) > CACHE_WORDS:
-            self.words = {}
-            fresh = list(words)
+        """Words that come often stay: what was not asked for since the last turn is forgotten, the rest moves on."""
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.before = {}, self.words
+        missing = words - self.words.keys()
+        again = missing & self.before.keys()
+        self.words.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        fresh = list(missing - again)
         solid, marks = self.SOLID, self.MARKS
         folded = [w.lower() if b"<|" not in w else w for w in fresh]
         stems = [x.rstrip(marks) for x in folded]
         # Marks are words of their own only behind a letter or digit; else they go with what is before them.
         cut = [(x, b"") if len(s) == len(x) or not s or s[-1] not in solid or b"<|" in x else (s, x[len(s) :]) for x, s in zip(folded, stems, strict=True)]
         del folded, stems
-        self.learn({part for pair in cut for part in pair} - {b""})
-        known = self.known
+        known = self.learn({part for pair in cut for part in pair} - {b""})
         self.words.update({w: known[s] + known[t] if t else known[s] for w, (s, t) in zip(fresh, cut, strict=True)})
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
