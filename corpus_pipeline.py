@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, packing, quality_gam, simhash_golay
-from tessera.llm.common import body, staged, table
+from tessera.llm.common import body, gate_of, slot_of, split_at, staged, table
 
 #: No SQL twin: fingerprints, tokenisation and a trained classifier aren't SQL. Tests hold every stage against brute force.
 ORACLE_SQL = None
@@ -33,18 +33,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = exact_dedup.exact_groups(docs, keep="largest").filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text")).distinct()
+    groups = staged(exact_dedup.exact_groups(docs, keep="largest").filter("group_size > 1").select("doc_id", "kept", "text_sha256"), "exact-groups")
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    there = docs["doc_id"].eqNullSafe(groups["kept_id"]) & (sha == groups["kept_text"])
-    return docs.join(groups, there, "left_semi").dropDuplicates(["doc_id", "text"])
+    # Only members of groups (and the few that share a slot with one) are moved; all other documents stay where they are.
+    among, alone = split_at(docs, slot_of("doc_id", sha), gate_of(groups.select(slot_of("doc_id", "text_sha256"))))
+    gone = groups.filter("not kept or kept is null").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
+    there = among["doc_id"].eqNullSafe(gone["gone_id"]) & (F.sha2(F.coalesce(among["text"], F.lit("")), 256) == gone["gone_text"])
+    return among.join(gone, there, "left_anti").dropDuplicates(["doc_id", "text"]).unionByName(alone)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash_golay.near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "mark")).alias("first")  # an id before none
-    chosen = found.groupBy("component").agg(first).select(F.col("first.id").alias("near_id"), F.col("first.mark").alias("near_mark"))
-    there = docs["doc_id"].eqNullSafe(chosen["near_id"]) & (F.xxhash64(body()) == chosen["near_mark"])
-    return docs.join(chosen, there, "left_semi")
+    # Components of one document have nothing to lose. Repeated rows of one text are one member here.
+    members = found.groupBy("component").agg(first, F.count_distinct(F.struct("doc_id", "mark")).alias("members")).filter("members > 1")
+    lost = staged(found.join(members, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))).select(F.col("doc_id").alias("lost_id"), F.col("mark").alias("lost_mark")).distinct(), "near-lost")
+    among, alone = split_at(docs, slot_of("doc_id", F.xxhash64(body())), gate_of(lost.select(slot_of("lost_id", "lost_mark"))))
+    there = among["doc_id"].eqNullSafe(lost["lost_id"]) & (F.xxhash64(body()) == lost["lost_mark"])
+    return among.join(lost, there, "left_anti").unionByName(alone)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
