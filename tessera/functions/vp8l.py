@@ -6,6 +6,8 @@ pixels at once is done in numpy. The columnar operators of the same steps are in
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from tessera.functions.bits import BitReader, BitWriter, PrefixTable, StreamError, balanced_lengths, code_arrays, write_codes
@@ -294,7 +296,7 @@ def _undo_prediction(rgba: np.ndarray, modes: np.ndarray, size_bits: int) -> np.
             elif mode in (8, 9):
                 other = above[x - 1 : end - 1] if mode == 8 else above[x + 1 : end + 1]
                 row[x:end] = part + ((above[x:end].astype(np.uint16) + other) >> 1).astype(np.uint8)
-            elif mode in (0, 14, 15):
+            elif mode == 0:
                 row[x:end] = part + np.array([0, 0, 0, 255], np.uint8)
             else:
                 left, tops = row[x - 1].tolist(), above[x - 1 : end + 1].tolist()
@@ -328,16 +330,57 @@ def _to_rgba(pixels: np.ndarray | list[int], width: int) -> np.ndarray:
     return np.stack([p >> 16, p >> 8, p, p >> 24], axis=1).astype(np.uint8).reshape(-1, width, 4)
 
 
-def decode(payload: bytes) -> tuple[int, int, bytes]:
+@dataclass
+class WorkBudget:
+    """Units of work that a decode may take: one for each pixel that is read or changed."""
+
+    left: int = 1 << 32
+
+    def take(self, units: int) -> None:
+        if units > self.left:
+            raise StreamError("LimitExceeded", "work budget")
+        self.left -= units
+
+
+@dataclass(frozen=True)
+class DecodePlan:
+    """What an image's transforms ask for, checked before a pixel is made: each has the geometry of the one before."""
+
+    width: int
+    height: int
+    coded_width: int
+    transforms: list[tuple[int, int, object]]
+
+    def check(self, budget: WorkBudget) -> None:
+        if self.coded_width > self.width:
+            raise StreamError("InvalidBitstream", "coded image is wider than the image")
+        coded = self.width
+        for kind, size, data in self.transforms:
+            if kind in (0, 1):
+                side = lambda n: (n + (1 << size) - 1) >> size  # noqa: B023, E731
+                if len(data) != side(coded) * side(self.height):
+                    raise StreamError("InvalidBitstream", "blocks of a transform")
+                if kind == 0 and ((data >> 8 & 15) > 13).any():
+                    raise StreamError("InvalidBitstream", "predictor")
+            elif kind == 3:
+                if data[1] != coded:
+                    raise StreamError("InvalidBitstream", "palette of another width")
+                coded = (coded + (1 << size) - 1) >> size
+        if coded != self.coded_width:
+            raise StreamError("InvalidBitstream", "coded width")
+        budget.take((len(self.transforms) + 1) * self.width * self.height)
+
+
+def decode(payload: bytes, budget: WorkBudget | None = None) -> tuple[int, int, bytes]:
     """(width, height, RGBA bytes)."""
     width, height, _ = header(payload)
     bits = BitReader(payload)
     bits.at = 40
-    return width, height, decode_stream(bits, width, height).tobytes()
+    return width, height, decode_stream(bits, width, height, budget).tobytes()
 
 
-def decode_stream(bits: BitReader, width: int, height: int) -> np.ndarray:
-    """Transforms and pixels behind a header: RGBA of shape (height, width, 4)."""
+def read_plan(bits: BitReader, width: int, height: int, budget: WorkBudget) -> DecodePlan:
+    """The transforms in front of the pixels."""
     transforms, coded = [], width
     while bits.read(1):
         kind = bits.read(2)
@@ -345,18 +388,28 @@ def decode_stream(bits: BitReader, width: int, height: int) -> np.ndarray:
             raise StreamError("InvalidBitstream", "transform twice")
         if kind in (0, 1):
             size = bits.read(3) + 2
-            side = lambda n: (n + (1 << size) - 1) >> size  # noqa: B023, E731
-            transforms.append((kind, size, _pixels(bits, side(coded), side(height), main=False)))
+            across, down = ((n + (1 << size) - 1) >> size for n in (coded, height))
+            budget.take(across * down)
+            transforms.append((kind, size, _pixels(bits, across, down, main=False)))
         elif kind == 2:
-            transforms.append((kind, 0, []))
+            transforms.append((kind, 0, None))
         else:
             n = bits.read(8) + 1
             palette = np.cumsum(_to_rgba(_pixels(bits, n, 1, main=False), n)[0].astype(np.int64), axis=0).astype(np.uint8)
             packed = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             transforms.append((kind, packed, (palette, coded)))
             coded = (coded + (1 << packed) - 1) >> packed
+    return DecodePlan(width, height, coded, transforms)
+
+
+def decode_stream(bits: BitReader, width: int, height: int, budget: WorkBudget | None = None) -> np.ndarray:
+    """Transforms and pixels behind a header: RGBA of shape (height, width, 4)."""
+    budget = budget or WorkBudget()
+    plan = read_plan(bits, width, height, budget)
+    plan.check(budget)
+    coded = plan.coded_width
     rgba = _to_rgba(_pixels(bits, coded, height, main=True), coded)
-    for kind, size, data in reversed(transforms):
+    for kind, size, data in reversed(plan.transforms):
         if kind == 0:
             rgba = _undo_prediction(rgba, data, size)
         elif kind == 1:
@@ -478,14 +531,6 @@ def _write_image(bits: BitWriter, pixels: np.ndarray | list[int], *, main: bool)
     write_codes(bits, codes.ravel(), lengths.ravel())
 
 
-def encode_greens(samples: bytes) -> bytes:
-    """A headerless stream without transforms whose green channel is the samples."""
-    bits = BitWriter()
-    bits.write(0, 1)
-    _write_image(bits, np.frombuffer(samples, np.uint8).astype(np.int64) << 8, main=True)
-    return bits.finish()
-
-
 def _argb(rgba: np.ndarray) -> np.ndarray:
     p = rgba.reshape(-1, 4).astype(np.int64)
     return p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]

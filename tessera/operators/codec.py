@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import animation, lossy, planes, riff, spatial, vp8, vp8l, vp8l_high
+from tessera import api
+from tessera.functions import animation, lossy, planes, riff, sharpyuv, spatial, vp8, vp8l, vp8l_high
 from tessera.functions.bits import StreamError
 from tessera.operators.container import PLANS as CONTAINER
 from tessera.operators.predictors import ADAPTIVE_MODES
 from tessera.plans.dialect import RELATIONS, for_spark
 from tessera.shipping import ship
+from tessera.sources import fixtures
 from tessera.sources.raster import PLANE_WIDTH, WIDTH, bodies, whole
 from tessera.streaming import incremental
 
@@ -379,6 +381,50 @@ def incremental_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("stream_id", "want").join(got, "stream_id", "left").select("stream_id", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), F.coalesce(F.col("got") == F.col("want"), F.lit(False)).alias("exact"))
 
 
+def sharp_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, plain_error, sharp_error): sums of absolute differences between rasters and what is shown of their planes, with
+    chroma from plain means and from the refinement."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data in _rows_of(stream, 4 * WIDTH):
+            off: list[list[int]] = [[], []]
+            for x in data:
+                image = np.frombuffer(x, np.uint8).reshape(-1, WIDTH, 4)
+                for errors, convert in zip(off, (lossy.to_yuv, sharpyuv.convert), strict=True):
+                    errors.append(int(np.abs(lossy.to_rgb(*convert(image), WIDTH, len(image)).astype(np.int64) - image[..., :3]).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, *off)], names=["doc_id", "plain_error", "sharp_error"])
+
+    return _bodies(spark, sf_dir).mapInArrow(batches, "doc_id long, plain_error long, sharp_error long")
+
+
+def malformed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, kind): how the strict parser refuses each of the files that break a rule."""
+    ship(spark)
+    found = fixtures.fixtures(spark).filter("error is not null")
+    return found.select("name", "content").mapInArrow(_named_verdicts, "name string, kind string")
+
+
+def _named_verdicts(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in stream:
+        kinds = []
+        for data in batch.column(1).to_pylist():
+            try:
+                riff.parse(data)
+                kinds.append("none")
+            except StreamError as e:
+                kinds.append(e.kind)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], names=["name", "kind"])
+
+
+def metadata_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mask, length, placement, iccp, exif, xmp): sums of the bytes that come back for each kind, null where there is none."""
+    ship(spark)
+    rows = spark.createDataFrame([(m, n, p, bytearray(data)) for m, n, p, data in fixtures.metadata()], "mask long, length long, placement string, content binary")
+    found = rows.select("mask", "length", "placement", api.read_metadata("content").alias("m"))
+    total = lambda c: F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(c))), lambda i: F.coalesce(F.conv(F.hex(c.substr(i, F.lit(1))), 16, 10).cast("long"), F.lit(0))), F.lit(0).cast("long"), lambda a, b: a + b)
+    return found.select("mask", "length", "placement", *(F.when(F.col(f"m.{k}").isNotNull(), total(F.col(f"m.{k}"))).alias(k) for k in ("iccp", "exif", "xmp")))
+
+
 def incremental_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream_id, received, chunks): files cut into fragments, streamed, and scanned to their ends."""
     cut = 997
@@ -406,6 +452,9 @@ QUERIES = {
     "st8_stable_rows": stable_rows,
     "vd19_lossy_round_trip": lossy_round_trip,
     "vd7_coefficient_tokens": coefficient_tokens,
+    "ve3_sharp_chroma": sharp_chroma,
+    "src5_malformed_files": malformed_files,
+    "src5_metadata_matrix": metadata_matrix,
     "an1_decode_animations": decode_animations,
     "an10_animation_files": animation_facts,
     "st4_incremental_images": incremental_images,
@@ -430,7 +479,11 @@ _CANVASES = f"""WITH RECURSIVE f AS (
             FROM shown s JOIN f ON f.conv_id = s.conv_id AND f.i = s.i + 1) u) v),
     times AS (SELECT conv_id, turn, i, sum(duration) OVER (PARTITION BY conv_id ORDER BY i) AS timestamp_ms FROM f)
     SELECT s.conv_id, turn, CAST(any_value(timestamp_ms) AS BIGINT) AS timestamp_ms, CAST(sum((r + 3 * g + 5 * b + 7 * a) * (1 + (py * w + px) % 251)) AS BIGINT) AS digest FROM shown s JOIN times t ON t.conv_id = s.conv_id AND t.i = s.i GROUP BY s.conv_id, turn"""
+_SUM = "(length * (length - 1) // 2 + length * mask - 256 * greatest(0, length + mask - 256))"
 TWINS = {
+    "src5_malformed_files": "SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{kind}')" for name, (_, kind) in fixtures.malformed().items()) + ") AS t(name, kind)",
+    "src5_metadata_matrix": f"""SELECT mask, length, placement, CASE WHEN mask % 2 = 1 THEN {_SUM} END AS iccp, CASE WHEN mask // 2 % 2 = 1 THEN {_SUM} END AS exif, CASE WHEN mask // 4 = 1 THEN {_SUM} END AS xmp
+        FROM (SELECT unnest(range(8)) AS mask) m CROSS JOIN (SELECT CAST(unnest([{', '.join(map(str, fixtures.LENGTHS))}]) AS BIGINT) AS length) n CROSS JOIN (SELECT unnest(['before', 'after']) AS placement) p WHERE (mask > 0 OR length = 0) AND (placement = 'before' OR mask > 1)""",
     "le48_spatial_round_trip": _RASTERS,
     "st8_stable_rows": "SELECT doc_id, macroblock_row, CASE WHEN macroblock_row * 16 + 16 >= height THEN height ELSE macroblock_row * 16 END AS stable_rows FROM (SELECT doc_id, height, unnest(range((height + 15) // 16)) AS macroblock_row FROM {images}) t",
     "le16_adaptive_modes": ADAPTIVE_MODES,

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.functions import bits, planes, riff, vp8l
+from tessera.functions import bits, planes, riff, vp8l, vp8l_high
 from tessera.functions.bits import StreamError
 
 
@@ -145,11 +145,11 @@ def test_code_lengths_are_complete():
     rng = np.random.default_rng(2)
     for n in (1, 2, 3, 5, 17, 200):
         counts = {int(s): int(f) for s, f in enumerate(rng.integers(1, 1000, n))}
-        for lengths in (planes.huffman_lengths(counts), {s: x for s, x in enumerate(bits.balanced_lengths(counts, n)) if x}):
+        for lengths in (vp8l_high.huffman_lengths(counts), {s: x for s, x in enumerate(bits.balanced_lengths(counts, n)) if x}):
             assert set(lengths) == set(counts)
             assert n == 1 or sum(1 << (15 - x) for x in lengths.values()) == 1 << 15
     skewed = {i: 1 << i for i in range(24)}
-    lengths = planes.huffman_lengths(skewed)
+    lengths = vp8l_high.huffman_lengths(skewed)
     assert max(lengths.values()) <= 15 and sum(1 << (15 - x) for x in lengths.values()) == 1 << 15
     for broken in ([1, 1, 1], [2, 2, 2], [0, 0]):
         with pytest.raises(StreamError):
@@ -256,3 +256,54 @@ def test_upsampling_of_flat_and_small_planes():
     for w, h in ((1, 1), (2, 2), (3, 5), (8, 7)):
         plane = np.full(((h + 1) // 2, (w + 1) // 2), 77)
         assert (lossy.upsample(plane, w, h) == 77).all()
+
+
+def test_fixture_files():
+    from tessera.sources import fixtures
+
+    for name, (data, kind) in fixtures.malformed().items():
+        for cut in range(len(data) + 1):  # in one piece, and in every two
+            scan = riff.Scan()
+            with pytest.raises(StreamError) as e:
+                if not (scan.feed(data[:cut]), scan.feed(data[cut:]))[-1]:
+                    raise StreamError("UnexpectedEof", "file ends early")
+            assert cut or e.value.kind == kind, name
+    matrix = fixtures.metadata()
+    assert len(matrix) == 1 + 11 + 6 * 22 and len({data for *_, data in matrix}) == len({(m, n, p) for m, n, p, _ in matrix}) == len(matrix)
+    for mask, length, _, data in matrix:
+        found = {c.fourcc: c.payload for c in riff.parse(data)}
+        for i, fourcc in enumerate(riff.METADATA):
+            assert found.get(fourcc) == (bytes((k + mask) % 256 for k in range(length)) if mask >> i & 1 else None)
+
+
+def test_plans_and_budgets():
+    data = vp8l.encode(9, 7, bytes(range(252)))
+    assert vp8l.decode(data, vp8l.WorkBudget(10_000))[:2] == (9, 7)
+    with pytest.raises(StreamError, match="budget"):
+        vp8l.decode(data, vp8l.WorkBudget(100))
+    modes = np.array([14 << 8])
+    with pytest.raises(StreamError, match="predictor"):
+        vp8l.DecodePlan(4, 4, 4, [(0, 2, modes)]).check(vp8l.WorkBudget())
+    with pytest.raises(StreamError, match="blocks"):
+        vp8l.DecodePlan(5, 4, 5, [(1, 2, modes)]).check(vp8l.WorkBudget())
+    with pytest.raises(StreamError, match="coded"):
+        vp8l.DecodePlan(5, 4, 5, [(3, 1, (None, 5))]).check(vp8l.WorkBudget())
+
+
+def test_alpha_choices():
+    rng = np.random.default_rng(3)
+    assert planes.lz_tokens(b"abcabcabcabcX") == [(1, 0), (1, 0), (1, 0), (9, 3), (1, 0)]
+    assert planes.lz_tokens(b"aaaaaaa") == [(1, 0), (6, 1)] and planes.lz_tokens(b"ab") == [(1, 0), (1, 0)]
+    for levels, n in ((1, 64), (2, 64), (3, 4096), (16, 4096), (200, 4096)):
+        data = rng.choice(256, levels, replace=False)[rng.integers(0, levels, n)].astype(np.uint8).tobytes()
+        sizes = {}
+        for filters in ("best", "fast", 0, 1, 2, 3):
+            payload = planes.encode_alpha(data, 32, filters=filters)
+            assert planes.decode_alpha(payload, 32, n // 32) == data
+            sizes[filters] = len(payload)
+        assert sizes["best"] == min(sizes.values()) and sizes["fast"] <= sizes[0]
+        assert planes.encode_alpha(data, 32, compress=False) == b"\0" + data
+        if 2 <= levels <= 16 and n >= planes.SURE:
+            assert sizes[0] <= n * {2: 1, 3: 2, 16: 4}[levels] / 8 + 80
+    with pytest.raises(StreamError):
+        planes.encode_alpha(b"1234", 2, filters="most")
