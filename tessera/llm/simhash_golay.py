@@ -159,7 +159,7 @@ def _keyed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(stream: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; the last key of a batch may go on in the next."""
-    held: tuple[np.ndarray, ...] = tuple(np.zeros(0, np.int64) for _ in range(2))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def of(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         cuts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
@@ -181,13 +181,18 @@ def _links(stream: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[p
     for batch in stream:
         if not batch.num_rows:
             continue
-        rows = tuple(np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
-        last = np.searchsorted(rows[0], rows[0][-1])
-        if last:
-            yield of(*(x[:last] for x in rows))
-        held = tuple(x[last:] for x in rows)
-    if len(held[0]):
-        yield of(*held)
+        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if held and held[0][0][0] != key[0]:
+            yield of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held = []
+        if not last:  # one key all through: its parts are put together once, when it ends
+            held.append((key, fp))
+            continue
+        yield of(*(np.concatenate([*c, x[:last]]) for c, x in zip(zip(*held, strict=True) if held else ((), ()), (key, fp), strict=True)))
+        held = [(key[last:], fp[last:])]
+    if held:
+        yield of(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:

@@ -180,6 +180,34 @@ def test_golay_keys_meet_for_every_error_pattern():
     assert all(a & b for a, b in zip(*key_sets, strict=True))
 
 
+def test_buckets_go_on_from_batch_to_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import simhash_golay as g
+
+    rng = np.random.default_rng(9)
+    key = np.sort(np.concatenate([np.full(500, 7), rng.integers(0, 60, 400)]))
+    base = rng.integers(0, 1 << 62, 70)
+    fp = base[key] ^ (1 << rng.integers(0, 62, len(key)))
+    order = np.lexsort((fp, key))
+    key, fp = key[order], fp[order]
+    keep = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])
+    key, fp = key[keep], fp[keep]
+
+    def tied(size):
+        batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(fp[i : i + size])], names=["key", "fp"]) for i in range(0, len(key), size))
+        pairs = [(a, b) for out in g._links(batches) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        root = {x: x for x in fp.tolist()}
+        for a, b in pairs:
+            ra, rb = root[a], root[b]
+            root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
+        return root
+
+    whole = tied(len(key))
+    assert tied(1) == tied(13) == tied(100) == whole and len(set(whole.values())) < 80
+
+
 @pytest.mark.parametrize("n", [300])
 def test_hot_buckets_keep_their_links(monkeypatch, n):
     import numpy as np
