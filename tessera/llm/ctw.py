@@ -13,7 +13,8 @@ to them. The levels above, at most 2^16 + 2^8 nodes, are sent to every task. For
 a block asks the shards once for each of its distinct strings and words, and gets their code lengths and
 counts back. So no model of the corpus is held in one place or sent to all.
 
-Null texts are empty: their score is that of the end alone. Texts are read whole. Repeated rows each count, in
+Null texts are empty: their score is that of the end alone. Texts of any length are read whole; one that is longer than a
+block makes a block of its own size. Nothing depends on an order, so there are no ties. Repeated rows each count, in
 training too. A null id is in training. With no training rows every binary decision has probability one half.
 An empty table gives an empty result; further columns are ignored.
 """
@@ -469,14 +470,14 @@ def to_shards(second: DataFrame, n_shards: int) -> DataFrame:
     return second.select("two", "nodes").mapInArrow(deal, "kind int, shard int, two int, payload binary")
 
 
-def score(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text)."""
+def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, block_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
+    """Larger blocks and shards mean fewer messages (blocks x shards) and more memory in a task. doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text)."""
     if not 3 <= depth <= 7:
         raise ValueError("depth must be from 3 to 7")
     docs = settled(docs, text)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    n_shards = max(1, -(-total // SHARD_BYTES))
-    n_blocks = block_count(docs, text, CTW_BLOCK_BYTES)
+    n_shards = max(1, -(-total // (shard_bytes or SHARD_BYTES)))
+    n_blocks = block_count(docs, text, block_bytes or CTW_BLOCK_BYTES)
     rows = docs.select("doc_id", body(text).alias("body"), held_out(5, 1).alias("held_out"))
     model = staged(add_up(count_training(rows.filter(~F.col("held_out")), n_shards, depth)), "ctw-model")
     sums = model.agg(F.sum("distinct"), F.sum("total")).first()

@@ -11,7 +11,7 @@ confidence the share of linked vectors that lack none, are what is asked for. Wh
 for the audit to tell, or the rounds run out, every pair of one label is compared in blocks: nothing is left to chance.
 
 Labels must be equal and not null; vectors that are null, empty, zero, or hold null or non-finite components link with
-nothing and stand alone; vectors of other widths are never compared. Repeated rows (same id and vector) each
+nothing and stand alone; vectors of other widths are never compared. Of neighbours that are equally near the smaller id is kept first; a cosine equal to the threshold links. Repeated rows (same id and vector) each
 give a row and count as links of one another. An empty table gives an empty result; further columns are
 ignored.
 """

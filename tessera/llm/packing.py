@@ -9,8 +9,9 @@ patterns leave over goes by best fit, longest first, into the gaps that are open
 sequences. The plan is a table of runs (length, ranks from .. to, first sequence, offset), which every task
 looks up for its pieces; ranks within a length are counted per bucket and carried over.
 
-Null and empty texts are the end token alone. A document longer than a sequence is cut into full pieces and a
-last, shorter one. Repeated rows are packed each. A null id is packed like any other. An empty table gives
+Null and empty texts are the end token alone. Texts of any length are read whole, one at a time; a document longer than
+a sequence is cut into full pieces and a last, shorter one. Pieces of equal length are alike to the plan and ranked by id
+and piece, so ties don't matter. Repeated rows are packed each. A null id is packed like any other. An empty table gives
 an empty result; further columns are ignored.
 """
 

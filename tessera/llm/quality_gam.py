@@ -7,7 +7,8 @@ the same way. A score is the logistic function of the sum of looked-up values, t
 
 It learns from at most FIT_ROWS labelled rows (those with the smallest hash of their id, so the choice does
 not depend on order); the bound is a parameter. Everything else reads all documents and whole texts. Null
-and empty texts get the score of their (zero) features. A document whose id has several labels counts as its
+and empty texts get the score of their (zero) features; texts of any length are read whole. A score equal to the threshold
+is accepted; of equal gains the first cut, feature or pair is taken. A document whose id has several labels counts as its
 largest label. With no labels, or one class only, every score is the smoothed share of label 1. Repeated
 rows each give a row; further columns are ignored; an empty table gives an empty result.
 """

@@ -181,10 +181,10 @@ def _group_exactly(asked: pa.Table) -> pa.Table:
     return _answers(blocks, [shard] * len(blocks), [np.packbits(later[cuts[i] : cuts[i + 1]]).tobytes() for i in range(len(parts))])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space)."""
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int | None = None) -> DataFrame:
+    """Larger blocks mean fewer messages (blocks x shards) and more memory in a task. doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space)."""
     docs = settled(docs, text)
-    n_blocks = block_count(docs, text, CMS_BLOCK_BYTES)
+    n_blocks = block_count(docs, text, block_bytes or CMS_BLOCK_BYTES)
     sized = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     n_shards = max(1, -(-sized // (WINDOW_BYTES * SHARD_WINDOWS)))
     blocks = in_blocks(docs, n_blocks, text)

@@ -281,12 +281,12 @@ def repeated_distances(prefixes: np.ndarray, lefts: list[bytes], length: int, sp
     return out
 
 
-def remove_repeated_strings(docs: DataFrame, text: str = "text", length: int = LENGTH, span: int = SPAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+def remove_repeated_strings(docs: DataFrame, text: str = "text", length: int = LENGTH, span: int = SPAN, block_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
+    """Larger blocks and shards mean fewer messages (blocks x shards) and more memory in a task. doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     docs = settled(docs, text)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    n_shards = max(1, -(-total // SHARD_BYTES))
-    blocks = in_blocks(docs, block_count(docs, text, SUFFIX_BLOCK_BYTES), text)
+    n_shards = max(1, -(-total // (shard_bytes or SHARD_BYTES)))
+    blocks = in_blocks(docs, block_count(docs, text, block_bytes or SUFFIX_BLOCK_BYTES), text)
     known = length - span + 1
 
     def digests(table: pa.Table) -> pa.Table:

@@ -330,6 +330,63 @@ def test_quality_finds_an_interaction():
     assert (((model.score(x[4000:]) > 0.5) == y[4000:]).mean()) > 0.95
 
 
+def test_quality_scores_against_brute_force(spark, docs):
+    """Scores by looking bins up one at a time, in a model with tables and pairs."""
+    import bisect
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from tessera.llm import quality_gam as q
+
+    rng = np.random.default_rng(2)
+    x = np.stack([np.array(q.features(" ".join(rng.choice(["the", "of", "{|#", "word", "ab.", "Xy"], int(rng.integers(1, 60)))).encode())) for _ in range(400)])
+    model = q.fit(x, (x[:, q.FEATURES.index("common_words")] + 0.2 * x[:, q.FEATURES.index("symbol")] > 0.3).astype(float))
+    assert model.pairs and any(t.any() for t in model.tables)
+
+    def slow(values):
+        total = model.offset + sum(table[bisect.bisect_right(edges.tolist(), v)] for edges, table, v in zip(model.edges, model.tables, values, strict=True))
+        place = lambda j: bisect.bisect_right(model.pair_edges[j].tolist(), values[j])
+        return 1 / (1 + math.exp(-(total + sum(table[place(i), place(k)] for i, k, table in model.pairs))))
+
+    got = {r.doc_id: (r.score, r.predicted) for r in q.score(docs, model).collect()}
+    for i, t, _ in TEXTS:
+        want = slow(q.features((t or "").encode()))
+        assert got[i][0] == pytest.approx(want, rel=1e-12) and got[i][1] == int(want >= 0.7)
+    found = dict(zip(q.FEATURES, q.features(b"The cat. THE cat\nsat!"), strict=True))
+    text, w = "The cat. THE cat\nsat!", ["The", "cat.", "THE", "cat", "sat!"]
+    n = Counter(text)
+    assert found["log_words"] == math.log1p(5) and found["mean_word"] == sum(map(len, w)) / 5 and found["distinct_words"] == 1.0
+    assert found["upper"] == 4 / len(text) and found["newline"] == 1 / len(text) and found["capital_words"] == 2 / 5 and found["ended_lines"] == 1 / 2
+    assert found["entropy"] == pytest.approx(-sum(c / len(text) * math.log2(c / len(text)) for c in n.values()))
+
+
+def test_quality_learns_from_its_fold_only(spark):
+    import zlib
+
+    from tessera.llm import quality_gam as q
+
+    rows = [(i, ("good words of the text and more " if i % 2 else "{|#< zz9 ") * (1 + i % 7)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    labels = lambda other: spark.createDataFrame([(i, (i % 2) ^ (other and i in held), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    one, two = (q.score(docs, q.learn(docs, labels(other))).orderBy("doc_id").collect() for other in (False, True))
+    assert one == two and {r.doc_id for r in one if r.held_out} == held
+    assert sum(r.predicted == r.doc_id % 2 for r in one if r.held_out) > 0.95 * len(held)
+    twice = docs.unionByName(spark.createDataFrame([(3, "{|#< zz9 junk")], docs.schema))
+    models = [q.learn(d.coalesce(1), labels(False)) for d in (twice, twice.orderBy("text"), twice.orderBy(q.F.desc("text")))]
+    assert len({tuple(m.tables[0].tolist()) for m in models}) == 1
+
+
+def test_quality_on_held_out_rows_of_the_tables(spark):
+    from tessera.llm import registry
+
+    sf = "/root/testdata/sf0.01"
+    got = registry.op5_quality_gam(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality is not null"), "doc_id").selectExpr("avg(int(predicted = quality))", "count(*)").first()
+    assert got[1] > 50 and got[0] > 0.95
+
+
 # --- mixing --------------------------------------------------------------------------------------------------
 
 
