@@ -1,16 +1,21 @@
 """Rasters as relations: pixels and alpha samples of documents read as image bytes.
 
 A document's UTF-8 bytes are a 16 pixels wide RGBA raster (px) or a 32 samples wide plane (al); the last row is
-filled up with zeros. An empty document has no row. The bytes become an array inside the row before it is exploded,
-so the text itself never travels with its pixels.
+filled up with zeros. An empty document has no row. The bytes become an array before they are exploded, so the text
+itself never travels with its pixels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.dialect import relation
+from tessera.shipping import ship
 
 WIDTH, PLANE_WIDTH = 16, 32
 
@@ -27,17 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, body), dealt by doc_id before anything is exploded: four bytes of a text become a row of a dozen
-    numbers, so the text is what should be shuffled. Windows and groups per image then need no exchange. The number of
-    partitions is given, so that small inputs aren't drawn together into one task."""
+    """(doc_id, body), dealt by doc_id to a given number of partitions, so that small inputs aren't drawn together into one task."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
-def words(body: str, count: str, size: int) -> F.Column:
-    """An array of count groups of size bytes, each as one big-endian number, zeros behind the last byte. The text is cut in one pass:
-    reading it by position would copy it for every group."""
-    return F.expr(f"transform(regexp_extract_all(rpad(hex({body}), {count} * {2 * size}, '0'), '.{{{2 * size}}}', 0), w -> cast(conv(w, 16, 10) as bigint))")
+def exploded(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """(doc_id, i, s): a row for each pixel (4 bytes, as a signed big-endian number) or sample. A text becomes an array of its own
+    size by one numpy view; it is dealt by doc_id as that, before it is exploded, so windows and groups per image need no exchange
+    of what is a dozen numbers a pixel behind it. The number of partitions is given, so that small inputs aren't drawn
+    together into one task."""
+    ship(spark)
+    row, kind = 4 * WIDTH if size == 4 else PLANE_WIDTH, np.dtype(">i4") if size == 4 else np.dtype(np.int8)
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for at in range(0, batch.num_rows, 200):  # texts may be long
+                part = batch.slice(at, 200)
+                bodies_ = [whole(x, row) for x in part.column(1).to_pylist()]
+                ends = pa.array(np.cumsum([0, *(len(x) // size for x in bodies_)]).astype(np.int32))
+                values = pa.array(np.frombuffer(b"".join(bodies_), kind).astype(kind.newbyteorder("=")))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, values)], names=["doc_id", "ws"])
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body")).filter(F.octet_length("body") > 0)
+    made = rows.mapInArrow(batches, f"doc_id long, ws array<{'int' if size == 4 else 'tinyint'}>")
+    return made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", F.posexplode("ws").alias("i", "s"))
 
 
 @relation(
@@ -49,11 +68,8 @@ def words(body: str, count: str, size: int) -> F.Column:
 )
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, idx, x, y, r, g, b, a, argb)."""
-    rows = bodies(spark, sf_dir).select("doc_id", "body", (F.ceil(F.octet_length("body") / (4 * WIDTH)) * WIDTH).cast("int").alias("k")).filter("k > 0")
-    exploded = rows.select("doc_id", words("body", "k", 4).alias("ws")).select("doc_id", F.posexplode("ws").alias("idx", "w"))
-    return exploded.selectExpr(
-        "doc_id", "cast(idx as bigint) as idx", "cast(idx % 16 as bigint) as x", "cast(idx div 16 as bigint) as y", "w >> 24 as r", "(w >> 16) & 255 as g", "(w >> 8) & 255 as b", "w & 255 as a", "((w & 255) << 24) | (w >> 8) as argb"
-    )
+    rows = exploded(spark, sf_dir, 4).selectExpr("doc_id", "cast(i as bigint) as idx", "cast(s as bigint) & 4294967295 as w")
+    return rows.selectExpr("doc_id", "idx", "idx % 16 as x", "idx div 16 as y", "w >> 24 as r", "(w >> 16) & 255 as g", "(w >> 8) & 255 as b", "w & 255 as a", "((w & 255) << 24) | (w >> 8) as argb")
 
 
 @relation(
@@ -64,9 +80,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def alpha_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, idx, x, y, v)."""
-    rows = bodies(spark, sf_dir).select("doc_id", "body", (F.ceil(F.octet_length("body") / PLANE_WIDTH) * PLANE_WIDTH).cast("int").alias("k")).filter("k > 0")
-    exploded = rows.select("doc_id", words("body", "k", 1).alias("vs")).select("doc_id", F.posexplode("vs").alias("idx", "v"))
-    return exploded.selectExpr("doc_id", "cast(idx as bigint) as idx", "cast(idx % 32 as bigint) as x", "cast(idx div 32 as bigint) as y", "v")
+    rows = exploded(spark, sf_dir, 1).selectExpr("doc_id", "cast(i as bigint) as idx", "cast(s as bigint) & 255 as v")
+    return rows.selectExpr("doc_id", "idx", "idx % 32 as x", "idx div 32 as y", "v")
 
 
 @relation("multipliers", ("multipliers", "SELECT unnest(range(-128, 128)) AS m"))
