@@ -5,7 +5,11 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from inspect import signature
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +117,91 @@ def sha256_hex(data: bytes) -> str:
 def held_out(mod: int, rest: int) -> F.Column:
     """Whether crc32 of the id as text leaves this remainder."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
+
+
+# --- messages between blocks and shards ----------------------------------------------------------------------
+
+#: Messages that a block sends at most; with more shards than that, relays stand between.
+FAN = 256
+ASKED = "shard int, block int, payload binary"
+TOLD = "block int, shard int, payload binary"
+ANSWERS = "block int, payload binary"
+
+
+def bundle(parts: list[tuple[int, bytes]]) -> bytes:
+    """(shard, payload) pairs as one payload."""
+    heads = np.array([[s for s, _ in parts], [len(x) for _, x in parts]], "<i8")
+    return len(parts).to_bytes(8, "little") + heads.tobytes() + b"".join(x for _, x in parts)
+
+
+def unbundle(data: bytes) -> list[tuple[int, bytes]]:
+    n = int.from_bytes(data[:8], "little")
+    shards, sizes = np.frombuffer(data, "<i8", 2 * n, 8).reshape(2, n).tolist()
+    out, at = [], 8 + 16 * n
+    for s, size in zip(shards, sizes, strict=True):
+        out.append((s, data[at : at + size]))
+        at += size
+    return out
+
+
+def answers_of(told: pa.Table) -> dict[int, bytes]:
+    """What a block was told, by shard."""
+    return dict(part for x in told.column("payload") for part in unbundle(x.as_py()))
+
+
+def messages(schema: list[str], *columns: list) -> pa.Table:
+    kinds = [*[pa.int32()] * (len(schema) - 1), pa.binary()]
+    return pa.table({name: pa.array(c, t) for name, c, t in zip(schema, columns, kinds, strict=True)})
+
+
+def exchange(call: Callable, ask: Callable, reply: Callable[[DataFrame], DataFrame], merge: Callable[[list[bytes]], bytes], narrow: Callable[[list[bytes], bytes], list[bytes]], n_shards: int) -> DataFrame:
+    """(block, payload): what blocks are told for what they ask; payloads are bundles by shard.
+
+    call(ask, schema) makes the questions (shard, block, payload); reply turns questions into (block, shard, payload). With more
+    than FAN shards a block sends one bundle to each of FAN groups of neighbouring shards; a relay takes the bundles of a
+    batch of blocks, as many as a group has shards, asks each shard once for all of them (merge) and gives each block its part
+    of the answer (narrow). With n blocks and n shards that is n * FAN and n * n / batch messages instead of n * n."""
+    size = -(-n_shards // FAN)
+    if size == 1:
+
+        def alone(told: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in told:
+                blocks, shards, payloads = (batch.column(batch.schema.get_field_index(c)) for c in ("block", "shard", "payload"))
+                made = [bundle([(s, x)]) for s, x in zip(shards.to_pylist(), payloads.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([blocks, pa.array(made, pa.binary())], names=["block", "payload"])
+
+        return reply(call(ask, ASKED)).mapInArrow(alone, ANSWERS)
+
+    def regroup(asked: pa.Table) -> pa.Table:
+        groups: dict[int, list[tuple[int, bytes]]] = {}
+        blocks = asked.column("block").to_pylist()
+        for s, x in zip(asked.column("shard").to_pylist(), asked.column("payload").to_pylist(), strict=True):
+            groups.setdefault(s // size, []).append((s, x))
+        block = blocks[0] if blocks else 0
+        return messages(["grp", "batch", "block", "payload"], list(groups), [block // size] * len(groups), [block] * len(groups), [bundle(p) for p in groups.values()])
+
+    def by_shard(bundles: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
+        """Payloads of a batch by shard, in the order of their blocks."""
+        out: dict[int, list[tuple[int, bytes]]] = {}
+        for block, x in sorted(zip(bundles.column("block").to_pylist(), bundles.column("payload").to_pylist(), strict=True)):
+            for s, payload in unbundle(x):
+                out.setdefault(s, []).append((block, payload))
+        return out
+
+    def merged(bundles: pa.Table) -> pa.Table:
+        parts, batch = by_shard(bundles), bundles.column("batch")[0].as_py()
+        return messages(["shard", "block", "payload"], list(parts), [batch] * len(parts), [merge([x for _, x in own]) for own in parts.values()])
+
+    def narrowed(bundles: pa.Table, told: pa.Table) -> pa.Table:
+        answers = dict(zip(told.column("shard").to_pylist(), told.column("payload").to_pylist(), strict=True))
+        out: dict[int, list[tuple[int, bytes]]] = {}
+        for s, own in by_shard(bundles).items():
+            for (block, _), x in zip(own, narrow([x for _, x in own], answers[s]), strict=True):
+                out.setdefault(block, []).append((s, x))
+        return messages(["block", "payload"], list(out), [bundle(p) for p in out.values()])
+
+    grouped = (lambda docs: regroup(ask(docs))) if len(signature(ask).parameters) == 1 else (lambda docs, told: regroup(ask(docs, told)))
+    bundled = call(grouped, "grp int, batch int, block int, payload binary")
+    told = reply(bundled.groupBy("grp", "batch").applyInArrow(merged, ASKED))
+    down = told.select(F.expr(f"shard div {size}").cast("int").alias("down_grp"), F.col("block").alias("down_batch"), "shard", "payload")
+    return bundled.groupBy("grp", "batch").cogroup(down.groupBy("down_grp", "down_batch")).applyInArrow(narrowed, ANSWERS)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_count, block_number, body, held_out, settled, staged
+from tessera.llm.common import TOLD, answers_of, block_count, block_number, body, exchange, held_out, messages, settled, staged
 from tessera.llm.vectors import U, mix
 
 DEPTH = 5
@@ -355,6 +355,23 @@ def _parts(reply: bytes) -> tuple[bytes, bytes]:
     return reply[8:n], reply[n:]
 
 
+def merge_requests(requests: list[bytes]) -> bytes:
+    """Strings or words of several blocks, each once."""
+    if requests[0][0] == STRINGS:
+        return bytes([STRINGS]) + pack_keys(np.unique(np.concatenate([unpack_keys(x[1:])[0] for x in requests])))
+    return bytes([WORDS]) + pack_words(sorted(set().union(*(unpack_words(x[1:])[0] for x in requests))))
+
+
+def narrow_replies(requests: list[bytes], reply: bytes) -> list[bytes]:
+    """Each block's part of what was told of all."""
+    asked, told = _parts(reply)
+    if asked[0] == STRINGS:
+        keys, values = unpack_keys(asked[1:])[0], np.frombuffer(told, "<f8")
+        return [_reply(x, values[np.searchsorted(keys, unpack_keys(x[1:])[0])].tobytes()) for x in requests]
+    counts = dict(zip(unpack_words(asked[1:])[0], _unplanes(zlib.decompress(told)).astype(np.int64).tolist(), strict=True))
+    return [_reply(x, zlib.compress(_planes(np.array([counts[w] for w in unpack_words(x[1:])[0]], np.int64)), 1)) for x in requests]
+
+
 def count_training(train: DataFrame, n_shards: int, depth: int) -> DataFrame:
     """(kind, shard, payload): what each task has counted, split by shard."""
 
@@ -493,29 +510,29 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, block_bytes:
     def ask(table: pa.Table) -> pa.Table:
         texts = [x.as_py().lower() for x in table.column("body")]
         keys, _ = distinct_keys(*laid_out(texts, depth), depth)
-        out = [(STRINGS, s, pack_keys(keys[at])) for s, at in _split_keys(keys, n_shards, depth)]
-        out += [(WORDS, s, pack_words(own)) for s, own in _split_words([*words_of(texts), END_WORD], n_shards)]
-        asked = pa.Table.from_batches([_rows(out)])
-        return asked.append_column("block", pa.array([table.column("block")[0].as_py()] * len(out), pa.int32()))
+        out = [(2 * s + STRINGS, bytes([STRINGS]) + pack_keys(keys[at])) for s, at in _split_keys(keys, n_shards, depth)]
+        out += [(2 * s + WORDS, bytes([WORDS]) + pack_words(own)) for s, own in _split_words([*words_of(texts), END_WORD], n_shards)]
+        shards, payloads = zip(*out, strict=True)
+        return messages(["shard", "block", "payload"], list(shards), [table.column("block")[0].as_py()] * len(out), list(payloads))
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         payloads = []
         if asked.num_rows:
             requests = [x.as_py() for x in asked.column("payload")]
-            if asked.column("kind")[0].as_py() == STRINGS:
+            if requests[0][0] == STRINGS:
                 own = dict(zip(known.column("two").to_pylist(), (x.as_py() for x in known.column("payload")), strict=True))
                 mine = own.pop(-1, None)
                 tree = levels(*(unpack_keys(mine) if mine else (np.zeros(0, U), np.zeros(0, np.int64))), depth, 3)
                 second_ = Second(list(own), list(own.values()))
-                wanted = [unpack_keys(x)[0] for x in requests]
+                wanted = [unpack_keys(x[1:])[0] for x in requests]
                 union = np.unique(np.concatenate(wanted))
                 values = code_lengths(union, tree, second_, top, depth).astype("<f8")
                 payloads = [_reply(x, values[np.searchsorted(union, k)].tobytes()) for x, k in zip(requests, wanted, strict=True)]
             else:
                 words, counts = unpack_words(known.column("payload")[0].as_py()) if known.num_rows else ([], np.zeros(0, np.int64))
                 have = dict(zip(words, counts.tolist(), strict=True))
-                payloads = [_reply(x, zlib.compress(_planes(np.array([have.get(w, 0) for w in unpack_words(x)[0]], np.int64)), 1)) for x in requests]
-        return pa.table({"kind": asked.column("kind").cast(pa.int32()), "shard": asked.column("shard").cast(pa.int32()), "block": asked.column("block").cast(pa.int32()), "payload": pa.array(payloads, pa.binary())})
+                payloads = [_reply(x, zlib.compress(_planes(np.array([have.get(w, 0) for w in unpack_words(x[1:])[0]], np.int64)), 1)) for x in requests]
+        return messages(["block", "shard", "payload"], asked.column("block").to_pylist(), asked.column("shard").to_pylist(), payloads)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         n = table.num_rows
@@ -525,13 +542,13 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, block_bytes:
             texts = [x.as_py().lower() for x in table.column("body")]
             counts: dict[bytes, int] = {}
             keys, values = [], []
-            for kind, payload in zip(replies.column("kind").to_pylist(), replies.column("payload"), strict=True):
-                asked, told = _parts(payload.as_py())
-                if kind == STRINGS:
-                    keys.append(unpack_keys(asked)[0])
+            for payload in answers_of(replies).values():
+                asked, told = _parts(payload)
+                if asked[0] == STRINGS:
+                    keys.append(unpack_keys(asked[1:])[0])
                     values.append(np.frombuffer(told, "<f8"))
                 else:
-                    counts.update(zip(unpack_words(asked)[0], _unplanes(zlib.decompress(told)).astype(np.int64).tolist(), strict=True))
+                    counts.update(zip(unpack_words(asked[1:])[0], _unplanes(zlib.decompress(told)).astype(np.int64).tolist(), strict=True))
             look = KeyTable(np.concatenate(keys), np.concatenate(values))
             del keys, values
             below = train_tokens + 0.5 * (distinct + 1)
@@ -552,6 +569,6 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, block_bytes:
         return pa.table({"doc_id": ids, "held_out": out, "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([train_tokens] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     by_block = blocks.groupBy("block")
-    asked = by_block.applyInArrow(ask, "kind int, shard int, payload binary, block int")
-    replies = asked.groupBy("kind", "shard").cogroup(known_by_shard.groupBy("kind", "shard")).applyInArrow(answer, "kind int, shard int, block int, payload binary")
+    known = known_by_shard.select((F.col("shard") * 2 + F.col("kind")).alias("key"), "two", "payload")
+    replies = exchange(by_block.applyInArrow, ask, lambda asked: asked.groupBy("shard").cogroup(known.groupBy("key")).applyInArrow(answer, TOLD), merge_requests, narrow_replies, 2 * n_shards)
     return by_block.cogroup(replies.groupBy("block")).applyInArrow(finish, SCORES)

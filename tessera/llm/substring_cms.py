@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_count, in_blocks, settled, sha256_hex
+from tessera.llm.common import TOLD, answers_of, block_count, exchange, in_blocks, settled, sha256_hex
 from tessera.llm.vectors import R1, R2, U, mix, window_hashes, word_hashes
 
 WINDOW = 20
@@ -39,7 +39,6 @@ ROWS = 2
 #: Where a slot's head block costs less than writing slots out.
 FEW_SLOTS = 128
 NO_ID = -(1 << 63)
-ASKED = "shard int, block int, payload binary"
 
 
 class Windows:
@@ -130,6 +129,35 @@ def merge_sketches(asked: pa.Table) -> pa.Table:
     return _answers(blocks, [shard] * len(blocks), replies)
 
 
+def merge_rows(payloads: list[bytes]) -> bytes:
+    """The sketch of all the blocks' windows."""
+    at, out = [0] * len(payloads), []
+    for _ in range(ROWS):
+        parts = []
+        for i, data in enumerate(payloads):
+            touched, more, at[i] = _unpack_row(data, at[i])
+            parts.append(np.repeat(touched, 1 + more))
+        out.append(_pack_row(np.concatenate(parts))[0])
+    return b"".join(out)
+
+
+def narrow_rows(payloads: list[bytes], reply: bytes) -> list[bytes]:
+    """Each block's bits of what was said of the merged sketch."""
+    at, begin, out = [0] * len(payloads), 0, [b""] * len(payloads)
+    for _ in range(ROWS):
+        own = []
+        for i, data in enumerate(payloads):
+            touched, _, at[i] = _unpack_row(data, at[i])
+            own.append(touched)
+        union = np.unique(np.concatenate(own))
+        size = -(-len(union) // 8)
+        bits = np.unpackbits(np.frombuffer(reply, np.uint8, size, begin), count=len(union))
+        begin += size
+        for i, touched in enumerate(own):
+            out[i] += np.packbits(bits[np.searchsorted(union, touched)]).tobytes()
+    return out
+
+
 def estimated_repeated(w: Windows, n_shards: int, replies: dict[int, bytes]) -> np.ndarray:
     """For every window, whether both of its slots were seen more than once."""
     out = np.zeros(len(w.first), bool)
@@ -153,23 +181,49 @@ def _candidates(w: Windows, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, new
 
 
-def _reply_map(replies: pa.Table) -> dict[int, bytes]:
-    return dict(zip(replies.column("shard").to_pylist(), replies.column("payload").to_pylist(), strict=True))
+def _pack_candidates(h: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> bytes:
+    base = int(ids.min())
+    wide = int(ids.max()) - base >= 1 << 32
+    tail = ids.astype("<i8") if wide else (ids - base).astype("<u4")
+    return np.array([len(h), base], "<i8").tobytes() + bytes([wide]) + h.astype("<u8").tobytes() + h2.astype("<u8").tobytes() + tail.tobytes()
+
+
+def _unpack_candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, base = np.frombuffer(data, "<i8", 2).tolist()
+    wide = data[16] == 1
+    ids = np.frombuffer(data, "<i8" if wide else "<u4", n, 17 + 16 * n).astype(np.int64) + (0 if wide else base)
+    return np.frombuffer(data, "<u8", n, 17), np.frombuffer(data, "<u8", n, 17 + 8 * n), ids
+
+
+def _first_of_each(payloads: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, ids; their order by hashes, id and block; where a new window begins in it; cuts between blocks)."""
+    parts = [_unpack_candidates(x) for x in payloads]
+    h, h2, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    sizes = [len(p[0]) for p in parts]
+    order = np.lexsort((np.repeat(np.arange(len(parts)), sizes), ids, h2, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    return [h, h2, ids], order, new, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def merge_candidates(payloads: list[bytes]) -> bytes:
+    """Each window once, with its earliest document."""
+    columns, order, new, _ = _first_of_each(payloads)
+    return _pack_candidates(*(c[order[new]] for c in columns))
+
+
+def narrow_candidates(payloads: list[bytes], reply: bytes) -> list[bytes]:
+    """A block's window comes later if another block of the batch has it earlier, or another batch does."""
+    _, order, new, cuts = _first_of_each(payloads)
+    later = np.empty(len(order), bool)
+    later[order] = ~new | np.unpackbits(np.frombuffer(reply, np.uint8), count=int(new.sum())).astype(bool)[np.cumsum(new) - 1]
+    return [np.packbits(later[cuts[i] : cuts[i + 1]]).tobytes() for i in range(len(payloads))]
 
 
 def _group_exactly(asked: pa.Table) -> pa.Table:
     """For each block's distinct windows: whether another block has the same one in an earlier document."""
     shard, blocks = asked.column("shard")[0].as_py(), asked.column("block").to_pylist()
-    parts = []
-    for x in asked.column("payload"):
-        data = x.as_py()
-        n, base = int(np.frombuffer(data, "<i8", 1)[0]), int(np.frombuffer(data, "<i8", 1, 8)[0])
-        wide = data[16] == 1
-        at = 17
-        h = np.frombuffer(data, "<u8", n, at)
-        h2 = np.frombuffer(data, "<u8", n, at + 8 * n)
-        ids = np.frombuffer(data, "<i8" if wide else "<u4", n, at + 16 * n).astype(np.int64) + (0 if wide else base)
-        parts.append((h, h2, ids))
+    parts = [_unpack_candidates(x.as_py()) for x in asked.column("payload")]
     sizes = [len(p[0]) for p in parts]
     h, h2, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
     source = np.repeat(np.array(blocks), sizes)  # not the order of arrival: a task that runs again must answer alike
@@ -201,18 +255,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, bl
         shards, payloads = [], []
         if table.num_rows and replies.num_rows:
             w = Windows(table, window)
-            at, new = _candidates(w, estimated_repeated(w, n_shards, _reply_map(replies)))
+            at, new = _candidates(w, estimated_repeated(w, n_shards, answers_of(replies)))
             at = at[new]
             owner = _by_shard(w.first[at], n_shards)
             for s in range(n_shards):
                 own = at[owner == s]
                 if len(own):
                     ids = w.ids[w.doc[own]]
-                    base = int(ids.min())
-                    wide = int(ids.max()) - base >= 1 << 32
-                    tail = ids.astype("<i8") if wide else (ids - base).astype("<u4")
                     shards.append(s)
-                    payloads.append(np.array([len(own), base], "<i8").tobytes() + bytes([wide]) + w.first[own].astype("<u8").tobytes() + w.second[own].astype("<u8").tobytes() + tail.tobytes())
+                    payloads.append(_pack_candidates(w.first[own], w.second[own], ids))
         block = table.column("block")[0].as_py() if table.num_rows else 0
         return pa.table({"shard": pa.array(shards, pa.int32()), "block": pa.array([block] * len(shards), pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
@@ -224,9 +275,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, bl
             one, two = (replies.filter(pa.array([p == k for p in passes], pa.bool_())) for k in (1, 2))
             gone = np.zeros(len(w.first), bool)
             if one.num_rows:
-                at, new = _candidates(w, estimated_repeated(w, n_shards, _reply_map(one)))
+                at, new = _candidates(w, estimated_repeated(w, n_shards, answers_of(one)))
                 gone[at] = ~new  # in this block another occurrence comes first
-                heads, told = at[new], _reply_map(two)
+                heads, told = at[new], answers_of(two)
                 owner = _by_shard(w.first[heads], n_shards)
                 for s in range(n_shards):
                     own = heads[owner == s]
@@ -249,9 +300,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, bl
                 rows["kept"].append(kept.decode(errors="replace"))
         return pa.table({"doc_id": pa.array(rows["doc_id"], pa.int64()), "n_words": pa.array(rows["n_words"], pa.int64()), "n_removed": pa.array(rows["n_removed"], pa.int64()), "kept_sha256": pa.array(rows["kept_sha256"], pa.string()), "kept": pa.array(rows["kept"], pa.string())})
 
-    told = "block int, shard int, payload binary"
     by_block = blocks.groupBy("block")
-    first = by_block.applyInArrow(sketch, ASKED).groupBy("shard").applyInArrow(merge_sketches, told)
-    second = by_block.cogroup(first.groupBy("block")).applyInArrow(survivors, ASKED).groupBy("shard").applyInArrow(_group_exactly, told)
+    first = exchange(by_block.applyInArrow, sketch, lambda asked: asked.groupBy("shard").applyInArrow(merge_sketches, TOLD), merge_rows, narrow_rows, n_shards)
+    second = exchange(by_block.cogroup(first.groupBy("block")).applyInArrow, survivors, lambda asked: asked.groupBy("shard").applyInArrow(_group_exactly, TOLD), merge_candidates, narrow_candidates, n_shards)
     both = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
     return by_block.cogroup(both.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

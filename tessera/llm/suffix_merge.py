@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_count, in_blocks, settled, sha256_hex
+from tessera.llm.common import TOLD, answers_of, block_count, exchange, in_blocks, settled, sha256_hex
 from tessera.llm.vectors import U, mix
 
 LENGTH, SPAN, GRAM = 400, 256, 8
@@ -40,8 +40,6 @@ SHARD_BYTES = 32 << 20
 SUFFIX_BLOCK_BYTES = 8 << 20
 PIECE = 1 << 19
 PLACE = U((1 << 20) - 1)
-ASKED = "shard int, block int, payload binary"
-TOLD = "block int, shard int, payload binary"
 UNIQUE, REPEATED, SENT_TOO, SENT = 0, 1, 2, 3
 
 
@@ -129,6 +127,51 @@ def settle(asked: pa.Table) -> pa.Table:
     return _told(blocks, shard, [back[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(parts))])
 
 
+def _same_kinds(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all kinds, their order by digests and block, where a new one begins in it, cuts between blocks)."""
+    parts = [np.frombuffer(x, "<u8").reshape(4, -1) for x in payloads]
+    kinds, sizes = np.concatenate(parts, axis=1), [p.shape[1] for p in parts]
+    order = np.lexsort((np.repeat(np.arange(len(parts)), sizes), kinds[2], kinds[1], kinds[0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (kinds[:3, order[1:]] != kinds[:3, order[:-1]]).any(axis=0)
+    return kinds, order, new, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def merge_kinds(payloads: list[bytes]) -> bytes:
+    """Each kind once; more than one stretch if a block has more or several blocks have it."""
+    kinds, order, new, _ = _same_kinds(payloads)
+    out = kinds[:, order[new]].copy()
+    which = np.cumsum(new) - 1
+    out[3] = (np.bincount(which, 1 + kinds[3, order].astype(np.int64)) > 1).astype(np.uint64)
+    return out.astype("<u8").tobytes()
+
+
+def narrow_kinds(payloads: list[bytes], reply: bytes) -> list[bytes]:
+    """What was said of a kind holds for each block; one of them sends what is to be sent for others."""
+    _, order, new, cuts = _same_kinds(payloads)
+    state = np.frombuffer(reply, np.uint8)[np.cumsum(new) - 1].copy()
+    state[(state == SENT_TOO) & ~new] = REPEATED
+    back = np.empty(len(order), np.uint8)
+    back[order] = state
+    return [back[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(payloads))]
+
+
+def join_runs(payloads: list[bytes]) -> bytes:
+    """One run of several."""
+    runs = [read_run(x) for x in payloads]
+    return write_run([runs[r][i][:2] for r, i, _ in merge_runs(runs)])
+
+
+def part_runs(payloads: list[bytes], reply: bytes) -> list[bytes]:
+    """Distances found for entries of a joined run, for the runs it was made of."""
+    order = merge_runs([read_run(x) for x in payloads])
+    out: list[list[tuple[int, int, int]]] = [[] for _ in payloads]
+    for at, a, b in np.frombuffer(reply, "<i4").reshape(-1, 3).tolist():
+        run, place, _ = order[at]
+        out[run].append((place, a, b))
+    return [np.array(x, "<i4").tobytes() for x in out]
+
+
 def _told(blocks: list[int], shard: int, payloads: list[bytes]) -> pa.Table:
     return pa.table({"block": pa.array(blocks, pa.int32()), "shard": pa.array([shard] * len(blocks), pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
@@ -307,14 +350,11 @@ def remove_repeated_strings(docs: DataFrame, text: str = "text", length: int = L
                 out.append((shard, sorted(send, key=lambda i: s.text[s.anchor[i] : s.hi[i] + length])))
         return out
 
-    def _map(replies: pa.Table) -> dict[int, bytes]:
-        return dict(zip(replies.column("shard").to_pylist(), replies.column("payload").to_pylist(), strict=True))
-
     def send_runs(table: pa.Table, replies: pa.Table) -> pa.Table:
         shards, payloads = [], []
         if replies.num_rows:
             s = Stretches(table, length, span)
-            for shard, send in runs_of(s, _map(replies)):
+            for shard, send in runs_of(s, answers_of(replies)):
                 shards.append(shard)
                 payloads.append(write_run([(s.text[s.anchor[i] : s.hi[i] + length], s.text[s.lo[i] : s.anchor[i]][::-1]) for i in send]))
         return _asked(table.column("block")[0].as_py() if table.num_rows else 0, shards, payloads)
@@ -340,7 +380,7 @@ def remove_repeated_strings(docs: DataFrame, text: str = "text", length: int = L
         if table.num_rows:
             s = Stretches(table, length, span)
             steps = np.array(replies.column("step").to_pylist(), np.int64)
-            one, two = (_map(replies.filter(pa.array(steps == k))) for k in (1, 2))
+            one, two = (answers_of(replies.filter(pa.array(steps == k))) for k in (1, 2))
             cover = np.zeros(len(s.text) + 1, np.int64)
             for shard, _, kind, own in s.kinds(n_shards):
                 state = np.frombuffer(one[shard], np.uint8)[kind]
@@ -368,7 +408,7 @@ def remove_repeated_strings(docs: DataFrame, text: str = "text", length: int = L
         return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()})
 
     by_block = blocks.groupBy("block")
-    first = by_block.applyInArrow(digests, ASKED).groupBy("shard").applyInArrow(settle, TOLD)
-    second = by_block.cogroup(first.groupBy("block")).applyInArrow(send_runs, ASKED).groupBy("shard").applyInArrow(merge, TOLD)
+    first = exchange(by_block.applyInArrow, digests, lambda asked: asked.groupBy("shard").applyInArrow(settle, TOLD), merge_kinds, narrow_kinds, n_shards)
+    second = exchange(by_block.cogroup(first.groupBy("block")).applyInArrow, send_runs, lambda asked: asked.groupBy("shard").applyInArrow(merge, TOLD), join_runs, part_runs, n_shards)
     both = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
     return by_block.cogroup(both.groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -47,6 +47,43 @@ def test_equal_rows_spread_over_blocks(spark):
     assert settled(docs) is docs and settled(moved) is not moved and settled(moved).count() == 100_000
 
 
+def test_messages_grow_with_blocks_and_not_with_their_square(spark, monkeypatch):
+    """Many small blocks and as many shards, each block with something for every shard."""
+    import pyarrow as pa
+
+    from tessera.llm import common as c
+
+    monkeypatch.setattr(c, "FAN", 8)
+    sent = spark.sparkContext.accumulator(0)
+
+    def ask(docs):
+        block = docs.column("block")[0].as_py()
+        return c.messages(["shard", "block", "payload"], list(range(n)), [block] * n, [bytes([block % 251, s % 251]) for s in range(n)])
+
+    def add(payloads):
+        return b"".join(payloads)
+
+    def part(payloads, reply):
+        assert reply == add(payloads)
+        return list(payloads)
+
+    def answer(asked):
+        sent.add(asked.num_rows)
+        return c.messages(["block", "shard", "payload"], asked.column("block").to_pylist(), asked.column("shard").to_pylist(), asked.column("payload").to_pylist())
+
+    counts = []
+    for n in (16, 64):
+        blocks = spark.range(n).selectExpr("cast(id as int) block")
+        before = sent.value
+        got = c.exchange(blocks.groupBy("block").applyInArrow, ask, lambda asked: asked.groupBy("shard").applyInArrow(answer, c.TOLD), add, part, n).collect()
+        counts.append(sent.value - before)
+        told = {}
+        for r in got:
+            told.setdefault(r.block, {}).update(c.unbundle(bytes(r.payload)))
+        assert told == {b: {s: bytes([b % 251, s % 251]) for s in range(n)} for b in range(n)} and len(got) <= 8 * n
+    assert counts == [16 * 16 // 2, 64 * 64 // 8]
+
+
 # --- exact dedup ---------------------------------------------------------------------------------------------
 
 
@@ -499,10 +536,11 @@ def test_substring_on_the_table(docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_over_many_blocks_and_shards(spark, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "fan"), [(1, 256), (2, 3)])
+def test_substring_over_many_blocks_and_shards(spark, monkeypatch, seed, fan):
     from tessera.llm import common, substring_cms as s
 
+    monkeypatch.setattr(common, "FAN", fan)  # three groups of shards: relays between
     monkeypatch.setattr(s, "block_count", lambda docs, text, size: 5)
     monkeypatch.setattr(s, "SHARD_WINDOWS", 300)
     texts = passages(seed)
@@ -766,10 +804,11 @@ def test_suffix_merge_on_the_table(docs, no_docs):
     assert remove_repeated_strings(no_docs).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "length", "span"), [(1, 40, 16), (2, 60, 33), (3, 400, 256)])
-def test_suffix_merge_against_brute_force(spark, monkeypatch, seed, length, span):
-    from tessera.llm import suffix_merge as s
+@pytest.mark.parametrize(("seed", "length", "span", "fan"), [(1, 40, 16, 256), (2, 60, 33, 3), (3, 400, 256, 2)])
+def test_suffix_merge_against_brute_force(spark, monkeypatch, seed, length, span, fan):
+    from tessera.llm import common, suffix_merge as s
 
+    monkeypatch.setattr(common, "FAN", fan)  # fewer groups than shards: relays between
     monkeypatch.setattr(s, "block_count", lambda docs, text, size: 6)
     monkeypatch.setattr(s, "SHARD_BYTES", 9000)
     texts = passages(seed, 70) + [(20_000, "ab" * 700), (20_001, "xab" + "ab" * 300), (20_002, "q" * 450), (20_003, "q" * 401 + "r")]
@@ -852,10 +891,11 @@ def brute_ctw(texts, depth):
     return out
 
 
-@pytest.mark.parametrize(("depth", "blocks"), [(5, 1), (3, 4)])
-def test_ctw_against_brute_force(spark, monkeypatch, depth, blocks):
-    from tessera.llm import ctw
+@pytest.mark.parametrize(("depth", "blocks", "fan"), [(5, 1, 256), (3, 4, 256), (4, 6, 3)])
+def test_ctw_against_brute_force(spark, monkeypatch, depth, blocks, fan):
+    from tessera.llm import common, ctw
 
+    monkeypatch.setattr(common, "FAN", fan)  # fewer groups than shards: relays between
     monkeypatch.setattr(ctw, "block_count", lambda docs, text, size: blocks)
     monkeypatch.setattr(ctw, "SHARD_BYTES", (16 << 20) if blocks == 1 else 4000)
     monkeypatch.setattr(ctw, "FLUSH_WORDS", 100)
