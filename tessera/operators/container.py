@@ -116,6 +116,11 @@ PLANS = {
         SELECT doc_id, max(width) AS width, max(height) AS height, max(CASE WHEN fourcc = 'ANIM' THEN 1 ELSE 0 END) = 1 AS animated,
                max(CASE WHEN fourcc = 'VP8L' THEN ({byte('payload', 4)} >> 4) & 1 WHEN fourcc = 'VP8X' THEN ({byte('payload', 0)} >> 4) & 1 ELSE 0 END) = 1 AS has_alpha FROM {{chunks}} GROUP BY doc_id""",
     "ct2_read_metadata": "SELECT doc_id, max(CASE WHEN fourcc = 'ICCP' THEN payload END) AS iccp, max(CASE WHEN fourcc = 'EXIF' THEN payload END) AS exif, max(CASE WHEN fourcc = 'XMP ' THEN payload END) AS xmp FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, fourcc ORDER BY k) AS i FROM {chunks} WHERE fourcc IN ('ICCP', 'EXIF', 'XMP ')) t WHERE i = 1 GROUP BY doc_id",
+    "ct3_metadata_view": """
+        SELECT doc_id, fourcc, begins + 8 AS payload_begins, size FROM (
+            SELECT doc_id, fourcc, size, row_number() OVER (PARTITION BY doc_id, fourcc ORDER BY k) AS i,
+                   12 + coalesce(CAST(sum(8 + size + size % 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS begins FROM {chunks}) t
+        WHERE i = 1 AND fourcc IN ('ICCP', 'EXIF', 'XMP ')""",
     "ct4_chunks_with": "SELECT doc_id, k, size, payload FROM {chunks} WHERE fourcc = 'ANMF'",
     "ct5_unknown_chunks": f"SELECT doc_id, k, fourcc, size FROM {{chunks}} WHERE fourcc NOT IN ({_KNOWN})",
     "ct6_chunk_count": "SELECT doc_id, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS payload_bytes, min(fourcc) AS least_fourcc FROM {chunks} GROUP BY doc_id",
