@@ -36,11 +36,9 @@ CLUSTERS = SIGNATURES + f""",
     grid AS (SELECT doc_id, (height + {BLOCK - 1}) // {BLOCK} AS block_rows, height FROM {{images}}),
     cells AS (SELECT doc_id, height, block, block % 2 AS bx, block // 2 AS brow FROM (SELECT doc_id, height, EACH[0 .. block_rows * 2 - 1] AS block FROM grid) g),
     assigned AS (SELECT c.doc_id, height, c.block, bx, brow, seed FROM cells c LEFT JOIN nearest n ON c.doc_id = n.doc_id AND c.block = n.block),
-    first_column AS (
-        SELECT doc_id, height, brow, coalesce(last_value(seed) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY brow ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS seed FROM assigned WHERE bx = 0),
-    filled AS (
-        SELECT doc_id, height, brow, 0 AS bx, seed FROM first_column
-        UNION ALL SELECT a.doc_id, a.height, a.brow, 1, coalesce(a.seed, f.seed) FROM assigned a JOIN first_column f ON a.doc_id = f.doc_id AND a.brow = f.brow WHERE a.bx = 1),
+    begun AS (
+        SELECT doc_id, height, brow, bx, seed, last_value(head) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM (SELECT *, CASE WHEN bx = 0 THEN seed END AS head FROM assigned) h),
+    filled AS (SELECT doc_id, height, brow, bx, CASE WHEN bx = 0 THEN coalesce(f, 0) ELSE coalesce(seed, f, 0) END AS seed FROM begun),
     compacted AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY seed) - 1 AS grp FROM filled)"""
 
 #: The measured costs of the three grids, scored: bits, lookups, eight for each run, a 64th of the bytes of tables and map.
