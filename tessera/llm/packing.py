@@ -22,11 +22,12 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,101 +38,169 @@ CAPACITY, END_ID = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Bins of the patterns, and documents in a pattern at most.
 PATTERN_BINS, PATTERN_DOCS = 64, 4
-#: Words whose ids a worker remembers before it forgets those that it has not met since it last did.
-CACHE_WORDS = 250_000
+#: Stems whose ids a worker remembers, of so many bytes at most; beyond that it forgets all but the half that it met last.
+CACHE_STEMS, CACHE_LENGTH = 600_000, 64
 #: Text bytes that are split into words at a time.
 PART_BYTES = 6 << 20
 BUCKET_ROWS = 1 << 13
+#: Letters and digits of ASCII.
+SOLID = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", np.uint8))
+
+
+def cells(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of large strings or binaries."""
+    _, offsets, data = a.buffers()
+    return np.frombuffer(offsets, np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64), np.frombuffer(data or b"", np.uint8)
+
+
+def from_cells(kind: pa.DataType, sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes. The vocabulary's words never span white
     space, so a text's ids are those of its words in turn. It folds case, and marks behind a letter or digit are words of
-    their own, so a word's ids are those of its folded stem and of the marks at its end; words are encoded once as long as
-    they are remembered. Stems of fresh words are encoded many at a time with a mark between them, whose id tells where a
-    stem's ids end; words that could be mistaken for it are encoded alone, as they are."""
+    their own, so a word's ids are those of its folded stem and of the marks at its end. Distinct words, their stems and
+    the stems' ids are Arrow arrays; stems are encoded once as long as they are remembered.
+
+    Folding comes after composition: h with a line below is one letter, H with it is two. So only words of Latin-1 are folded
+    here, which compose with nothing. Fresh stems of small letters go through the model alone, many at a time; the ids that end a
+    word tell where a stem's ids end. Others are encoded many at a time with a mark between them, whose id does; stems that
+    could be mistaken for it are encoded alone, as they are."""
 
     BETWEEN = "\x01"
-    MARKS = b".,;:!?"
-    SOLID = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    #: Everything printable that is no letter or digit, but for the apostrophe, which may begin a word ('s).
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
         self.mark = self._ids(self.tokenizer, self.BETWEEN)
         with open(path) as f:
             made = json.load(f)
+        vocabulary = made["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # Words of small letters need no normalising and no splitting: the same model behind a cut at each space.
-        made.update(normalizer=None, pre_tokenizer={"type": "CharDelimiterSplit", "delimiter": " "}, post_processor=None)
+        made.update(normalizer=None, pre_tokenizer={"type": "CharDelimiterSplit", "delimiter": " "}, post_processor=None, added_tokens=[])
         self.bare = Tokenizer.from_str(json.dumps(made))
-        self.shown = byte_letters()
-        self.bare_mark = self._ids(self.bare, "!")
+        shown = byte_letters()
+        self.shown = np.array([32 if i == 32 else ord(shown[i]) for i in range(256)], "<u4")
+        self.stems, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.met, self.turn = np.zeros(0, np.int64), 0
 
     @staticmethod
-    def _ids(tokenizer, text: str) -> list[int]:  # noqa: ANN001
-        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def learn(self, stems: set[bytes]) -> dict[bytes, bytes]:
+    def _ids(tokenizer, text: str) -> np.ndarray:  # noqa: ANN001
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _together(self, words: list[bytes], bare: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Numbers of ids and ids of words that are encoded at once; none if they can't be told apart."""
+        if bare:
+            ids = self._ids(self.bare, self.shown[np.frombuffer(b" ".join(words), np.uint8)].tobytes().decode("utf-32-le"))
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            return (np.diff(cuts, prepend=0), ids) if len(cuts) == len(words) and cuts[-1] == len(ids) else None
+        ids = self._ids(self.tokenizer, f" {self.BETWEEN} ".join(w.decode() for w in words))
+        if len(self.mark) != 1:
+            return None
+        between = ids == self.mark[0]
+        cuts = np.nonzero(between)[0]
+        return (np.diff(cuts, prepend=-1, append=len(ids)) - 1, ids[~between]) if len(cuts) == len(words) - 1 else None
+
+    def learn(self, stems: pa.Array) -> pa.Array:
         """Ids by stem."""
-        letters, letters_shown, plain, plain_shown, odd = [], [], [], [], []
-        nfc = partial(unicodedata.is_normalized, "NFC")
-        for w in stems:
-            x = w.decode()
-            if x.isalpha() and x.islower() and (x.isascii() or nfc(x)):
-                letters.append(w)
-                letters_shown.append(x if x.isascii() else w.decode("latin-1").translate(self.shown))
-            elif "\x01" in x or "<|" in x:
-                odd.append(w)
+        at, data = cells(stems)
+        sizes = np.diff(at)
+        lead = data == 0xC3
+        small = np.isin(data, np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8))
+        second = np.concatenate([[False], lead[:-1]]) & (data >= 0x9F) & (data != 0xB7) if len(data) else lead
+        fine = np.concatenate([[0], np.cumsum(small | second | np.concatenate([second[1:], [False]])[: len(data)])])
+        latin = (fine[at[1:]] - fine[at[:-1]] == sizes) & (sizes > 0)
+        bare, plain, odd = np.nonzero(latin)[0].tolist(), [], []
+        words = stems.cast(pa.large_binary()).to_pylist()
+        for i in np.nonzero(~latin)[0].tolist():
+            x = words[i].decode()
+            if x.isalpha() and x.islower() and unicodedata.is_normalized("NFC", x):
+                bare.append(i)
+            elif not x or "\x01" in x or "<|" in x:
+                odd.append(i)
             else:
-                plain.append(w)
-                plain_shown.append(x)
-        known: dict[bytes, bytes] = {}
-        odd += self._together(known, self.bare, "!", self.bare_mark, letters, letters_shown)
-        odd += self._together(known, self.tokenizer, self.BETWEEN, self.mark, plain, plain_shown)
-        for w in odd:
-            known[w] = np.array(self._ids(self.tokenizer, w.decode()), "<u4").tobytes()
-        return known
-
-    def _together(self, known: dict[bytes, bytes], tokenizer, between: str, mark: list[int], words: list[bytes], shown: list[str]) -> list[bytes]:  # noqa: ANN001
-        """Encodes words with a mark between them; gives back those whose ids can't be told apart."""
-        left, between = [], f" {between} "
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(self._ids(tokenizer, between.join(shown[i : i + 2000])), "<u4")
-            cuts = np.nonzero(ids == mark[0])[0] if len(mark) == 1 else ()
-            if len(cuts) != len(part) - 1:
-                left += part
-                continue
-            data, cuts = ids.tobytes(), (4 * cuts).tolist()
-            known.update(zip(part, map(data.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(data)])), strict=True))
-        return left
-
-    def _learn_words(self, words: set[bytes]) -> None:
-        """Words that come often stay: what was not asked for since the last turn is forgotten, the rest moves on."""
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.before = {}, self.words
-        missing = words - self.words.keys()
-        again = missing & self.before.keys()
-        self.words.update(zip(again, map(self.before.__getitem__, again), strict=True))
-        fresh = list(missing - again)
-        solid, marks = self.SOLID, self.MARKS
-        folded = [w.lower() if b"<|" not in w else w for w in fresh]
-        stems = [x.rstrip(marks) for x in folded]
+                plain.append(i)
+        rows, counts, ids = [], [], []
+        for kind, some in ((True, bare), (False, plain)):
+            for k in range(0, len(some), 2000):
+                part = some[k : k + 2000]
+                if (made := self._together([words[i] for i in part], kind)) is None:
+                    odd += part
+                    continue
+                rows += part
+                counts.append(made[0])
+                ids.append(made[1])
+        for i in odd:
+            made = self._ids(self.tokenizer, words[i].decode())
+            rows.append(i)
+            counts.append(np.array([len(made)]))
+            ids.append(made)
+        if not rows:
+            return pa.array([], pa.large_binary())
+        found = from_cells(pa.large_binary(), 4 * np.concatenate(counts), np.concatenate(ids).astype("<u4").view(np.uint8))
+        return found.take(pa.array(np.argsort(rows)))
+
+    def _known(self, stems: pa.Array) -> pa.Array:
+        """Ids of distinct stems. Those that were met last stay, long ones never."""
+        self.turn += 1
+        at = pc.index_in(stems, value_set=self.stems)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        self.met[at[~missing]] = self.turn
+        fresh = stems.filter(pa.array(missing))
+        at[missing] = np.arange(len(self.stems), len(self.stems) + len(fresh))
+        self.stems, self.ids = pa.concat_arrays([self.stems, fresh]), pa.concat_arrays([self.ids, self.learn(fresh)])
+        self.met = np.concatenate([self.met, np.full(len(fresh), self.turn)])
+        found = self.ids.take(pa.array(at))
+        keep = np.diff(cells(self.stems)[0]) <= CACHE_LENGTH
+        if keep.sum() > CACHE_STEMS:
+            last = np.argsort(np.where(keep, -self.met, 1), kind="stable")
+            keep[last[CACHE_STEMS // 2 :]] = False
+        if not keep.all():
+            self.stems, self.ids, self.met = self.stems.filter(pa.array(keep)), self.ids.filter(pa.array(keep)), self.met[keep]
+        return found
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words."""
+        odd = pc.or_(pc.match_substring(words, "<|"), pc.match_substring(words, self.BETWEEN)).to_numpy(zero_copy_only=False)
+        at, data = cells(words)
+        sizes = np.diff(at)
+        # Capitals of Latin-1, in words of nothing else than ASCII and its letters.
+        lead = np.concatenate([[False], data[:-1] == 0xC3])[: len(data)]
+        other = np.concatenate([[0], np.cumsum((data > 0x7F) & (data != 0xC3) & ~lead)])
+        folds = np.repeat((other[at[1:]] == other[at[:-1]]) & ~odd, sizes)
+        capital = (data >= 0x41) & (data <= 0x5A) | lead & (data <= 0x9E) & (data != 0x97)
+        data = data + (0x20 * (capital & folds)).astype(np.uint8)
+        folded = from_cells(pa.large_string(), sizes, data)
+        stems = pc.ascii_rtrim(folded, characters=self.MARKS)
+        left = np.diff(cells(stems)[0])
         # Marks are words of their own only behind a letter or digit; else they go with what is before them.
-        cut = [(x, b"") if len(s) == len(x) or not s or s[-1] not in solid or b"<|" in x else (s, x[len(s) :]) for x, s in zip(folded, stems, strict=True)]
-        del folded, stems
-        known = self.learn({part for pair in cut for part in pair} - {b""})
-        self.words.update({w: known[s] + known[t] if t else known[s] for w, (s, t) in zip(fresh, cut, strict=True)})
+        cut = (left < sizes) & (left > 0) & ~odd
+        end = (at[:-1] + left - 1)[cut]
+        cut[cut] = SOLID[data[end]] | lead[end] & (data[end] != 0x97) & (data[end] != 0xB7)
+        tail = np.where(cut, sizes - left, 0)
+        ends = np.cumsum(tail)
+        tails = from_cells(pa.large_string(), tail, data[np.repeat(at[1:] - ends, tail) + np.arange(tail.sum())])
+        parts = pa.concat_arrays([pc.if_else(pa.array(cut), stems, folded), tails]).dictionary_encode()
+        ids = self._known(parts.dictionary)
+        n = len(words)
+        return pc.binary_join_element_wise(ids.take(parts.indices[:n]), ids.take(parts.indices[n:]), pa.scalar(b"", pa.large_binary()))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [x.split() for x in texts]
-        self._learn_words(set().union(*split))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        met = split.values.dictionary_encode()
+        ids = self._words(met.dictionary).take(met.indices) if len(met) else pa.array([], pa.large_binary())
+        at, data = cells(ids)
+        ends = at[split.offsets.to_numpy()].tolist()
+        return [data[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def byte_letters() -> dict[int, str]:

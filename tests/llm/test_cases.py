@@ -602,6 +602,28 @@ def test_encoder_agrees_with_the_tokenizer():
         assert np.frombuffer(enc([text.encode()])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_folds_after_composition_and_forgets(monkeypatch):
+    """H with a line below has no composed form, h with it has one: folding first would make other ids."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["H\u0331", "aT\u0308!", "\u00c9cole\u0331.", "W\u030a###", "\u00c9\u00c8\u00d7, \u00e0\u00f7. \u00df%%%", "|> <| x<|END|>", "", " \n", "a" * 5000 + "&", "\u041c\u0438\u0440 \u043c\u0438\u0440."]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (packing.CACHE_STEMS, 4):
+        monkeypatch.setattr(packing, "CACHE_STEMS", most)
+        enc = packing.Encoder(path)
+        for _ in range(3):
+            for t, ids in zip(texts, want, strict=True):
+                assert np.frombuffer(enc([t.encode()])[0], "<u4").tolist() == ids, repr(t)
+            assert [np.frombuffer(x, "<u4").tolist() for x in enc([t.encode() for t in texts])] == want
+        assert len(enc.stems) <= most and max(map(len, enc.stems.to_pylist())) <= packing.CACHE_LENGTH
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_once_and_wastes_little(seed):
     import numpy as np
