@@ -39,9 +39,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bins of the patterns, and documents in a pattern at most.
 PATTERN_BINS, PATTERN_DOCS = 64, 4
 #: Stems whose ids a worker remembers, of so many bytes at most; beyond that it forgets all but the half that it met last.
-CACHE_STEMS, CACHE_LENGTH = 600_000, 64
+CACHE_STEMS, CACHE_LENGTH = 250_000, 64
 #: Text bytes that are split into words at a time.
-PART_BYTES = 6 << 20
+PART_BYTES = 2 << 20
 BUCKET_ROWS = 1 << 13
 #: Letters and digits of ASCII.
 SOLID = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", np.uint8))
@@ -253,6 +253,7 @@ def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, path:
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+            pa.default_memory_pool().release_unused()  # a worker lives on through other stages
 
     return docs.select("doc_id", body(text).alias("body")).mapInArrow(batches, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

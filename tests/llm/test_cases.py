@@ -624,6 +624,30 @@ def test_encoder_folds_after_composition_and_forgets(monkeypatch):
         assert len(enc.stems) <= most and max(map(len, enc.stems.to_pylist())) <= packing.CACHE_LENGTH
 
 
+def test_encoder_stays_small_over_new_words():
+    """Workers outlive the packing stage, beside the heap: what one keeps of 900,000 different words is bounded."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import re, public_tokenizers
+from tessera.llm import packing
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+enc, letters, most = packing.Encoder(public_tokenizers.path(packing.VOCABULARY)), "etaoinsr", 0
+before = held()
+for k in range(9):
+    text = " ".join("".join(letters[i >> 3 * j & 7] for j in range(7)) + "." for i in range(100_000 * k, 100_000 * (k + 1))).encode()
+    for part in packing.in_parts([text[i : i + 8000] for i in range(0, len(text), 8000)], packing.PART_BYTES):
+        enc(part)
+    most = max(most, held())
+print(most - before)
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
+    assert float(run.stdout) < 90, run.stdout
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_once_and_wastes_little(seed):
     import numpy as np
