@@ -75,9 +75,23 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(d), 10)) for d in even)) % 10 == 0
 
 
-def _iban_ok(found: str) -> bool:
-    plain = found.replace(" ", "")
-    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+#: Letters count as two digits.
+VALUES = {c: (int(c, 36), 10 if c.isdigit() else 100) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def iban_end(found: str) -> int:
+    """Where the longest of its leading words that make a valid number end; 0 if none do. Words may follow a number after a
+    space. One pass: the remainder by 97 goes on from word to word."""
+    head = int("".join(str(VALUES[c][0]) for c in found[:4]))
+    rest, n, best = 0, 4, 0
+    for at, c in enumerate(found[4:] + " ", 4):
+        if c != " ":
+            value, scale = VALUES[c]
+            rest = (rest * scale + value) % 97
+            n += 1
+        elif 15 <= n <= 34 and (rest * 1_000_000 + head) % 97 == 1:
+            best = at
+    return best
 
 
 def scan(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
@@ -100,11 +114,8 @@ def scan(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]
                 digits = NON_DIGIT.sub("", m.group())
                 add("card", at, m.end(), 12 <= len(digits) <= 19 and luhn(digits))
             if begins and at >= 2 and at - 2 >= done["iban"] and text[at - 2 : at].isalpha() and (m := IBAN.match(text, at - 2)) and not text[at - 3 : at - 2].isalnum():
-                whole = m.group()
-                while len(whole) >= 15 and not _iban_ok(whole):  # words may follow after a space
-                    whole = whole.rpartition(" ")[0]
-                if whole and _iban_ok(whole):
-                    add("iban", at - 2, at - 2 + len(whole))
+                if end := iban_end(m.group()):
+                    add("iban", at - 2, at - 2 + end)
         elif kind == "at":
             start = at
             while start > done["email"] and text[start - 1] in LOCAL_PART:

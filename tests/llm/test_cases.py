@@ -319,6 +319,39 @@ def test_pii_on_long_runs_in_linear_time():
     assert scan("account number12345", anchors) == [(8, 19, "account")]
 
 
+def test_pii_ibans_cost_no_more_than_other_cues():
+    """In CPU time, beside a text of as many anchors, so that the speed of the machine doesn't matter."""
+    import random
+    import time
+
+    from tessera.llm.pii import IBAN, automaton, iban_end, scan
+
+    def took(text):
+        began = time.process_time()
+        scan(text, anchors)
+        return time.process_time() - began
+
+    anchors, n = automaton(), 40_000
+    took("account " * n)
+    assert min(took("DE12 " * n) for _ in range(3)) < 10 * min(took("account " * n) for _ in range(3))
+
+    def holds(x):
+        x = x.replace(" ", "")
+        return 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    rng, valid = random.Random(4), 0
+    for _ in range(4000):
+        body = "".join(rng.choice("0123456789AZ") for _ in range(rng.randint(11, 30)))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+        words = f"DE{check:02d}{body}"
+        words = " ".join(words[i : i + 4] for i in range(0, len(words), 4)) + rng.choice(["", " X", " 12 AB", "7", " A1B2C3"])
+        whole = IBAN.match(words).group()
+        ends = [i for i in range(len(whole) + 1) if (i == len(whole) or whole[i] == " ") and holds(whole[:i])]
+        assert iban_end(whole) == max(ends, default=0)
+        valid += bool(ends)
+    assert valid > 2000
+
+
 def test_pii_ip_parts_with_leading_zeros():
     zeros = "0" * 30
     for text in (f"{zeros}1.2.3.4", f"1.{zeros}255.3.4", f"1.2.{zeros}256.4", "0.0.0.00000", "999.1.1.1"):
