@@ -307,3 +307,21 @@ def test_alpha_choices():
             assert sizes[0] <= n * {2: 1, 3: 2, 16: 4}[levels] / 8 + 80
     with pytest.raises(StreamError):
         planes.encode_alpha(b"1234", 2, filters="most")
+
+
+def test_high_compression_writes_symbols_together(monkeypatch):
+    """The streams of three images as they were written symbol by symbol, with few calls of the writer."""
+    import hashlib
+
+    calls, write = [], bits.BitWriter.write
+    monkeypatch.setattr(bits.BitWriter, "write", lambda self, value, count: (calls.append(count), write(self, value, count))[1])
+    found = []
+    for k in range(3):
+        rng = np.random.default_rng(k)
+        px = rng.integers(0, 256, (40 * 31, 4)) if k == 0 else np.repeat(rng.integers(0, 60, (200, 4)), 7, 0)[: 40 * 31] if k == 1 else np.tile(rng.integers(0, 256, (300, 4)), (5, 1))[: 40 * 31]
+        data = px.astype(np.uint8).tobytes()
+        payload = vp8l_high.encode(40, 31, data)
+        assert vp8l.decode(payload) == (40, 31, data)
+        found.append(hashlib.sha256(payload).hexdigest()[:16])
+    assert found == ["d9f3232c21f2fe39", "41b5079d6f5cb55d", "032a82e10b4da263"]
+    assert len(calls) < 3000
