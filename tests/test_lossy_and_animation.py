@@ -401,3 +401,27 @@ def test_streams_side_by_side_are_those_of_one_coder(monkeypatch, few):
     assert (lanes.read_blocks(streams, counts, (1, 2, 3), lanes.Coefficients(flat)).reshape(-1, 16) == levels).all()
     with pytest.raises(StreamError):
         lanes.read_blocks([s[: len(s) // 3] for s in streams], counts, (1, 2, 3), lanes.Coefficients(flat))
+
+
+def test_many_decisions_at_once_are_those_one_by_one():
+    rng = np.random.default_rng(5)
+    p = rng.integers(1, 256, 3000).tolist()
+    values = (rng.random(3000) < 0.05).astype(int).tolist()
+    one, many = vp8.BoolWriter(), vp8.BoolWriter()
+    for value, q in zip(values, p, strict=True):
+        one.bit(value, q)
+    many.many(zip(values, p, strict=True))
+    data = many.done()
+    assert data == one.done()
+    reader, i, found = vp8.BoolReader(data), -1, []
+    while (i := reader.until(p, i + 1)) < len(p):
+        assert reader.bit(p[i])
+        found.append(i)
+    assert found == np.flatnonzero(values).tolist()
+
+
+def test_modes_are_tried_side_by_side(monkeypatch):
+    calls, plain = [], lossy.forward_dct
+    monkeypatch.setattr(lossy, "forward_dct", lambda b: (calls.append(len(b)), plain(b))[1])
+    vp8.encode_planes(lossy.to_yuv(image(32, 48, 3)), vp8.Header(32, 48, quantiser=20, level=9), TABLES)
+    assert calls == [64, 32] * 6

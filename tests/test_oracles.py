@@ -134,3 +134,8 @@ def test_coefficient_tokens_side_by_side(spark, tmp_path):
     assert got == want
     small = codec.coefficient_tokens(spark, str(tmp_path), together=2000).collect()
     assert sorted(map(repr, map(tuple, small))) == want
+
+
+def test_lossy_frames_of_documents_without_a_number(spark, tmp_path):
+    got, want = against_twin(spark, tmp_path, "vd19_lossy_round_trip", [(None, "0aA z" * 30), (5, "é" * 900), (6, "x"), (7, ""), (9, None)])
+    assert got == want
