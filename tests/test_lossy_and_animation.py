@@ -425,3 +425,10 @@ def test_modes_are_tried_side_by_side(monkeypatch):
     monkeypatch.setattr(lossy, "forward_dct", lambda b: (calls.append(len(b)), plain(b))[1])
     vp8.encode_planes(lossy.to_yuv(image(32, 48, 3)), vp8.Header(32, 48, quantiser=20, level=9), TABLES)
     assert calls == [64, 32] * 6
+
+
+def test_writing_alone_filters_nothing(monkeypatch):
+    pixels = image(33, 40, 4)
+    want = vp8.encode_planes(lossy.to_yuv(pixels), vp8.Header(33, 40, quantiser=lossy.quantiser_of(30), level=20), TABLES, blocks=True)[0]
+    monkeypatch.setattr(vp8, "filter_row", lambda *_: pytest.fail("the loop filter is the reader's"))
+    assert vp8.encode(33, 40, pixels.tobytes(), 30, TABLES, level=20, blocks=True) == want
